@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import quality, urlfilter
+from portolan.llm import quality, simhash, urlfilter
 from portolan.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(simhash.fingerprints(table(spark, sf_dir, "documents"), n=3, seed=42), budget=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -19,5 +24,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op10_url_filters": op10_url_filters}
+QUERIES = {"op2_simhash": op2_simhash, "op4_quality_rules": op4_quality_rules, "op10_url_filters": op10_url_filters}
 SQL = {"op4_quality_rules": quality.sql(), "op10_url_filters": urlfilter.SQL}
