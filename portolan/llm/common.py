@@ -88,14 +88,15 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], weight:
     """Adds __before: the weight of all rows that come before this one in its group, __size: that of the whole group, and __row:
     the rows before it in its piece (__piece).
 
-    Rows of a group are ordered by a hash of `order`'s columns, then by these. A group is cut into pieces by the hash's leading
-    bits, about sqrt(rows) of them, so that neither a piece nor the table of pieces grows faster than sqrt(rows): no task gets a
-    whole hot group.
+    Rows of a group are ordered by a hash of `order`'s columns (60 bits of the MD5 of their texts, parted by '|'), then by these. A
+    group is cut into pieces by the hash's leading bits, about sqrt(rows) of them, so that neither a piece nor the table of pieces
+    grows faster than sqrt(rows): no task gets a whole hot group.
     """
-    pieces = 1 << max(0, (max(rows, 1).bit_length() + 1) // 2)
-    base = df.withColumn("__h", F.xxhash64(*order)).withColumn(
-        "__piece", F.pmod(F.shiftrightunsigned("__h", 24), F.lit(pieces)).cast("int")
-    ).withColumn("__w", weight.cast("long"))
+    bits = max(0, (max(rows, 1).bit_length() + 1) // 2)
+    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in order]))
+    base = df.withColumn("__h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumns(
+        {"__piece": F.shiftright("__h", 60 - bits).cast("int"), "__w": weight.cast("long")}
+    )
     sums = base.groupBy(*group, "__piece").agg(F.sum("__w").alias("__sum"))
     by_piece = Window.partitionBy(*group).orderBy("__piece") if group else Window.partitionBy(F.lit(0)).orderBy("__piece")
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))

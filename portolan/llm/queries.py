@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import quality, simhash, urlfilter
+from portolan.llm import mixing, quality, sharding, simhash, urlfilter
 from portolan.llm.common import table
 
 
@@ -14,15 +14,36 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return sharding.sharded(rows, ["doc_id", "size", "text_crc32"], shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_quality_rules": op4_quality_rules, "op10_url_filters": op10_url_filters}
-SQL = {"op4_quality_rules": quality.sql(), "op10_url_filters": urlfilter.SQL}
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_sharding": op8_sharding,
+    "op10_url_filters": op10_url_filters,
+}
+SQL = {"op3_mixing": mixing.SQL, "op4_quality_rules": quality.sql(), "op10_url_filters": urlfilter.SQL}
