@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import mixing, quality, sharding, simhash, urlfilter
+from portolan.llm import decontaminate, mixing, quality, sharding, simhash, urlfilter
 from portolan.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.counted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
 SQL = {"op3_mixing": mixing.SQL, "op4_quality_rules": quality.sql(), "op10_url_filters": urlfilter.SQL}
