@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import decontaminate, mixing, quality, sharding, simhash, urlfilter
+from portolan.llm import decontaminate, mixing, quality, sharding, simhash, substring, urlfilter
 from portolan.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.repeats(table(spark, sf_dir, "documents"), length=13))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
