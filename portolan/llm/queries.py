@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import decontaminate, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
-from portolan.llm.common import table
+from portolan.llm import decontaminate, mixing, quality, sharding, simhash, substring, tokens, toxicity, urlfilter
+from portolan.llm.common import fresh_path, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.repeats(table(spark, sf_dir, "documents"), length=13))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-shards")
+    tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return tokens.documents(spark, path)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -57,6 +64,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_shards": op6_token_shards,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
