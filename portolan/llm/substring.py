@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import WordHashes, gram_hashes, words_of
+from portolan.llm.common import WordHashes, gram_hashes, mix64, words_of
 
 LENGTH, ANCHOR = 13, 5
 BLOCK_BYTES = 4 << 20  # of text in a block, about
@@ -123,7 +123,7 @@ def _told(rows: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _anchor_keys(block: _Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """anchor of each window; the distinct ones, the place of each window's, and whether two documents have it."""
-    anchor = block.anchors(k)
+    anchor = mix64(block.anchors(k))  # least hashes are small ones; hash ranges should fill evenly
     distinct, place = np.unique(anchor, return_inverse=True)
     ids = block.ids[block.doc]
     low, high = np.full(len(distinct), LAST), np.full(len(distinct), np.iinfo(np.int64).min)
