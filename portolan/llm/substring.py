@@ -168,7 +168,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block_b
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(32, size // block_bytes)
-    buckets = blocks
+    buckets = max(32, blocks // 8)  # a block sends a row to each: fewer buckets, fewer rows
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
     def send_anchors(key: tuple, rows: pa.Table) -> pa.Table:
