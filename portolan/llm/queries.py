@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import decontaminate, mixing, quality, sharding, simhash, substring, tokens, toxicity, urlfilter
+from portolan.llm import decontaminate, html, mixing, quality, sharding, simhash, substring, tokens, toxicity, urlfilter
 from portolan.llm.common import fresh_path, table
 
 
@@ -39,6 +39,10 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.documents(spark, path)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_shards": op6_token_shards,
+    "op7_html_extraction": op7_html_extraction,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
