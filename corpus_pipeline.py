@@ -1,8 +1,60 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, mixing, sharding.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet before the next one reads it.
+All but the last return the columns of `docs`; the last adds shard and slot.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from portolan.llm import decontaminate, mixing, quality, sharding, simhash
+from portolan.llm.common import fresh_path, table
+
+POLICY, SHARDS = "v1", 24
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a rule of the policy rejects."""
+    return quality.kept(docs, POLICY)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-equal texts."""
+    return simhash.one_of_each(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out what the benchmark holds too, and drops documents that are mostly that."""
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.applied(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's shard and slot."""
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    return sharding.sharded(rows, ["doc_id", "__text"], SHARDS).drop("__text")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mix_sources", mix_sources),
+    ("shard", shard),
+]
+ORACLE_SQL = None  # signatures and the permutation are beyond SQL; tests hold each stage against a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`."""
+    docs, path = table(spark, sf_dir, "documents"), fresh_path(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+    return docs

@@ -84,17 +84,21 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def order_hash(*order: Column) -> Column:
+    """60 bits of the MD5 of the columns' texts, parted by '|'."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in order])), 1, 15), 16, 10).cast("long")
+
+
 def running_total(df: DataFrame, group: list[str], order: list[Column], weight: Column, rows: int) -> DataFrame:
     """Adds __before: the weight of all rows that come before this one in its group, __size: that of the whole group, and __row:
     the rows before it in its piece (__piece).
 
-    Rows of a group are ordered by a hash of `order`'s columns (60 bits of the MD5 of their texts, parted by '|'), then by these. A
+    Rows of a group are ordered by `order_hash`, then by the columns of `order`. A
     group is cut into pieces by the hash's leading bits, about sqrt(rows) of them, so that neither a piece nor the table of pieces
     grows faster than sqrt(rows): no task gets a whole hot group.
     """
     bits = max(0, (max(rows, 1).bit_length() + 1) // 2)
-    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in order]))
-    base = df.withColumn("__h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumns(
+    base = df.withColumn("__h", order_hash(*order)).withColumns(
         {"__piece": F.shiftright("__h", 60 - bits).cast("int"), "__w": weight.cast("long")}
     )
     sums = base.groupBy(*group, "__piece").agg(F.sum("__w").alias("__sum"))

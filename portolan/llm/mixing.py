@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import cut, n_words, running_total
+from portolan.llm.common import cut, n_words, order_hash, running_total
 
 BLOCK = 256
 WEIGHTS = (3, 1, 2)  # fixed values, repeating over the sources
@@ -109,8 +109,8 @@ def laid(docs: DataFrame) -> tuple[DataFrame, list[tuple[str | None, int]], int]
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(per document: doc_id, source, size, source_size, target, piece and row that name it; the mix: slot, the same
-    two, doc_id, first word, words)."""
+    """(per document: doc_id, source, size, source_size, target, piece and row that name it; the mix: slot, source_no, rank, the same
+    two, doc_id, source, size, lap, first word, words)."""
     stream, order, _ = laid(sized(docs))
     goal = targets(order)
     words = {s: min(math.floor(goal[s] + 0.5), MOST_TIMES * n) for s, n in order}
@@ -127,7 +127,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     ).withColumn("rank", F.explode(F.sequence(F.floor(F.col("__from") / block).cast("long"), F.floor((F.col("__to") - 1) / block).cast("long"))))
     begin, end = F.greatest("__from", F.col("rank") * block), F.least("__to", (F.col("rank") + 1) * block)
     pieces = pieces.select(
-        "doc_id", "source_no", "__piece", "__row", "rank", (begin - F.col("__from")).alias("first_word"), (end - begin).alias("words")
+        "doc_id", "source", "size", "source_no", "__piece", "__row", "rank", "lap", (begin - F.col("__from")).alias("first_word"), (end - begin).alias("words")
     )
     slots = schedule(spark, [math.ceil(words[s] / block) for s, _ in order], block)
     return stream.drop("words"), pieces.join(slots, ["source_no", "rank"])
@@ -142,6 +142,25 @@ def taken(docs: DataFrame) -> DataFrame:
     )
 
 
+def applied(docs: DataFrame) -> DataFrame:
+    """docs, each as often as the mix begins it: not at all, once or twice. A document is taken whole or not at all.
+
+    A source's documents are taken in the order of their stream, so the last one that a lap begins tells of every other whether it
+    is taken; the texts needn't be shuffled. Equal rows are taken alike; documents without words come along with their neighbours.
+    """
+    _, mix = mixed(docs)
+    key = lambda doc_id, size: F.struct(order_hash(doc_id, size).alias("h"), doc_id.alias("d"), size.alias("n"))
+    begun = mix.where("first_word = 0").groupBy("source").agg(*[
+        F.max(F.when(F.col("lap") == lap, key(F.col("doc_id"), F.col("size")))).alias(f"__last{lap}") for lap in (0, 1)
+    ]).withColumnRenamed("source", "__source")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    mine = key(F.col("doc_id").cast("long"), n_words(F.col("text")))
+    within = lambda lap: F.coalesce(mine <= F.col(f"__last{lap}"), F.lit(False)).cast("int")
+    # a row for each source: as many as `sources` gathered
+    rows = docs.join(F.broadcast(begun), F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), within(0) + within(1)))).select(*names)
+
+
 SQL = """
     with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
     s as (select source, sum(size)::bigint as n, row_number() over (order by source nulls last) as i from d group by source),

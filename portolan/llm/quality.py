@@ -10,11 +10,11 @@ columns (measures, `fail_bits`) replace any of the same name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import SPACES
-
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -41,43 +41,50 @@ def policy_mask(policy: str) -> int:
     return sum(1 << names.index(rule) for rule in POLICIES[policy])
 
 
-def _measured(docs: DataFrame, text: str) -> DataFrame:
-    """Adds the measures. Each step is its own projection: a later one reads the former's arrays instead of making them again."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "fail_bits")]
-    t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.select(*kept, t.alias("__t"))
-    step = step.withColumns({
-        "__w": F.filter(F.split("__t", SPACES), lambda w: w != ""),
-        "__lines": F.filter(F.split("__t", "\n"), lambda line: F.regexp_like(line, F.lit("[^\\x20\\x09-\\x0D]"))),
-    })
-    step = step.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "word_chars": F.length(F.regexp_replace("__t", SPACES, "")).cast("long"),
-        "n_symbols": (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long"),
-        # (hash of three words, place) of every window, sorted: equal windows become neighbours
-        "__win": F.expr(
-            "sort_array(transform(if(size(__w) > 2, sequence(1, size(__w) - 2), array()),"
-            " i -> struct(xxhash64(__w[i - 1], __w[i], __w[i + 1]) as h, i as i)))"
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body, in which name stands for value; value is worked out once, wherever the optimizer moves the expression."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+# A struct of all measures of `text`.
+_MEASURED = _let(
+    "coalesce(text, '')", "t",
+    _let(
+        "named_struct('w', filter(split(t, r'[\\x20\\x09-\\x0D]+'), x -> x <> ''),"
+        " 'l', filter(split(t, r'\\n'), x -> regexp_like(x, r'[^\\x20\\x09-\\x0D]')))", "p",
+        _let(
+            # (hash of three words, place) of every window, sorted: equal windows become neighbours
+            "sort_array(transform(if(size(p.w) > 2, sequence(1, size(p.w) - 2), array()),"
+            " i -> struct(xxhash64(get(p.w, i - 1), get(p.w, i), get(p.w, i + 1)) as h, i as i)))", "win",
+            _let(
+                # places of the windows that are found twice or more, in order
+                "sort_array(transform(filter(win, (x, j) -> (j > 0 and x.h = get(win, j - 1).h)"
+                " or (j < size(win) - 1 and x.h = get(win, j + 1).h)), x -> x.i))", "hit",
+                "named_struct('n_words', cast(size(p.w) as long),"
+                " 'word_chars', cast(length(regexp_replace(t, r'[\\x20\\x09-\\x0D]+', '')) as long),"
+                f" 'n_symbols', cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as long),"
+                " 'n_dup_lines', cast(size(p.l) - size(array_distinct(p.l)) as long),"
+                # each such window adds the words that its successor does not cover
+                " 'n_repeat_words', aggregate(transform(hit, (at, j) ->"
+                " if(j = size(hit) - 1, 3, least(3, get(hit, j + 1) - at))), 0L, (a, x) -> a + x),"
+                " 'n_lines', cast(size(p.l) as long))",
+            ),
         ),
-    }).drop("__t", "__w", "__lines")
-    # places of the windows that are found twice or more, in order
-    step = step.withColumn("__hit", F.expr(
-        "sort_array(transform(filter(__win, (x, j) -> (j > 0 and x.h = __win[j - 1].h)"
-        " or (j < size(__win) - 1 and x.h = get(__win, j + 1).h)), x -> x.i))"
-    )).drop("__win")
-    # each such window adds the words that its successor does not cover
-    return step.withColumn("n_repeat_words", F.expr(
-        "case when size(__hit) = 0 then 0L else aggregate(transform(__hit, (p, j) ->"
-        " case when j = size(__hit) - 1 then 3 else least(3, get(__hit, j + 1) - p) end), 0L, (a, x) -> a + x) end"
-    )).drop("__hit")
-
-
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    ),
+)
+
+
+def _bits(of: str) -> str:
+    """SQL: the rules that fail, over measures that are fields of `of`."""
+    rule = lambda test: re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{of}.\1", test)
+    return " + ".join(f"if({rule(test)}, {1 << k}L, 0L)" for k, test in enumerate(RULES.values()))
+
+
+def ledger(docs: DataFrame) -> DataFrame:
     """`docs` with every measure and `fail_bits`, the rules that fail (bit k: rule k of RULES)."""
-    bits = " + ".join(f"case when {test} then {1 << k}L else 0L end" for k, test in enumerate(RULES.values()))
-    return _measured(docs, text).withColumn("fail_bits", F.expr(bits))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "fail_bits")]
+    book = docs.select(*others, F.expr(_MEASURED).alias("__m"))
+    return book.withColumn("fail_bits", F.expr(_bits("__m"))).select(*others, "__m.*", "fail_bits")
 
 
 def passes(policy: str) -> Column:
@@ -85,6 +92,12 @@ def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy_mask(policy))) == 0
 
 
+def kept(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The rows of docs that pass, with their own columns only."""
+    mask = policy_mask("base") | policy_mask(policy)
+    return docs.where(F.expr(_let(_MEASURED, "m", f"(({_bits('m')}) & {mask}L) = 0L")))
+
+
 def ablation(book: DataFrame, policy: str) -> DataFrame:
     """For each rule of a policy: documents that fail it, and documents that only it rejects. One aggregation over the bits."""
     mask, names = policy_mask(policy), list(RULES)
