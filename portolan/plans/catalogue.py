@@ -1,2 +1,239 @@
-QUERIES = {}
-SQL = {}
+"""The queries over the driver tables, each with DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from portolan.functions import expr, peptides
+from portolan.operators import baseline, contracts, evidence, gate, score, select
+from portolan.plans import candidates as c
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+POLICY = score.Policy()
+
+
+def query(sql: str | None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    return gate.tagged(c.candidates(spark, d), ["candidate_id"])
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return score.scored(_gated(spark, d), POLICY)
+
+
+CAND, GATED = f"with {c.SQL}", f"with {c.SQL}, {c.GATED}"
+SCORED = f"{GATED}, {c.SCORED}"
+# `with recursive` for the walk
+CHOSEN = f"with recursive {c.SQL}, {c.GATED}, {c.SCORED}, {c.SELECTED}"
+
+
+@query(f"{CHOSEN} select s.patient_id, s.candidate_id, evidence_tier, lower_evidence_score, rank is not null as selected, rank from scored s left join taken using (patient_id, candidate_id)")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Gate, score, tier and select: every candidate with its tier and rank."""
+    return select.portfolio(_scored(spark, d), POLICY).select("patient_id", "candidate_id", "evidence_tier", "lower_evidence_score", "selected", "rank")
+
+
+@query(f"{CAND} select candidate_id, patient_id, mutation_id, gene_symbol, mutant_peptide, wildtype_peptide, hla_allele, expression_tpm, binding_affinity_nm from cand")
+def scan_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return c.candidates(spark, d).select(
+        "candidate_id", "patient_id", "mutation_id", "gene_symbol", "mutant_peptide", "wildtype_peptide", "hla_allele", "expression_tpm", "binding_affinity_nm"
+    )
+
+
+@query(f"""{CAND} select candidate_id, upper(trim(mutant_peptide)) as peptide_norm, hla_allele as hla_norm, mutant_peptide || '|' || hla_allele as mutant_hla_key,
+    wildtype_peptide || '|' || hla_allele as wildtype_hla_key from cand""")
+def normalized_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = c.candidates(spark, d)
+    pep, wt, allele = expr.peptide(F.col("mutant_peptide")), expr.peptide(F.col("wildtype_peptide")), F.col("hla_allele")
+    return rows.select("candidate_id", pep.alias("peptide_norm"), expr.hla(allele).alias("hla_norm"), expr.pair_key(pep, allele).alias("mutant_hla_key"),
+                       expr.pair_key(wt, allele).alias("wildtype_hla_key"))
+
+
+@query(f"""{CAND}, b as (select candidate_id, coalesce(patient_id, 'nan') || ':' || substr(sha256(concat_ws('|', patient_id, mutation_id, transcript_id, mutant_peptide, hla_allele)), 1, 16) as base,
+    md5(mutant_peptide || '|' || hla_allele) as tie_key from cand), n as (select *, row_number() over (partition by base order by candidate_id) - 1 as n from b)
+    select candidate_id, base as base_id, case when n = 0 then base else base || ':dup' || n end as stable_id, tie_key from n""")
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    from portolan.plans.product import with_dup_suffix
+
+    rows = c.candidates(spark, d).select(
+        "candidate_id", expr.stable_id(*map(F.col, ("patient_id", "mutation_id", "transcript_id", "mutant_peptide", "hla_allele"))).alias("base_id"),
+        expr.tie_key(F.col("mutant_peptide"), F.col("hla_allele")).alias("tie_key"),
+    )
+    return with_dup_suffix(rows, "base_id", ["candidate_id"], "stable_id")
+
+
+@query("""select event_type, case when lower(trim(event_type)) in ('cd8', 'positive', 'pos', 'reactive', 'immunogenic', '1', 'true', 'yes') then 'positive'
+    when lower(trim(event_type)) in ('negative', 'neg', 'non-reactive', 'nonreactive', '0', 'false', 'no') then 'negative' else 'unknown' end as label,
+    count(*) as n from (select event_type from events union all select case quality when 1 then ' Yes' when 0 then 'NEG ' end from labels) group by all""")
+def label_parse(spark: SparkSession, d: str) -> DataFrame:
+    words = spark.read.parquet(f"{d}/labels.parquet").select(F.when(F.col("quality") == 1, " Yes").when(F.col("quality") == 0, "NEG ").alias("event_type"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_type").union(words)
+    return rows.groupBy("event_type", expr.label(F.col("event_type")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, case quality when 1 then 'positive' else 'negative' end as label from labels where quality in (0, 1)")
+def supervised_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", expr.label(F.col("quality")).alias("label"))
+    return contracts.supervised(rows)
+
+
+@query(f"{GATED} select candidate_id, gate as deterministic_gate_reason, gate = '' as deterministic_gate_pass from gated")
+def gate_tag(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, d).select("candidate_id", "deterministic_gate_reason", "deterministic_gate_pass")
+
+
+@query(f"{GATED} select count(*) as input_count, count_if(gate = '') as survivor_count, count_if(gate <> '') as removed_count, count_if(gate <> '') / count(*) as removed_fraction from gated")
+def gate_summary(spark: SparkSession, d: str) -> DataFrame:
+    return gate.summary(_gated(spark, d))
+
+
+@query(f"{GATED} select gate as reason, count(*) as n from gated where gate <> '' group by gate")
+def gate_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return gate.reasons(_gated(spark, d))
+
+
+@query(f"{GATED} select candidate_id, is_dup as is_duplicate from dup")
+def duplicate_flag(spark: SparkSession, d: str) -> DataFrame:
+    return gate.duplicates(c.candidates(spark, d), ["candidate_id"]).select("candidate_id", "is_duplicate")
+
+
+RNA = """rna as (select 'P' || o_custkey % 200 as patient_id, 'M' || l_partkey % 97 as mutation_id, max(l_quantity) as e, max(case when l_linenumber > 2 then l_discount end) as v
+    from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < timestamp '1994-01-01' group by all)"""
+
+
+@query(f"{CAND}, {RNA} select candidate_id, coalesce(e, expression_tpm) as expression_tpm, coalesce(v, rna_vaf) as rna_vaf from cand left join rna using (patient_id, mutation_id)")
+def rna_overlay(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    old = t("lineitem").where("l_shipdate < timestamp '1994-01-01'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rna = old.groupBy(F.expr("concat('P', o_custkey % 200)").alias("patient_id"), F.expr("concat('M', l_partkey % 97)").alias("mutation_id")).agg(
+        F.max("l_quantity").alias("expression_tpm"), F.max(F.when(F.col("l_linenumber") > 2, F.col("l_discount"))).alias("rna_vaf")
+    )
+    return evidence.merged(c.candidates(spark, d), rna).select("candidate_id", "expression_tpm", "rna_vaf")
+
+
+@query(f"""{SCORED} select candidate_id, round(coalesce(tr, 0.5), 9) as translated, round(coalesce(pres, 0.5), 9) as presented, round(coalesce(rec, 0.5), 9) as recognized,
+    round(coalesce(cov, 0.5), 9) as coverage, evidence_score, complete as evidence_completeness, evidence_uncertainty, lower_evidence_score from scored""")
+def score_components(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d)
+    return rows.select("candidate_id", *[F.round(f"{n}_evidence_score", 9).alias(n) for n in score.WEIGHTS], "evidence_score", "evidence_completeness",
+                       "evidence_uncertainty", "lower_evidence_score")
+
+
+@query(f"{SCORED} select candidate_id, evidence_tier, exclusion_reason, exclusion_reason = '' as eligible, selection_reason from scored")
+def tier_assign(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("candidate_id", "evidence_tier", "exclusion_reason", "eligible", "selection_reason")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, n from (select *, count(*) over (partition by l_orderkey, l_linenumber) as n,
+    row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as r from lineitem) where r = 1""")
+def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    from portolan.plans.datasets import keep_first
+
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return keep_first(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"], "n").select("l_orderkey", "l_linenumber", "l_partkey", "n")
+
+
+@query("select l_orderkey, l_linenumber, count(distinct l_returnflag) as n_labels from lineitem group by all having count(distinct l_returnflag) > 1")
+def label_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    from portolan.plans.datasets import conflicts
+
+    return conflicts(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"], "l_returnflag").withColumnRenamed("n", "n_labels")
+
+
+@query(f"{CHOSEN} select patient_id, candidate_id, rank from taken")
+def select_greedy(spark: SparkSession, d: str) -> DataFrame:
+    return select.portfolio(_scored(spark, d), POLICY).where("selected").select("patient_id", "candidate_id", "rank")
+
+
+@query(f"""{SCORED}, one as (select *, case evidence_tier when 'CORE' then 0 when 'SUPPORTING' then 1 else 2 end as t from scored where exclusion_reason = ''),
+    w as (select * from one qualify row_number() over (partition by patient_id, mutation_id order by t, lower_evidence_score desc, tie_key, candidate_id) <= 2)
+    select patient_id, candidate_id, r::int as rank from (select *, row_number() over (partition by patient_id order by t, lower_evidence_score desc, tie_key, candidate_id) as r from w) where r <= 10""")
+def select_single_cap(spark: SparkSession, d: str) -> DataFrame:
+    return select.single_cap(_scored(spark, d), "mutation_id", 2, 10)
+
+
+@query(f"""with recursive {c.SQL}, o as (select candidate_id, hla_allele as h, gene_symbol as g, row_number() over (order by binding_percentile_rank desc nulls last, candidate_id) as i
+    from cand where binding_percentile_rank is null or binding_percentile_rank >= 0.5),
+    walk(i, ids, hs, gs) as (select 0::bigint, []::varchar[], []::varchar[], []::varchar[] union all
+        select o.i, case when ok then list_append(ids, candidate_id) else ids end, case when ok then list_append(hs, h) else hs end, case when ok then list_append(gs, g) else gs end
+        from walk join o on o.i = walk.i + 1, lateral (select len(list_filter(hs, lambda x: x = h)) < 6 and len(list_filter(gs, lambda x: x = g)) < 2 as ok) where len(ids) < 20)
+    select unnest(ids) as candidate_id, unnest(range(1, len(ids) + 1))::int as rank from (select arg_max(ids, i) as ids from walk)""")
+def select_simple(spark: SparkSession, d: str) -> DataFrame:
+    return select.simple(c.candidates(spark, d), "binding_percentile_rank", ["candidate_id"], k=20, max_per_hla=6, max_per_gene=2, min_score=0.5).select("candidate_id", "rank")
+
+
+@query(f"""{CHOSEN}, p as (select s.*, rank from scored s left join taken using (patient_id, candidate_id)),
+    a as (select patient_id, count(*) as candidate_count, count_if(exclusion_reason = '') as eligible_count, count_if(rank is not null) as selected_count,
+        count_if(rank is not null and evidence_tier = 'CORE') as core_count, count_if(rank is not null and evidence_tier = 'SUPPORTING') as supporting_count,
+        count_if(rank is not null and evidence_tier = 'FILLER') as filler_count from p group by patient_id)
+    select *, core_count = 0 as abstained, case when eligible_count = 0 then 'NO_ELIGIBLE_CANDIDATES' when core_count = 0 then 'NO_CANDIDATE_CLEARS_CORE_EVIDENCE_POLICY' end as abstention_reason from a""")
+def patient_summary(spark: SparkSession, d: str) -> DataFrame:
+    return select.patient_summary(select.portfolio(_scored(spark, d), POLICY))
+
+
+_SCALE = "map {" + ", ".join(f"'{k}': {v}::double" for k, v in peptides.HYDROPATHY.items()) + "}"
+_CHARGE = "map {" + ", ".join(f"'{k}': {v}::double" for k, v in peptides.CHARGE.items()) + "}"
+
+
+@query(f"""{CAND}, p as (select candidate_id, mutant_peptide as m, wildtype_peptide as w, list_filter(range(1, length(mutant_peptide) + 1), lambda i: substr(mutant_peptide, i::int, 1) <> substr(wildtype_peptide, i::int, 1)) as ch
+        from cand), q as (select *, m <> '' and w <> '' and length(m) = length(w) as ok from p)
+    select candidate_id, case when ok then len(ch)::double end as mutation_count, case when ok then len(list_filter(ch, lambda i: i = 2 or i = length(m)))::double end as mutation_anchor_count,
+        case when ok then round(list_sum(list_transform(ch, lambda i: coalesce({_SCALE}[substr(m, i::int, 1)], 0) - coalesce({_SCALE}[substr(w, i::int, 1)], 0))), 9) end as mutation_hydrophobicity_delta,
+        case when ok then round(list_sum(list_transform(ch, lambda i: coalesce({_CHARGE}[substr(m, i::int, 1)], 0) - coalesce({_CHARGE}[substr(w, i::int, 1)], 0))), 9) end as mutation_charge_delta from q""")
+def mutation_deltas(spark: SparkSession, d: str) -> DataFrame:
+    rows = peptides.with_deltas(c.candidates(spark, d).select("candidate_id", "mutant_peptide", "wildtype_peptide"))
+    return rows.select("candidate_id", "mutation_count", "mutation_anchor_count", F.round("mutation_hydrophobicity_delta", 9).alias("mutation_hydrophobicity_delta"),
+                       F.round("mutation_charge_delta", 9).alias("mutation_charge_delta"))
+
+
+def _duck_features() -> str:
+    n = {aa: f"(length(s) - length(replace(s, '{aa}', '')))" for aa in peptides.RESIDUES}
+    share = {f"seq_{k}_fraction": v for k, v in peptides.CLASSES.items()} | {f"seq_aa_frac_{aa}": aa for aa in peptides.RESIDUES}
+    weighed = lambda scale: " + ".join(f"{n[aa]} * ({v})" for aa, v in scale.items())
+    return ", ".join([
+        "len as seq_len", f"round(({weighed(peptides.HYDROPATHY)}) / len, 9) as seq_hydrophobicity_mean", f"round(({weighed(peptides.CHARGE)})::double, 9) as seq_charge_sum",
+        *[f"round(({' + '.join(n[aa] for aa in v)}) / len, 9) as {k}" for k, v in share.items()],
+    ])
+
+
+@query(f"""with d as (select doc_id, upper(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'ß', 'ss')) as s from documents), e as (select doc_id, s, length(s)::double as len from d where s <> '')
+    select doc_id, {_duck_features()} from e""")
+def sequence_features(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").where(expr.peptide(F.col("text")) != "").select("doc_id", "text")
+    rows = peptides.with_sequence_features(docs, "text").drop("text")
+    return rows.select("doc_id", "seq_len", *[F.round(n, 9).alias(n) for n in rows.columns[2:]])
+
+
+@query(f"""{CAND}, b as (select candidate_id, case when binding_affinity_nm > 0 then -log10(binding_affinity_nm) end as x, ln(1 + expression_tpm) as y from cand where expression_tpm > -1 or expression_tpm is null),
+    s as (select avg(x) as mx, stddev_samp(x) as sx, avg(y) as my, stddev_samp(y) as sy from b)
+    select candidate_id, round(((x - mx) / sx + (y - my) / sy) / 2, 6) as baseline_pvac_style_score from b, s""")
+def zscore_composite(spark: SparkSession, d: str) -> DataFrame:
+    rows = c.candidates(spark, d).where("expression_tpm > -1 or expression_tpm is null").select("candidate_id", "mutant_peptide", "wildtype_peptide", "binding_affinity_nm", "expression_tpm")
+    return baseline.with_baselines(rows).select("candidate_id", F.round("baseline_pvac_style_score", 6).alias("baseline_pvac_style_score"))
+
+
+@query(f"""{CAND} select candidate_id, 1 - least(greatest(binding_percentile_rank, 0), 100) / 100 as rank_score, round(ln(1 + greatest(expression_tpm, 0)), 9) as log_expression,
+    round(-log10(greatest(dna_vaf, 1e-12)), 9) as agretopicity from (select * replace (case when dna_vaf is null then null else dna_vaf end as dna_vaf) from cand where binding_percentile_rank is not null and expression_tpm is not null)""")
+def derived_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = c.candidates(spark, d).where("binding_percentile_rank is not null and expression_tpm is not null")
+    return rows.select("candidate_id", expr.rank_to_score(F.col("binding_percentile_rank")).alias("rank_score"),
+                       F.round(expr.log_expression(F.col("expression_tpm")), 9).alias("log_expression"), F.round(expr.agretopicity(F.col("dna_vaf")), 9).alias("agretopicity"))
+
+
+@query(f"""{CAND} select count(*) as row_count, count_if(trim(candidate_id) = '') as blank_candidate_id, count_if(trim(patient_id) = '') as blank_patient_id, count_if(trim(mutant_peptide) = '') as blank_mutant_peptide,
+    count(*) - count(distinct candidate_id) as duplicate_candidate_ids, count_if(not regexp_full_match(upper(trim(mutant_peptide)), '[ACDEFGHIKLMNPQRSTVWY]+')) as invalid_peptides from cand""")
+def contract_report(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.counts(c.candidates(spark, d))
