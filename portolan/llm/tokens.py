@@ -7,9 +7,9 @@ key in constant time: a minimal perfect hash of the shard's keys (two hashes and
 holds the key's 32-bit fingerprint, which tells strange keys apart, and the place of its documents in `ends`. Shards are told apart
 by their least and greatest key, which Parquet keeps as statistics.
 
-Encoding. The tokenizer parts words at single spaces between other characters, whatever stands there. So the ids of " word" are
-the same in any text, and a worker keeps those it has met (up to a bound). Texts with other white space at a space, with spaces at
-an end, or with a special token's string go to the tokenizer as a whole.
+Encoding. The tokenizer parts words before a single space or line break between other characters, and between a letter or digit and
+a point or comma. So the ids of " word" are the same in any text, and a worker keeps those it has met (up to a bound). Texts
+with two white spaces in a row, with white space at an end, or with a special token's string go to the tokenizer as a whole.
 
 Null and empty texts are just the end id. Repeated rows are documents of their own, in the order of their texts; a lookup returns all
 documents of a key. Rows without doc_id come first; they are in the payload, but not in the index. An empty table gives an
@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,10 @@ from portolan.llm.common import mix64
 END = 2
 SHARD_IDS = 4 << 20
 PART_BYTES = 16 << 20  # of text in a partition, about
-KEPT = 300_000  # pieces a worker remembers
+KEPT = 1_000_000  # pieces a worker remembers (about 200 MB)
 
-_ODD = re.compile(r"\s | \s|^ | $")
+_ODD = re.compile(r"\s\s|^\s|\s\Z")
+_MARKS = frozenset(".,")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,22 +53,40 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or r"(?!)")
+        self.code = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.marks = {m: self.ids(m) for m in _MARKS}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if not t or _ODD.search(t) or self.special.search(t) else t.split(" ") for t in texts]
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Adds the pieces that aren't known; those with a point or comma after a letter or digit are put together from their parts."""
         known = self.known
-        new = list({p for pieces in split if pieces for p in pieces[1:] if p not in known})
+        stems = {p[:-1] for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum()}
+        lone = [p for p in (new | stems) if p not in known and not (p[-1:] in _MARKS and p[-2:-1].isalnum())]
+        for at in range(0, len(lone), 4096):
+            part = lone[at : at + 4096]
+            texts = [p if p[0] == "\n" else f" {p}" for p in part]
+            for p, found in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                known[p] = self._bytes(found.ids)
+        for p in new:
+            if p not in known:
+                known[p] = known[p[:-1]] + self.marks[p[-1]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [None if not t or _ODD.search(t) or self.special.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        known, new = self.known, set()
+        for pieces in split:
+            if pieces:
+                new.update(set(pieces[1:]).difference(known))
         if len(known) + len(new) > KEPT:
             known.clear()
-            new = list({p for pieces in split if pieces for p in pieces[1:]})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, found in zip(part, self.tokenizer.encode_batch_fast([f" {p}" for p in part], add_special_tokens=False), strict=True):
-                known[p] = np.array(found.ids, dtype=self.kind).tobytes()
+            new = {p for pieces in split if pieces for p in pieces[1:]}
+        self._learn(new)
         return [
             self.ids(text or "") if pieces is None else self.ids(pieces[0]) + b"".join(map(known.__getitem__, pieces[1:]))
             for text, pieces in zip(texts, split, strict=True)
