@@ -247,3 +247,21 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
 
         docs = docs.mapInArrow(run, schema)
     return docs
+
+
+SQL = f"""
+    with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+    b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+    bk as (select item_id, w, least(len(w), {WINDOW}) as k from b where len(w) > 0),
+    bi as (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i from bk),
+    win as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as key from bi),
+    dk as (select rid, w, k from d, (select distinct k from win) where len(w) >= k),
+    di as (select rid, w, k, unnest(range(1, len(w) - k + 2)) as i from dk),
+    hit as (select rid, i, di.k, item_id from di join win on win.k = di.k and win.key = array_to_string(w[i:i + di.k - 1], ' ')),
+    words as (select distinct rid, unnest(range(i, i + k)) as at from hit),
+    n as (select rid, count(*) as n_hit from words group by rid),
+    ids as (select rid, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct rid, item_id::varchar as id from hit where item_id is not null) group by rid)
+    select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join n using (rid) left join ids using (rid)"""

@@ -74,4 +74,11 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-SQL = {"op3_mixing": mixing.SQL, "op4_quality_rules": quality.sql(), "op10_url_filters": urlfilter.SQL}
+# Beyond SQL: a trained score (1), XXH64 and components (2), a tokenizer's ids (6), inferred wrappers (7), a keyed permutation (8).
+SQL = {
+    "op3_mixing": mixing.SQL,
+    "op4_quality_rules": quality.sql(),
+    "op5_substring_dedup": substring.SQL,
+    "op9_decontamination": decontaminate.SQL,
+    "op10_url_filters": urlfilter.SQL,
+}

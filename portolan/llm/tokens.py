@@ -9,7 +9,7 @@ by their least and greatest key, which Parquet keeps as statistics.
 
 Encoding. The tokenizer parts words before a single space or line break between other characters, and between a letter or digit and
 a point or comma. So the ids of " word" are the same in any text, and a worker keeps those it has met (up to a bound). Texts
-with two white spaces in a row, with white space at an end, or with a special token's string go to the tokenizer as a whole.
+with two white spaces in a row or with a special token's string go to the tokenizer as a whole.
 
 Null and empty texts are just the end id. Repeated rows are documents of their own, in the order of their texts; a lookup returns all
 documents of a key. Rows without doc_id come first; they are in the payload, but not in the index. An empty table gives an
@@ -19,7 +19,6 @@ empty one. Other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,7 +37,6 @@ SHARD_IDS = 4 << 20
 PART_BYTES = 16 << 20  # of text in a partition, about
 KEPT = 1_000_000  # pieces a worker remembers (about 200 MB)
 
-_ODD = re.compile(r"\s\s|^\s|\s\Z")
 _MARKS = frozenset(".,")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,34 +49,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) or r"(?!)")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.marks = {m: self.ids(m) for m in _MARKS}
+        # which ids begin with a space or a line break (these two stand for them in byte-level vocabularies)
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(True), dtype=bool)
+        for token, i in self.tokenizer.get_vocab(True).items():
+            self.begins[i] = token[:1] in ("\u0120", "\u010a")
 
     def ids(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        """Adds the pieces that aren't known; those with a point or comma after a letter or digit are put together from their parts."""
+        """Adds the pieces that aren't known, but for those with white space at an end. Those with a point or comma after a letter or digit
+        are put together from their parts; the others are encoded many at a time, and each begins at an id of its own."""
         known = self.known
-        stems = {p[:-1] for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum()}
-        lone = [p for p in (new | stems) if p not in known and not (p[-1:] in _MARKS and p[-2:-1].isalnum())]
-        for at in range(0, len(lone), 4096):
-            part = lone[at : at + 4096]
-            texts = [p if p[0] == "\n" else f" {p}" for p in part]
-            for p, found in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[p] = self._bytes(found.ids)
-        for p in new:
-            if p not in known:
+        marked = {p for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum()}
+        lone = {p for p in (new - marked) | {p[:-1] for p in marked} if p not in known}
+        fit = [p for p in lone if p and not p[-1].isspace() and not p[p[0] == "\n"].isspace()]
+        for at in range(0, len(fit), 512):
+            part = fit[at : at + 512]
+            line = "".join([p if p[0] == "\n" else f" {p}" for p in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.kind)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(part):
+                data, cuts = ids.tobytes(), (starts * self.width).tolist()
+                known.update(zip(part, (data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)), strict=True))
+            else:  # white space inside a piece
+                known.update((p, self.ids(p if p[0] == "\n" else f" {p}")) for p in part)
+        for p in marked:
+            if p not in known and p[:-1] in known:
                 known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if not t or _ODD.search(t) or self.special.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " \n").split(" ") for t in texts]
         known, new = self.known, set()
         for pieces in split:
             if pieces:
@@ -87,10 +92,15 @@ class Encoder:
             known.clear()
             new = {p for pieces in split if pieces for p in pieces[1:]}
         self._learn(new)
-        return [
-            self.ids(text or "") if pieces is None else self.ids(pieces[0]) + b"".join(map(known.__getitem__, pieces[1:]))
-            for text, pieces in zip(texts, split, strict=True)
-        ]
+        return [self._joined(text or "", pieces) for text, pieces in zip(texts, split, strict=True)]
+
+    def _joined(self, text: str, pieces: list[str] | None) -> bytes:
+        if pieces and pieces[0] and not pieces[0][-1].isspace():
+            try:
+                return self.ids(pieces[0]) + b"".join(map(self.known.__getitem__, pieces[1:]))
+            except KeyError:  # white space meets a space
+                pass
+        return self.ids(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -117,12 +127,12 @@ class PerfectHash:
     def of(cls, keys: np.ndarray) -> PerfectHash:
         n = len(keys)
         h = mix64(keys.astype(np.int64).view(np.uint64) + _STEP)
-        count = max(1, (n + 3) // 4)
+        count = max(1, n)  # a bucket for each key: three of eight hold one, which leaves room for the others
         bucket = (h % np.uint64(count)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         sizes = np.bincount(bucket, minlength=count)
         starts = np.cumsum(sizes) - sizes
-        displace, used = np.zeros(count, dtype=np.int64), np.zeros(n, dtype=bool)
+        displace, used = np.zeros(count, dtype=np.int32), np.zeros(n, dtype=bool)
         by_size = np.argsort(-sizes, kind="stable")
         for b in by_size[: int((sizes > 1).sum())]:
             mine = h[order[starts[b] : starts[b] + sizes[b]]]
@@ -142,7 +152,7 @@ class PerfectHash:
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         h = mix64(keys.astype(np.int64).view(np.uint64) + _STEP)
-        d = self.displace[(h % np.uint64(len(self.displace))).astype(np.int64)]
+        d = self.displace[(h % np.uint64(len(self.displace))).astype(np.int64)].astype(np.int64)
         return np.where(d < 0, -1 - d, self._slots(h, np.maximum(d, 0), max(1, self.n)))
 
 
@@ -207,7 +217,7 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, PerfectHash, np.ndarray,
     marks = np.frombuffer(row["prints"], dtype=np.uint32)
     return (
         np.frombuffer(row["payload"], dtype=kind), np.frombuffer(row["ends"], dtype=np.int64),
-        PerfectHash(np.frombuffer(row["displace"], dtype=np.int64), len(marks)), marks, np.frombuffer(row["places"], dtype=np.uint32),
+        PerfectHash(np.frombuffer(row["displace"], dtype=np.int32), len(marks)), marks, np.frombuffer(row["places"], dtype=np.uint32),
     )
 
 
