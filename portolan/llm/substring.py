@@ -225,7 +225,7 @@ SQL = f"""
     win as (select rid, rank, w, unnest(range(1, len(w) - {LENGTH} + 2)) as i from d where len(w) >= {LENGTH}),
     keyed as (select rid, rank, i, array_to_string(w[i:i + {LENGTH} - 1], ' ') as key from win),
     gone as (select rid, i from keyed qualify min(rank) over (partition by key) < rank),
-    words as (select distinct rid, unnest(range(i, i + {LENGTH})) as at from gone),
-    sets as (select rid, list(at) as ats, count(*) as n from words group by rid)
+    words as (select distinct rid, unnest(range(i, i + {LENGTH})) as place from gone),
+    sets as (select rid, list(place) as ats, count(*) as n from words group by rid)
     select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
-        sha256(array_to_string(list_filter(w, lambda x, at: not coalesce(list_contains(ats, at), false)), ' ')) as kept_sha256 from d left join sets using (rid)"""
+        sha256(array_to_string(list_filter(w, lambda x, n_th: not coalesce(list_contains(ats, n_th), false)), ' ')) as kept_sha256 from d left join sets using (rid)"""
