@@ -173,7 +173,7 @@ def bigmhc(spark: SparkSession, path: str, member: str | None = None) -> DataFra
 def _known(df: DataFrame, core: dict[str, Column], names: dict[str, str]) -> DataFrame:
     numbers = {new: expr.number(_c(old)) for old, new in names.items() if old in df.columns}
     rows = df.select(ORDER, *[x.alias(n) for n, x in (core | numbers).items()])
-    return _finished(rows.withColumns({new: f(F.col(old)) for old, new, f in DERIVED if old in numbers.values() or old in numbers}))
+    return _finished(rows.withColumns({new: f(F.col(old)) for old, new, f in DERIVED if old in numbers}))
 
 
 def cd8_multimer(spark: SparkSession, path: str) -> DataFrame:

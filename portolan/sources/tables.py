@@ -48,9 +48,12 @@ def _separator(head: str, suffix: str) -> str:
 def _delimited(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     first = spark.read.text(path).limit(1).first()
     head = first[0] if first else ""
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=_separator(head, suffix), quote='"', escape='"', multiLine=True, enforceSchema=False)
+    sep = _separator(head, suffix)
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, quote='"', escape='"', multiLine=True)
+    # the header's own names: Spark renames blank and repeated ones
+    names = next(csv.reader([head.lstrip("\ufeff")], delimiter=sep), [])
     # within one file ids grow in the order of its rows
-    df = df.toDF(*_named(df.columns)).withColumn(ORDER, F.monotonically_increasing_id())
+    df = df.toDF(*_named(names if len(names) == len(df.columns) else df.columns)).withColumn(ORDER, F.monotonically_increasing_id())
     return df.select(ORDER, *[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns if c != ORDER])
 
 
