@@ -25,23 +25,29 @@ def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _scale(scale: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in scale.items() for x in pair])
+def _counts(s: Column) -> dict[str, Column]:
+    """How often each residue is in s, by lengths: no sequence is walked."""
+    return {aa: F.length(s) - F.length(F.replace(s, F.lit(aa), F.lit(""))) for aa in RESIDUES}
+
+
+def _weighed(counts: dict[str, Column], scale: dict[str, float]) -> Column:
+    return _sum([counts[aa] * F.lit(v) for aa, v in scale.items()])
 
 
 def deltas(mutant: Column, wildtype: Column) -> Column:
-    """A struct of DELTAS; NULL unless both sequences are there and of one length. Anchors are the second and the last residue."""
+    """A struct of DELTAS; NULL unless both sequences are there and of one length. Anchors are the second and the last residue.
+
+    A sum over changed positions is the difference of the sums over all, as equal positions cancel out.
+    """
     m, w = expr.peptide(mutant), expr.peptide(wildtype)
     length = F.length(m)
-    at = lambda s, i: F.substr(s, i, F.lit(1))
-    changed = F.filter(F.sequence(F.lit(1), length), lambda i: at(m, i) != at(w, i))
-    anchors = F.size(F.filter(changed, lambda i: (length >= 2) & ((i == 2) | (i == length))))
-    total = lambda scale: F.aggregate(
-        changed, F.lit(0.0), lambda a, i: a + F.coalesce(_scale(scale)[at(m, i)], F.lit(0.0)) - F.coalesce(_scale(scale)[at(w, i)], F.lit(0.0))
-    )
+    differ = lambda i: F.substr(m, i, F.lit(1)) != F.substr(w, i, F.lit(1))
+    changed = F.size(F.filter(F.sequence(F.lit(1), length), differ))
+    anchors = F.when(length >= 2, differ(F.lit(2)).cast("int") + F.when(length > 2, differ(length).cast("int")).otherwise(0)).otherwise(0)
+    cm, cw = _counts(m), _counts(w)
     found = F.struct(
-        F.size(changed).cast("double").alias(DELTAS[0]), anchors.cast("double").alias(DELTAS[1]),
-        (F.size(changed) - anchors).cast("double").alias(DELTAS[2]), total(HYDROPATHY).alias(DELTAS[3]), total(CHARGE).alias(DELTAS[4]),
+        changed.cast("double").alias(DELTAS[0]), anchors.cast("double").alias(DELTAS[1]), (changed - anchors).cast("double").alias(DELTAS[2]),
+        (_weighed(cm, HYDROPATHY) - _weighed(cw, HYDROPATHY)).alias(DELTAS[3]), (_weighed(cm, CHARGE) - _weighed(cw, CHARGE)).alias(DELTAS[4]),
     )
     return F.when((m != "") & (w != "") & (length == F.length(w)), found)
 
@@ -57,13 +63,12 @@ def sequence_features(sequence: Column) -> list[Column]:
     """30 columns: length, mean hydropathy, charge, shares of residue classes and of residues; NULL for a missing or empty sequence."""
     s = expr.peptide(sequence)
     length = F.when(s != "", F.length(s).cast("double"))
-    count = {aa: F.length(s) - F.length(F.replace(s, F.lit(aa), F.lit(""))) for aa in RESIDUES}
+    count = _counts(s)
     share = lambda residues: _sum([count[aa] for aa in residues]) / length
-    weighed = lambda scale: _sum([count[aa] * F.lit(v) for aa, v in scale.items()])
     return [
         length.alias("seq_len"),
-        (weighed(HYDROPATHY) / length).alias("seq_hydrophobicity_mean"),
-        F.when(length.isNotNull(), weighed(CHARGE)).alias("seq_charge_sum"),
+        (_weighed(count, HYDROPATHY) / length).alias("seq_hydrophobicity_mean"),
+        F.when(length.isNotNull(), _weighed(count, CHARGE)).alias("seq_charge_sum"),
         *[share(residues).alias(f"seq_{name}_fraction") for name, residues in CLASSES.items()],
         *[share(aa).alias(f"seq_aa_frac_{aa}") for aa in RESIDUES],
     ]
