@@ -33,9 +33,9 @@ from pyspark.sql.window import Window
 from portolan.llm.common import mix64
 
 END = 2
-SHARD_IDS = 4 << 20
-PART_BYTES = 16 << 20  # of text in a partition, about
-KEPT = 1_000_000  # pieces a worker remembers (about 200 MB)
+SHARD_IDS = 2 << 20
+PART_DOCS = 4096  # in a partition, about
+KEPT = 600_000  # pieces a worker remembers (about 120 MB)
 
 _MARKS = frozenset(".,")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -184,11 +184,10 @@ def _shard(part: int, no: int, keys: list[int | None], ids: list[bytes], width:
     return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], list(row))
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_ids: int = SHARD_IDS, part_bytes: int = PART_BYTES) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_ids: int = SHARD_IDS, part_docs: int = PART_DOCS) -> None:
     """Encodes docs (doc_id, text) with the tokenizer file and writes the shards to path."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, size // part_bytes + 1)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, docs.count() // part_docs + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, no = encoder(tokenizer), TaskContext.get().partitionId(), 0

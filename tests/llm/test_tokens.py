@@ -44,7 +44,7 @@ def test_round_trip(spark, shard_ids):
     rows = [(i * 7 - 50, x) for i, x in enumerate(texts)] + [(20, "twice"), (20, "twice"), (20, None), (None, "no key"), (None, "no key 2")]
     path = fresh_path(spark, "tokens")
     docs = spark.createDataFrame([(d, x, 1) for d, x in rows], "doc_id long, text string, part int").repartition(5)
-    tokens.write(docs, PATH, path, shard_ids=shard_ids, part_bytes=3000)
+    tokens.write(docs, PATH, path, shard_ids=shard_ids, part_docs=20)
     got = sorted(map(tuple, tokens.documents(spark, path).collect()), key=lambda r: r[1])
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     want, at = [], 0
