@@ -272,9 +272,9 @@ def near_components(fps: DataFrame, budget: int = 2) -> DataFrame:
 
 
 # A pair of texts whose five-word shingles have a Jaccard similarity of 0.8 differs in a share of arccos(8 / 9) / pi = 0.1515 of its
-# signatures' bits, 77.6 of 512 (standard deviation 8.1). The limit is 1.3 standard deviations more, so that nine of ten pairs at
-# 0.8 are within it, and one of eight at 0.7, one of a thousand at 0.6.
-PROBES, CHECKS, PROBE_BUDGET, MOST_DIFFERING = 6, 8, 3, 88
+# signatures' bits, 77.6 of 512 (standard deviation 8.1). The limit is 2.4 standard deviations more, so that 99 of 100 pairs at
+# 0.8 are within it, and two of five at 0.7, one of 100 at 0.6.
+PROBES, CHECKS, PROBE_BUDGET, MOST_DIFFERING = 12, 8, 3, 97
 
 
 def near_text_roots(docs: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def near_text_roots(docs: DataFrame) -> DataFrame:
     similarity of 0.8 or more. The smallest doc_id of a group stays.
 
     Pairs are found by fingerprints over the distinct words, which are nearer to each other than those of shingles (an edited word
-    changes five shingles): a pair at 0.8 has some of PROBES of them within PROBE_BUDGET bits in nine of ten cases.
+    changes five shingles): a pair at 0.8 has some of PROBES of them within PROBE_BUDGET bits in 99 of 100 cases.
     The share of differing signature bits decides. Rows without doc_id aren't listed.
     """
     wide = wide_fingerprints(docs.where("doc_id is not null"), "doc_id", PROBES, 5, CHECKS)
