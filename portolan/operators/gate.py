@@ -32,21 +32,25 @@ def duplicates(df: DataFrame, order: list[str]) -> DataFrame:
     return df.withColumn("is_duplicate", F.row_number().over(first) > 1)
 
 
-def tagged(df: DataFrame, order: list[str], intended_missense: bool = False) -> DataFrame:
-    """df with deterministic_gate_reason ('' passes), _pass and _policy. `order`: columns that put the rows in input order."""
+def row_reason(df: DataFrame, is_duplicate: Column, intended_missense: bool = False) -> Column:
+    """The first broken rule, '' for none."""
     seq = _text(df, "mutant_peptide")
     change = expr.missense(F.col("protein_variant") if "protein_variant" in df.columns else F.lit(None), not intended_missense)
-    rows = duplicates(df, order)
-    reason = (
+    return (
         F.when(~seq.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), "MALFORMED_AA")
         .when(_text(df, "mhc_class").isin(*CLASS_I) & ~F.length(seq).between(SHORTEST, LONGEST), "BAD_CLASS_I_LENGTH")
-        .when(F.col("is_duplicate"), "DUP_CANDIDATE")
+        .when(is_duplicate, "DUP_CANDIDATE")
         .when(_text(df, "source_variant_type").isin(*SUBSTITUTIONS) & ~seq.contains(change["new"]), "MUT_NOT_IN_PEPTIDE")
         .when(_text(df, "hla_loh_call").isin(*LOST), "HLA_LOH_LOST_ALLELE")
         .when(_text(df, "expression_call").isin(*SILENT), "GENE_NOT_EXPRESSED")
         .otherwise("")
     )
-    return rows.withColumn("deterministic_gate_reason", reason).drop("is_duplicate").withColumns({
+
+
+def tagged(df: DataFrame, order: list[str], intended_missense: bool = False) -> DataFrame:
+    """df with deterministic_gate_reason ('' passes), _pass and _policy. `order`: columns that put the rows in input order."""
+    rows = duplicates(df, order)
+    return rows.withColumn("deterministic_gate_reason", row_reason(df, F.col("is_duplicate"), intended_missense)).drop("is_duplicate").withColumns({
         "deterministic_gate_pass": F.col("deterministic_gate_reason") == "", "deterministic_gate_policy": F.lit(POLICY),
     })
 
