@@ -35,7 +35,7 @@ from portolan.llm.common import mix64
 END = 2
 SHARD_IDS = 2 << 20
 PART_DOCS = 4096  # in a partition, about
-KEPT = 600_000  # pieces a worker remembers (about 120 MB)
+KEPT = 1_300_000  # pieces a worker remembers (about 250 MB)
 
 _MARKS = frozenset(".,")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
