@@ -237,3 +237,25 @@ def derived_scores(spark: SparkSession, d: str) -> DataFrame:
     count(*) - count(distinct candidate_id) as duplicate_candidate_ids, count_if(not regexp_full_match(upper(trim(mutant_peptide)), '[ACDEFGHIKLMNPQRSTVWY]+')) as invalid_peptides from cand""")
 def contract_report(spark: SparkSession, d: str) -> DataFrame:
     return contracts.counts(c.candidates(spark, d))
+
+
+@query(f"""{CAND} select candidate_id, patient_id, gene_symbol, mutation_id, hla_allele, mutant_peptide, wildtype_peptide, dna_vaf, rna_vaf, expression_tpm, binding_affinity_nm,
+    case when binding_percentile_rank is not null then 1 - least(greatest(binding_percentile_rank, 0), 100) / 100 end as presentation_score, '' as transcript_id from cand""")
+def project_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates under other names and as text, brought back to the canonical table."""
+    from portolan.plans import product
+
+    names = {"patient_id": "Sample", "gene_symbol": "Gene Name", "mutation_id": "Variant", "hla_raw": "HLA", "mutant_peptide": "Mut Epitope", "wildtype_peptide": "Wt Epitope",
+             "dna_vaf": "tumor_vaf", "rna_vaf": "RNA VAF", "expression_tpm": "Gene Expression", "binding_affinity_nm": "IC50 MT", "binding_percentile_rank": "mixmhcpred_rank"}
+    rows = c.raw(spark, d).select("candidate_id", *[F.col(n).cast("string").alias(alias) for n, alias in names.items()])
+    return product.normalized(rows, order="candidate_id").select(
+        "candidate_id", "patient_id", "gene_symbol", "mutation_id", "hla_allele", "mutant_peptide", "wildtype_peptide", "dna_vaf", "rna_vaf", "expression_tpm",
+        "binding_affinity_nm", "presentation_score", "transcript_id",
+    )
+
+
+@query(f"{CHOSEN} select s.patient_id, rank, s.candidate_id, gene_symbol, mutation_id, mutant_peptide, hla_allele, evidence_score, selection_reason from scored s join taken using (patient_id, candidate_id)")
+def portfolio_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The selected rows, as reports show them."""
+    ranked = select.portfolio(_scored(spark, d), POLICY).where("selected")
+    return ranked.select("patient_id", "rank", "candidate_id", "gene_symbol", "mutation_id", "mutant_peptide", "hla_allele", "evidence_score", "selection_reason")
