@@ -37,9 +37,10 @@ def _weighed(counts: dict[str, Column], scale: dict[str, float]) -> Column:
 def deltas(mutant: Column, wildtype: Column) -> Column:
     """A struct of DELTAS; NULL unless both sequences are there and of one length. Anchors are the second and the last residue.
 
-    A sum over changed positions is the difference of the sums over all, as equal positions cancel out.
+    A sum over changed positions is the difference of the sums over all, as equal positions cancel out. Both sequences have to be
+    canonical (`expr.peptide`) columns: each is read many times.
     """
-    m, w = expr.peptide(mutant), expr.peptide(wildtype)
+    m, w = mutant, wildtype
     length = F.length(m)
     differ = lambda i: F.substr(m, i, F.lit(1)) != F.substr(w, i, F.lit(1))
     changed = F.size(F.filter(F.sequence(F.lit(1), length), differ))
@@ -55,13 +56,17 @@ def deltas(mutant: Column, wildtype: Column) -> Column:
 def with_deltas(df: DataFrame, mutant: str = "mutant_peptide", wildtype: str = "wildtype_peptide") -> DataFrame:
     """df with the DELTAS that it doesn't have yet."""
     new = [d for d in DELTAS if d not in df.columns]
-    found = df.withColumn("__deltas", deltas(F.col(mutant), F.col(wildtype)))
-    return found.withColumns({d: F.col(f"__deltas.{d}") for d in new}).drop("__deltas") if new else df
+    if not new:
+        return df
+    found = df.withColumns({"__m": expr.peptide(F.col(mutant)), "__w": expr.peptide(F.col(wildtype))})
+    found = found.withColumn("__deltas", deltas(F.col("__m"), F.col("__w")))
+    return found.withColumns({d: F.col(f"__deltas.{d}") for d in new}).drop("__deltas", "__m", "__w")
 
 
 def sequence_features(sequence: Column) -> list[Column]:
-    """30 columns: length, mean hydropathy, charge, shares of residue classes and of residues; NULL for a missing or empty sequence."""
-    s = expr.peptide(sequence)
+    """30 columns: length, mean hydropathy, charge, shares of residue classes and of residues; NULL for an empty sequence, which has to be
+    a canonical column."""
+    s = sequence
     length = F.when(s != "", F.length(s).cast("double"))
     count = _counts(s)
     share = lambda residues: _sum([count[aa] for aa in residues]) / length
@@ -77,5 +82,5 @@ def sequence_features(sequence: Column) -> list[Column]:
 def with_sequence_features(df: DataFrame, sequence: str = "mutant_peptide") -> DataFrame:
     """df with the sequence features that it doesn't have yet, all in one projection."""
     names = ["seq_len", "seq_hydrophobicity_mean", "seq_charge_sum", *[f"seq_{n}_fraction" for n in CLASSES], *[f"seq_aa_frac_{aa}" for aa in RESIDUES]]
-    new = [c for n, c in zip(names, sequence_features(F.col(sequence)), strict=True) if n not in df.columns]
-    return df.select("*", *new)
+    new = [c for n, c in zip(names, sequence_features(F.col("__s")), strict=True) if n not in df.columns]
+    return df.withColumn("__s", expr.peptide(F.col(sequence))).select("*", *new).drop("__s")
