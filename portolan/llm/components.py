@@ -13,18 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every node passes on the smallest node that it sees: first to its larger neighbours, then to its smaller ones, so that each
     round joins stars with stars and the number of rounds grows with the logarithm of the longest chain. Rounds are cut by a
-    checkpoint. Minima are aggregated before they are shuffled, and the join that hands them out can be split, so a star with
-    very many leaves doesn't meet in one task.
+    checkpoint. Minima are aggregated before they are shuffled, and cut too: the joins that hand them out then have a plain exchange on
+    either side, which adaptive execution can split, so a star with very many leaves doesn't meet in one task.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         # larger neighbours (and the node itself) move under the smallest neighbour
         both = links.union(links.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
+        large = cut(both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
         # smaller neighbours move under the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = cut(small.where("u <> v").distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
