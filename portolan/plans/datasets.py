@@ -14,6 +14,15 @@ from portolan.sources.tables import ORDER, read_table
 
 # Columns that may hold a response, and each data set's names of known features.
 RESPONSES = ("response_type", "Response Type", "response", "Response", "Screening Status", "immunogenicity", "Immunogenicity", "reactivity", "Reactivity", "TIL Reactivity")
+FIELDS = {
+    "study_id": ("dataset", "Dataset", "study_id", "Study"),
+    "patient_id": ("patient", "Patient", "patient_id", "Sample", "sample", "ID"),
+    "hla_allele": ("hla_allele", "HLA", "Allele", "HLA Allele", "Best Allele", "best_allele", "mutant_best_allele"),
+    "mutant_peptide": ("mutant_seq", "mut_seq", "mutant_peptide", "Mut Epitope", "Mutant Minimal Peptide", "Mutant Mmp", "Mutated Minimal Peptide", "Mutant Nmer", "mutant_nmer"),
+    "wildtype_peptide": ("wt_seq", "wildtype_seq", "wildtype_peptide", "Wt Epitope", "Wildtype Minimal Peptide", "Wildtype Mmp", "Wildtype Nmer", "wt_nmer"),
+    "gene_symbol": ("gene", "Gene Name", "Gene", "gene_symbol"),
+    "assay_type": ("assay_type", "Assay", "Assay Type"),
+}
 IMPROVE_MEMBER = "data/03_data_for_CV/IMPROVE/03_3_final_peptide_features_Partition_for_CV.txt"
 NEORANKING = {
     "rnaseq_TPM": "expression_tpm", "CCF": "clonality_ccf", "mutant_rank_netMHCpan": "netmhcpan_mutant_rank", "mutant_rank_PRIME": "prime_mutant_rank",
@@ -82,7 +91,8 @@ def _require(df: DataFrame, what: str, *names: str) -> None:
 
 def _numeric(df: DataFrame, taken: set[str]) -> dict[str, Column]:
     """Columns with some number in them; one aggregation tells which."""
-    names = [n for n in df.columns if n not in taken and n != ORDER]
+    used = {t.lower() for t in (*taken, ORDER)}  # Spark's names ignore case
+    names = [n for n in df.columns if n.lower() not in used]
     if not names:
         return {}
     row = df.agg(*[F.max(expr.number(_c(n)).isNotNull()).alias(str(i)) for i, n in enumerate(names)]).first()
@@ -112,14 +122,11 @@ def generic(df: DataFrame, dataset: str, study: str | None = None, features: boo
     label = expr.label(_c(next(n for n in RESPONSES if n in df.columns))) if any(n in df.columns for n in RESPONSES) else F.lit("unknown")
     core = {
         "candidate_id": _c("candidate_id").cast("string") if "candidate_id" in df.columns else F.concat(F.lit(f"{dataset}:"), F.col(ORDER)),
-        "source_dataset": F.lit(dataset), "study_id": _text(df, "study_id", "dataset", default=study or dataset),
-        "patient_id": _text(df, "patient_id", "patient", "Patient", "ID", default="unknown"),
-        "hla_allele": _text(df, "hla_allele", "HLA", "mutant_best_alleles_netMHCpan", "allele"),
-        "mutant_peptide": _text(df, "mutant_peptide", "mutant_seq", "Mut Epitope", "Mutant Nmer", "peptide"),
-        "wildtype_peptide": _text(df, "wildtype_peptide", "wt_seq", "Wt Epitope", "Wild Type Nmer"),
-        "label": label, "assay_type": _text(df, "assay_type", default=f"{dataset}_response"), "split": _text(df, "split", "train_test"),
-        "gene_symbol": _text(df, "gene_symbol", "gene", "Gene Name"),
-    }
+        "source_dataset": F.lit(dataset),
+        **{field: _text(df, *FIELDS[field], default=default) for field, default in (
+            ("study_id", study or dataset), ("patient_id", ""), ("hla_allele", ""), ("mutant_peptide", ""), ("wildtype_peptide", ""), ("assay_type", "unknown"))},
+        "label": label,
+    } | ({"gene_symbol": _text(df, *FIELDS["gene_symbol"])} if any(n in df.columns for n in FIELDS["gene_symbol"]) else {})
     numeric = _numeric(df, set(core))
     rows = df.select(ORDER, *[x.alias(n) for n, x in core.items()], *[x.alias(n) for n, x in numeric.items()])
     rows = rows.withColumn("label_weight", F.when(F.col("label") == "unknown", 0.0).otherwise(1.0))
