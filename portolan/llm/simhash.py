@@ -19,7 +19,7 @@ empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import WordHashes, cut, gram_hashes, mix64, words_of
+from portolan.llm.common import WordHashes, cut, gram_hashes, mix64
 from portolan.llm.components import components
 
 MOST = 4096  # fingerprints below a start node
@@ -83,28 +83,6 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp long")
 
 
-def wide_fingerprints(docs: DataFrame, key: str, probes: int, n: int, checks: int) -> DataFrame:
-    """key, fps, sig: `probes` fingerprints over the text's distinct words, which small edits hardly move, to find pairs by; and
-    64 * checks bits over its distinct n-word shingles, whose share of differing bits tells the shingles' similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        salts = lambda k, at: mix64(np.arange(1 + at, 1 + at + k, dtype=np.uint64))
-        a, b = salts(probes, 0), salts(checks, 1000)
-        for batch in batches:
-            fps, sigs = [], []
-            for text in batch.column("text").to_pylist():
-                h = known.of((text or "").encode("utf-8", "surrogatepass").lower().split())
-                grams = np.unique(gram_hashes(h, min(n, max(1, len(h)))))
-                fps.append(majority(mix64(np.unique(h)[:, None] ^ a)).view(np.int64))
-                sigs.append(majority(mix64(grams[:, None] ^ b)).tobytes())
-            flat = np.concatenate(fps) if fps else np.empty(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, probes), type=pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(key), lists, pa.array(sigs, type=pa.binary())], [key, "fps", "sig"])
-
-    return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, fps array<long>, sig binary")
-
-
 class _Walk:
     """Joins the trie over some groups' sorted fingerprints with itself."""
 
@@ -271,23 +249,171 @@ def near_components(fps: DataFrame, budget: int = 2) -> DataFrame:
     return fps.join(classes, "fp")
 
 
-# A pair of texts whose five-word shingles have a Jaccard similarity of 0.8 differs in a share of arccos(8 / 9) / pi = 0.1515 of its
-# signatures' bits, 77.6 of 512 (standard deviation 8.1). The limit is 2.4 standard deviations more, so that 99 of 100 pairs at
-# 0.8 are within it, and two of five at 0.7, one of 100 at 0.6.
-PROBES, CHECKS, PROBE_BUDGET, MOST_DIFFERING = 12, 8, 3, 97
+# Two texts share the key of some band with probability 1 - (1 - s ** DEEP) ** BANDS, where s is the Jaccard similarity of their
+# shingles, however they differ: 0.99999 at 0.8. Keys only gather families; near() decides.
+BANDS, DEEP, SHINGLE = 64, 8, 5
+FAMILY = 256  # nodes compared in one task; larger families are compared with LEADERS nodes at a time
+LEADERS = 512
+
+
+def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
+    """The sorted distinct hashes of the A-Z lower-cased text's five-word shingles; of the whole text if it is shorter."""
+    h = known.of((text or "").encode("utf-8", "surrogatepass").lower().split())
+    return np.unique(gram_hashes(h, min(SHINGLE, max(1, len(h)))))
+
+
+def _mark(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of DEEP minima of the shingles under other permutations."""
+    by = (mix64(np.arange(1, 1 + BANDS * DEEP, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    least, short = np.full(BANDS * DEEP, 0xFFFFFFFF, dtype=np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(short), 256):
+        np.minimum(least, (short[k : k + 256, None] * by).min(axis=0), out=least)
+    keys = np.arange(1, 1 + BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, DEEP).T.astype(np.uint64):
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+    return keys
+
+
+def banded(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (of the set of shingles), keys (of its bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(text, known) for text in batch.column("text").to_pylist()]
+            keys = np.concatenate([band_keys(g) for g in sets]).view(np.int64) if sets else np.empty(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), type=pa.int32()), pa.array(keys))
+            marks = pa.array([_mark(g) for g in sets], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), marks, lists], ["doc_id", "mark", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, mark binary, keys array<long>")
+
+
+class _Sets:
+    """Sets of shingles, to find those that have a Jaccard similarity of 0.8 or more with another one."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.owner = grams[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
-def near_text_roots(docs: DataFrame) -> DataFrame:
-    """doc_id of the documents that stay if one of each group of near-equal texts stays: five-word shingles with an estimated
-    similarity of 0.8 or more. The smallest doc_id of a group stays.
+    def near(self, s: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.grams, s, "left"), np.searchsorted(self.grams, s, "right")
+        n = hi - lo
+        both = np.bincount(self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(self.sizes))
+        return np.flatnonzero(9 * both >= 4 * (self.sizes + len(s)))  # 5 * both >= 4 * (union)
 
-    Pairs are found by fingerprints over the distinct words, which are nearer to each other than those of shingles (an edited word
-    changes five shingles): a pair at 0.8 has some of PROBES of them within PROBE_BUDGET bits in 99 of 100 cases.
-    The share of differing signature bits decides. Rows without doc_id aren't listed.
+
+class _Forest(dict):
+    """node -> a smaller node of its class, or itself."""
+
+    def top(self, x: int) -> int:
+        self.setdefault(x, x)
+        while self[x] != x:
+            self[x] = x = self[self[x]]
+        return x
+
+    def link(self, x: int, y: int) -> None:
+        x, y = self.top(x), self.top(y)
+        self[max(x, y)] = min(x, y)
+
+    def links(self) -> pa.RecordBatch:
+        found = [(x, self.top(x)) for x in self]
+        a, b = ([p[k] for p in found if p[0] != p[1]] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    for batch in batches:
+        for family, node, grams in zip(*(batch.column(c).to_pylist() for c in ("family", "node", "grams")), strict=True):
+            yield family, node, np.frombuffer(grams, dtype=np.uint64)
+
+
+def _small_links(members: DataFrame) -> DataFrame:
+    """family, node, grams -> links (a, b) that join the near nodes of a family, each family in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(_rows(batches), key=lambda row: row[0]):
+            _, nodes, sets = zip(*rows, strict=True)
+            index, forest = _Sets(list(sets)), _Forest()
+            for node, s in zip(nodes, sets, strict=True):
+                for k in index.near(s).tolist():
+                    forest.link(node, nodes[k])
+            yield forest.links()
+
+    return members.repartition("family").sortWithinPartitions("family").mapInArrow(run, "a long, b long")
+
+
+def _large_links(members: DataFrame, most: int) -> DataFrame | None:
+    """The same for families of any size: rounds compare up to `most` nodes with all of their families, until all nodes outside each
+    family's largest class have been compared. Of two nodes of different classes one has been, so no link is missing."""
+    nodes = cut(members.select("family", "node").distinct())
+    labels, asked, found = nodes.withColumn("label", F.col("node")), None, None
+    while True:
+        classes = labels.groupBy("family", "label").agg(F.count("*").alias("n"))
+        largest = classes.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top"))
+        left = labels.join(F.broadcast(largest), "family").where("label <> top.label").select("node")
+        if asked is not None:
+            left = left.join(asked, "node", "left_anti")
+        chosen = cut(left.orderBy(F.xxhash64("node"), "node").limit(most))
+        by: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        for family, node, grams in members.join(F.broadcast(chosen), "node", "left_semi").select("family", "node", "grams").collect():
+            at = by.setdefault(family, ([], []))
+            at[0].append(node)
+            at[1].append(np.frombuffer(bytes(grams), dtype=np.uint64))
+        if not by:
+            return found
+
+        def run(batches: Iterator[pa.RecordBatch], by=by) -> Iterator[pa.RecordBatch]:
+            index, forest = {f: _Sets(sets) for f, (_, sets) in by.items()}, _Forest()
+            for family, node, s in _rows(batches):
+                if family in index:
+                    for k in index[family].near(s).tolist():
+                        forest.link(node, by[family][0][k])
+            yield forest.links()
+
+        links = members.select("family", "node", "grams").mapInArrow(run, "a long, b long")
+        found = cut(links if found is None else found.union(links))
+        asked = chosen if asked is None else cut(asked.union(chosen))
+        linked = components(found)
+        labels = cut(nodes.join(linked, "node", "left").select("family", "node", F.coalesce("root", "node").alias("label")))
+
+
+def near_text_roots(docs: DataFrame, family: int = FAMILY, leaders: int = LEADERS) -> DataFrame:
+    """doc_id of the documents that stay if one of each group of near-equal texts stays: those that links of a Jaccard similarity of
+    0.8 or more between the sets of five-word shingles join. The smallest doc_id of a group stays.
+
+    Texts that share a key of a band are of one family, whether they are near or not; so are those that others join. Within
+    families sets are compared exactly. Rows without doc_id aren't listed.
     """
-    wide = wide_fingerprints(docs.where("doc_id is not null"), "doc_id", PROBES, 5, CHECKS)
-    nodes = cut(wide.groupBy("sig", "fps").agg(F.min("doc_id").alias("node")))
-    linked = components(trie_links(nodes.select("node", "fps", "sig"), PROBE_BUDGET, MOST_DIFFERING))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    nodes = cut(banded(docs).groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least"))
+    families = components(keyed.join(shared, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    families = cut(nodes.select("node", "mark").join(families, "node").select("node", "mark", F.col("root").alias("family")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(text, known) for text in batch.column("text").to_pylist()]
+            same = pa.array([_mark(g) == mark for g, mark in zip(sets, batch.column("mark").to_pylist(), strict=True)], pa.bool_())
+            grams = pa.array([g.tobytes() for g in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("node"), grams], ["family", "node", "grams"]).filter(same)
+
+    texts = docs.join(families, F.col("doc_id") == F.col("node")).select("family", "node", "mark", "text")
+    members = cut(texts.mapInArrow(run, "family long, node long, grams binary"))
+    large = cut(families.groupBy("family").count().where(F.col("count") > family).select("family"))
+    links = _small_links(members.join(F.broadcast(large), "family", "left_anti"))
+    if large.take(1):
+        more = _large_links(cut(members.join(F.broadcast(large), "family", "left_semi")), leaders)
+        links = links if more is None else links.union(more)
+    linked = components(links)
     return nodes.select("node").join(linked.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
 
 
