@@ -136,7 +136,12 @@ class _Walk:
                     p = p[~one]
                 same = (self.turns[p[:, 0]] == self.turns[p[:, 1] - 1]) & (self.turns[p[:, 2]] == self.turns[p[:, 3] - 1])
                 p = p[~(same & (self.root[p[:, 0]] == self.root[p[:, 2]]))]
-                if depth == 64 or not len(p):
+                if depth == 64:  # what is left are leaves of equal fingerprints, which are linked among themselves
+                    for x0, x1, y0, y1 in p[:, :4].tolist():
+                        for i in range(x0, x1 if self.sig is not None else x0 + 1):  # signatures may differ within a leaf
+                            self.link(np.full(y1 - y0, i), np.arange(y0, y1))
+                    break
+                if not len(p):
                     break
                 if len(p) > 4 * ROWS:  # one half after the other, so that memory stays bounded
                     stack.append((p[len(p) // 2 :], depth))

@@ -93,3 +93,14 @@ def test_empty_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (None, "zz yy xx"), (9, None), (7, "")], schema)
     got = simhash.near_components(simhash.fingerprints(docs)).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(5, 5), (5, 5), (None, 5), (None, None), (9, 7), (7, 7)], key=str)
+
+
+def test_leaves_with_shared_fingerprints():
+    """Nodes of equal fingerprints are one leaf, which is compared with other such leaves."""
+    x = 0x0123456789ABCDEF
+    fp = simhash.np.sort(simhash.np.array([x] * 3 + [x ^ 1 << 40 ^ 1 << 3] * 2 + [x ^ 1 << 63] * 2 + [~x & 2**64 - 1] * 2, dtype=simhash.np.uint64))
+    walk = simhash._Walk(fp, None, 2, -1)
+    at = simhash.np.flatnonzero(fp[1:] == fp[:-1])
+    walk.link(at, at + 1)
+    walk.run(simhash.np.array([[0, len(fp), 0, len(fp), 0]]), 0)
+    assert len(set(walk.root[fp != ~x & 2**64 - 1].tolist())) == 2 - 1 and len(set(walk.root.tolist())) == 2
