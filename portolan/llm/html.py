@@ -49,6 +49,12 @@ BOILER_WORDS = frozenset(
     "footer masthead sidebar aside widget related recommended comment comments discussion replies disqus cookie cookies consent gdpr notice "
     "notices notification alert popup modal overlay newsletter subscribe signup login share sharing social search form pagination pager".split()
 )
+# Words that mark blocks within articles too, and those that go with a boilerplate word in the name of a widget.
+BOILER_LEAVES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs cookie cookies "
+    "consent gdpr newsletter subscribe share sharing pagination pager".split()
+)
+WIDGET_WORDS = frozenset("box bar block list area unit slot links buttons item items site main top bottom left right section".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 
 _TOKEN = re.compile(
@@ -61,13 +67,27 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 SLOT = "#"
 
 
+def _named(tag: str, kind: str, value: str) -> bool:
+    """Whether a class or id names boilerplate: a whole token is a word, or made of words and WIDGET_WORDS only. State classes
+    (has-sidebar) aren't, nor those of html, body and main; an article is only by a word alone; ids of sections and leaves are anchors."""
+    if tag in ("html", "body", "main") or (kind == "id" and (tag in LEAVES or tag in ("article", "section"))):
+        return False
+    known = BOILER_LEAVES if tag in LEAVES else BOILER_WORDS
+    for token in value.split():
+        parts = re.findall(r"[a-z]+", token)
+        hits = [w in known for w in parts]
+        if any(hits) and (len(parts) == 1 or (tag != "article" and all(h or w in WIDGET_WORDS for h, w in zip(hits, parts, strict=True)))):
+            return True
+    return False
+
+
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """The token of a block tag (with its classes and id, without digits), and whether it holds no article text."""
     names, boiler = [], tag in BOILER_TAGS
     for m in _ATTR.finditer(attrs) if "=" in attrs else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         words = re.findall(r"[a-z]+", value)
-        boiler = boiler or (not BOILER_ROLES.isdisjoint(words) if m[1].lower() == "role" else not BOILER_WORDS.isdisjoint(words))
+        boiler = boiler or (not BOILER_ROLES.isdisjoint(words) if m[1].lower() == "role" else _named(tag, m[1].lower(), value))
         names += words
     return ".".join([tag, *sorted(set(names))]), boiler
 

@@ -76,3 +76,9 @@ def test_wrapper_by_host(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     got = {r.host: (r.n_pages, r.wrapper) for r in html.wrappers(pages).collect()}
     assert got == {f"h{k}.example": (10, "<body> <ul> (<li> #)+ </ul> <article> <p> # (<h2> #)? </article> </body>") for k in (0, 1)}
+
+
+def test_class_names_of_containers(spark):
+    pages = ["<body class='single-post has-sidebar'><p>x", "<body class='header-fixed'><p>x", "<main class='with-sidebar'><p>x", "<article class='post comments-open'><p>x",
+             "<div id='page-header-wrap'><p>x", "<section id='discussion'><h2 id='search-trees'>x", "<p class='social'>x", "<p>x<div class='ad-box'><p>y</div><p class='advert'>z"]
+    assert [r[2] for r in extract(spark, [(i, f"http://k{i}.example/", p, None) for i, p in enumerate(pages)])] == ["x"] * len(pages)
