@@ -6,8 +6,8 @@ host's wrapper, a regular expression without unions: where a stream and the wrap
 or repeated if its neighbour is the same; slots stay slots.
 
 Streams are made distinct by host before they are gathered, and are aligned in two rounds, by host and a hash of the stream and then by host;
-so a host with a third of all pages sends as much as its pages differ. The wrapper tells where the host's pages keep their text: within
-<article>, else within <main>, else in the body, there without slots whose text is the same on all pages of the host.
+so a host with a third of all pages sends as much as its pages differ. Wrappers are a result of their own (`wrappers`);
+extraction doesn't use them. Each page's text is within <article>, else <main>, else in the body, there without slots whose text is the same on all such pages of the host.
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, class or id.
 
 Null or empty html, and pages without main text, give an empty string. Pages without a host (null URL, or no '://') are aligned together. Repeated
@@ -25,7 +25,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.common import cut
@@ -302,22 +302,21 @@ def stream(page: str | None) -> str:
     return pattern(fold(tuple(re.sub(r"[\s()]", "_", token) for token, _, _, _ in blocks(page))))
 
 
-def _region(wrapper: Column) -> Column:
-    """Where the pages of a wrapper keep their text."""
-    held = lambda tag: F.regexp_like(wrapper, F.lit(f"<{tag}[.>]"))
-    return F.when(held("article"), "article").when(held("main"), "main").otherwise("body")
+def region_slots(page: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """The page's region, and (path, text) of the slots in it outside boilerplate, in page order: <article> if it has such slots, else
+    <main>, else the body."""
+    slots = [(path, text) for token, path, boiler, text in blocks(page) if token == SLOT and not boiler]
+    for region in ("article", "main"):
+        inside = [s for s in slots if any(re.match(rf"{region}(\.|$)", t) for t in s[0].split(">"))]
+        if inside:
+            return region, inside
+    return "body", slots
 
 
-def main_text(page: str | None, region: str, template: frozenset[str]) -> str:
-    """The text blocks of the region outside boilerplate, in page order."""
-    out = []
-    for token, path, boiler, text in blocks(page):
-        if token != SLOT or boiler:
-            continue
-        inside = region == "body" or any(re.match(rf"{region}(\.|$)", t) for t in path.split(">"))
-        if inside and not (region == "body" and f"{path} {text}" in template):
-            out.append(text)
-    return "\n\n".join(out)
+def main_text(page: str | None, template: frozenset[str]) -> str:
+    """The text blocks of the page's region outside boilerplate; in the body without the host's template."""
+    region, slots = region_slots(page)
+    return "\n\n".join(text for path, text in slots if region != "body" or f"{path} {text}" not in template)
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
@@ -344,14 +343,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(merged, schema)
 
 
-def _template(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """host, template: place and text of the slots that all pages of a host without <article> or <main> share."""
+def _template(pages: DataFrame) -> DataFrame:
+    """host, template: place and text of the slots that all those pages of a host share whose text is in the body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, slots, marks = [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for slot in {f"{path} {text}" for token, path, boiler, text in blocks(page) if token == SLOT and not boiler}:
+                region, inside = region_slots(page)
+                for slot in {f"{path} {text}" for path, text in inside} | {""} if region == "body" else ():  # "" counts pages
                     names.append(host)
                     slots.append(slot)
                     marks.append(xxhash.xxh64_intdigest(slot.encode("utf-8", "surrogatepass")) >> 1)
@@ -359,25 +359,24 @@ def _template(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
     found = pages.mapInArrow(run, "host string, mark long, slot string")
     counted = found.groupBy("host", "mark").agg(F.count("*").alias("n"), F.first("slot").alias("slot"))
-    return counted.join(hosts, "host").where("n = n_pages and n_pages > 1").groupBy("host").agg(F.collect_set("slot").alias("template"))
+    pages_of = counted.where("slot = ''").select("host", F.col("n").alias("n_pages"))
+    return counted.where("slot <> ''").join(pages_of, "host").where("n = n_pages and n_pages > 1").groupBy("host").agg(F.collect_set("slot").alias("template"))
 
 
 def extracted(pages: DataFrame, most_hosts: int = MOST_HOSTS) -> DataFrame:
     """page_id, url, text."""
-    hosts = cut(wrappers(pages).select("host", "n_pages", _region(F.col("wrapper")).alias("region")))
+    hosts = cut(_hosted(pages).select("host").distinct())
     rows = _hosted(pages)
     few = hosts.count() <= most_hosts
     small = lambda df: F.broadcast(df) if few else df
-    bare = hosts.where("region = 'body'").select("host", "n_pages")
-    template = _template(rows.join(small(bare.select("host")), "host", "left_semi"), bare)
-    profiles = cut(hosts.join(template, "host", "left").select("host", "region", "template"))
+    profiles = cut(hosts.join(_template(rows), "host", "left").select("host", "template"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("html", "region", "template"))
-            texts = [main_text(page, r, frozenset(t or ())) for page, r, t in zip(*columns, strict=True)]
+            columns = (batch.column(c).to_pylist() for c in ("html", "template"))
+            texts = [main_text(page, frozenset(t or ())) for page, t in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]
-    joined = rows.join(small(profiles), "host").select("page_id", "url", "html", "region", "template")
+    joined = rows.join(small(profiles), "host").select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string")

@@ -82,3 +82,9 @@ def test_class_names_of_containers(spark):
     pages = ["<body class='single-post has-sidebar'><p>x", "<body class='header-fixed'><p>x", "<main class='with-sidebar'><p>x", "<article class='post comments-open'><p>x",
              "<div id='page-header-wrap'><p>x", "<section id='discussion'><h2 id='search-trees'>x", "<p class='social'>x", "<p>x<div class='ad-box'><p>y</div><p class='advert'>z"]
     assert [r[2] for r in extract(spark, [(i, f"http://k{i}.example/", p, None) for i, p in enumerate(pages)])] == ["x"] * len(pages)
+
+
+def test_region_of_each_page(spark):
+    pages = ["<article><p>a</p></article>", "<main><p>b</p></main>", "<div><p>c</p><article class='comment'><p>no</p></article></div>", "<p>d"]
+    rows = [(i, "http://m.example/", p, None) for i, p in enumerate(pages)] + [(10 + i, None, p, None) for i, p in enumerate(pages)]
+    assert [r[2] for r in sorted(extract(spark, rows))] == ["a", "b", "c", "d"] * 2
