@@ -33,6 +33,7 @@ from portolan.llm.urlfilter import host_of
 
 MOST_HOSTS = 50_000  # profiles that may be broadcast (about 20 MB); more are joined by a shuffle
 SALTS = 64
+LEAST_CONTENTS = 4  # different pages of a host that tell its template
 LONGEST = 12  # tokens in a repeated group
 
 # HTML's block elements, those that others end, and those that hold no article text.
@@ -316,7 +317,8 @@ def region_slots(page: str | None) -> tuple[str, list[tuple[str, str]]]:
 def main_text(page: str | None, template: frozenset[str]) -> str:
     """The text blocks of the page's region outside boilerplate; in the body without the host's template."""
     region, slots = region_slots(page)
-    return "\n\n".join(text for path, text in slots if region != "body" or f"{path} {text}" not in template)
+    own = [text for path, text in slots if region != "body" or f"{path} {text}" not in template]
+    return "\n\n".join(own or [text for _, text in slots])
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
@@ -348,19 +350,20 @@ def _template(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, slots, marks = [], [], []
+            names, slots, marks, contents = [], [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 region, inside = region_slots(page)
                 for slot in {f"{path} {text}" for path, text in inside} | {""} if region == "body" else ():  # "" counts pages
                     names.append(host)
+                    contents.append(xxhash.xxh64_intdigest("\n".join(text for _, text in inside).encode("utf-8", "surrogatepass")) >> 1)
                     slots.append(slot)
                     marks.append(xxhash.xxh64_intdigest(slot.encode("utf-8", "surrogatepass")) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.int64()), pa.array(slots, pa.string())], ["host", "mark", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.int64()), pa.array(slots, pa.string()), pa.array(contents, pa.int64())], ["host", "mark", "slot", "content"])
 
-    found = pages.mapInArrow(run, "host string, mark long, slot string")
-    counted = found.groupBy("host", "mark").agg(F.count("*").alias("n"), F.first("slot").alias("slot"))
+    found = pages.mapInArrow(run, "host string, mark long, slot string, content long")
+    counted = found.groupBy("host", "mark").agg(F.count_distinct("content").alias("n"), F.first("slot").alias("slot"))
     pages_of = counted.where("slot = ''").select("host", F.col("n").alias("n_pages"))
-    return counted.where("slot <> ''").join(pages_of, "host").where("n = n_pages and n_pages > 1").groupBy("host").agg(F.collect_set("slot").alias("template"))
+    return counted.where("slot <> ''").join(pages_of, "host").where(f"n = n_pages and n_pages >= {LEAST_CONTENTS}").groupBy("host").agg(F.collect_set("slot").alias("template"))
 
 
 def extracted(pages: DataFrame, most_hosts: int = MOST_HOSTS) -> DataFrame:

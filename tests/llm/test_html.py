@@ -88,3 +88,9 @@ def test_region_of_each_page(spark):
     pages = ["<article><p>a</p></article>", "<main><p>b</p></main>", "<div><p>c</p><article class='comment'><p>no</p></article></div>", "<p>d"]
     rows = [(i, "http://m.example/", p, None) for i, p in enumerate(pages)] + [(10 + i, None, p, None) for i, p in enumerate(pages)]
     assert [r[2] for r in sorted(extract(spark, rows))] == ["a", "b", "c", "d"] * 2
+
+
+def test_hosts_of_equal_and_few_pages(spark):
+    page = "<body><div>Welcome</div><p>story</p></body>"
+    rows = [(i, "http://e.example/", page, None) for i in range(6)] + [(10 + i, "http://f.example/", page + f"<p>{i}", None) for i in range(2)]
+    assert [r[2] for r in sorted(extract(spark, rows))] == ["Welcome\n\nstory"] * 6 + [f"Welcome\n\nstory\n\n{i}" for i in range(2)]
