@@ -3,12 +3,20 @@
 A page is a stream of tokens: block tags (with their classes) and text slots; inline markup is part of the slots. Runs of equal
 groups are folded into a repeated group, which leaves few distinct streams on a host. These are aligned one after the other into the
 host's wrapper, a regular expression without unions: where a stream and the wrapper differ, the part becomes optional,
-or repeated if its neighbour is the same; slots stay slots.
+or repeated if its neighbour is the same; slots stay slots. A wrapper that would grow beyond MOST_ITEMS tokens is closed and the host gets
+another one, so that every page fits one of its host's wrappers.
 
-Streams are made distinct by host before they are gathered, and are aligned in two rounds, by host and a hash of the stream and then by host;
-so a host with a third of all pages sends as much as its pages differ. Wrappers are a result of their own (`wrappers`);
-extraction doesn't use them. Each page's text is within <article>, else <main>, else in the body, there without slots whose text is the same on all such pages of the host.
-Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, class or id.
+Extraction matches each page with its host's wrappers; every tag and slot of the page then has a place in the first that fits. Over
+all pages of the host it is counted which places hold the same text everywhere (the template) and how much text the <article> and
+<main> elements of each place hold. A page's text is in the article elements of the place that holds most on the host: those of a
+repeated group share a place, a teaser beside the story has another one. Without an article it is in <main>, else
+in the body. What the template says is left out; so are menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and
+reader comments, by tag, class or id, as they vary too. A template needs LEAST_CONTENTS different pages, and never takes
+all of a page's text.
+
+Spread: streams are made distinct by host before they are gathered, and merged FAN at a time in rounds, by host and a hash of the
+stream; so a host with a third of all pages sends what its pages differ in, and no task gets more than about FAN streams of it. Counts of
+places are aggregated before they are shuffled. Profiles are broadcast while they are small, and joined by (host, salt) beyond.
 
 Null or empty html, and pages without main text, give an empty string. Pages without a host (null URL, or no '://') are aligned together. Repeated
 rows are extracted one by one. An empty table gives an empty result. Only page_id, url and html are read. Unclosed tags end with
@@ -31,8 +39,10 @@ from pyspark.sql import functions as F
 from portolan.llm.common import cut
 from portolan.llm.urlfilter import host_of
 
-MOST_HOSTS = 50_000  # profiles that may be broadcast (about 20 MB); more are joined by a shuffle
-SALTS = 64
+MOST_HOSTS, MOST_BYTES = 50_000, 20 << 20  # profiles that may be broadcast; more are joined by a shuffle
+SALTS = 16  # parts of a host in that join
+FAN = 64  # streams of a host merged in one task
+MOST_ITEMS = 1500  # tokens in a wrapper, but for those that one stream has
 LEAST_CONTENTS = 4  # different pages of a host that tell its template
 LONGEST = 12  # tokens in a repeated group
 
@@ -93,21 +103,17 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     return ".".join([tag, *sorted(set(names))]), boiler
 
 
-def blocks(page: str | None) -> Iterator[tuple[str, str, bool, str]]:
-    """The page's tokens: (token, path of holders, in boiler, text of a slot). Text of a slot is decoded, its white space single spaces."""
-    stack: list[tuple[str, str, bool]] = []  # tag, token, boiler
+def blocks(page: str | None) -> Iterator[tuple[str, tuple, bool, str]]:
+    """The page's tokens: (token, holders, in boiler, text). A slot has its text, decoded and with single spaces for white space, and
+    its holders: (tag, number of the token that opened it) of the elements around it."""
+    stack: list[tuple[str, int, bool]] = []  # tag, token number, boiler
     text: list[str] = []
-    leaf_boiler = False
-
-    def state() -> tuple[str, bool]:
-        return ">".join(t for _, t, _ in stack), leaf_boiler or any(b for _, _, b in stack)
+    leaf_boiler, n = False, 0
 
-    def flush():
+    def flush() -> list[tuple[str, tuple, bool, str]]:
         found = " ".join(entities.unescape("".join(text)).split())
         text.clear()
-        if found:
-            path, boiler = state()
-            yield SLOT, path, boiler, found
+        return [(SLOT, tuple(h[:2] for h in stack), leaf_boiler or any(h[2] for h in stack), found)] if found else []
 
     page, at = page or "", 0
     for m in _TOKEN.finditer(page):
@@ -118,31 +124,32 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool, str]]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag in LEAVES:
-            yield from flush()
-            leaf_boiler = False
-            if not closing:
-                token, leaf_boiler = _label(tag, attrs)
-                yield f"<{token}>", "", False, ""
-        elif tag in HOLDERS:
-            yield from flush()
+        if tag == "br":
+            text.append(" ")
+        elif tag in LEAVES or tag in HOLDERS:
+            slot = flush()
+            yield from slot
+            n += len(slot)
             leaf_boiler = False
             if not closing:
-                if tag == "body":  # ends an open head
-                    while stack and stack[-1][0] == "head":
-                        stack.pop()
                 token, boiler = _label(tag, attrs)
-                if not attrs.rstrip().endswith("/"):
-                    stack.append((tag, token, boiler))
-                yield f"<{token}>", "", False, ""
-            else:
+                if tag in LEAVES:
+                    leaf_boiler = boiler
+                else:
+                    if tag == "body":  # ends an open head
+                        while stack and stack[-1][0] == "head":
+                            stack.pop()
+                    if not attrs.rstrip().endswith("/"):
+                        stack.append((tag, n, boiler))
+                yield f"<{token}>", (), False, ""
+                n += 1
+            elif tag in HOLDERS:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
-                        yield f"</{tag}>", "", False, ""
+                        yield f"</{tag}>", (), False, ""
+                        n += 1
                         break
-        elif tag == "br":
-            text.append(" ")
     text.append(page[at:])
     yield from flush()
 
@@ -299,87 +306,243 @@ def parsed(text: str) -> tuple:
     return tuple(out[0])
 
 
-def stream(page: str | None) -> str:
-    return pattern(fold(tuple(re.sub(r"[\s()]", "_", token) for token, _, _, _ in blocks(page))))
+def _token(token: str) -> str:
+    return re.sub(r"[\s()]", "_", token)
 
 
-def region_slots(page: str | None) -> tuple[str, list[tuple[str, str]]]:
-    """The page's region, and (path, text) of the slots in it outside boilerplate, in page order: <article> if it has such slots, else
-    <main>, else the body."""
-    slots = [(path, text) for token, path, boiler, text in blocks(page) if token == SLOT and not boiler]
-    for region in ("article", "main"):
-        inside = [s for s in slots if any(re.match(rf"{region}(\.|$)", t) for t in s[0].split(">"))]
-        if inside:
-            return region, inside
-    return "body", slots
+def stream(page: str | None) -> str:
+    return pattern(fold(tuple(_token(token) for token, _, _, _ in blocks(page))))
+
+
+class Automaton:
+    """A wrapper as an automaton whose places are the wrapper's tokens."""
+
+    def __init__(self, items: tuple):
+        self.symbol: list[str] = []  # of each place
+        self.after: list[int] = []  # the node that a place leads to
+        self.free: list[list[int]] = [[]]  # nodes reached from a node without a token
+        self.of: list[list[int]] = [[]]  # places that begin at a node
+        self.known: dict[int, tuple[dict[str, list[int]], bool]] = {}
+        self.end = self._add(items, 0)
+
+    def _node(self, *sources: int) -> int:
+        self.free.append([])
+        self.of.append([])
+        for source in sources:
+            self.free[source].append(len(self.free) - 1)
+        return len(self.free) - 1
+
+    def _add(self, items: tuple, at: int) -> int:
+        for x in items:
+            if isinstance(x, str):
+                self.of[at].append(len(self.symbol))
+                self.symbol.append(x)
+                at = self._node()
+                self.after.append(at)
+            else:
+                first = self._node(at)
+                last = self._add(x[1], first)
+                if x[0] == "+":
+                    self.free[last].append(first)
+                    at = self._node(last)
+                else:
+                    at = self._node(last, at)
+        return at
+
+    def following(self, node: int) -> tuple[dict[str, list[int]], bool]:
+        """Token -> the places that can take it next; and whether the wrapper may end here."""
+        if node not in self.known:
+            seen, todo, places = {node}, [node], {}
+            while todo:
+                at = todo.pop()
+                for p in self.of[at]:
+                    places.setdefault(self.symbol[p], []).append(p)
+                new = [x for x in self.free[at] if x not in seen]
+                seen.update(new)
+                todo += new
+            self.known[node] = places, self.end in seen
+        return self.known[node]
+
+    def places(self, tokens: list[str]) -> list[int] | None:
+        """The place of each token; None if the wrapper doesn't fit."""
+        steps: list[dict[int, int]] = []
+        now = {-1: -1}
+        for token in tokens:
+            found: dict[int, int] = {}
+            for p in now:
+                for q in self.following(self.after[p] if p >= 0 else 0)[0].get(token, ()):
+                    found.setdefault(q, p)
+            if not found:
+                return None
+            steps.append(found)
+            now = found
+        last = next((p for p in now if self.following(self.after[p] if p >= 0 else 0)[1]), None)
+        if last is None:
+            return None
+        out = []
+        for step in reversed(steps):
+            out.append(last)
+            last = step[last]
+        return out[::-1]
+
+
+class Wrappers(dict):
+    """pattern -> its automaton; a worker keeps some."""
+
+    def __missing__(self, text: str) -> Automaton:
+        if len(self) >= 256:
+            self.clear()
+        made = self[text] = Automaton(parsed(text))
+        return made
+
+    def place(self, found: list, patterns: list[str]) -> tuple[int, list[int]]:
+        """The first wrapper that takes the tokens (-1: none), and their places."""
+        tokens = [_token(b[0]) for b in found]
+        for no, text in enumerate(patterns):
+            places = self[text].places(tokens)
+            if places is not None:
+                return no, places
+        return -1, [-1] * len(tokens)
+
+
+def _regions(found: list, region: str) -> dict[int, list[int]]:
+    """Token number of each outermost element of this tag -> the slots in it outside boilerplate."""
+    out: dict[int, list[int]] = {}
+    for i, (token, holders, boiler, _) in enumerate(found):
+        if token == SLOT and not boiler:
+            at = next((n for tag, n in holders if tag == region), None)
+            if at is not None:
+                out.setdefault(at, []).append(i)
+    return out
 
 
-def main_text(page: str | None, template: frozenset[str]) -> str:
-    """The text blocks of the page's region outside boilerplate; in the body without the host's template."""
-    region, slots = region_slots(page)
-    own = [text for path, text in slots if region != "body" or f"{path} {text}" not in template]
-    return "\n\n".join(own or [text for _, text in slots])
+def main_slots(found: list, places: list[int], weight: dict[int, int], template: frozenset[int]) -> list[int]:
+    """The slots of a page's main text, as token numbers. weight: text of the <article> and <main> elements of each place."""
+    slots = [i for i, b in enumerate(found) if b[0] == SLOT and not b[2]]
+    for region in ("article", "main"):
+        elements = _regions(found, region)
+        if elements:
+            best = max((places[at] for at in elements), key=lambda p: (weight.get(p, 0), -p))
+            slots = [i for at, inside in elements.items() if places[at] == best for i in inside]
+            break
+    return [i for i in slots if places[i] not in template] or slots
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
 
 
+def _size(items: tuple) -> int:
+    return sum(1 if isinstance(x, str) else _size(x[1]) for x in items)
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, n_pages, wrapper."""
+    """host, n_pages, wrapper: one row for each host, but for those whose pages need several."""
+    return _wrappers(_hosted(pages))
 
-    @F.pandas_udf("string")
-    def streams(page: pd.Series) -> pd.Series:
-        return page.map(stream)
+
+def _wrappers(rows: DataFrame, fan: int = FAN) -> DataFrame:
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([stream(page) for page in batch.column("html").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), found], ["host", "wrapper"])
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
-        wrapper: tuple | None = None
-        for text in sorted(group["wrapper"]):
-            wrapper = parsed(text) if wrapper is None else align(wrapper, parsed(text))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "n_pages": [int(group["n_pages"].sum())], "wrapper": [pattern(wrapper)]})
+        done: list[list] = []
+        for text, n in sorted(zip(group["wrapper"], group["n_pages"], strict=True)):
+            items = parsed(text)
+            if done:
+                both = align(done[-1][0], items)
+                if _size(both) <= max(MOST_ITEMS, _size(done[-1][0]), _size(items)):
+                    done[-1] = [both, done[-1][1] + n]
+                    continue
+            done.append([items, n])
+        return pd.DataFrame({"host": [group["host"].iloc[0]] * len(done), "n_pages": [int(n) for _, n in done], "wrapper": [pattern(x) for x, _ in done]})
 
     schema = "host string, n_pages long, wrapper string"
-    distinct = _hosted(pages).select("host", streams("html").alias("wrapper")).groupBy("host", "wrapper").agg(F.count("*").alias("n_pages"))
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    parts = salted.groupBy("host", "salt").applyInPandas(merged, schema)
-    return parts.groupBy("host").applyInPandas(merged, schema)
+    now = cut(rows.select("host", "html").mapInArrow(streams, "host string, wrapper string").groupBy("host", "wrapper").agg(F.count("*").alias("n_pages")))
+    before, turn = None, 0
+    while True:
+        sizes = now.groupBy("host").agg(F.count("*").alias("n"))
+        most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+        if (most or 0) <= 1 or total == before:
+            return now
+        salt = F.pmod(F.xxhash64("wrapper", F.lit(turn)), F.ceil(F.col("n") / fan))
+        now = cut(now.join(sizes, "host").withColumn("salt", salt).groupBy("host", "salt").applyInPandas(merged, schema))
+        if most <= fan:
+            return now
+        before, turn = total, turn + 1
+
+
+def _dealt(rows: DataFrame, profiles: DataFrame, small: bool) -> DataFrame:
+    """rows with their host's profile."""
+    if small:
+        return rows.join(F.broadcast(profiles), "host", "left")
+    salted = profiles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def _template(pages: DataFrame) -> DataFrame:
-    """host, template: place and text of the slots that all those pages of a host share whose text is in the body."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """host, no, place, mark, chars: for each page and each place of its slots the texts there; for each <article> and <main> the characters
+    in it; with place -1 the page, whose mark stands for all its text. Rows come with `patterns`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Wrappers()
         for batch in batches:
-            names, slots, marks, contents = [], [], [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                region, inside = region_slots(page)
-                for slot in {f"{path} {text}" for path, text in inside} | {""} if region == "body" else ():  # "" counts pages
-                    names.append(host)
-                    contents.append(xxhash.xxh64_intdigest("\n".join(text for _, text in inside).encode("utf-8", "surrogatepass")) >> 1)
-                    slots.append(slot)
-                    marks.append(xxhash.xxh64_intdigest(slot.encode("utf-8", "surrogatepass")) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.int64()), pa.array(slots, pa.string()), pa.array(contents, pa.int64())], ["host", "mark", "slot", "content"])
-
-    found = pages.mapInArrow(run, "host string, mark long, slot string, content long")
-    counted = found.groupBy("host", "mark").agg(F.count_distinct("content").alias("n"), F.first("slot").alias("slot"))
-    pages_of = counted.where("slot = ''").select("host", F.col("n").alias("n_pages"))
-    return counted.where("slot <> ''").join(pages_of, "host").where(f"n = n_pages and n_pages >= {LEAST_CONTENTS}").groupBy("host").agg(F.collect_set("slot").alias("template"))
+            out: list[tuple] = []
+            for host, page, patterns in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "patterns")), strict=True):
+                found = list(blocks(page))
+                no, places = known.place(found, patterns or [])
+                texts: dict[int, list[str]] = {}
+                for (token, _, boiler, text), place in zip(found, places, strict=True):
+                    if token == SLOT and not boiler:
+                        texts.setdefault(place, []).append(text)
+                if no < 0 or not texts:
+                    continue
+                out += [(host, no, place, _hash("\n".join(t)), 0) for place, t in texts.items()]
+                out.append((host, no, -1, _hash("\n".join(t for ts in texts.values() for t in ts)), 0))
+                for region in ("article", "main"):
+                    out += [(host, no, places[at], -1, sum(len(found[i][3]) for i in inside)) for at, inside in _regions(found, region).items()]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "no", "place", "mark", "chars"])
+
+    return rows.select("host", "html", "patterns").mapInArrow(run, "host string, no int, place int, mark long, chars long")
 
 
 def extracted(pages: DataFrame, most_hosts: int = MOST_HOSTS) -> DataFrame:
     """page_id, url, text."""
-    hosts = cut(_hosted(pages).select("host").distinct())
     rows = _hosted(pages)
-    few = hosts.count() <= most_hosts
-    small = lambda df: F.broadcast(df) if few else df
-    profiles = cut(hosts.join(_template(rows), "host", "left").select("host", "template"))
+    lists = cut(_wrappers(rows).groupBy("host").agg(F.sort_array(F.collect_list("wrapper")).alias("patterns")))
+    hosts, size = lists.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json("patterns"))), F.lit(0))).first()
+    small = hosts <= most_hosts and size <= MOST_BYTES
+    found = _counted(_dealt(rows, lists, small))
+    by_place = cut(found.groupBy("host", "no", "place", F.when(F.col("place") < 0, F.col("mark")).alias("page")).agg(
+        F.count("*").alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most"), F.sum("chars").alias("chars")
+    ))
+    totals = by_place.where("place < 0").groupBy("host").agg(F.sum("n").alias("n_pages"), F.count("*").alias("contents"))
+    kept = by_place.where("place >= 0").join(totals, "host").select(
+        "host", F.struct("no", "place", "chars", ((F.col("least") >= 0) & (F.col("least") == F.col("most")) & (F.col("n") == F.col("n_pages"))
+                                                   & (F.col("contents") >= LEAST_CONTENTS)).alias("fixed")).alias("p")
+    ).where("p.fixed or p.chars > 0")
+    profiles = cut(lists.join(kept.groupBy("host").agg(F.collect_list("p").alias("places")), "host", "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Wrappers()
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("html", "template"))
-            texts = [main_text(page, frozenset(t or ())) for page, t in zip(*columns, strict=True)]
+            texts = []
+            for page, patterns, facts in zip(*(batch.column(c).to_pylist() for c in ("html", "patterns", "places")), strict=True):
+                tokens = list(blocks(page))
+                no, places = known.place(tokens, patterns or [])
+                mine = [f for f in facts or () if f["no"] == no]
+                weight, template = {f["place"]: f["chars"] for f in mine if f["chars"]}, frozenset(f["place"] for f in mine if f["fixed"])
+                texts.append("\n\n".join(tokens[i][3] for i in main_slots(tokens, places, weight, template)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]
-    joined = rows.join(small(profiles), "host").select("page_id", "url", "html", "template")
+    joined = _dealt(rows, profiles, small).select("page_id", "url", "html", "patterns", "places")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string")

@@ -94,3 +94,53 @@ def test_hosts_of_equal_and_few_pages(spark):
     page = "<body><div>Welcome</div><p>story</p></body>"
     rows = [(i, "http://e.example/", page, None) for i in range(6)] + [(10 + i, "http://f.example/", page + f"<p>{i}", None) for i in range(2)]
     assert [r[2] for r in sorted(extract(spark, rows))] == ["Welcome\n\nstory"] * 6 + [f"Welcome\n\nstory\n\n{i}" for i in range(2)]
+
+
+def test_places_equal_a_regular_expression():
+    """The automaton takes what `re` takes, and the places spell the tokens."""
+    rng = random.Random(3)
+
+    def made(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            out.append(rng.choice("abc") if depth == 0 or rng.random() < 0.6 else (rng.choice("+?"), made(depth - 1)))
+        return tuple(out)
+
+    for _ in range(300):
+        items = made(2)
+        automaton, regex = html.Automaton(items), re.compile(to_regex(items))
+        for _ in range(20):
+            tokens = rng.choices("abc", k=rng.randint(0, 6))
+            places = automaton.places(tokens)
+            assert (places is not None) == bool(regex.fullmatch("".join(t + " " for t in tokens)))
+            assert places is None or [automaton.symbol[p] for p in places] == tokens
+
+
+def test_teasers_and_headings(spark):
+    page = ("<body><article><h1 class='post-header'>Head {0}</h1><div class='article-header'>By {0}</div><p class='search-engine'>Story {0} goes on for a while</p></article>"
+            "<article><p>Teaser of {0}</p></article><div>Printed here</div></body>")
+    rows = [(i, "http://t.example/", page.format(i), None) for i in range(5)] + [(9, "http://t.example/", "<body><article><p>Short</p></article>", None)]
+    want = [f"Head {i}\n\nBy {i}\n\nStory {i} goes on for a while" for i in range(5)] + ["Short"]
+    assert [r[2] for r in sorted(extract(spark, rows))] == want
+
+
+def test_listing_keeps_all_its_articles(spark):
+    page = "<body>" + "<article><h2>{0}</h2><p>text {0}</p></article>" * 3
+    rows = [(i, "http://l.example/", page.format(i) + ("<article><h2>more</h2><p>more</p></article>" if i % 2 else ""), None) for i in range(6)]
+    assert [r[2] for r in sorted(extract(spark, rows))] == ["\n\n".join([f"{i}\n\ntext {i}"] * 3 + (["more\n\nmore"] if i % 2 else [])) for i in range(6)]
+
+
+def test_template_within_an_article(spark):
+    page = "<article><div>All our stories</div><p>first {0}</p><p>the same words</p><h3>end {0}</h3></article>"
+    rows = [(i, "http://w.example/", page.format(i), None) for i in range(5)]
+    assert [r[2] for r in sorted(extract(spark, rows))] == [f"first {i}\n\nthe same words\n\nend {i}" for i in range(5)]
+
+
+def test_many_streams_of_a_host(spark):
+    rng = random.Random(8)
+    rows = [(i, "http://s.example/" if i % 3 else None, "".join(f"<{rng.choice(['p', 'h2', 'div', 'ul', 'li'])}>t{i}x{k}" for k in range(rng.randint(1, 9))), None) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    found = html._wrappers(html._hosted(pages), fan=8).groupBy("host").count().collect()
+    assert {r.host: r["count"] for r in found} == {"": 1, "s.example": 1}
+    got = {r.page_id: r.text for r in html.extracted(pages).collect()}
+    assert all(got[i].split("\n\n") == re.findall(r"t\d+x\d+", page) for i, _, page, _ in rows)
