@@ -14,8 +14,8 @@ MISSING = "nan"
 
 
 def strip(x: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Without white space (space and U+0009..U+000D) at the ends."""
+    return F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def text(x: Column) -> Column:

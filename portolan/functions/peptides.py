@@ -21,6 +21,10 @@ CLASSES = {"aromatic": "FWY", "polar": "STNQCY", "acidic": "DE", "basic": "KRH",
 DELTAS = ("mutation_count", "mutation_anchor_count", "mutation_tcr_face_count", "mutation_hydrophobicity_delta", "mutation_charge_delta")
 
 
+# The scales by letter, for constant-time access.
+_LETTERS = [chr(65 + i) for i in range(26)]
+
+
 def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
@@ -34,33 +38,43 @@ def _weighed(counts: dict[str, Column], scale: dict[str, float]) -> Column:
     return _sum([counts[aa] * F.lit(v) for aa, v in scale.items()])
 
 
-def deltas(mutant: Column, wildtype: Column) -> Column:
+def deltas(mutant: Column, wildtype: Column, changed: Column) -> Column:
     """A struct of DELTAS; NULL unless both sequences are there and of one length. Anchors are the second and the last residue.
 
-    A sum over changed positions is the difference of the sums over all, as equal positions cancel out. Both sequences have to be
-    canonical (`expr.peptide`) columns: each is read many times.
+    Only changed positions are looked up in the scales. Both sequences have to be canonical (`expr.peptide`) columns, `changed` the
+    column of `changed_places`: each is read many times.
     """
-    m, w = mutant, wildtype
-    length = F.length(m)
-    differ = lambda i: F.substr(m, i, F.lit(1)) != F.substr(w, i, F.lit(1))
-    changed = F.size(F.filter(F.sequence(F.lit(1), length), differ))
-    anchors = F.when(length >= 2, differ(F.lit(2)).cast("int") + F.when(length > 2, differ(length).cast("int")).otherwise(0)).otherwise(0)
-    cm, cw = _counts(m), _counts(w)
+    m, w, n = mutant, wildtype, F.size(changed)
+    anchors = F.size(F.filter(changed, lambda i: (i == 2) | (i == F.length(m))))
+
+    def difference(scale: dict[str, float]) -> Column:
+        weights = F.array(*[F.lit(scale.get(a, 0.0)) for a in _LETTERS])
+        at = lambda s, i: F.coalesce(F.get(weights, F.ascii(F.substr(s, i, F.lit(1))) - 65), F.lit(0.0))
+        return F.aggregate(changed, F.lit(0.0), lambda total, i: total + at(m, i) - at(w, i))
+
     found = F.struct(
-        changed.cast("double").alias(DELTAS[0]), anchors.cast("double").alias(DELTAS[1]), (changed - anchors).cast("double").alias(DELTAS[2]),
-        (_weighed(cm, HYDROPATHY) - _weighed(cw, HYDROPATHY)).alias(DELTAS[3]), (_weighed(cm, CHARGE) - _weighed(cw, CHARGE)).alias(DELTAS[4]),
+        n.cast("double").alias(DELTAS[0]), anchors.cast("double").alias(DELTAS[1]), (n - anchors).cast("double").alias(DELTAS[2]),
+        difference(HYDROPATHY).alias(DELTAS[3]), difference(CHARGE).alias(DELTAS[4]),
     )
-    return F.when((m != "") & (w != "") & (length == F.length(w)), found)
+    return F.when(changed.isNotNull(), found)
+
+
+def changed_places(mutant: Column, wildtype: Column) -> Column:
+    """Places, from 1, at which the sequences differ; NULL unless both are there and of one length."""
+    differ = lambda i: F.substr(mutant, i, F.lit(1)) != F.substr(wildtype, i, F.lit(1))
+    both = (mutant != "") & (wildtype != "") & (F.length(mutant) == F.length(wildtype))
+    return F.when(both, F.filter(F.sequence(F.lit(1), F.length(mutant)), differ))
 
 
 def with_deltas(df: DataFrame, mutant: str = "mutant_peptide", wildtype: str = "wildtype_peptide") -> DataFrame:
-    """df with the DELTAS that it doesn't have yet."""
+    """df with the DELTAS that it doesn't have yet; df as it is if it lacks one of the sequences."""
     new = [d for d in DELTAS if d not in df.columns]
-    if not new:
+    if not new or mutant not in df.columns or wildtype not in df.columns:
         return df
     found = df.withColumns({"__m": expr.peptide(F.col(mutant)), "__w": expr.peptide(F.col(wildtype))})
-    found = found.withColumn("__deltas", deltas(F.col("__m"), F.col("__w")))
-    return found.withColumns({d: F.col(f"__deltas.{d}") for d in new}).drop("__deltas", "__m", "__w")
+    found = found.withColumn("__changed", changed_places(F.col("__m"), F.col("__w")))
+    found = found.withColumn("__deltas", deltas(F.col("__m"), F.col("__w"), F.col("__changed")))
+    return found.withColumns({d: F.col(f"__deltas.{d}") for d in new}).drop("__deltas", "__changed", "__m", "__w")
 
 
 def sequence_features(sequence: Column) -> list[Column]:
@@ -80,7 +94,9 @@ def sequence_features(sequence: Column) -> list[Column]:
 
 
 def with_sequence_features(df: DataFrame, sequence: str = "mutant_peptide") -> DataFrame:
-    """df with the sequence features that it doesn't have yet, all in one projection."""
+    """df with the sequence features that it doesn't have yet, all in one projection; df as it is if it lacks the sequence."""
+    if sequence not in df.columns:
+        return df
     names = ["seq_len", "seq_hydrophobicity_mean", "seq_charge_sum", *[f"seq_{n}_fraction" for n in CLASSES], *[f"seq_aa_frac_{aa}" for aa in RESIDUES]]
     new = [c for n, c in zip(names, sequence_features(F.col("__s")), strict=True) if n not in df.columns]
     return df.withColumn("__s", expr.peptide(F.col(sequence))).select("*", *new).drop("__s")

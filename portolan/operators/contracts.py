@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from portolan.functions import expr
 
 REQUIRED = ("candidate_id", "patient_id", "mutant_peptide")
-RANKED = (*REQUIRED, "evidence_score", "evidence_tier", "selected", "rank")
+RANKED = (*REQUIRED, "evidence_score", "lower_evidence_score", "evidence_tier", "selected", "rank")
+CANDIDATE_VERSION, RANKED_VERSION, RESEARCH_VERSION = "candidate-1.0.0", "ranked-1.0.0", "research-1.0.0"
 RESEARCH = ("candidate_id", "source_dataset", "study_id", "patient_id", "hla_allele", "mutant_peptide", "wildtype_peptide", "label", "label_weight", "assay_type")
 LABELS = ("positive", "negative", "unknown")
 
 
+class ContractError(ValueError):
+    """A table breaks its contract; `report` tells where."""
+
+    def __init__(self, what: str, report: Report):
+        super().__init__(f"{what} violates the product contract: {report}")
+        self.report = report
+
+
 @dataclass(frozen=True)
 class Report:
+    schema_version: str
     row_count: int
     missing_columns: tuple[str, ...]
     empty_required_values: tuple[str, ...]
@@ -39,20 +49,29 @@ def counts(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> Report:
+    """Of a candidate table; with RANKED as `required` of a ranked one."""
     row = counts(df).first()
     return Report(
-        row["row_count"], tuple(sorted(set(required) - set(df.columns))),
+        RANKED_VERSION if required is RANKED else CANDIDATE_VERSION, row["row_count"], tuple(sorted(set(required) - set(df.columns))),
         tuple(sorted(c for c in REQUIRED if c in df.columns and row[f"blank_{c}"])), row["duplicate_candidate_ids"], row["invalid_peptides"],
     )
 
 
+def check(df: DataFrame, what: str, required: tuple[str, ...] = REQUIRED) -> Report:
+    """The report of a table that keeps its contract; an error for one that doesn't."""
+    found = report(df, required)
+    if not found.ok:
+        raise ContractError(what, found)
+    return found
+
+
 def research_report(df: DataFrame) -> Report:
     """Columns, labels and duplicate ids of a normalised data set."""
     missing = tuple(sorted(set(RESEARCH) - set(df.columns)))
     strange = F.collect_set(F.when(~F.col("label").isin(*LABELS), F.col("label"))) if "label" in df.columns else F.array().cast("array<string>")
     ids = F.count("*") - F.count_distinct(F.coalesce(F.col("candidate_id"), F.lit(""))) if "candidate_id" in df.columns else F.lit(0)
     row = df.agg(F.count("*").alias("n"), strange.alias("labels"), ids.alias("dups")).first()
-    return Report(row["n"], missing, (), int(row["dups"]), 0, tuple(sorted(row["labels"])))
+    return Report(RESEARCH_VERSION, row["n"], missing, (), int(row["dups"]), 0, tuple(sorted(row["labels"])))
 
 
 def supervised(df: DataFrame) -> DataFrame:

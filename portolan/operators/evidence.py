@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portolan.functions import expr
+
 KEYS = (("candidate_id",), ("mutation_id", "transcript_id"), ("mutation_id",), ("transcript_id",), ("gene_symbol",))
-VALUES = ("expression_tpm", "rna_depth", "rna_vaf", "rna_mutant_reads")
+# The numbers that evidence may hold.
+VALUES = (
+    "dna_vaf", "rna_depth", "rna_vaf", "rna_mutant_reads", "expression_tpm", "clonality_ccf", "binding_affinity_nm", "binding_percentile_rank",
+    "wildtype_binding_affinity_nm", "presentation_score", "recognition_score",
+)
 
 
 def key_of(candidates: list[str], evidence: list[str]) -> list[str]:
@@ -28,7 +34,7 @@ def merged(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
     values = [v for v in VALUES if v in evidence.columns]
     if not values:
         raise ValueError("RNA evidence has none of " + ", ".join(VALUES))
-    small = evidence.select(*[F.col(k).cast("string").alias(f"__k_{k}") for k in key], *[F.col(v).cast("double").alias(f"__v_{v}") for v in values])
+    small = evidence.select(*[F.col(k).cast("string").alias(f"__k_{k}") for k in key], *[expr.number(F.col(v)).alias(f"__v_{v}") for v in values])
     if duplicate_keys(small, [f"__k_{k}" for k in key]).take(1):
         raise ValueError("RNA evidence repeats a key: " + "+".join(key))
     same = F.lit(True)

@@ -5,6 +5,12 @@ are taken depends on all before, so it is a fold over each group's ordered candi
 changing its result: candidates that agree in all capped values are taken or refused for the same reason, so after min(k, caps) of
 them the rest can never be taken. That cut is a limit on row_number within those values, which Spark applies before the
 shuffle, so a group with a third of all rows sends a few rows for each combination of values.
+
+The fold goes in rounds over the best BATCH (or 8 k) rows of each group. A group in which fewer than k are taken and rows are left goes
+on with those that come after and whose values aren't full yet; of these the first is always taken, so there are at most k rounds, mostly
+one. No task holds more than a batch of one group at once.
+
+Scores and folds are persisted, so that they are worked out once; they can be dropped by spark.catalog.clearCache().
 """
 
 from __future__ import annotations
@@ -19,37 +25,86 @@ from portolan.operators.score import Policy
 TIERS = ("CORE", "SUPPORTING", "FILLER", "EXCLUDED")
 
 
+BATCH = 256
+_WIDEN = 8  # a batch is at least so many times k
+
+
 def _fold(k: int, caps: dict[str, int]) -> str:
-    """SQL of the fold over `cands`; cap fields that are NULL are exempt."""
+    """SQL of the fold over `cands`, from those of `prior`; cap fields that are NULL are exempt."""
     tests = [f"(x.{c} is null or size(filter(acc, a -> a.{c} = x.{c})) < {cap})" for c, cap in caps.items()]
     keep = " and ".join([f"size(acc) < {k}", *tests])
-    return f"aggregate(cands, slice(cands, 1, 0), (acc, x) -> case when {keep} then concat(acc, array(x)) else acc end)"
+    return f"aggregate(cands, prior, (acc, x) -> case when {keep} then concat(acc, array(x)) else acc end)"
 
 
-def greedy(rows: DataFrame, group: list[str], order: list[Column], caps: dict[str, int], k: int, ident: str) -> DataFrame:
+def _of_group(rows: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
+    """rows with their group's state; missing group values equal one another."""
+    renamed = state.select(*[F.col(g).alias(f"__g_{g}") for g in group], *[c for c in state.columns if c not in group])
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return rows.join(renamed, same).drop(*[f"__g_{g}" for g in group])
+
+
+def greedy(rows: DataFrame, group: list[str], order: list[Column], caps: dict[str, int], k: int, ident: str, batch: int = BATCH) -> DataFrame:
     """group columns, `ident` and rank of the selected rows. caps: column -> most rows with one value; NULL values are exempt."""
     keys = [*group, *caps]
-    named = rows.select(*group, ident, *caps, *[o.alias(f"__o{i}") for i, o in enumerate(order)])
     place = [f"__o{i}" for i in range(len(order))]
+    named = rows.select(*group, ident, *caps, *[o.alias(p) for o, p in zip(order, place, strict=True)]).where(F.lit(k > 0))
     if caps:
         # a combination with an exempt value is bounded by the other caps, or by k
         most = F.least(F.lit(k), *[F.when(F.col(c).isNotNull(), F.lit(cap)).otherwise(F.lit(k)) for c, cap in caps.items()])
         first = Window.partitionBy(*keys).orderBy(*place, ident)
         named = named.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= F.lit(max(k, 0))).where(F.col("__n") <= most).drop("__n")
-    elif not group:
-        named = named.orderBy(*place, ident).limit(max(k, 0))
-    else:
-        first = Window.partitionBy(*group).orderBy(*place, ident)
-        named = named.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= max(k, 0)).drop("__n")
-    cand = F.struct(*place, ident, *caps)
-    cands = named.groupBy(*group).agg(F.sort_array(F.collect_list(cand)).alias("cands"))
-    taken = cands.select(*group, F.posexplode(F.expr(_fold(k, caps))).alias("__pos", "__c"))
+    left = named.select(*group, F.struct(*place, ident, *caps).alias("c"))
+    batch, done = max(_WIDEN * k, batch), []
+    state: DataFrame | None = None
+    while True:
+        if group:
+            best = Window.partitionBy(*group).orderBy("c")
+            top = left.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= batch).drop("__n")
+        else:
+            top = left.orderBy("c").limit(batch)
+        cands = top.groupBy(*group).agg(F.sort_array(F.collect_list("c")).alias("cands"))
+        cands = cands.withColumn("prior", F.slice("cands", 1, 0)) if state is None else _of_group(cands, state.select(*group, F.col("taken").alias("prior")), group)
+        folded = cands.select(*group, F.expr(_fold(k, caps)).alias("taken"), F.size("cands").alias("n"), F.try_element_at("cands", F.lit(-1)).alias("last")).persist()
+        open_ = (F.size("taken") < k) & (F.col("n") >= batch)
+        done.append(folded.where(~open_))
+        state = folded.where(open_)
+        if not state.take(1):
+            break
+        # rows after the last that was seen, whose values aren't full
+        free = [f"(c.{c} is null or size(filter(taken, a -> a.{c} = c.{c})) < {cap})" for c, cap in caps.items()]
+        after = _of_group(left, state.drop("n"), group).where(F.col("c") > F.col("last"))
+        left = after.where(F.expr(" and ".join(free) or "true")).select(*group, "c")
+        # a group without such rows is done
+        more = _of_group(state, left.select(*group).distinct(), group) if group else state.where(F.lit(bool(left.take(1))))
+        more = more.persist()
+        done.append(_without(state, more, group))
+        state = more
+        if not state.take(1):
+            break
+    found = done[0]
+    for d in done[1:]:
+        found = found.union(d)
+    taken = found.select(*group, F.posexplode("taken").alias("__pos", "__c"))
     return taken.select(*group, F.col(f"__c.{ident}").alias(ident), (F.col("__pos") + 1).cast("int").alias("rank"))
 
 
+def _without(state: DataFrame, more: DataFrame, group: list[str]) -> DataFrame:
+    """The groups of `state` that `more` doesn't have."""
+    if not group:
+        return state.where(F.lit(not more.take(1)))
+    renamed = more.select(*[F.col(g).alias(f"__g_{g}") for g in group])
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return state.join(renamed, same, "left_anti")
+
+
 def portfolio(scored: DataFrame, policy: Policy = Policy(), ident: str = "candidate_id") -> DataFrame:
     """Scored candidates with selected and rank, per patient: by tier, lower score and tie key. '' is exempt from a cap; a missing value is
     the word 'nan' and shares a cap. `ident` must name a row within its patient."""
+    scored = scored.persist()
     tiers = F.array_position(F.array(*map(F.lit, TIERS)), F.col("evidence_tier"))
     limits = {"mutation_id": policy.max_per_mutation, "gene_symbol": policy.max_per_gene, "hla_allele": policy.max_per_hla}
     caps = {c: n for c, n in limits.items() if n is not None and c in scored.columns}
@@ -78,6 +133,7 @@ def simple(df: DataFrame, score: str, order: list[str], k: int = 20, max_per_hla
            min_score: float | None = None, hla: str = "hla_allele", gene: str = "gene_symbol", ident: str = "candidate_id") -> DataFrame:
     """The whole table's selection, by score and then input order. Missing values are exempt from caps, '' is a value like any other;
     a missing score is last, and no floor keeps it out; k = 0 takes one row."""
+    df = df.persist()
     caps = {c: n for c, n in ((hla, max_per_hla), (gene, max_per_gene)) if n is not None and c in df.columns}
     rows = df if min_score is None else df.where(F.col(score).isNull() | (F.col(score) >= min_score))
     places = [F.col(score).isNull(), -F.col(score), *map(F.col, order)]

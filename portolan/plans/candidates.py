@@ -48,8 +48,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duck(e: str) -> str:
-    return e.replace("as string", "as varchar").replace("0.0D", "0.0::double").replace("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
-                                                                             "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)")
+    return e.replace("as string", "as varchar").replace("0.0D", "0.0::double")
 
 
 SQL = f"""raw as (select {', '.join(f'{_duck(e)} as {n}' for n, e in CANDIDATE.items())}, l_suppkey as suppkey

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from portolan.functions import expr, peptides
 from portolan.operators import baseline, contracts, evidence, gate, score, select
@@ -191,11 +192,12 @@ _CHARGE = "map {" + ", ".join(f"'{k}': {v}::double" for k, v in peptides.CHARGE.
 @query(f"""{CAND}, p as (select candidate_id, mutant_peptide as m, wildtype_peptide as w, list_filter(range(1, length(mutant_peptide) + 1), lambda i: substr(mutant_peptide, i::int, 1) <> substr(wildtype_peptide, i::int, 1)) as ch
         from cand), q as (select *, m <> '' and w <> '' and length(m) = length(w) as ok from p)
     select candidate_id, case when ok then len(ch)::double end as mutation_count, case when ok then len(list_filter(ch, lambda i: i = 2 or i = length(m)))::double end as mutation_anchor_count,
-        case when ok then round(list_sum(list_transform(ch, lambda i: coalesce({_SCALE}[substr(m, i::int, 1)], 0) - coalesce({_SCALE}[substr(w, i::int, 1)], 0))), 9) end as mutation_hydrophobicity_delta,
-        case when ok then round(list_sum(list_transform(ch, lambda i: coalesce({_CHARGE}[substr(m, i::int, 1)], 0) - coalesce({_CHARGE}[substr(w, i::int, 1)], 0))), 9) end as mutation_charge_delta from q""")
+        case when ok then len(list_filter(ch, lambda i: i <> 2 and i <> length(m)))::double end as mutation_tcr_face_count,
+        case when ok then round(coalesce(list_sum(list_transform(ch, lambda i: coalesce({_SCALE}[substr(m, i::int, 1)], 0) - coalesce({_SCALE}[substr(w, i::int, 1)], 0))), 0), 9) end as mutation_hydrophobicity_delta,
+        case when ok then round(coalesce(list_sum(list_transform(ch, lambda i: coalesce({_CHARGE}[substr(m, i::int, 1)], 0) - coalesce({_CHARGE}[substr(w, i::int, 1)], 0))), 0), 9) end as mutation_charge_delta from q""")
 def mutation_deltas(spark: SparkSession, d: str) -> DataFrame:
     rows = peptides.with_deltas(c.candidates(spark, d).select("candidate_id", "mutant_peptide", "wildtype_peptide"))
-    return rows.select("candidate_id", "mutation_count", "mutation_anchor_count", F.round("mutation_hydrophobicity_delta", 9).alias("mutation_hydrophobicity_delta"),
+    return rows.select("candidate_id", "mutation_count", "mutation_anchor_count", "mutation_tcr_face_count", F.round("mutation_hydrophobicity_delta", 9).alias("mutation_hydrophobicity_delta"),
                        F.round("mutation_charge_delta", 9).alias("mutation_charge_delta"))
 
 
@@ -204,33 +206,46 @@ def _duck_features() -> str:
     share = {f"seq_{k}_fraction": v for k, v in peptides.CLASSES.items()} | {f"seq_aa_frac_{aa}": aa for aa in peptides.RESIDUES}
     weighed = lambda scale: " + ".join(f"{n[aa]} * ({v})" for aa, v in scale.items())
     return ", ".join([
-        "len as seq_len", f"round(({weighed(peptides.HYDROPATHY)}) / len, 9) as seq_hydrophobicity_mean", f"round(({weighed(peptides.CHARGE)})::double, 9) as seq_charge_sum",
+        "len as seq_len", f"round(({weighed(peptides.HYDROPATHY)}) / len, 9) as seq_hydrophobicity_mean", f"case when len is not null then round(({weighed(peptides.CHARGE)})::double, 9) end as seq_charge_sum",
         *[f"round(({' + '.join(n[aa] for aa in v)}) / len, 9) as {k}" for k, v in share.items()],
     ])
 
 
-@query(f"""with d as (select doc_id, upper(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'ß', 'ss')) as s from documents), e as (select doc_id, s, length(s)::double as len from d where s <> '')
+@query(f"""with d as (select doc_id, upper(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'ß', 'ss')) as s from documents), e as (select doc_id, s, nullif(length(s), 0)::double as len from d union all select -1 - doc_id, '', null from d where doc_id % 10 = 0)
     select doc_id, {_duck_features()} from e""")
 def sequence_features(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").where(expr.peptide(F.col("text")) != "").select("doc_id", "text")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id % 10 = 0").select(-1 - F.col("doc_id"), F.lit(" ")))  # rows without a sequence
     rows = peptides.with_sequence_features(docs, "text").drop("text")
     return rows.select("doc_id", "seq_len", *[F.round(n, 9).alias(n) for n in rows.columns[2:]])
 
 
-@query(f"""{CAND}, b as (select candidate_id, case when binding_affinity_nm > 0 then -log10(binding_affinity_nm) end as x, ln(1 + expression_tpm) as y from cand where expression_tpm > -1 or expression_tpm is null),
+@query(f"""{CAND}, b as (select candidate_id, case when binding_affinity_nm > 0 then -log10(binding_affinity_nm) end as x, case when expression_tpm > -1 then ln(1 + expression_tpm) end as y from cand),
     s as (select avg(x) as mx, stddev_samp(x) as sx, avg(y) as my, stddev_samp(y) as sy from b)
     select candidate_id, round(((x - mx) / sx + (y - my) / sy) / 2, 6) as baseline_pvac_style_score from b, s""")
 def zscore_composite(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.candidates(spark, d).where("expression_tpm > -1 or expression_tpm is null").select("candidate_id", "mutant_peptide", "wildtype_peptide", "binding_affinity_nm", "expression_tpm")
+    rows = c.candidates(spark, d).select("candidate_id", "mutant_peptide", "wildtype_peptide", "binding_affinity_nm", "expression_tpm")
     return baseline.with_baselines(rows).select("candidate_id", F.round("baseline_pvac_style_score", 6).alias("baseline_pvac_style_score"))
 
 
-@query(f"""{CAND} select candidate_id, 1 - least(greatest(binding_percentile_rank, 0), 100) / 100 as rank_score, round(ln(1 + greatest(expression_tpm, 0)), 9) as log_expression,
-    round(-log10(greatest(dna_vaf, 1e-12)), 9) as agretopicity from (select * replace (case when dna_vaf is null then null else dna_vaf end as dna_vaf) from cand where binding_percentile_rank is not null and expression_tpm is not null)""")
+@query(f"""{CAND} select candidate_id, case when clonality_ccf is not null then clonality_ccf end as baseline_presentation_score, binding_percentile_rank as baseline_binding_score, rna_vaf as baseline_gartner_nmer_score,
+    -dna_vaf as baseline_netmhcpan_el_score, -expression_tpm as baseline_mhcflurry_score from cand""")
+def baseline_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The baselines of source columns; the candidates' numbers stand for them."""
+    names = {"clonality_ccf": "bigmhc_el_score", "binding_percentile_rank": "binding_score", "rna_vaf": "Nmer score", "dna_vaf": "Top netMHCpan4.0 EL ranked minimal",
+             "expression_tpm": "Top MHCflurry ranked minimal"}
+    rows = c.candidates(spark, d).select("candidate_id", *[F.col(n).alias(alias) for n, alias in names.items()])
+    return baseline.with_baselines(rows).select("candidate_id", "baseline_presentation_score", "baseline_binding_score", "baseline_gartner_nmer_score",
+                                                "baseline_netmhcpan_el_score", "baseline_mhcflurry_score")
+
+
+@query(f"""{CAND} select candidate_id, case when binding_percentile_rank is not null then 1 - least(greatest(binding_percentile_rank, 0), 100) / 100 end as rank_score,
+    case when expression_tpm is not null then round(ln(1 + greatest(expression_tpm, 0)), 9) end as log_expression, round(-log10(greatest(dna_vaf, 1e-12)), 9) as agretopicity from cand""")
 def derived_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.candidates(spark, d).where("binding_percentile_rank is not null and expression_tpm is not null")
-    return rows.select("candidate_id", expr.rank_to_score(F.col("binding_percentile_rank")).alias("rank_score"),
-                       F.round(expr.log_expression(F.col("expression_tpm")), 9).alias("log_expression"), F.round(expr.agretopicity(F.col("dna_vaf")), 9).alias("agretopicity"))
+    return c.candidates(spark, d).select(
+        "candidate_id", expr.rank_to_score(F.col("binding_percentile_rank")).alias("rank_score"), F.round(expr.log_expression(F.col("expression_tpm")), 9).alias("log_expression"),
+        F.round(expr.agretopicity(F.col("dna_vaf")), 9).alias("agretopicity"),
+    )
 
 
 @query(f"""{CAND} select count(*) as row_count, count_if(trim(candidate_id) = '') as blank_candidate_id, count_if(trim(patient_id) = '') as blank_patient_id, count_if(trim(mutant_peptide) = '') as blank_mutant_peptide,
@@ -259,3 +274,142 @@ def portfolio_extract(spark: SparkSession, d: str) -> DataFrame:
     """The selected rows, as reports show them."""
     ranked = select.portfolio(_scored(spark, d), POLICY).where("selected")
     return ranked.select("patient_id", "rank", "candidate_id", "gene_symbol", "mutation_id", "mutant_peptide", "hla_allele", "evidence_score", "selection_reason")
+
+
+_BROKEN = "case when candidate_id like '%7' then mutant_peptide || 'X' when candidate_id like '%3' then '' else mutant_peptide end"
+_CHANGE = "case when candidate_id like '%1' then 'P.' || 'G12' || substr(mutant_peptide, 4, 1) else 'p.a9w' end"
+
+
+@query(f"""with {c.SQL.replace('cand as (select * exclude', 'whole as (select * exclude')}, cand as (select * replace ({_BROKEN} as mutant_peptide, {_CHANGE} as protein_variant) from whole), {c.GATED},
+    meant as (select *, case when gate in ('MALFORMED_AA', 'BAD_CLASS_I_LENGTH', 'DUP_CANDIDATE') then gate
+        when upper(source_variant_type) in ('SNV', 'SNP', 'MISSENSE') and strpos(mutant_peptide, upper(right(protein_variant, 1))) = 0 then 'MUT_NOT_IN_PEPTIDE' else gate end as gate2 from gated)
+    select candidate_id, gate as reason, gate2 as intended_reason from meant""")
+def gate_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The gate over candidates that also break its first and fourth rule; the fourth as it is, and as it seems to be meant."""
+    rows = c.candidates(spark, d).withColumns({"protein_variant": F.expr(_CHANGE), "mutant_peptide": F.expr(_BROKEN)})
+    found = gate.tagged(rows, ["candidate_id"]).withColumnRenamed("deterministic_gate_reason", "reason").drop("deterministic_gate_pass", "deterministic_gate_policy")
+    return gate.tagged(found, ["candidate_id"], intended_missense=True).select("candidate_id", "reason", F.col("deterministic_gate_reason").alias("intended_reason"))
+
+
+@query(f"""{CAND}, e as (select patient_id, transcript_id, {', '.join(f'max({v}) as {v}' for v in evidence.VALUES if v not in ('presentation_score', 'recognition_score'))}, max(dna_vaf) / 2 as presentation_score,
+        max(rna_vaf) / 4 as recognition_score from cand where candidate_id like '%-1-%' group by all)
+    select candidate_id, {', '.join(f'coalesce(e.{v}, cand.{v}) as {v}' for v in evidence.VALUES if v not in ('presentation_score', 'recognition_score'))}, presentation_score, recognition_score
+    from cand left join e using (patient_id, transcript_id)""")
+def evidence_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """All evidence values, on the most specific key that both tables have: patient and transcript."""
+    rows = c.candidates(spark, d)
+    own = [v for v in evidence.VALUES if v in rows.columns]
+    found = rows.where("candidate_id like '%-1-%'").groupBy("patient_id", "transcript_id").agg(
+        *[F.max(v).alias(v) for v in own], (F.max("dna_vaf") / 2).alias("presentation_score"), (F.max("rna_vaf") / 4).alias("recognition_score"))
+    return evidence.merged(rows, found).select("candidate_id", *evidence.VALUES)
+
+
+@query(f"""{CAND} select key, count(*) as n, count(*) filter (copies > 1) as repeated from (select 'patient_id+mutation_id' as key, count(*) as copies from cand group by patient_id, mutation_id
+    union all select 'patient_id+candidate_id', count(*) from cand group by patient_id, candidate_id union all select 'patient_id+mutation_id+transcript_id', count(*) from cand group by patient_id, mutation_id, transcript_id) group by key""")
+def evidence_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The key that evidence with some columns is joined on, and how many of its values are there twice."""
+    rows, out = c.candidates(spark, d), None
+    for columns in (["patient_id", "mutation_id", "gene_symbol"], ["patient_id", "candidate_id", "mutation_id"], ["patient_id", "transcript_id", "mutation_id"]):
+        key = evidence.key_of(rows.columns, columns)
+        copies = rows.groupBy(*key).agg(F.count("*").alias("copies"))
+        one = copies.agg(F.count("*").alias("n"), F.count_if(F.col("copies") > 1).alias("repeated")).select(F.lit("+".join(key)).alias("key"), "n", "repeated")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"""{CAND} select 'neo:' || candidate_id as candidate_id, 'neo' as source_dataset, 'neo' as study_id, patient_id, coalesce(hla_allele, '') as hla_allele, mutant_peptide, wildtype_peptide,
+    case when expression_call = 'no' then 'negative' when hla_loh_call = 'lost' then 'unknown' else 'positive' end as label, case when expression_call <> 'no' and hla_loh_call = 'lost' then 0.0::double else 1.0::double end as label_weight,
+    'unknown' as assay_type, gene_symbol, expression_tpm as "rnaseq_TPM", expression_tpm, mutant_peptide || '|' || hla_allele as mutant_hla_key from cand""")
+def normalize_generic(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates under a data set's names, as text, brought to the shared research schema."""
+    from portolan.plans import datasets
+
+    rows = c.candidates(spark, d).select(
+        F.concat(F.lit("neo:"), "candidate_id").alias("candidate_id"), F.xxhash64("candidate_id").alias(datasets.ORDER), F.col("patient_id").alias("patient"), F.col("hla_allele").alias("HLA"),
+        F.col("mutant_peptide").alias("mutant_seq"), F.col("wildtype_peptide").alias("wt_seq"), F.col("gene_symbol").alias("gene"), F.col("expression_tpm").cast("string").alias("rnaseq_TPM"),
+        F.expr("case when expression_call = 'no' then 'Negative' when hla_loh_call = 'lost' then 'not_tested' else ' CD8 ' end").alias("response_type"),
+    )
+    out = datasets.neoranking_of(rows, "neo")
+    return out.select("candidate_id", "source_dataset", "study_id", "patient_id", "hla_allele", "mutant_peptide", "wildtype_peptide", "label", "label_weight", "assay_type", "gene_symbol",
+                      "rnaseq_TPM", "expression_tpm", "mutant_hla_key")
+
+
+_KNOWN = """cand2 as (select *, case when candidate_id like '%1' then 'positive' else 'negative' end as label from cand)"""
+
+
+@query(f"""{CAND}, {_KNOWN}, f as (select *, count(*) over (partition by patient_id, mutant_peptide, hla_allele) as n, row_number() over (partition by patient_id, mutant_peptide, hla_allele order by candidate_id) as r from cand2)
+    select patient_id as source_patient_id, 'cd8_multimer_2025:' || patient_id as patient_id, mutant_peptide, hla_allele, 'phla_multimer_til' as assay_type, n::varchar as source_duplicate_count, binding_percentile_rank as netmhcpan_el_percentile_rank,
+    case when binding_percentile_rank is not null then 1 - least(greatest(binding_percentile_rank, 0), 100) / 100 end as netmhcpan_el_score, round(-log10(greatest(dna_vaf, 1e-12)), 9) as agretopicity_score from f where r = 1""")
+def normalize_cd8(spark: SparkSession, d: str) -> DataFrame:
+    from portolan.plans import datasets
+
+    rows = c.candidates(spark, d)
+    order = F.row_number().over(Window.partitionBy("patient_id", "mutant_peptide", "hla_allele").orderBy("candidate_id")).cast("long")
+    rows = rows.select(
+        order.alias(datasets.ORDER), F.col("patient_id").alias("Patient ID"), F.col("wildtype_peptide").alias("WT epitope"), F.col("mutant_peptide").alias("MUT epitope"), F.col("hla_allele").alias("HLA"),
+        F.lit("positive").alias("Response"), F.lit(" TIL").alias("Dataset"), F.lit("mel").alias("Tumor type"), F.col("binding_percentile_rank").cast("string").alias("EL (%Rank score)"),
+        F.col("dna_vaf").cast("string").alias("Agretopicity"),
+    )
+    # here a row's number is its place within its group, so ids repeat: the schema is checked on the rows without them
+    out = datasets.cd8_multimer_of(rows, checked=False)
+    return out.select("source_patient_id", "patient_id", "mutant_peptide", "hla_allele", "assay_type", "source_duplicate_count", "netmhcpan_el_percentile_rank", "netmhcpan_el_score",
+                      F.round("agretopicity_score", 9).alias("agretopicity_score"))
+
+
+@query(f"""{CAND}, {_KNOWN} select 'improve:' || patient_id as patient_id, 'improve_mel' as study_id, hla_allele, mutant_peptide, label, candidate_id as official_partition, rna_vaf as rna_variant_allele_fraction, expression_tpm,
+    case when expression_tpm is not null then round(ln(1 + greatest(expression_tpm, 0)), 9) end as log_expression_tpm from cand2""")
+def normalize_improve(spark: SparkSession, d: str) -> DataFrame:
+    from portolan.plans import datasets
+
+    rows = c.candidates(spark, d)
+    rows = rows.select(
+        F.xxhash64("candidate_id").alias(datasets.ORDER), F.col("patient_id").alias("Patient"), F.col("hla_allele").alias("HLA_allele"), F.col("wildtype_peptide").alias("Norm_peptide"),
+        F.col("mutant_peptide").alias("Mut_peptide"), F.when(F.col("candidate_id").like("%1"), "1").otherwise("0").alias("response"), F.lit("mel").alias("cohort"), F.col("candidate_id").alias("Partition"),
+        F.col("rna_vaf").cast("string").alias("rna_af"), F.col("expression_tpm").cast("string").alias("Expression"),
+    )
+    return datasets.improve_of(rows).select("patient_id", "study_id", "hla_allele", "mutant_peptide", "label", "official_partition", "rna_variant_allele_fraction", "expression_tpm",
+                                            F.round("log_expression_tpm", 9).alias("log_expression_tpm"))
+
+
+@query(f"""{CAND}, {_KNOWN} select 'bigmhc_' || hla_allele as patient_id, 'bigmhc_part' as study_id, hla_allele, mutant_peptide, label, clonality_ccf as bigmhc_el_score from cand2""")
+def normalize_bigmhc(spark: SparkSession, d: str) -> DataFrame:
+    from portolan.plans import datasets
+
+    rows = c.candidates(spark, d).select(
+        F.xxhash64("candidate_id").alias(datasets.ORDER), F.col("hla_allele").alias("mhc"), F.col("mutant_peptide").alias("pep"), F.when(F.col("candidate_id").like("%1"), "1").otherwise("0").alias("tgt"),
+        F.col("clonality_ccf").cast("string").alias("BigMHC_EL"),
+    )
+    return datasets.bigmhc_of(rows, "part").select("patient_id", "study_id", "hla_allele", "mutant_peptide", "label", "bigmhc_el_score")
+
+
+@query(f"""{CAND}, {_KNOWN} select 'tesla_unknown' as patient_id, hla_allele, mutant_peptide, label, mutant_peptide || '|' || hla_allele as mutant_hla_key from cand2""")
+def normalize_tesla(spark: SparkSession, d: str) -> DataFrame:
+    from portolan.plans import datasets
+
+    rows = c.candidates(spark, d).select(
+        F.xxhash64("candidate_id").alias(datasets.ORDER), F.col("hla_allele").alias("allele"), F.col("mutant_peptide").alias("peptide"), F.when(F.col("candidate_id").like("%1"), "1").otherwise("0").alias("target_value"),
+    )
+    return datasets.tesla_of(rows).select("patient_id", "hla_allele", "mutant_peptide", "label", "mutant_hla_key")
+
+
+@query(f"""{CAND} select patient_id, mutant_peptide, hla_allele, case when l = 'cd8' or l = '1' then 'positive' when l = '0' or l = '-' then 'negative' else 'unknown' end as label, rna_vaf as baseline_netmhc_rank
+    from (select *, case candidate_id[-1] when '1' then 'cd8' when '2' then '1' when '3' then '0' when '4' then '-' else 'unscreened' end as l from cand)""")
+def normalize_gartner(spark: SparkSession, d: str) -> DataFrame:
+    from portolan.plans import datasets
+
+    status = "case right(candidate_id, 1) when '1' then 'CD8' when '2' then '1' when '3' then ' 0' when '4' then '-' else 'unscreened' end"
+    rows = c.candidates(spark, d).select(
+        F.xxhash64("candidate_id").alias(datasets.ORDER), F.col("patient_id").alias("ID"), F.col("mutant_peptide").alias("Mut Epitope"), F.col("wildtype_peptide").alias("Wt Epitope"), F.col("hla_allele").alias("HLA"),
+        F.expr(status).alias("Screening Status"), F.col("rna_vaf").cast("string").alias("Rank NetMHC"),
+    )
+    return datasets.gartner_of(rows).select("patient_id", "mutant_peptide", "hla_allele", "label", "baseline_netmhc_rank")
+
+
+@query(f"{CAND} select rtrim(p) as patient_id, count(*) as n from (select case candidate_id[-1] when '1' then patient_id || ' ' else patient_id end as p from cand) group by all")
+def patient_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Patient ids lose the white space around them before anything is grouped by them."""
+    from portolan.plans import product
+
+    padded = F.expr("case right(candidate_id, 1) when '1' then concat(patient_id, ' ') when '2' then concat('\t', patient_id) else patient_id end")
+    rows = c.candidates(spark, d).select("candidate_id", padded.alias("Patient"), F.col("mutant_peptide").alias("Peptide"))
+    return product.normalized(rows, order="candidate_id").groupBy("patient_id").agg(F.count("*").alias("n"))

@@ -104,15 +104,15 @@ def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumns({new: _c(old) for old, new in names.items() if old in df.columns and new not in df.columns})
 
 
-def _finished(df: DataFrame, features: bool = True) -> DataFrame:
+def _finished(df: DataFrame, features: bool = True, checked: bool = True) -> DataFrame:
     rows = peptides.with_deltas(df) if features else df
     pep, wt, allele = expr.peptide(F.col("mutant_peptide")), expr.peptide(F.col("wildtype_peptide")), expr.hla(F.col("hla_allele"))
     rows = rows.withColumns({
         "mutant_peptide_norm": pep, "wildtype_peptide_norm": wt, "hla_allele_norm": allele,
         "mutant_hla_key": expr.pair_key(pep, allele), "wildtype_hla_key": expr.pair_key(wt, allele),
     })
-    report = contracts.research_report(rows)
-    if not report.ok:
+    report = contracts.research_report(rows) if checked else None
+    if report and not report.ok:
         raise ValueError(f"the normalised table violates the schema: {report}")
     return rows
 
@@ -133,12 +133,19 @@ def generic(df: DataFrame, dataset: str, study: str | None = None, features: boo
     return _finished(rows, features)
 
 
+def neoranking_of(df: DataFrame, dataset: str = "neoranking") -> DataFrame:
+    return _renamed(generic(df, dataset), NEORANKING)
+
+
 def neoranking(spark: SparkSession, path: str) -> DataFrame:
-    return _renamed(generic(read_table(spark, path), "neoranking"), NEORANKING)
+    return neoranking_of(read_table(spark, path))
 
 
 def gartner(spark: SparkSession, path: str) -> DataFrame:
-    df = read_table(spark, path)
+    return gartner_of(read_table(spark, path))
+
+
+def gartner_of(df: DataFrame) -> DataFrame:
     out = generic(df, "gartner_nci")
     if "Screening Status" in df.columns:
         status = F.lower(expr.strip(_c("Screening Status")))
@@ -150,41 +157,54 @@ def gartner(spark: SparkSession, path: str) -> DataFrame:
     return _renamed(out, GARTNER)
 
 
-def _binary(name: str) -> Column:
-    return F.when(expr.number(_c(name)).cast("int") == 1, "positive").otherwise("negative")
+def _binary(df: DataFrame, what: str, name: str) -> Column:
+    """positive for 1, negative for any other number (its fraction is cut off). A cell that is missing or no number is no label: an error."""
+    value = expr.number(_c(name))
+    wrong = df.where(value.isNull() | (F.abs(value) == float("inf"))).select(_c(name)).take(1)
+    if wrong:
+        raise ValueError(f"{what} table: {name} is not a number: {wrong[0][0]!r}")
+    return F.when((value >= 1) & (value < 2), "positive").otherwise("negative")
 
 
 def tesla(spark: SparkSession, path: str) -> DataFrame:
-    df = read_table(spark, path)
+    return tesla_of(read_table(spark, path))
+
+
+def tesla_of(df: DataFrame) -> DataFrame:
     _require(df, "TESLA", "peptide", "target_value", "allele")
     return _finished(df.select(
         ORDER, F.concat(F.lit("tesla:"), F.col(ORDER)).alias("candidate_id"), F.lit("tesla").alias("source_dataset"), F.lit("tesla_wells_2020").alias("study_id"),
         F.lit("tesla_unknown").alias("patient_id"), _text(df, "allele").alias("hla_allele"), _text(df, "peptide").alias("mutant_peptide"), F.lit("").alias("wildtype_peptide"),
-        _binary("target_value").alias("label"), F.lit(1.0).alias("label_weight"), F.lit("tesla_target_value").alias("assay_type"),
+        _binary(df, "TESLA", "target_value").alias("label"), F.lit(1.0).alias("label_weight"), F.lit("tesla_target_value").alias("assay_type"),
     ), features=False)
 
 
 def bigmhc(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
-    df = read_table(spark, path, member)
+    return bigmhc_of(read_table(spark, path, member), PurePosixPath(member or path).stem)
+
+
+def bigmhc_of(df: DataFrame, part: str) -> DataFrame:
     _require(df, "BigMHC", "mhc", "pep", "tgt")
-    part = PurePosixPath(member or path).stem
     core = {
         "candidate_id": F.concat(F.lit(f"bigmhc:{part}:"), F.col(ORDER)), "source_dataset": F.lit("bigmhc"), "study_id": F.lit(f"bigmhc_{part}"),
         "patient_id": F.concat(F.lit("bigmhc_"), _text(df, "mhc")), "hla_allele": _text(df, "mhc"), "mutant_peptide": _text(df, "pep"),
-        "wildtype_peptide": _text(df, "wtp"), "label": _binary("tgt"), "label_weight": F.lit(1.0), "assay_type": F.lit("bigmhc_immunogenicity"),
+        "wildtype_peptide": _text(df, "wtp"), "label": _binary(df, "BigMHC", "tgt"), "label_weight": F.lit(1.0), "assay_type": F.lit("bigmhc_immunogenicity"),
     } | ({"gene_symbol": _text(df, "gene")} if "gene" in df.columns else {})
     numeric = _numeric(df, set(core))
     return _finished(_renamed(df.select(ORDER, *[x.alias(n) for n, x in (core | numeric).items()]), BIGMHC))
 
 
-def _known(df: DataFrame, core: dict[str, Column], names: dict[str, str]) -> DataFrame:
+def _known(df: DataFrame, core: dict[str, Column], names: dict[str, str], checked: bool = True) -> DataFrame:
     numbers = {new: expr.number(_c(old)) for old, new in names.items() if old in df.columns}
     rows = df.select(ORDER, *[x.alias(n) for n, x in (core | numbers).items()])
-    return _finished(rows.withColumns({new: f(F.col(old)) for old, new, f in DERIVED if old in numbers}))
+    return _finished(rows.withColumns({new: f(F.col(old)) for old, new, f in DERIVED if old in numbers}), checked=checked)
 
 
 def cd8_multimer(spark: SparkSession, path: str) -> DataFrame:
-    df = read_table(spark, path)
+    return cd8_multimer_of(read_table(spark, path))
+
+
+def cd8_multimer_of(df: DataFrame, checked: bool = True) -> DataFrame:
     _require(df, "CD8 multimer", "Patient ID", "WT epitope", "MUT epitope", "HLA", "Response", "Dataset", "Tumor type")
     keys = ["Patient ID", "MUT epitope", "HLA"]
     n = conflicts(df, keys, "Response").count()
@@ -200,13 +220,16 @@ def cd8_multimer(spark: SparkSession, path: str) -> DataFrame:
         "source_patient_id": _text(df, "Patient ID"), "source_patient_alias": _text(df, "Alt. ID"), "specimen_source": _text(df, "Dataset"), "tumor_type": _text(df, "Tumor type"),
         "gene_symbol": _text(df, "SYMBOL"), "ensembl_gene_id": _text(df, "ENSG"), "genome_assembly": _text(df, "Genome assembly"),
         "source_duplicate_count": F.col("__copies").cast("string"),
-    }, CD8)
+    }, CD8, checked)
 
 
 def improve_cv(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
     if path.lower().endswith(".zip") and member is None:
         member = IMPROVE_MEMBER
-    df = read_table(spark, path, member)
+    return improve_of(read_table(spark, path, member))
+
+
+def improve_of(df: DataFrame) -> DataFrame:
     _require(df, "IMPROVE", "Patient", "HLA_allele", "Norm_peptide", "Mut_peptide", "response", "cohort", "Partition")
     if df.where(expr.label(_c("response")) == "unknown").take(1):
         raise ValueError("IMPROVE table has labels that are neither positive nor negative")

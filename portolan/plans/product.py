@@ -13,8 +13,9 @@ from portolan.functions import expr
 from portolan.operators import contracts, evidence, gate, score, select
 from portolan.sources import tables
 
-SCHEMA_VERSION = "candidate-1.0.0"
-RANKED_VERSION = "ranked-1.0.0"
+POLICY_NAME = "deterministic_evidence_policy_v1_not_a_validated_response_probability"  # fixed value
+ONE_FILE = 1_000_000  # ranked rows of one patient that may be a single CSV file
+MOST_PATIENTS = 10_000  # whose summaries and selected rows may be in the JSON and Markdown files
 
 # Each canonical field and the names under which inputs carry it, best first.
 ALIASES = {
@@ -43,7 +44,7 @@ ALIASES = {
     "presentation_score": ("presentation_score", "mhcflurry_presentation_score", "bigmhc_el_score"),
     "recognition_score": ("recognition_score", "prime_source_score", "foreignness_score"),
 }
-NUMBERS = tuple(ALIASES)[13:]
+NUMBERS = evidence.VALUES
 TEXTS = ("gene_symbol", "transcript_id", "mutation_id", "protein_variant", "source_variant_type", "mhc_class", "hla_allele", "hla_loh_call", "expression_call", "wildtype_peptide")
 DERIVED = (("tumor_vaf", "dna_vaf", "copy"), ("mixmhcpred_rank", "presentation_score", "rank"), ("prime_rank", "recognition_score", "rank"))
 
@@ -79,6 +80,7 @@ def normalized(df: DataFrame, patient_id: str | None = None, source: str = "prod
         raise ValueError("no mutant peptide column")
     for field in TEXTS:
         columns.setdefault(field, F.lit(""))
+    columns["patient_id"] = expr.strip(F.coalesce(columns["patient_id"], F.lit("")))
     columns["mutant_peptide"], columns["wildtype_peptide"] = expr.peptide(columns["mutant_peptide"]), expr.peptide(columns["wildtype_peptide"])
     columns["hla_allele"] = expr.hla(columns["hla_allele"])
     given = columns.pop("candidate_id", None)
@@ -89,25 +91,24 @@ def normalized(df: DataFrame, patient_id: str | None = None, source: str = "prod
     else:
         blank = F.col("__given").isNull() | (expr.strip(F.col("__given")) == "")
         rows = rows.withColumn("candidate_id", F.when(blank, own).otherwise(F.col("__given"))).drop("__given")
-    out = rows.withColumns({"source_name": F.lit(source), "candidate_schema_version": F.lit(SCHEMA_VERSION)})
-    _check(contracts.report(out), "candidate input")
+    out = rows.withColumns({"source_name": F.lit(source), "candidate_schema_version": F.lit(contracts.CANDIDATE_VERSION)})
+    contracts.check(out, "candidate input")
     return out
 
 
-def _check(report: contracts.Report, what: str) -> None:
-    if not report.ok:
-        raise ValueError(f"{what} violates the product contract: {report}")
-
-
-def ranked(df: DataFrame, policy: score.Policy = score.Policy(), order: str = tables.ORDER) -> DataFrame:
-    """Gate, scores, tiers and the selection of a canonical table, every row in it."""
-    _check(contracts.report(df), "candidate input")
+def ranked(df: DataFrame, policy: score.Policy = score.Policy(), order: str = tables.ORDER, checked: bool = False) -> DataFrame:
+    """Gate, scores, tiers and the selection of a canonical table, every row in it. checked: the table is known to keep its contract, as
+    `normalized` gives it."""
+    if not checked:
+        contracts.check(df, "candidate input")
     gated = gate.tagged(df, [order]) if policy.apply_gate else gate.disabled(df)
-    return select.portfolio(score.scored(gated, policy), policy).withColumn("ranked_schema_version", F.lit(RANKED_VERSION))
+    return select.portfolio(score.scored(gated, policy), policy).withColumn("ranked_schema_version", F.lit(contracts.RANKED_VERSION))
 
 
 def load(spark: SparkSession, path: str, patient_id: str | None = None, rna_path: str | None = None) -> DataFrame:
-    rows = normalized(tables.read_table(spark, path), patient_id)
+    """The canonical table of a file, with the RNA evidence of another. Its rows are kept, as they are parsed once for the contract's check
+    and once for each use."""
+    rows = normalized(tables.read_table(spark, path).persist(), patient_id)
     if rna_path is None:
         return rows
     rna = tables.read_table(spark, rna_path)
@@ -120,19 +121,38 @@ def load(spark: SparkSession, path: str, patient_id: str | None = None, rna_path
 
 
 def write_report(ranking: DataFrame, folder: str) -> dict[str, str]:
-    """The ranked table as CSV, and its summaries as JSON and Markdown. Only counts and selected rows (k a patient) come to the driver."""
-    ranking = ranking.cache()
+    """The ranked table as CSV, and its summaries as JSON and Markdown.
+
+    Raises where the table breaks the ranked contract. One patient's table is a single CSV file; several patients' is a folder of parts that
+    the executors write. Summaries and selected rows (k a patient) come to the driver for up to MOST_PATIENTS; beyond, they are folders
+    too, which report.json names.
+    """
+    ranking = ranking.persist()
     try:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        csv = f"{folder}/ranked_candidates.csv"
-        tables.write_csv(select.final_order(ranking.drop(tables.ORDER)), csv)
+        contracts.check(ranking, "ranked output", contracts.RANKED)
+        csv, summaries = f"{folder}/ranked_candidates.csv", select.patient_summary(ranking)
+        n_patients = summaries.count()
+        rows = ranking.drop(tables.ORDER)
+        if n_patients <= 1 and rows.count() <= ONE_FILE:
+            tables.write_csv(select.final_order(rows), csv)
+        else:
+            tables.write_csv_parts(select.final_order(rows), csv)
         checked = gate.summary(ranking).first().asDict()
         checked["reason_counts"] = {r["reason"]: r["n"] for r in gate.reasons(ranking).orderBy(F.col("n").desc(), "reason").collect()}
-        patients = [r.asDict() for r in select.patient_summary(ranking).orderBy("patient_id").collect()]
+        report = {"schema_version": contracts.RANKED_VERSION, "policy": POLICY_NAME, "deterministic_gate": checked}
+        patients: list[dict] = []
         chosen: dict[str, list] = {}
-        for r in ranking.where("selected").orderBy("patient_id", "rank").collect():
-            chosen.setdefault(r["patient_id"], []).append(r)
-        Path(f"{folder}/report.json").write_text(json.dumps({"schema_version": RANKED_VERSION, "deterministic_gate": checked, "patients": patients}, indent=2) + "\n")
+        if n_patients <= MOST_PATIENTS:
+            patients = [r.asDict() for r in summaries.orderBy("patient_id").collect()]
+            for r in ranking.where("selected").orderBy("patient_id", "rank").collect():
+                chosen.setdefault(r["patient_id"], []).append(r)
+            report["patients"] = patients
+        else:
+            report |= {"patients_folder": f"{folder}/patients", "selected_folder": f"{folder}/selected"}
+            summaries.write.mode("overwrite").json(report["patients_folder"])
+            ranking.where("selected").drop(tables.ORDER).write.mode("overwrite").json(report["selected_folder"])
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        Path(f"{folder}/report.json").write_text(json.dumps(report, indent=2) + "\n")
         Path(f"{folder}/report.md").write_text(_markdown(checked, patients, chosen))
     finally:
         ranking.unpersist()
@@ -155,4 +175,4 @@ def _markdown(checked: dict, patients: list[dict], chosen: dict[str, list]) -> s
 
 
 def run_patient(spark: SparkSession, path: str, folder: str, patient_id: str | None = None, rna_path: str | None = None, policy: score.Policy = score.Policy()) -> dict[str, str]:
-    return write_report(ranked(load(spark, path, patient_id, rna_path), policy), folder)
+    return write_report(ranked(load(spark, path, patient_id, rna_path), policy, checked=rna_path is None), folder)

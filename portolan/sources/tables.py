@@ -6,9 +6,13 @@ import csv
 import io
 import re
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import islice
 from pathlib import Path, PurePosixPath
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +33,54 @@ def _named(header: list[str]) -> list[str]:
     return out
 
 
-def _local(spark: SparkSession, rows: list[list[str | None]]) -> DataFrame:
-    """A table that came out of an archive on the driver: such files are single and small."""
-    if not rows:
-        raise ValueError("the table has no header")
-    names = _named([x or "" for x in rows[0]])
-    schema = T.StructType([T.StructField(ORDER, T.LongType()), *[T.StructField(n, T.StringType()) for n in names]])
-    fill = lambda row: [*row[: len(names)], *[None] * (len(names) - len(row))]
-    data = [(i, *[None if x is None or x in MISSING else x for x in fill(r)]) for i, r in enumerate(rows[1:]) if any(x not in (None, "") for x in r)]
-    return spark.createDataFrame(data, schema)
+def numbered(df: DataFrame, to: str = ORDER) -> DataFrame:
+    """df with the place of each row in its scan, from 0 without gaps. Spark's own row ids start anew in each partition, so each
+    partition's count (one small row) gives its offset."""
+    ids = df.withColumn("__id", F.monotonically_increasing_id())
+    part, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["n"] for r in ids.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    offsets, at = [], 0
+    for p in range(max(counts, default=0) + 1):
+        offsets.append(at)
+        at += counts.get(p, 0)
+    if len(offsets) == 1:
+        return ids.withColumnRenamed("__id", to)
+    starts = df.sparkSession.createDataFrame(list(enumerate(offsets)), "__p long, __start long")
+    # a row for each partition of the scan
+    found = ids.withColumn("__p", part).join(F.broadcast(starts), "__p")
+    return found.withColumn(to, F.col("__start") + inside).drop("__p", "__start", "__id")
+
+
+def _unpacked(spark: SparkSession, path: str, rows: Callable[[bytes], Iterator[list[str | None]]]) -> DataFrame:
+    """The table in an archive or workbook, which is opened in a task; only its header comes to the driver."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                try:
+                    head, problem = next(rows(data), None), "the table has no header"
+                except ValueError as wrong:
+                    head, problem = None, str(wrong)
+                head = None if head is None else [x or "" for x in head]
+                yield pa.RecordBatch.from_arrays([pa.array([head], pa.list_(pa.string())), pa.array([problem])], ["head", "problem"])
+
+    head = files.mapInArrow(first, "head array<string>, problem string").first()
+    if head is None or head["head"] is None:
+        raise ValueError(head["problem"] if head else f"no such file: {path}")
+    names = _named(head["head"])
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(ORDER, pa.int64()), *[(n, pa.string()) for n in names]])
+        cell = lambda x: None if x is None or x in MISSING else x
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                lines = enumerate(r for r in islice(rows(data), 1, None) if any(x not in (None, "") for x in r))
+                while part := list(islice(lines, 10_000)):
+                    columns = zip(*[[cell(x) for x in r[: len(names)]] + [None] * (len(names) - len(r)) for _, r in part], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), *[pa.array(c, pa.string()) for c in columns]], schema=schema)
+
+    return files.mapInArrow(body, T.StructType([T.StructField(ORDER, T.LongType()), *[T.StructField(n, T.StringType()) for n in names]]))
 
 
 def _separator(head: str, suffix: str) -> str:
@@ -49,38 +92,57 @@ def _delimited(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     first = spark.read.text(path).limit(1).first()
     head = first[0] if first else ""
     sep = _separator(head, suffix)
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, quote='"', escape='"', multiLine=True)
+    # a file with a line break inside quotes has a line with an odd number of quotes; only such a file can't be split
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, quote='"', escape='"', multiLine=broken)
     # the header's own names: Spark renames blank and repeated ones
     names = next(csv.reader([head.lstrip("\ufeff")], delimiter=sep), [])
-    # within one file ids grow in the order of its rows
-    df = df.toDF(*_named(names if len(names) == len(df.columns) else df.columns)).withColumn(ORDER, F.monotonically_increasing_id())
+    df = numbered(df.toDF(*_named(names if len(names) == len(df.columns) else df.columns)))
     return df.select(ORDER, *[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns if c != ORDER])
 
 
-def _zipped(spark: SparkSession, data: bytes, member: str | None) -> DataFrame:
+def _zipped(data: bytes, member: str | None) -> Iterator[list[str | None]]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         names = [n for n in archive.namelist() if not n.endswith("/") and not n.startswith("__MACOSX/")]
         if member is None and len(names) != 1:
             raise ValueError(f"the archive has {len(names)} files; name one of them")
         member = member or names[0]
-        lines = archive.read(member).decode("utf-8-sig")
-    sep = _separator(lines.split("\n", 1)[0], PurePosixPath(member).suffix.lower())
-    return _local(spark, list(csv.reader(io.StringIO(lines, newline=""), delimiter=sep)))
+        with io.TextIOWrapper(archive.open(member), "utf-8-sig", newline="") as lines:
+            head = lines.readline()
+        with io.TextIOWrapper(archive.open(member), "utf-8-sig", newline="") as lines:
+            yield from csv.reader(lines, delimiter=_separator(head, PurePosixPath(member).suffix.lower()))
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def _workbook(spark: SparkSession, data: bytes) -> DataFrame:
-    """The first sheet of an .xlsx file. Cells are placed by their own references, whatever the sheet's stated dimensions say."""
+_LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _active_sheet(archive: zipfile.ZipFile) -> str:
+    """The file of the sheet that was open when the workbook was saved; the lowest number where the workbook doesn't say."""
+    files = archive.namelist()
+    if "xl/workbook.xml" in files and "xl/_rels/workbook.xml.rels" in files:
+        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+        view, sheets = book.find(f".//{_SHEET}workbookView"), book.findall(f".//{_SHEET}sheet")
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+        at = int(view.get("activeTab", "0")) if view is not None else 0
+        target = targets.get(sheets[at].get(f"{_LINKS}id"), "") if at < len(sheets) else ""
+        name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        if name in files:
+            return name
+    return min((n for n in files if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
+def _workbook(data: bytes) -> Iterator[list[str | None]]:
+    """The active sheet of an .xlsx file. Cells are placed by their own references, whatever the sheet's stated dimensions say."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         strings = []
         if "xl/sharedStrings.xml" in archive.namelist():
             for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
                 strings.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
-        sheet = min((n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        rows: list[list[str | None]] = []
-        for row in ElementTree.fromstring(archive.read(sheet)).iter(f"{_SHEET}row"):
+        for row in ElementTree.fromstring(archive.read(_active_sheet(archive))).iter(f"{_SHEET}row"):
             cells: list[str | None] = []
             for cell in row.iter(f"{_SHEET}c"):
                 at = 0
@@ -93,8 +155,7 @@ def _workbook(spark: SparkSession, data: bytes) -> DataFrame:
                     cells[at] = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
                 elif value is not None and value.text is not None:
                     cells[at] = strings[int(value.text)] if kind == "s" else {"0": "False", "1": "True"}.get(value.text, value.text) if kind == "b" else value.text
-            rows.append(cells)
-    return _local(spark, rows)
+            yield cells
 
 
 def read_table(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
@@ -104,18 +165,17 @@ def read_table(spark: SparkSession, path: str, member: str | None = None) -> Dat
     if suffix in (".csv", ".tsv", ".txt"):
         return _delimited(spark, path, suffix)
     if suffix in (".zip", ".xlsx"):
-        data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-        return _zipped(spark, data, member) if suffix == ".zip" else _workbook(spark, data)
+        return _unpacked(spark, path, partial(_zipped, member=member) if suffix == ".zip" else _workbook)
     if suffix == ".parquet":
         df = spark.read.parquet(path)
         text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c != ORDER else F.col(c) for c in df.columns])
-        return text if ORDER in df.columns else text.withColumn(ORDER, F.monotonically_increasing_id())
+        return text if ORDER in df.columns else numbered(text)
     raise ValueError(f"unsupported table format: {suffix or path}")
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """One CSV file with a header, for readers that want just that. Rows stream to the driver a partition at a time, in their order;
-    large tables should be written with DataFrame.write."""
+    """One CSV file with a header, for small tables whose readers want just that. Rows stream to the driver a partition at a time, in their
+    order; `write_csv_parts` is for all others."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", newline="") as out:
         writer = csv.writer(out)
@@ -123,3 +183,9 @@ def write_csv(df: DataFrame, path: str) -> str:
         for row in df.toLocalIterator():
             writer.writerow(["" if x is None else x for x in row])
     return path
+
+
+def write_csv_parts(df: DataFrame, path: str) -> str:
+    """A folder of CSV files, each with a header, written where the rows are; in the order of their names they have df's order."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return path

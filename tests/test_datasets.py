@@ -92,3 +92,20 @@ def test_improve(spark, tmp_path):
     assert contracts.supervised(datasets.improve_cv(spark, str(tmp_path / "i.tsv"))).count() == 1
     with pytest.raises(ValueError, match="neither"):
         datasets.improve_cv(spark, write(tmp_path, "j.tsv", head + "p\tA0201\tACDEF\tACDEY\tmaybe\tmel\t3\t10\t7\n"))
+
+
+def test_labels_that_are_no_numbers(spark, tmp_path):
+    for cell in ("", "abc"):
+        with pytest.raises(ValueError, match="not a number"):
+            datasets.tesla(spark, write(tmp_path, "t.csv", f"peptide,target_value,allele\nACDEFGHIK,1,A0201\nACDEFGHIL,{cell},A0201\n"))
+        with pytest.raises(ValueError, match="not a number"):
+            datasets.bigmhc(spark, write(tmp_path, "im.csv", f"mhc,pep,tgt\nHLA-A*02:01,ACDEFGHIK,{cell}\n"))
+
+
+def test_features_need_their_columns(spark):
+    df = spark.createDataFrame([("ACDEF", 10.0)], "mutant_peptide string, binding_affinity_nm double")
+    assert peptides.with_deltas(df).columns == df.columns
+    rows = baseline.with_baselines(df)
+    assert "seq_len" in rows.columns and "mutation_count" not in rows.columns and rows.first().baseline_binding_score == -1.0
+    bare = df.drop("mutant_peptide")
+    assert peptides.with_sequence_features(bare).columns == bare.columns and baseline.with_baselines(bare).first().baseline_pvac_style_score == 0.0

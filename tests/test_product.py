@@ -114,3 +114,62 @@ def test_readers(spark, tmp_path):
     assert [r.asDict() for r in tables.read_table(spark, str(tmp_path / "w.xlsx")).collect()] == [{"_ord": 0, "peptide": "ACDE", "unnamed_1": None, "target_value": "1"}]
     with pytest.raises(ValueError, match="unsupported"):
         tables.read_table(spark, str(tmp_path / "x.json"))
+
+
+def test_all_evidence_values(spark):
+    own = dict.fromkeys(evidence.VALUES, 0.1)
+    cand = spark.createDataFrame([{"candidate_id": "c1", "patient_id": "p", "mutation_id": "m1", **own}, {"candidate_id": "c2", "patient_id": "p", "mutation_id": "m2", **own}])
+    rna = spark.createDataFrame([{"patient_id": "p", "mutation_id": "m1", **{v: str(i) for i, v in enumerate(evidence.VALUES)}}])
+    got = {r.candidate_id: r for r in evidence.merged(cand, rna).collect()}
+    assert all(got["c1"][v] == float(i) and got["c2"][v] == 0.1 for i, v in enumerate(evidence.VALUES))
+
+
+def test_patient_ids_are_stripped(spark):
+    df = spark.createDataFrame([(0, " P1", "ACDEFGHIK"), (1, "P1\t", "ACDEFGHIL"), (2, "P1", "ACDEFGHIM")], "_ord long, patient_id string, mutant_peptide string")
+    rows = product.normalized(df).collect()
+    assert {r.patient_id for r in rows} == {"P1"} and all(r.candidate_id.startswith("P1:") for r in rows)
+    with pytest.raises(contracts.ContractError, match="patient_id"):
+        product.normalized(df.withColumn("patient_id", F.lit("  ")))
+
+
+def test_ranked_contract_and_many_patients(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"P{i % 3}", f"m{i}", "ACDEFGHI" + "KLMNPQRSTV"[i], "A0201", 50.0) for i in range(9)], "_ord long, patient_id string, mutation_id string, mutant_peptide string, hla_allele string, binding_affinity_nm double")
+    ranking = product.ranked(product.normalized(df))
+    paths = product.write_report(ranking, str(tmp_path / "a"))
+    report = json.loads(open(paths["json"]).read())
+    assert report["policy"] == product.POLICY_NAME and [p["patient_id"] for p in report["patients"]] == ["P0", "P1", "P2"]
+    table = spark.read.option("header", True).csv(paths["csv"])
+    assert table.count() == 9 and "selection_reason" in table.columns
+    monkeypatch.setattr(product, "MOST_PATIENTS", 2)
+    report = json.loads(open(product.write_report(ranking, str(tmp_path / "b"))["json"]).read())
+    assert spark.read.json(report["patients_folder"]).count() == 3 and spark.read.json(report["selected_folder"]).count() == 9
+    for broken in (ranking.drop("rank"), ranking.withColumn("candidate_id", F.lit("same")), ranking.withColumn("mutant_peptide", F.lit("x1"))):
+        with pytest.raises(contracts.ContractError, match="ranked"):
+            product.write_report(broken, str(tmp_path / "c"))
+
+
+def test_order_over_partitions_and_broken_lines(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,b\n" + "".join(f"{i},{'x' * 50}\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = tables.read_table(spark, str(tmp_path / "n.csv"))
+        assert rows.rdd.getNumPartitions() > 4
+        assert [(int(r.a), r["_ord"]) for r in rows.select("a", "_ord").orderBy("_ord").collect()] == [(i, i) for i in range(4000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "q.csv").write_text('a,b\n1,"two\nlines"\n2,z\n')
+    assert [r.b for r in tables.read_table(spark, str(tmp_path / "q.csv")).orderBy("_ord").collect()] == ["two\nlines", "z"]
+
+
+def test_active_sheet(spark, tmp_path):
+    import zipfile
+
+    ns, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="a" r:id="r1"/><sheet name="b" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+        for n in (1, 2):
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="inlineStr"><is><t>x</t></is></c></row><row><c r="A2"><v>{n}</v></c></row></sheetData></worksheet>')
+    assert [r.x for r in tables.read_table(spark, str(tmp_path / "w.xlsx")).collect()] == ["2"]

@@ -82,3 +82,19 @@ def test_summary_and_order(spark):
     assert [r.patient_id for r in ordered] == sorted(r.patient_id for r in ordered)
     first = [r for r in ordered if r.patient_id == "p1"]
     assert [r.rank for r in first[:4]] == [1, 2, 3, 4] and all(r.rank is None for r in first[4:])
+
+
+@pytest.mark.parametrize(("batch", "k", "caps"), [(1, 1, {"gene_symbol": 1}), (2, 6, {"mutation_id": 1, "gene_symbol": 2}), (3, 9, {"mutation_id": 2, "hla_allele": 3}), (5, 4, {})])
+def test_rounds_equal_a_plain_loop(spark, batch, k, caps, monkeypatch):
+    """Batches smaller than what is refused: groups go on in rounds. One patient has most rows, one gene comes first everywhere."""
+    rng = random.Random(k)
+    rows = [{"candidate_id": f"c{i:04d}", "patient_id": rng.choice(["p1"] * 8 + ["p2", None]), "mutation_id": f"m{rng.randint(0, 400)}", "gene_symbol": "g0" if i < 200 else f"g{rng.randint(1, 5)}",
+             "hla_allele": rng.choice(["a", "b", None]), "n": i} for i in range(400)]
+    df = spark.createDataFrame(rows, "candidate_id string, patient_id string, mutation_id string, gene_symbol string, hla_allele string, n long")
+    monkeypatch.setattr(select, "_WIDEN", 0)
+    for group in (["patient_id"], []):
+        got = {}
+        for r in select.greedy(df, group, [F.col("n")], caps, k, "candidate_id", batch).orderBy("rank").collect():
+            got.setdefault(r["patient_id"] if group else None, []).append(r.candidate_id)
+        want = {p: loop([r for r in rows if not group or r["patient_id"] == p], k, caps) for p in (("p1", "p2", None) if group else (None,))}
+        assert got == want
