@@ -30,10 +30,14 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, a local session gets a temporary one, as in tests; on a cluster
+    that is an error, as other machines couldn't see such a folder."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="portolan-"))
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="portolan-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -41,6 +45,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `fresh_path` named."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} isn't in the shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def own_name(columns: list[str], name: str) -> str:
+    """`name`, or with underscores after it, so that it clashes with none of the columns, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Lineage ends here: the rows are written to the shared folder, so lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
@@ -91,7 +111,7 @@ def order_hash(*order: Column) -> Column:
 
 def running_total(df: DataFrame, group: list[str], order: list[Column], weight: Column, rows: int) -> DataFrame:
     """Adds __before: the weight of all rows that come before this one in its group, __size: that of the whole group, and __row:
-    the rows before it in its piece (__piece).
+    the rows before it in its piece (__piece). df has no column that begins with two underscores.
 
     Rows of a group are ordered by `order_hash`, then by the columns of `order`. A
     group is cut into pieces by the hash's leading bits, about sqrt(rows) of them, so that neither a piece nor the table of pieces

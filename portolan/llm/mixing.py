@@ -5,9 +5,13 @@ weight again. Each source's documents are laid end to end in a shuffled order (b
 blocks of BLOCK words. A source has as many slots as its target needs blocks. Slot i of the schedule takes the i-th van der Corput
 point (the reversed bits of i) of the smallest power of two that holds all slots; the points are mapped through the
 cumulative slot counts of the sources, and points beyond them are void. So any stretch of the schedule holds the sources nearly in
-their proportions, and the whole of it holds them exactly. A slot's rank among its source's slots, which needs no sort as
-the points before i in an interval can be counted bit by bit, names the block that it takes. The last block of a source ends
-at its target (rounded to words), and never beyond twice its words.
+their proportions, and the whole of it holds them exactly. A slot's rank among its source's slots names the block that it takes; the
+last block of a source ends at its target (rounded to words), and never beyond twice its words.
+
+The mix is the blocks in slot order: `mixed` lists them, `taken` sums them by document and names the slot in which each document first
+comes, and `applied` writes whole documents in the order of the slots in which they begin.
+
+Ranks come from counts of each source's slots in stretches of CHUNK slots, so no task numbers more than a stretch.
 
 Null texts have no words and are never taken. A null source is a source, the last one. Repeated rows are rows of their own. Without any
 words all targets are 0. An empty table gives an empty result. Other columns are ignored.
@@ -19,10 +23,13 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from portolan.llm.common import cut, n_words, order_hash, running_total
 
 BLOCK = 256
+CHUNK_BITS = 16  # slots ranked together
+MOST_SOURCES = 100_000  # whose facts are broadcast; more are joined by a shuffle
 WEIGHTS = (3, 1, 2)  # fixed values, repeating over the sources
 SHARE = 1.5
 MOST_TIMES = 2
@@ -53,31 +60,17 @@ def sources(docs: DataFrame) -> list[tuple[str | None, int]]:
 
 
 def _reversed_bits(i: Column, bits: int) -> Column:
+    """The lowest `bits` bits of i in reverse, a byte at a time from a table."""
+    table = F.array(*[F.lit(int(f"{b:08b}"[::-1], 2)) for b in range(256)])
+    n_bytes = (bits + 7) // 8
     out = F.lit(0).cast("long")
-    for k in range(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftright(i, k).bitwiseAND(F.lit(1)), bits - 1 - k))
-    return out
-
-
-def _points_before(i: Column, lo: Column, hi: Column, bits: int) -> Column:
-    """How many j < i have their reversed bits in [lo, hi).
-
-    The numbers below i fall into a run of 2**k for each set bit k of i; over a run the reversed bits are a progression with step
-    2**(bits - k), whose first term is the reversal of the bits above k.
-    """
-    out = F.lit(0).cast("long")
-    for k in range(bits):
-        step = bits - k
-        head = F.shiftleft(F.shiftright(i, k + 1), k + 1)
-        first = _reversed_bits(head, bits)
-        below = lambda end, first=first, step=step, k=k: F.least(
-            F.greatest(F.shiftright(end - first + F.lit((1 << step) - 1), step), F.lit(0)), F.lit(1 << k)
-        )
-        out = out + F.when(F.shiftright(i, k).bitwiseAND(F.lit(1)) == 1, below(hi) - below(lo)).otherwise(0)
-    return out
+    for k in range(n_bytes):
+        byte = F.get(table, F.shiftright(i, 8 * k).bitwiseAND(F.lit(255)).cast("int")).cast("long")
+        out = out.bitwiseOR(F.shiftleft(byte, 8 * (n_bytes - 1 - k)))
+    return F.shiftright(out, 8 * n_bytes - bits)
 
 
-def schedule(spark, quotas: list[int], block: int = BLOCK) -> DataFrame:
+def schedule(spark, quotas: list[int]) -> DataFrame:
     """slot, source_no, rank: quotas[k] slots of source k, interleaved."""
     total = sum(quotas)
     bits = max(1, (max(total, 1) - 1).bit_length())
@@ -85,14 +78,21 @@ def schedule(spark, quotas: list[int], block: int = BLOCK) -> DataFrame:
     for q in quotas:
         at += q
         ends.append(at)
-    i = F.col("id")
-    slots = spark.range(1 << bits).select(i.alias("slot"), _reversed_bits(i, bits).alias("point")).where(F.col("point") < total)
-    bounds = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(e - q).cast("long").alias("lo"), F.lit(e).cast("long").alias("hi"))
-                       for no, (q, e) in enumerate(zip(quotas, ends, strict=True)) if q] or [F.lit(None)])
-    if not total:
-        return slots.select("slot", F.lit(0).alias("source_no"), F.lit(0).cast("long").alias("rank")).limit(0)
-    mine = slots.withColumn("b", F.get(F.filter(bounds, lambda b: b["hi"] > F.col("point")), F.lit(0)))
-    return mine.select("slot", F.col("b.no").alias("source_no"), _points_before(F.col("slot"), F.col("b.lo"), F.col("b.hi"), bits).alias("rank"))
+    i, point = F.col("id"), F.col("point")
+    slots = spark.range(1 << bits).select(i.alias("slot"), _reversed_bits(i, bits).alias("point")).where(point < total)
+    # the first source whose slots end beyond the point, by halves
+    bounds, no = F.array(*map(F.lit, ends or [0])).cast("array<long>"), F.lit(0)
+    for k in reversed(range(max(len(ends) - 1, 0).bit_length())):
+        step = no + (1 << k)
+        no = F.when((step < len(ends)) & (F.get(bounds, step - 1) <= point), step).otherwise(no)
+        slots = slots.withColumn("no", no)
+        no = F.col("no")
+    mine = cut(slots.select("slot", no.cast("int").alias("source_no"), F.shiftright("slot", CHUNK_BITS).alias("chunk")))
+    counts = mine.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("n")
+    leads = counts.select("source_no", "chunk", before.alias("lead"))
+    inside = F.row_number().over(Window.partitionBy("source_no", "chunk").orderBy("slot")) - 1
+    return mine.withColumn("inside", inside).join(leads, ["source_no", "chunk"]).select("slot", "source_no", (F.col("lead") + F.col("inside")).alias("rank"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -101,64 +101,71 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def laid(docs: DataFrame) -> tuple[DataFrame, list[tuple[str | None, int]], int]:
     """`sized` rows with their source's number and their place in its shuffled stream; (source, words); how many rows."""
-    docs = cut(docs.select("doc_id", "source", F.col("__size").alias("size")))
+    more = ["name"] if "name" in docs.columns else []
+    docs = cut(docs.select("doc_id", "source", F.col("__size").alias("size"), *more))
     named = docs.withColumnRenamed("size", "__size")
     order, rows = sources(named), docs.count()
-    stream = running_total(docs, ["source"], [F.col("doc_id"), F.col("size")], F.col("size"), rows)
-    return stream.select("doc_id", "source", "size", F.col("__before").alias("offset"), F.col("__size").alias("source_size"), "__piece", "__row"), order, rows
+    stream = running_total(docs, ["source"], [F.col("doc_id"), F.col("size"), *map(F.col, more)], F.col("size"), rows)
+    return stream.select("doc_id", "source", "size", *more, F.col("__before").alias("offset"), F.col("__size").alias("source_size"), "__piece", "__row"), order, rows
+
+
+def _facts(df: DataFrame, order: list) -> DataFrame:
+    return F.broadcast(df) if len(order) <= MOST_SOURCES else df
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(per document: doc_id, source, size, source_size, target, piece and row that name it; the mix: slot, source_no, rank, the same
     two, doc_id, source, size, lap, first word, words)."""
     stream, order, _ = laid(sized(docs))
+    return _mixed(stream, order, block)
+
+
+def _mixed(stream: DataFrame, order: list[tuple[str | None, int]], block: int) -> tuple[DataFrame, DataFrame]:
     goal = targets(order)
     words = {s: min(math.floor(goal[s] + 0.5), MOST_TIMES * n) for s, n in order}
-    spark = docs.sparkSession
+    spark = stream.sparkSession
     facts = spark.createDataFrame(
         [(s, i, float(goal[s]), int(words[s])) for i, (s, _) in enumerate(order)], "s string, source_no int, target double, words long"
     )
-    # a row for each source: as many as `sources` gathered
-    stream = cut(stream.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    stream = cut(stream.join(_facts(facts, order), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     lap = F.explode(F.array(F.lit(0), F.lit(1)))
     starts = F.col("offset") + F.col("lap") * F.col("source_size")
     pieces = stream.where("size > 0").withColumn("lap", lap).withColumn("__from", starts).where("__from < words").withColumn(
         "__to", F.least(F.col("__from") + F.col("size"), F.col("words"))
     ).withColumn("rank", F.explode(F.sequence(F.floor(F.col("__from") / block).cast("long"), F.floor((F.col("__to") - 1) / block).cast("long"))))
     begin, end = F.greatest("__from", F.col("rank") * block), F.least("__to", (F.col("rank") + 1) * block)
-    pieces = pieces.select(
-        "doc_id", "source", "size", "source_no", "__piece", "__row", "rank", "lap", (begin - F.col("__from")).alias("first_word"), (end - begin).alias("words")
-    )
-    slots = schedule(spark, [math.ceil(words[s] / block) for s, _ in order], block)
+    own = [c for c in ("doc_id", "source", "size", "name") if c in stream.columns]
+    pieces = pieces.select(*own, "source_no", "__piece", "__row", "rank", "lap", (begin - F.col("__from")).alias("first_word"), (end - begin).alias("words"))
+    slots = schedule(spark, [math.ceil(words[s] / block) for s, _ in order])
     return stream.drop("words"), pieces.join(slots, ["source_no", "rank"])
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
+    """doc_id, size, source_size, target, taken, first_slot (the slot in which its first word comes; null if none does)."""
     stream, mix = mixed(docs)
-    sums = mix.groupBy("source_no", "__piece", "__row").agg(F.sum("words").alias("taken"))
+    sums = mix.groupBy("source_no", "__piece", "__row").agg(F.sum("words").alias("taken"), F.min(F.when(F.col("first_word") == 0, F.col("slot"))).alias("first_slot"))
     return stream.join(sums, ["source_no", "__piece", "__row"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
     )
 
 
 def applied(docs: DataFrame) -> DataFrame:
-    """docs, each as often as the mix begins it: not at all, once or twice. A document is taken whole or not at all.
+    """docs in the order of the mix, each as often as the mix begins it: not at all, once or twice, and then whole.
 
-    A source's documents are taken in the order of their stream, so the last one that a lap begins tells of every other whether it
-    is taken; the texts needn't be shuffled. Equal rows are taken alike; documents without words come along with their neighbours.
+    The schedule works on a row of numbers for each document, which also names its contents; texts are shuffled twice: to meet the slots of
+    their names (rows alike in all columns are one there), and into slot order. Partitions are ranges of slots.
     """
-    _, mix = mixed(docs)
-    key = lambda doc_id, size: F.struct(order_hash(doc_id, size).alias("h"), doc_id.alias("d"), size.alias("n"))
-    begun = mix.where("first_word = 0").groupBy("source").agg(*[
-        F.max(F.when(F.col("lap") == lap, key(F.col("doc_id"), F.col("size")))).alias(f"__last{lap}") for lap in (0, 1)
-    ]).withColumnRenamed("source", "__source")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    mine = key(F.col("doc_id").cast("long"), n_words(F.col("text")))
-    within = lambda lap: F.coalesce(mine <= F.col(f"__last{lap}"), F.lit(False)).cast("int")
-    # a row for each source: as many as `sources` gathered
-    rows = docs.join(F.broadcast(begun), F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), within(0) + within(1)))).select(*names)
+    columns = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    name = F.struct(F.col("row.doc_id").cast("long").alias("d"), F.xxhash64("row").alias("a"), F.hash("row").alias("b"))
+    named = packed.withColumn("name", name)
+    sizes = named.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), n_words(F.col("row.text")).alias("__size"), "name")
+    stream, order, _ = laid(sizes)
+    _, mix = _mixed(stream, order, BLOCK)
+    begun = mix.where("first_word = 0").select("name", "slot", "lap")
+    rows = named.groupBy("name").agg(F.first("row").alias("row")).join(begun, "name")
+    parts = max(docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(parts, "slot").sortWithinPartitions("slot", "lap", "name").select(*[F.col(f"row.`{c}`") for c in columns])
 
 
 SQL = """
@@ -175,6 +182,14 @@ SQL = """
     p as (select d.*, n as source_size, target, least(floor(target + 0.5), 2 * n) as words,
         coalesce(sum(size) over (partition by d.source order by substr(md5(concat_ws('|', doc_id::varchar, size::varchar)), 1, 15),
         doc_id, size rows between unbounded preceding and 1 preceding), 0) as ofs
-        from d join g on d.source is not distinct from g.source)
+        from d join g on d.source is not distinct from g.source),
+    q as (select source as s, i, words, ceil(words / 256.0)::bigint as quota from (select distinct source, words from p) join s using (source)
+        union all select null, i, words, ceil(words / 256.0)::bigint from (select distinct words from p where source is null), (select i from s where source is null)),
+    e as (select *, sum(quota) over (order by i) as hi from q),
+    z as (select length(bin(greatest(sum(quota), 2)::bigint - 1)) as bits, sum(quota) as total from q),
+    v as (select slot, list_sum(list_transform(range(0, bits), lambda k: ((slot >> k) & 1) << (bits - 1 - k)))::bigint as point
+        from (select unnest(range(0, (1 << bits)::bigint)) as slot, bits from z)),
+    r as (select slot, s, i, row_number() over (partition by i order by slot) - 1 as rank from v join e on point >= hi - quota and point < hi)
     select doc_id, size, source_size, target, (least(greatest(words - ofs, 0), size)
-        + least(greatest(words - source_size - ofs, 0), size))::bigint as taken from p"""
+        + least(greatest(words - source_size - ofs, 0), size))::bigint as taken, slot as first_slot
+    from p left join r on r.s is not distinct from p.source and rank = ofs // 256 and size > 0 and ofs < words"""

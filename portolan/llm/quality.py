@@ -5,7 +5,8 @@ is a versioned mask over these bits, so that another policy, or the ablation of
 
 Nulls and empty texts have no words: all measurements are 0 and the short-text rule fails. Repeated rows are judged one by one,
 ties don't arise, an empty table gives an empty ledger. Only `text` is read; other columns pass through, and the ledger's own
-columns (measures, `fail_bits`) replace any of the same name.
+columns (measures, `fail_bits`) replace any of the same name in whatever case. Windows of three words are compared by their 64-bit hashes
+within one text: a text of a thousand words has two different windows of one hash with a chance of 3e-14.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portolan.llm.common import own_name
+
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -82,9 +85,9 @@ def _bits(of: str) -> str:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """`docs` with every measure and `fail_bits`, the rules that fail (bit k: rule k of RULES)."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "fail_bits")]
-    book = docs.select(*others, F.expr(_MEASURED).alias("__m"))
-    return book.withColumn("fail_bits", F.expr(_bits("__m"))).select(*others, "__m.*", "fail_bits")
+    others, m = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*MEASURES, "fail_bits")], own_name(docs.columns, "__m")
+    book = docs.select(*others, F.expr(_MEASURED).alias(m))
+    return book.withColumn("fail_bits", F.expr(_bits(m))).select(*others, f"{m}.*", "fail_bits")
 
 
 def passes(policy: str) -> Column:
@@ -92,12 +95,26 @@ def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy_mask(policy))) == 0
 
 
+def stored(docs: DataFrame, path: str) -> DataFrame:
+    """Writes the ledger of docs to path and reads it: `text`, `document` (a struct of all other columns, so that none is replaced), the
+    measures and `fail_bits`. Every policy and ablation then reads these bits."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    ledger(docs.select("text", F.struct(*rest).alias("document"))).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def kept(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of docs that pass, with their own columns only."""
+    """The rows of docs that pass, with their own columns only; nothing is stored."""
     mask = policy_mask("base") | policy_mask(policy)
     return docs.where(F.expr(_let(_MEASURED, "m", f"(({_bits('m')}) & {mask}L) = 0L")))
 
 
+def passed(book: DataFrame, policy: str, columns: list[str]) -> DataFrame:
+    """The documents of a stored ledger that pass, with these columns."""
+    rows = book.where(passes("base") & passes(policy))
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"document.`{c}`") for c in columns])
+
+
 def ablation(book: DataFrame, policy: str) -> DataFrame:
     """For each rule of a policy: documents that fail it, and documents that only it rejects. One aggregation over the bits."""
     mask, names = policy_mask(policy), list(RULES)

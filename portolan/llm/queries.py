@@ -49,7 +49,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    return sharding.sharded(rows, ["doc_id", "size", "text_crc32"], shards=24).select(
+    return sharding.sharded(rows, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import mix64, running_total
+from portolan.llm.common import mix64, own_name, running_total
 
 ROUNDS = 6
 
@@ -65,18 +65,25 @@ def row_at(shard: int, slot: int, shards: int, n: int, seed: int = 8) -> int:
     return int(permute(np.array([slot * shards + shard]), n, seed, back=True)[0])
 
 
-def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+def numbered(rows: DataFrame, order: list[Column | str]) -> tuple[DataFrame, int]:
     """rows with __n, their global number, and how many there are."""
-    n = rows.count()
-    total = running_total(rows, [], [F.col(f"`{c}`") for c in order], F.lit(1), n)
-    return total.withColumn("__n", F.col("__before")).drop("__before", "__size", "__row", "__piece"), n
-
-
-def sharded(rows: DataFrame, order: list[str], shards: int = 24, seed: int = 8) -> DataFrame:
-    """rows with shard and slot."""
-    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")])
-    found, n = numbered(rows, order)
-    at = found.withColumn("__at", place(F.col("__n"), n, seed))
-    return at.withColumns({
-        "shard": (F.col("__at") % shards).cast("int"), "slot": F.floor(F.col("__at") / shards).cast("long")
-    }).drop("__at", "__n")
+    found, n = _numbered(rows, order)
+    return found.select("row.*", F.col("n").alias(own_name(rows.columns, "__n"))), n
+
+
+def _numbered(rows: DataFrame, order: list[Column | str]) -> tuple[DataFrame, int]:
+    """row (a struct of all columns) and n, the row's global number; and how many there are."""
+    count = rows.count()
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *[(F.col(f"`{o}`") if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
+    total = running_total(packed, [], [F.col(f"o{i}") for i in range(len(order))], F.lit(1), count)
+    return total.select("row", F.col("__before").alias("n")), count
+
+
+def sharded(rows: DataFrame, order: list[Column | str], shards: int = 24, seed: int = 8) -> DataFrame:
+    """rows with shard and slot; `order`: columns or expressions whose values number the rows."""
+    found, n = _numbered(rows, order)
+    at = found.withColumn("at", place(F.col("n"), n, seed))
+    return at.select(
+        *[F.col(f"row.`{c}`") for c in rows.columns if c.lower() not in ("shard", "slot")],
+        (F.col("at") % shards).cast("int").alias("shard"), F.floor(F.col("at") / shards).cast("long").alias("slot"),
+    )

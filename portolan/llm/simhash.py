@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import WordHashes, cut, gram_hashes, mix64
+from portolan.llm.common import WordHashes, cut, gram_hashes, mix64, own_name
 from portolan.llm.components import components
 
 MOST = 4096  # fingerprints below a start node
@@ -424,5 +424,7 @@ def near_text_roots(docs: DataFrame, family: int = FAMILY, leaders: int = LEADER
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near copies; equal rows are copies too. Rows without doc_id stay as they are."""
-    kept = docs.join(near_text_roots(docs), "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text").union(docs.where("doc_id is null"))
+    mark = own_name(docs.columns, "__text")
+    roots = near_text_roots(docs).withColumnRenamed("doc_id", "root")
+    kept = docs.join(roots, F.col("doc_id").cast("long") == F.col("root"), "left_semi").withColumn(mark, F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", mark]).drop(mark).union(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])

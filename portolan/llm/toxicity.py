@@ -1,13 +1,13 @@
 """Toxicity by a factorization machine over hashed terms (operator 1).
 
-A text's lower-cased words, without the marks at their ends, are hashed into BUCKETS terms (present or not). Over the labelled rows
-that may be learned from, each term's documents are counted by label, and the TERMS terms with the largest chi-square stay (if it is
-LEAST_CHI or more). A
-factorization machine (a weight for each term, a vector for each term whose products are the weights of pairs) is fitted on at
-most MOST_ROWS of the labelled rows, those with the smallest hashes of doc_id; the counts cover all of them. Then every whole text
-is scored.
+A text's lower-cased words, without the marks at their ends, are hashed into BUCKETS terms (present or not). The machine (a weight for
+each term, a vector for each term whose products are the weights of pairs) is fitted on at most MOST_ROWS of the labelled rows that
+may be learned from: those with the smallest hashes of doc_id, which a threshold selects before any text is read. Terms enter the machine
+for one of two reasons: they tell of the label by themselves (chi-square of LEAST_CHI or more), or together with
+another term although not by themselves (the four shares of toxic rows with both, either and none of two FREQUENT terms are not
+additive). There is no limit to their number. Then every whole text is scored.
 
-The model is small and of fixed size (TERMS * (FACTORS + 2) numbers), so it is broadcast. Nothing but the text enters a score.
+The model has numbers for the terms of at most MOST_ROWS rows, so it is bounded and broadcast. Nothing but the text enters a score.
 
 Null and empty texts have no terms; they get the model's base score. Labels other than 0 and 1, and rows that no label names, are
 not learned from. Without any row to learn from, or with one label only, every score is that label's share (0 if none).
@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portolan.llm.common import order_hash
+
 BUCKETS = 1 << 20
-TERMS = 1024
-LEAST_CHI, LEAST_DOCS = 20.0, 3  # of a term
+LEAST_CHI, LEAST_DOCS = 6.6, 3  # of a term
+FREQUENT, LEAST_PAIR, LEAST_CELL = 1024, 30.0, 5  # terms whose pairs are looked at; squared deviation of a pair; rows in each of its four cells
 FACTORS = 4
 MOST_ROWS = 20_000
 MOST_LABELS = 1_000_000  # as many may be broadcast (16 MB); more are joined by a shuffle
@@ -75,34 +77,87 @@ class Machine:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def fit(rows: list[tuple[list[int], int]], at: np.ndarray, factors: int = FACTORS, passes: int = 30, rate: float = 0.2, decay: float = 1e-5, weigh: float = 5.0, seed: int = 1) -> Machine:
-    """Logistic loss with the rows of label 1 counted `weigh` times, AdaGrad over small batches; the same rows give the same machine."""
-    rng = np.random.default_rng(seed)
-    share = min(max(sum(y for _, y in rows) / max(1, len(rows)), 1e-3), 1 - 1e-3)
-    base = math.log(share / (1 - share))
-    weight, vectors = np.zeros(len(at)), rng.normal(0, 0.01, (len(at), factors))
-    lists, y = [], np.array([y for _, y in rows], dtype=float)
-    for found, _ in rows:
-        found = np.asarray(found, dtype=np.int64)
-        place = np.searchsorted(at, found)
+class Rows:
+    """Labelled rows: the terms of all of them in one array, the number of terms of each, labels."""
+
+    def __init__(self, flat: np.ndarray, n: np.ndarray, y: np.ndarray):
+        self.flat, self.n, self.y = flat.astype(np.int64), n.astype(np.int64), y.astype(float)
+        self.start = np.cumsum(self.n) - self.n
+
+    @classmethod
+    def listed(cls, rows: list[tuple[list[int], int]]) -> Rows:
+        return cls(np.array([t for terms, _ in rows for t in terms], dtype=np.int64), np.array([len(terms) for terms, _ in rows]), np.array([y for _, y in rows]))
+
+    def of(self, at: np.ndarray) -> Rows:
+        """The same rows with places in `at` for terms, without other terms."""
+        place = np.searchsorted(at, self.flat)
         place[place == len(at)] = 0
-        lists.append(place[at[place] == found] if len(at) else found[:0])
-    sum_w, sum_v, sum_b = np.full(len(at), 1e-8), np.full(vectors.shape, 1e-8), 1e-8
+        known = at[place] == self.flat if len(at) else np.zeros(len(place), dtype=bool)
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        return Rows(place[known], np.bincount(row[known], minlength=len(self.n)), self.y)
+
+
+def chosen_terms(rows: Rows) -> np.ndarray:
+    """The terms that tell of the label, by themselves or in a pair."""
+    n, n1 = float(len(rows.y)), rows.y.sum()
+    n0 = n - n1
+    term, inverse = np.unique(rows.flat, return_inverse=True)
+    m, a = np.bincount(inverse).astype(float), np.bincount(inverse, np.repeat(rows.y, rows.n))
+    some = (m >= LEAST_DOCS) & (m < n)
+    chi = np.where(some, n * (a * (n0 - (m - a)) - (m - a) * (n1 - a)) ** 2 / np.maximum(m * (n - m) * n0 * n1, 1e-9), 0)
+    chosen = chi >= LEAST_CHI
+    top = np.argsort(np.where(some, -m, 0), kind="stable")[:FREQUENT]
+    top = top[some[top]]
+    if len(top):
+        place = np.full(len(term), -1)
+        place[top] = np.arange(len(top))
+        both, both1 = np.zeros((len(top), len(top))), np.zeros((len(top), len(top)))
+        where = place[inverse]
+        for lo in range(0, len(rows.y), 1024):
+            hi = min(lo + 1024, len(rows.y))
+            part = where[rows.start[lo] : rows.start[hi - 1] + rows.n[hi - 1]]
+            row = np.repeat(np.arange(hi - lo), rows.n[lo:hi])
+            x = np.zeros((hi - lo, len(top)), dtype=np.float32)
+            x[row[part >= 0], part[part >= 0]] = 1
+            both += x.T @ x
+            both1 += (x * rows.y[lo:hi, None].astype(np.float32)).T @ x
+        one, one1 = m[top], a[top]
+        cells = ((both1, both, 1), (one1[:, None] - both1, one[:, None] - both, -1), (one1[None] - both1, one[None] - both, -1),
+                 (n1 - one1[:, None] - one1[None] + both1, n - one[:, None] - one[None] + both, 1))
+        gap, spread, least = 0.0, 0.0, np.inf
+        for toxic, size, sign in cells:
+            share = (toxic + 0.5) / (size + 1)
+            gap, spread, least = gap + sign * share, spread + share * (1 - share) / (size + 1), np.minimum(least, size)
+        deviation = np.where(least >= LEAST_CELL, gap**2 / spread, 0)
+        np.fill_diagonal(deviation, 0)
+        chosen[top[deviation.max(axis=1) >= LEAST_PAIR]] = True
+    return term[chosen]
+
+
+def fit(rows: Rows | list[tuple[list[int], int]], at: np.ndarray, factors: int = FACTORS, passes: int = 30, rate: float = 0.2, decay: float = 1e-3, weigh: float = 5.0, seed: int = 1) -> Machine:
+    """Logistic loss with the rows of label 1 counted `weigh` times, AdaGrad over small batches; the same rows give the same machine."""
+    rows = rows if isinstance(rows, Rows) else Rows.listed(rows)
+    rng, known = np.random.default_rng(seed), rows.of(at)
+    share = min(max(rows.y.mean(), 1e-3), 1 - 1e-3)
+    base, sum_b = math.log(share / (1 - share)), 1e-8
+    weight, vectors = np.zeros(len(at)), rng.normal(0, 0.05, (len(at), factors))
+    sum_w, sum_v = np.full(len(at), 1e-8), np.full(vectors.shape, 1e-8)
     for _ in range(passes):
-        for chosen in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
-            k = np.concatenate([lists[i] for i in chosen])
-            row = np.repeat(np.arange(len(chosen)), [len(lists[i]) for i in chosen])
+        for batch in np.array_split(rng.permutation(len(rows.y)), max(1, len(rows.y) // 64)):
+            n = known.n[batch]
+            ends = np.cumsum(n)
+            row = np.repeat(np.arange(len(batch)), n)
+            k = known.flat[np.repeat(known.start[batch] - ends + n, n) + np.arange(ends[-1])]
             v = vectors[k]
-            sums = np.zeros((len(chosen), factors))
-            np.add.at(sums, row, v)
-            squares = np.bincount(row, (v**2).sum(axis=1), len(chosen))
-            total = base + np.bincount(row, weight[k], len(chosen)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            off = (1 / (1 + np.exp(-np.clip(total, -50, 50))) - y[chosen]) * np.where(y[chosen] > 0, weigh, 1.0)
-            grad_w, grad_v = np.zeros(len(at)), np.zeros(vectors.shape)
-            np.add.at(grad_w, k, off[row])
-            np.add.at(grad_v, k, off[row][:, None] * (sums[row] - v))
-            touched = np.unique(k)
-            grad_w, grad_v = grad_w[touched] / len(chosen) + decay * weight[touched], grad_v[touched] / len(chosen) + decay * vectors[touched]
+            running = np.concatenate([np.zeros((1, factors)), np.cumsum(v, axis=0)])
+            sums = running[ends] - running[ends - n]
+            total = base + np.bincount(row, weight[k], len(batch)) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(row, (v**2).sum(axis=1), len(batch)))
+            y = rows.y[batch]
+            off = (1 / (1 + np.exp(-np.clip(total, -50, 50))) - y) * np.where(y > 0, weigh, 1.0)
+            touched, to = np.unique(k, return_inverse=True)
+            slope = off[row][:, None] * (sums[row] - v)
+            grad_w = np.bincount(to, off[row], len(touched)) / len(batch) + decay * weight[touched]
+            grad_v = np.stack([np.bincount(to, slope[:, f], len(touched)) for f in range(factors)], axis=1) / len(batch) + decay * vectors[touched]
             sum_w[touched] += grad_w**2
             sum_v[touched] += grad_v**2
             weight[touched] -= rate * grad_w / np.sqrt(sum_w[touched])
@@ -113,28 +168,26 @@ def fit(rows: list[tuple[list[int], int]], at: np.ndarray, factors: int = FACTOR
     return Machine(base, at, weight, vectors)
 
 
-def train(labelled: DataFrame, n_terms: int = TERMS, most_rows: int = MOST_ROWS) -> Machine:
-    """labelled: doc_id, text, toxic (0 or 1)."""
-    rows = with_terms(labelled.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"))
-    counts = {r["toxic"]: r["count"] for r in labelled.where("toxic in (0, 1)").groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect()}
+def train(docs: DataFrame, known: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
+    """docs: doc_id, text; known: doc_id, toxic (0 or 1). The fit is on at most most_rows rows of their join."""
+    key = order_hash(F.col("doc_id"))
+    counts = {r["toxic"]: r["count"] for r in docs.select("doc_id").join(known, "doc_id").groupBy("toxic").count().collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1:
         empty = np.empty(0, dtype=np.int64)
         return Machine(500.0 if n1 else -500.0, empty, np.empty(0), np.empty((0, FACTORS)))
-    # chi-square of term and label, from counts over all labelled rows
-    by_term = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("m")
-    )
-    b, c, d = F.col("m") - F.col("a"), F.lit(float(n1)) - F.col("a"), F.lit(float(n0)) - (F.col("m") - F.col("a"))
-    n = float(n0 + n1)
-    chi = n * F.pow(F.col("a") * d - b * c, 2) / (F.col("m") * (n - F.col("m")) * n0 * n1)
-    by_term = by_term.where(f"m >= {LEAST_DOCS} and m < {n}").withColumn("chi", chi)
-    best = by_term.where(f"chi >= {LEAST_CHI}").orderBy(F.col("chi").desc(), "term").limit(n_terms)
-    at = np.array(sorted(r["term"] for r in best.select("term").collect()), dtype=np.int64)
-    wanted = F.array(*map(F.lit, at.tolist())) if len(at) else F.array().cast("array<int>")
-    known = rows.select("doc_id", "toxic", F.array_intersect("terms", wanted).alias("terms"))
-    fitted = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "toxic").limit(most_rows).collect()
-    return fit([(r["terms"], r["toxic"]) for r in sorted(fitted, key=lambda r: (r["doc_id"], r["toxic"]))], at)
+    # hashes are spread evenly, so that a threshold leaves a few rows more than wanted at any size
+    share = (most_rows + 8 * math.sqrt(most_rows) + 64) / (n0 + n1)
+    if share < 1:
+        known = known.where(key <= F.lit(int(share * (1 << 60))))
+    sample = with_terms(docs.join(known, "doc_id").select("doc_id", key.alias("place"), "toxic", "text")).toArrow()
+    order = sorted(zip(sample["place"].to_pylist(), sample["doc_id"].to_pylist(), sample["toxic"].to_pylist(), range(len(sample)), strict=True))[:most_rows]
+    sample = sample.take([o[3] for o in order]).combine_chunks()
+    lists = sample["terms"].combine_chunks()
+    rows = Rows(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), sample["toxic"].to_numpy())
+    if rows.y.min() == rows.y.max():  # the sample has one label only
+        rows = Rows(rows.flat[:0], np.zeros(len(rows.y)), rows.y)
+    return fit(rows, chosen_terms(rows))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -157,8 +210,8 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learned from the labelled rows that aren't held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out() & F.col("toxic").isin(0, 1))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1))
     if known.count() <= MOST_LABELS:
         known = F.broadcast(known)
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    return scored(docs, train(labelled)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scored(texts, train(texts, known)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -64,3 +64,26 @@ def test_empty(spark):
     assert mixing.taken(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     got = mixing.taken(spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_first_slots_come_from_the_schedule(spark):
+    """Against a plain walk: each source's blocks in the order of brute_schedule."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * rng.choice([0, 5, 40, 700])), rng.choice(["a", "b", None])) for i in range(80)], "doc_id long, text string, source string")
+    stream, mix = mixing.mixed(docs)
+    facts = {(r.source_no, r.source) for r in mix.select("source_no", "source").distinct().collect()}
+    words = {}
+    for p in mix.collect():
+        words[p.source_no] = words.get(p.source_no, 0) + p.words
+    quotas = [-(-words.get(k, 0) // mixing.BLOCK) for k in range(max(no for no, _ in facts) + 1)]
+    slot_of = {(k, rank): slot for slot, k, rank in brute_schedule(quotas)}
+    offset = {(r.doc_id, r.source): r.offset for r in stream.collect()}
+    got = {r.doc_id: r.first_slot for r in mixing.taken(docs).collect()}
+    begun = 0
+    for no, source in facts:
+        for (d, s), at in offset.items():
+            if s == source:
+                if got[d] is not None:
+                    assert got[d] == slot_of[no, at // mixing.BLOCK]
+                    begun += 1
+    assert begun > 20

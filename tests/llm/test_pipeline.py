@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 
@@ -108,3 +109,29 @@ def test_far_texts_stay(spark):
         rows += [doc(2 * i, base), doc(2 * i + 1, edited(rng, base, 0.14))]
     assert max(jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(60)) < 0.45
     assert cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").count() == 120
+
+
+def test_clashing_names(spark, tables, tmp_path):
+    """Columns with the names that stages use inside, in other cases too, come through with their values."""
+    sf = tables[0]
+    clash = ["__text", "__copy", "__source", "N_words", "Fail_Bits", "document", "row", "name", "slot", "__m", "n", "key"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).alias(c) for c in clash])
+    columns = docs.columns
+    for name, stage in cp.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == (columns if name != "shard" else [*(c for c in columns if c != "slot"), "shard", "slot"])
+    for r in docs.collect():
+        assert all(r[c] == f"{c}:{r.doc_id if r.doc_id is not None else -1}" for c in clash if c != "slot")
+
+
+def test_mix_in_slot_order(spark):
+    """Sources alternate through the whole of the mix's order, in about their shares."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([doc(i, make(rng, 300), rng.choice(["a", "b", "c"])) for i in range(300)], SCHEMA)
+    out = [r.source for r in cp.mix_sources(spark, docs, "").collect()]
+    share = {s: out.count(s) / len(out) for s in "abc"}
+    for lo in range(0, len(out) - 60, 60):
+        part = out[lo : lo + 60]
+        assert all(abs(part.count(s) / 60 - share[s]) < 0.08 for s in "abc")

@@ -60,3 +60,9 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert quality.judged(docs).count() == 0 and quality.kept(docs).count() == 0
     assert all(r.n_fail == 0 for r in quality.ablation(quality.ledger(docs), "v1").collect())
+
+
+def test_names_of_other_case(spark):
+    docs = spark.createDataFrame([(1, "one two three", "x")], "doc_id long, text string, N_words string")
+    row = quality.ledger(docs).first()
+    assert row.n_words == 3 and quality.ledger(docs).columns == ["doc_id", "text", *quality.MEASURES, "fail_bits"]

@@ -61,3 +61,72 @@ def test_degenerate_labels(spark):
         some = labels.where(F.col("toxic") == only) if only is not None else labels.limit(0)
         assert {r.predicted for r in toxicity.judged(docs.limit(20), some).collect()} == {want}
     assert toxicity.judged(docs.limit(0), labels).count() == 0
+
+
+def planted(n, kind, seed=4):
+    """Rows of 30 noise terms of 2,000; toxic if an insult (0..39) and a group (100..139) meet, or if just one of two terms is there."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        found = set(rng.choices(range(1000, 3000), k=30))
+        a, b = (rng.random() < 0.4, rng.random() < 0.4) if kind == "pairs" else (rng.random() < 0.5, rng.random() < 0.5)
+        if a:
+            found.add(rng.randrange(40) if kind == "pairs" else 1)
+        if b:
+            found.add(100 + rng.randrange(40) if kind == "pairs" else 2)
+        out.append((sorted(found), int(a and b) if kind == "pairs" else int(a != b)))
+    return out
+
+
+def held_out_accuracy(rows, cut):
+    known = toxicity.Rows.listed(rows[:cut])
+    machine = toxicity.fit(known, toxicity.chosen_terms(known))
+    said = [machine.score(np.array(t)) >= 0.5 for t, _ in rows[cut:]]
+    truth = [y for _, y in rows[cut:]]
+    caught = [s for s, y in zip(said, truth, strict=True) if y]
+    return sum(s == y for s, y in zip(said, truth, strict=True)) / len(truth), sum(caught) / len(caught), max(sum(truth), len(truth) - sum(truth)) / len(truth)
+
+
+def test_planted_pairs_without_strong_single_terms():
+    accuracy, recall, plain = held_out_accuracy(planted(13000, "pairs"), 12000)
+    assert accuracy > plain + 0.1 and recall > 0.8
+    accuracy, recall, plain = held_out_accuracy(planted(4000, "pairs"), 3000)
+    assert accuracy > plain + 0.03 and recall > 0.5
+
+
+def test_exactly_one_of_two_terms():
+    accuracy, recall, _ = held_out_accuracy(planted(4000, "one"), 3000)
+    assert accuracy > 0.99 and recall > 0.99
+
+
+def test_first_step_follows_the_numeric_slope():
+    """Against a brute-force loss: AdaGrad's first step has the size of the rate and goes down the slope of every number."""
+    rng = random.Random(6)
+    rows = [(sorted(rng.sample(range(6), rng.randint(1, 4))), rng.randint(0, 1)) for _ in range(20)]
+    at, start = np.arange(6), np.random.default_rng(1).normal(0, 0.05, (6, 4))
+    share = sum(y for _, y in rows) / len(rows)
+    base = np.log(share / (1 - share))
+
+    def loss(weight, vectors):
+        machine, total = toxicity.Machine(base, at, weight, vectors), 0.0
+        for t, y in rows:
+            p = machine.score(np.array(t))
+            total -= 5.0 * np.log(p) if y else np.log(1 - p)
+        return total / len(rows)
+
+    got, zero = toxicity.fit(rows, at, passes=1, decay=0.0), np.zeros(6)
+    for i in range(6):
+        bump = np.zeros(6)
+        bump[i] = 1e-5
+        slope = (loss(bump, start) - loss(-bump, start)) / 2e-5
+        assert abs(got.weight[i] + 0.2 * np.sign(slope)) < 1e-3
+        for f in range(4):
+            push = np.zeros((6, 4))
+            push[i, f] = 1e-5
+            slope = (loss(zero, start + push) - loss(zero, start - push)) / 2e-5
+            assert abs(got.vectors[i, f] - start[i, f] + 0.06 * slope / np.sqrt(slope**2 + 1e-8)) < 1e-3
+
+
+def test_sample_is_bounded(spark):
+    docs, labels, truth = corpus(spark)
+    few = toxicity.train(docs.select(F.col("doc_id"), "text"), labels.where("toxic in (0, 1) and doc_id is not null"), most_rows=300)
+    assert 0 < len(few.at) < 250 and few.score(np.array(toxicity.terms("w1 w2 foul rotten"))) > 0.5
