@@ -4,8 +4,9 @@ The benchmark items' words, lower-cased and cleaned, go into one automaton, a st
 same places of the items. Documents are streamed through it word by word: the state holds the longest run ending here that some
 item has too. A run of WINDOW words or more is a hit, and so is a short item's whole sequence.
 
-The automaton is broadcast; its size is bounded: items are dealt into blocks of MOST_WORDS words, an automaton and a pass over the
-texts for each block (one block, unless the benchmark is very large), whose hits are united by document.
+The items are broadcast, and each worker builds the automaton of them once; its size is bounded: items are dealt into blocks of MOST_WORDS
+words, an automaton and a pass over the texts for each block (one block, unless the benchmark is very large), whose hits are united by
+document.
 
 Null and empty texts and items have no words: they hit nothing. Repeated documents are judged one by one. Repeated items count by item_id.
 An empty benchmark hits nothing; no documents give an empty result. Items without an item_id match words but aren't named.
@@ -15,14 +16,16 @@ Other columns are ignored (`cleaned` keeps them).
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-MOST_WORDS = 1_000_000
+MOST_WORDS = 400_000  # an automaton of so many takes about 220 MB in a worker
 COVERAGE = 0.5
 
 # Each byte that may be in a word stays (A-Z in lower case), every other becomes a space.
@@ -145,15 +148,26 @@ def blocks(benchmark: DataFrame, most_words: int = MOST_WORDS) -> Iterator[list[
     yield block
 
 
+_BUILT: dict[tuple[str, int], Automaton] = {}
+
+
+def built(name: str, items: Broadcast, window: int) -> Automaton:
+    """The automaton of a block; a worker keeps the last one."""
+    if (name, window) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name, window] = Automaton(items.value, window)
+    return _BUILT[name, window]
+
+
 def matches(docs: DataFrame, key: str, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
     """key, n_words, spans (of word numbers, end excluded), items: a row for each row of docs and each block of items."""
     spark, found = docs.sparkSession, None
     kind = dict(docs.dtypes)[key]
     for block in blocks(benchmark, most_words):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            automaton = built(name, shared, window)
             for batch in batches:
                 counts, spans, items = [], [], []
                 for text in batch.column("text").to_pylist():
@@ -161,14 +175,14 @@ def matches(docs: DataFrame, key: str, benchmark: DataFrame, window: int = WINDO
                     s, ids = automaton.hits(words)
                     counts.append(len(words))
                     spans.append([{"first": a, "end": b} for a, b in s])
-                    items.append(sorted(ids))
+                    items.append(sorted(map(str, ids)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(key), pa.array(counts, pa.int64()),
-                     pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))],
+                     pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
                     [key, "n_words", "spans", "items"],
                 )
 
-        part = docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_words long, spans array<struct<first: int, end: int>>, items array<long>")
+        part = docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_words long, spans array<struct<first: int, end: int>>, items array<string>")
         found = part.withColumn("__block", F.lit(0)) if found is None else found.union(part.withColumn("__block", F.lit(1)))
     return found
 
@@ -196,10 +210,9 @@ def counted(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_wo
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         )
         found = named.select("doc_id", "__key").join(found, "__key").drop("__key")
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     out = found.select(
         "doc_id", "n_words", F.expr(_union_size("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
     )
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
@@ -230,13 +243,14 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     there is such a column, is counted again for changed texts. All other columns stay."""
     spark, schema = docs.sparkSession, docs.schema
     for block in blocks(benchmark, most_words):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            automaton = built(name, shared, window)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
                 texts = batch.column(at).to_pylist()
-                new = [_without(t, shared.value, coverage) if t else t for t in texts]
+                new = [_without(t, automaton, coverage) if t else t for t in texts]
                 keep = pa.array([n is not None or t is None for t, n in zip(texts, new, strict=True)])
                 columns = list(batch.columns)
                 columns[at] = pa.array(new, batch.schema.field(at).type)

@@ -254,9 +254,11 @@ def near_components(fps: DataFrame, budget: int = 2) -> DataFrame:
     return fps.join(classes, "fp")
 
 
+# Candidates of the pipeline's near-dedup are fingerprints that the trie finds within NEAR_BUDGET bits, completed by bands of minima: at a
+# similarity of 0.8 two SimHashes differ in 9.7 of 64 bits on average, which no trie over many texts can allow for.
 # Two texts share the key of some band with probability 1 - (1 - s ** DEEP) ** BANDS, where s is the Jaccard similarity of their
 # shingles, however they differ: 0.99999 at 0.8. Keys only gather families; near() decides.
-BANDS, DEEP, SHINGLE = 64, 8, 5
+BANDS, DEEP, SHINGLE, NEAR_BUDGET = 64, 8, 5, 3
 FAMILY = 256  # nodes compared in one task; larger families are compared with LEADERS nodes at a time
 LEADERS = 512
 
@@ -284,7 +286,7 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (of the set of shingles), keys (of its bands)."""
+    """doc_id, mark (of the set of shingles), fp (its SimHash), keys (of its bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -293,9 +295,10 @@ def banded(docs: DataFrame) -> DataFrame:
             keys = np.concatenate([band_keys(g) for g in sets]).view(np.int64) if sets else np.empty(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), type=pa.int32()), pa.array(keys))
             marks = pa.array([_mark(g) for g in sets], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), marks, lists], ["doc_id", "mark", "keys"])
+            fps = pa.array(np.array([majority(g.reshape(-1, 1))[0] for g in sets], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), marks, fps, lists], ["doc_id", "mark", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, mark binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, mark binary, fp long, keys array<long>")
 
 
 class _Sets:
@@ -393,14 +396,19 @@ def near_text_roots(docs: DataFrame, family: int = FAMILY, leaders: int = LEADER
     """doc_id of the documents that stay if one of each group of near-equal texts stays: those that links of a Jaccard similarity of
     0.8 or more between the sets of five-word shingles join. The smallest doc_id of a group stays.
 
-    Texts that share a key of a band are of one family, whether they are near or not; so are those that others join. Within
-    families sets are compared exactly. Rows without doc_id aren't listed.
+    Texts that share a key of a band, or whose fingerprints the trie finds near, are of one family, whether they are near or not; so are
+    those that others join. Within families sets are compared exactly. Rows without doc_id aren't listed.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = cut(banded(docs).groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    nodes = cut(banded(docs).groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least"))
-    families = components(keyed.join(shared, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    banded_links = keyed.join(shared, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    # equal fingerprints are one leaf of the trie
+    leaves = nodes.groupBy("fp").agg(F.min("node").alias("leaf"))
+    alike = nodes.join(leaves, "fp").where("node <> leaf").select(F.col("node").alias("a"), F.col("leaf").alias("b"))
+    near = trie_links(leaves.select(F.col("leaf").alias("node"), F.array("fp").alias("fps"), F.lit(None).cast("binary").alias("sig")), NEAR_BUDGET)
+    families = components(banded_links.union(alike).union(near))
     families = cut(nodes.select("node", "mark").join(families, "node").select("node", "mark", F.col("root").alias("family")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -207,7 +207,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_ids:
             yield _shard(part, no, keys, ids, code.width)
 
     # partitions are ranges of doc_id in ascending order; the number is fixed, so a partition's number is its place
-    ordered = docs.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the text's beginning parts rows of one doc_id (or without any) too
+    ordered = docs.repartitionByRange(int(parts), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, _SHARD).write.option("compression", "zstd").parquet(path)
 
 
@@ -247,9 +248,11 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     found = shards.drop("first_key", "last_key", "n_docs", "n_ids").mapInArrow(run, "doc_id long, part int, no int, at long, n_tokens long, ids_crc32 long")
-    # one small row for each shard
-    before = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select("part", "no", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    # a number for each partition, and within it for each shard
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    leads = parts.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("lead"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("no")) - F.col("n_ids")
+    base = shards.select("part", "no", inside.alias("inside")).join(leads, "part").select("part", "no", (F.col("lead") + F.col("inside")).alias("base"))
     return found.join(base, ["part", "no"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

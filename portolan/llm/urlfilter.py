@@ -1,8 +1,9 @@
 """URL filters (operator 10; DataFrame functions only).
 
 A rule is a regular expression over host and path. Each rule is filed under one of its literal tokens, the one that is rarest
-in the URLs at hand; a URL's tokens fetch the candidates, and only these run. Lookup and match happen within the row: there is
-no shuffle but the small count of rule tokens, so a host with a third of all rows costs what its rows cost.
+in the URLs at hand; a URL's tokens fetch the candidates, and only these run. Up to MOST_IN_ROW rules are an index within the row:
+there is no shuffle but the small count of rule tokens, so a host with a third of all rows costs what its rows cost. More rules are a
+table, which the distinct URLs' tokens are joined with; the verdicts of distinct URLs are then joined with the rows.
 
 A null URL or one without '://' has an empty host and path, fits no rule and is allowed. Repeated rows are judged one by one.
 Of several fitting rules the longest wins, the last in code point order on a tie. An empty table gives an empty result.
@@ -16,8 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A row's literal index holds at most so many rules; more belong in a table that is joined by token.
-MOST_RULES = 2000
+MOST_IN_ROW = 2000  # rules in a row's literal index; more are a table that is joined by token
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,14 @@ LISTED = (
     host_rule("example.com/de/", "block"),
     host_rule("org/fr/", "allow"),
 )
-# Hosts of advertisers, gambling and pills.
-PATTERNS = tuple(map(word_rule, ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")))
+# Hosts of advertisers, gambling, pills, adult offers, loans, counterfeits, link farms and malware.
+WORDS = (
+    "ad-server", "ads-track", "click-track", "popup-ads", "bet-bonus", "casino-win", "free-bets", "online-casino", "poker-bonus", "slot-games",
+    "buy-viagra", "cheap-pills", "pharmacy-online", "weight-loss-pills", "adult-cams", "porn-tube", "sex-chat", "xxx-videos", "fast-cash",
+    "payday-loans", "replica-watches", "essay-writers", "link-farm", "seo-backlinks", "spam-farm", "keygen-crack", "malware-update",
+    "phishing-login", "torrent-free", "warez-download",
+)
+PATTERNS = tuple(map(word_rule, WORDS))
 
 
 def host_of(url: Column) -> Column:
@@ -83,10 +89,36 @@ def rarest_tokens(places: DataFrame, rules: tuple[Rule, ...]) -> dict[str, str]:
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + PATTERNS, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (of a listed one that fits), verdict."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; the index within a row holds {MOST_RULES}")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")}).withColumn("place", F.concat("host", "path"))
+    rows = _in_row(rows, rules) if len(rules) <= MOST_IN_ROW else _by_join(rows, rules)
+    return rows.select(
+        "page_id", "host", "path",
+        F.when(F.col("__best.explicit"), F.col("__best.name")).alias("rule"),
+        F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"),
+    )
+
+
+def _by_join(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows with __best, the largest of the rules that fit, by joins: rules with their tokens, tokens with how many rows have them, distinct URLs
+    with the rules filed under one of their tokens."""
+    spark = rows.sparkSession
+    table = spark.createDataFrame(
+        [(i, r.explicit, len(r.name), r.name, r.verdict, r.pattern, r.tokens()) for i, r in enumerate(rules)],
+        "no long, explicit boolean, length int, name string, verdict string, pattern string, tokens array<string>",
+    )
+    places = rows.groupBy("place").agg(F.count("*").alias("n"))
+    tokens = places.select("place", "n", F.explode(_tokens(F.col("place"))).alias("t"))
+    counts = tokens.groupBy("t").agg(F.sum("n").alias("n"))
+    own = table.select("no", F.explode("tokens").alias("t")).join(counts, "t", "left")
+    filed = own.groupBy("no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "t"))["t"].alias("t")).join(table.drop("tokens"), "no")
+    fits = tokens.select("place", "t").join(filed, "t").where(F.regexp_like("place", F.col("pattern")))
+    best = fits.groupBy("place").agg(F.max(F.struct("explicit", "length", "name", "verdict", "pattern")).alias("__best"))
+    return rows.join(best, "place", "left")
+
+
+def _in_row(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows with __best, the largest of the rules that fit, from an index within the row."""
     filed = rarest_tokens(rows, rules)
     index: dict[str, list[Rule]] = {}
     for r in rules:
@@ -99,23 +131,18 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + PATTERNS, defaul
     candidates = F.flatten(F.transform(
         F.array_intersect(_tokens(F.col("place")), F.array(*map(F.lit, sorted(index)))), lambda t: F.element_at(filed_under, t)
     ))
-    rows = rows.withColumn("__best", F.array_max(F.filter(candidates, lambda r: F.regexp_like(F.col("place"), r["pattern"]))))
-    return rows.select(
-        "page_id", "host", "path",
-        F.when(F.col("__best.explicit"), F.col("__best.name")).alias("rule"),
-        F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"),
-    )
+    return rows.withColumn("__best", F.array_max(F.filter(candidates, lambda r: F.regexp_like(F.col("place"), r["pattern"]))))
 
 
-SQL = """
+SQL = f"""
     with s as (select page_id, url, strpos(url, '://') as p from pages),
     r as (select page_id, case when p > 0 then substr(url, p + 3) else '' end as rest from s),
     h as (select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from r),
     rules(rule, rhost, rpath, v) as (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
         ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
-    m as (select *, (select max_by({'rule': rule, 'v': v}, length(rule)) from rules
+    m as (select *, (select max_by({{'rule': rule, 'v': v}}, length(rule)) from rules
         where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)) as b from h)
     select page_id, host, path, b.rule as rule, coalesce(b.v, case when
-        regexp_matches(host, '(^|[.-])(ads-track|casino-win|cheap-pills|free-bets|spam-farm)([.-]|$)')
+        regexp_matches(host, '(^|[.-])({'|'.join(WORDS)})([.-]|$)')
         then 'block' else 'allow' end) as verdict from m"""
