@@ -1,19 +1,21 @@
 """Substring dedup by seed and extend (operator 5).
 
-Seeds. The k-word runs of a text are hashed and winnowed: of the runs in a window of `length` words the smallest hash is chosen, so
-that every window has its anchor, and equal windows have the same anchor at the same place.
-
-Join. Documents are dealt into blocks. A block sends each of its anchors once to the task that has the anchor's hash range, with a
-mark if more than one of its documents has it, and gets back one bit for each: whether another document has it too. So a
-passage that a third of all documents share is one row for each block, not one for each pair of documents.
-
-Extend. From each shared anchor the match is extended to both sides, a word at a time, as far as the windows reach that chose this
-anchor: these windows' hashes go, once for each block and with the smallest doc_id that has them there, to the task of their hash
-range, and a bit comes back: whether some block has a smaller doc_id. Windows that a smaller doc_id has too form, where they
+Seeds. The k-word runs of a text are hashed and winnowed: of the runs in a window of `length` words the smallest hash is chosen (the first
+on a tie), so that every window has its anchor, and equal windows have the same anchor at the same place.
+
+Join. Documents are dealt into blocks by their contents. A block sends a row for each of its different anchors, with the smallest and
+largest doc_id that has it there; so a passage that a third of all documents share is one row for each block, not one for each document.
+Anchors that only one document has end here. Each of the others has a leader: an occurrence in the document with the smallest doc_id.
+
+Extend. The leader's block sends the words around the leader, as far as the windows reach that chose it, and every block that has the
+anchor gets them. There each occurrence is extended from the anchor to the left and to the right, word by word, as far as it agrees with
+the leader; the windows within that stretch are in an earlier document. Windows of shared anchors that don't agree with the leader
+may still agree with another occurrence (texts around the edges of a passage): they go out as rows of their 128-bit hashes, one for each block
+and window, and those that a smaller doc_id has too come back. Windows found in either way form, where they
 overlap, the maximal repeats; none is shorter than `length` words. Their words are removed.
 
-Hashes have 64 bits, windows' are compared within equal anchors' ranges only; for n windows a false match has a chance of about
-n * n / 2**65 (ten billion windows: 3 %).
+Matches with leaders are of words. Of other windows' hashes two differ in content with a chance of n * n / 2**129 for n windows. All rows that
+are sent grow with the text; none is sent for a pair of documents or of blocks.
 
 Nulls, empty texts and texts of fewer than `length` words lose nothing. Repeated rows with one doc_id are one document: neither is
 smaller. A row without doc_id comes after all others. An empty table gives an empty result. Only doc_id and text are read.
@@ -22,12 +24,13 @@ smaller. A row without doc_id comes after all others. An empty table gives an em
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from portolan.llm.common import WordHashes, gram_hashes, mix64, words_of
 
@@ -37,114 +40,124 @@ LAST = np.iinfo(np.int64).max  # stands for a missing doc_id
 
 
 class _Block:
-    """The texts of a block as one run of words."""
-
-    def __init__(self, rows: pa.Table, known: WordHashes, length: int):
-        self.ids = np.array([LAST if d is None else d for d in rows.column("doc_id").to_pylist()], dtype=np.int64)
-        self.words = [words_of(t) for t in rows.column("text").to_pylist()]
+    """The texts of a block as one run of words, with their windows and anchors. Documents are in the order of doc_id and text, whatever the
+    order of the rows, so that each pass over a block numbers them alike."""
+
+    def __init__(self, rows: pa.Table, length: int, k: int):
+        self.length, self.k, known = length, k, WordHashes()
+        ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (LAST if ids[i] is None else ids[i], texts[i] or ""))
+        self.doc_ids = [ids[i] for i in order]
+        self.ids = np.array([LAST if d is None else d for d in self.doc_ids], dtype=np.int64)
+        self.words = [words_of(texts[i]) for i in order]
+        self.flat = [w for words in self.words for w in words]
         sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.hashes = np.concatenate([known.of(w) for w in self.words]) if len(sizes) else np.empty(0, dtype=np.uint64)
+        self.hashes = known.of(self.flat)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         # where windows start, and the document of each
         m = max(0, len(doc) - length + 1)
         self.at = np.flatnonzero(doc[:m] == doc[length - 1 :]) if m else np.empty(0, dtype=np.int64)
-        self.doc = doc[self.at] if m else np.empty(0, dtype=np.int64)
-        self.length = length
-
-    def windows(self) -> np.ndarray:
-        return gram_hashes(self.hashes, self.length)[self.at]
-
-    def anchors(self, k: int) -> np.ndarray:
-        """For each window the smallest hash of its k-word runs."""
+        self.doc = doc[self.at]
         runs = gram_hashes(self.hashes, k)
-        least = runs[self.at]
-        for j in range(1, self.length - k + 1):
-            np.minimum(least, runs[self.at + j], out=least)
-        return least
-
-
-def _dealt(block: int, keys: np.ndarray, extra: np.ndarray, buckets: int) -> pa.Table:
-    """Sorted keys, cut into the hash ranges of the buckets: a row for each."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
-    ends = np.append(cuts[1:], len(keys))[: len(cuts)]
-    return pa.table({
-        "bucket": pa.array(bucket[cuts].astype(np.int32)), "block": pa.array(np.full(len(cuts), block, dtype=np.int32)),
-        "keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-        "extra": pa.array([extra[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-    })
-
-
-_SENT = "bucket int, block int, keys binary, extra binary"
-_TOLD = "block int, bucket int, bits binary"
-
-
-def _judge(kind: type, verdict: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
-    """A bucket: all blocks' keys of a hash range -> a bit for each key of each block."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("keys").to_pylist()]
-        extra = np.concatenate([np.frombuffer(x, dtype=kind) for x in rows.column("extra").to_pylist()])
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        bits = verdict(place, extra, np.zeros(len(distinct), dtype=np.int64))
-        cuts = np.cumsum([0, *map(len, keys)])
-        return pa.table({
-            "block": rows.column("block"), "bucket": rows.column("bucket"),
-            "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-        })
-
-    return run
-
-
-def _shared(place: np.ndarray, many: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """Anchors that two documents have: of two blocks, or of one."""
-    np.add.at(zero, place, 1 + many.astype(np.int64))
-    return zero[place] > 1
-
-
-def _smaller(place: np.ndarray, least: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """Windows that a smaller doc_id than the block's own smallest has in another block."""
-    zero[:] = LAST
-    np.minimum.at(zero, place, least)
-    return zero[place] < least
-
-
-def _told(rows: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bits that came back, for the block's sorted keys."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    out = np.zeros(len(keys), dtype=bool)
-    for b, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        lo, hi = np.searchsorted(bucket, [b, b + 1])
-        out[lo:hi] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=hi - lo).astype(bool)
-    return out
-
-
-def _anchor_keys(block: _Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor of each window; the distinct ones, the place of each window's, and whether two documents have it."""
-    anchor = mix64(block.anchors(k))  # least hashes are small ones; hash ranges should fill evenly
-    distinct, place = np.unique(anchor, return_inverse=True)
-    ids = block.ids[block.doc]
-    low, high = np.full(len(distinct), LAST), np.full(len(distinct), np.iinfo(np.int64).min)
-    np.minimum.at(low, place, ids)
-    np.maximum.at(high, place, ids)
-    return anchor, distinct, place, low < high
-
-
-def _window_keys(block: _Block, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the chosen windows: the distinct hashes, the place of each, the smallest doc_id of each."""
-    distinct, place = np.unique(block.windows()[chosen], return_inverse=True)
-    least = np.full(len(distinct), LAST)
-    np.minimum.at(least, place, block.ids[block.doc[chosen]])
-    return distinct, place, least
-
-
-def _repeats(block: _Block, chosen: np.ndarray, place: np.ndarray, least: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least, place = runs[self.at], self.at.copy()
+        for j in range(1, length - k + 1):
+            other = runs[self.at + j]
+            less = other < least
+            least, place = np.where(less, other, least), np.where(less, self.at + j, place)
+        # occurrences: the places that some window chose, with the words that these windows reach
+        self.place, first, self.of = np.unique(place, return_index=True, return_inverse=True)
+        last = (np.append(first[1:], len(place)) - 1)[: len(first)]
+        self.low, self.high = self.at[first], self.at[last] + length
+        # least hashes are small ones; keys should spread evenly
+        self.key = mix64(runs[self.place]).view(np.int64)
+        self.rank = self.ids[self.doc[first]]
+
+    def check(self, occurrences: np.ndarray) -> np.ndarray:
+        """Another 64 bits of the anchors."""
+        out = np.zeros(len(occurrences), dtype=np.uint64)
+        for j in range(self.k):
+            out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + self.hashes[self.place[occurrences] + j])
+        return out.view(np.int64)
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of windows' words."""
+        a, b = np.zeros(len(chosen), dtype=np.uint64), np.zeros(len(chosen), dtype=np.uint64)
+        for j in range(self.length):
+            word = self.hashes[self.at[chosen] + j]
+            a, b = a * np.uint64(0x9E3779B97F4A7C15) + word, mix64(b ^ word)
+        return mix64(a).view(np.int64), b.view(np.int64)
+
+
+def _leaders(block: _Block, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The occurrence of each key that leads: the first one of this rank; -1 for none."""
+    order = np.lexsort((block.place, block.rank, block.key))
+    pairs = list(zip(block.key[order].tolist(), block.rank[order].tolist(), strict=True))
+    first: dict[tuple[int, int], int] = {}
+    for i, pair in zip(order.tolist(), pairs, strict=True):
+        first.setdefault(pair, i)
+    return np.array([first.get(p, -1) for p in zip(keys.tolist(), ranks.tolist(), strict=True)], dtype=np.int64)
+
+
+def _extended(block: _Block, facts: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the block's windows: those that agree with their anchor's leader, and those that have to be looked for elsewhere."""
+    keys, lead = facts.column("key").to_numpy(), facts.column("lead").to_numpy()
+    lone = facts.column("lone").to_numpy(zero_copy_only=False).astype(bool)
+    order = np.argsort(keys, kind="stable")
+    spot = np.searchsorted(keys[order], block.key)
+    spot[spot == len(keys)] = 0
+    known = keys[order][spot] == block.key if len(keys) else np.zeros(len(block.key), dtype=bool)
+    row = order[spot] if len(keys) else spot
+    mine = facts.column("lead_block").to_numpy() == number
+    leaders = _leaders(block, keys[mine], lead[mine])
+    is_leader = np.zeros(len(block.key), dtype=bool)
+    is_leader[leaders[leaders >= 0]] = True
+    later = np.flatnonzero(known & (block.rank > lead[row])) if len(keys) else np.empty(0, dtype=np.int64)
+    left, right = (facts.column(c).to_pylist() for c in ("left", "right"))
+    checks, flat, k = facts.column("check").to_numpy(), block.flat, block.k
+    later = later[block.check(later) == checks[row[later]]] if len(later) else later
+    reach_left, reach_right = np.full(len(block.key), -1), np.full(len(block.key), -1)
+    for i, r, p, lo, hi in zip(later.tolist(), row[later].tolist(), block.place[later].tolist(), block.low[later].tolist(), block.high[later].tolist(), strict=True):
+        theirs, ours = left[r].split(), flat[lo:p]
+        n, most = 0, min(len(theirs), len(ours))
+        if theirs[len(theirs) - most :] == ours[len(ours) - most :]:
+            n = most
+        else:
+            while theirs[-1 - n] == ours[-1 - n]:
+                n += 1
+        reach_left[i] = n
+        theirs, ours = right[r].split(), flat[p + k : hi]
+        n, most = 0, min(len(theirs), len(ours))
+        if theirs[:most] == ours[:most]:
+            n = most
+        else:
+            while theirs[n] == ours[n]:
+                n += 1
+        reach_right[i] = n
+    place = block.place[block.of]
+    agrees = (place - block.at <= reach_left[block.of]) & (block.at + block.length - place - k <= reach_right[block.of])
+    asked = known & ~is_leader
+    if len(keys):
+        asked &= ~lone[row]
+    return agrees, np.flatnonzero(asked[block.of] & ~agrees)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (a, b) are one: an index of each, the number of each row's, the smallest rank of each."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    number = np.empty(len(a), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    least = np.full(int(new.sum()), LAST)
+    np.minimum.at(least, number, ranks)
+    return order[new], number, least
+
+
+def _repeats(block: _Block, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal repeats [start, end), in words of the block: overlapping windows that a smaller doc_id has too."""
-    gone = told[place] | (block.ids[block.doc[chosen]] > least[place])
-    at = block.at[chosen][gone]
-    doc = block.doc[chosen][gone]
+    at, doc = block.at[gone], block.doc[gone]
     if not len(at):
         return at, at
     new = np.concatenate(([True], (at[1:] - at[:-1] > block.length) | (doc[1:] != doc[:-1])))
@@ -168,47 +181,85 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block_b
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(32, size // block_bytes)
-    buckets = max(32, blocks // 8)  # a block sends a row to each: fewer buckets, fewer rows
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    # by contents, so that rows of one doc_id, or without any, are spread
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def send_anchors(key: tuple, rows: pa.Table) -> pa.Table:
-        block = _Block(rows, WordHashes(), length)
-        _, keys, _, many = _anchor_keys(block, anchor)
-        return _dealt(key[0].as_py(), keys, many, buckets)
-
-    def send_windows(key: tuple, rows: pa.Table, seeds: pa.Table) -> pa.Table:
-        block = _Block(rows, WordHashes(), length)
-        _, keys, place, _ = _anchor_keys(block, anchor)
-        chosen = np.flatnonzero(_told(seeds, keys, buckets)[place])
-        hashes, _, least = _window_keys(block, chosen)
-        return _dealt(key[0].as_py(), hashes, least, buckets)
-
-    def finish(key: tuple, rows: pa.Table, seeds: pa.Table) -> pa.Table:
-        block = _Block(rows, WordHashes(), length)
-        is_seed = np.array(seeds.column("kind").to_pylist(), dtype=bool)
-        _, keys, place, _ = _anchor_keys(block, anchor)
-        chosen = np.flatnonzero(_told(seeds.filter(pa.array(is_seed)), keys, buckets)[place])
-        hashes, at, least = _window_keys(block, chosen)
-        lo, hi = _repeats(block, chosen, at, least, _told(seeds.filter(pa.array(~is_seed)), hashes, buckets))
+        block = _Block(rows, length, anchor)
+        distinct, to = np.unique(block.key, return_inverse=True)
+        least, most = np.full(len(distinct), LAST), np.full(len(distinct), np.iinfo(np.int64).min)
+        np.minimum.at(least, to, block.rank)
+        np.maximum.at(most, to, block.rank)
+        return pa.table({
+            "key": distinct, "block": np.full(len(distinct), key[0].as_py(), dtype=np.int32), "least": least, "most": most,
+            "n": np.bincount(to, minlength=len(distinct)).astype(np.int32),
+        })
+
+    def send_contexts(key: tuple, rows: pa.Table, led: pa.Table) -> pa.Table:
+        block = _Block(rows, length, anchor)
+        keys, lead = led.column("key").to_numpy(), led.column("lead").to_numpy()
+        leaders = _leaders(block, keys, lead)
+        keys, leaders = keys[leaders >= 0], leaders[leaders >= 0]
+        spots = list(zip(block.low[leaders].tolist(), block.place[leaders].tolist(), block.high[leaders].tolist(), strict=True))
+        return pa.table({
+            "key": keys, "check": block.check(leaders),
+            "left": pa.array([b" ".join(block.flat[lo:p]) for lo, p, _ in spots], pa.binary()),
+            "right": pa.array([b" ".join(block.flat[p + anchor : hi]) for _, p, hi in spots], pa.binary()),
+        })
+
+    def send_windows(key: tuple, rows: pa.Table, facts: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        block = _Block(rows, length, anchor)
+        _, asked = _extended(block, facts, number)
+        a, b = block.windows(asked)
+        one, _, least = _distinct(a, b, block.ids[block.doc[asked]])
+        return pa.table({"a": a[one], "b": b[one], "block": np.full(len(one), number, dtype=np.int32), "least": least})
+
+    def finish(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
+        block = _Block(rows, length, anchor)
+        is_fact = told.column("is_fact").to_numpy(zero_copy_only=False).astype(bool)
+        gone, asked = _extended(block, told.filter(pa.array(is_fact)), key[0].as_py())
+        a, b = block.windows(asked)
+        one, number, least = _distinct(a, b, block.ids[block.doc[asked]])
+        found = told.filter(pa.array(~is_fact))
+        ta, tb = found.column("key").to_numpy(), found.column("check").to_numpy()
+        order = np.argsort(ta, kind="stable")
+        spot = np.searchsorted(ta[order], a[one])
+        spot[spot == len(ta)] = 0
+        elsewhere = (ta[order][spot] == a[one]) & (tb[order][spot] == b[one]) if len(ta) else np.zeros(len(one), dtype=bool)
+        gone[asked[elsewhere[number] | (block.ids[block.doc[asked]] > least[number])]] = True
+        lo, hi = _repeats(block, np.flatnonzero(gone))
         n, spans, digests = [], [], []
-        for words, found in _report(block, lo, hi):
+        for words, pairs in _report(block, lo, hi):
             kept, last = [], 0
-            for a, b in found:
-                kept += words[last:a]
-                last = b
+            for x, y in pairs:
+                kept += words[last:x]
+                last = y
             n.append(len(words))
-            spans.append([{"first": a, "end": b} for a, b in found])
+            spans.append([{"first": x, "end": y} for x, y in pairs])
             digests.append(hashlib.sha256(b" ".join(kept + words[last:])).hexdigest())
         return pa.table({
-            "doc_id": rows.column("doc_id"), "n_words": pa.array(n, pa.int64()),
+            "doc_id": pa.array(block.doc_ids, pa.int64()), "n_words": pa.array(n, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), "kept_sha256": pa.array(digests, pa.string()),
         })
 
     by_block = dealt.groupBy("block")
-    seeds = by_block.applyInArrow(send_anchors, _SENT).groupBy("bucket").applyInArrow(_judge(np.bool_, _shared), _TOLD)
-    windows = by_block.cogroup(seeds.groupBy("block")).applyInArrow(send_windows, _SENT)
-    gone = windows.groupBy("bucket").applyInArrow(_judge(np.int64, _smaller), _TOLD)
-    told = seeds.withColumn("kind", F.lit(True)).union(gone.withColumn("kind", F.lit(False)))
+    anchors = by_block.applyInArrow(send_anchors, "key long, block int, least long, most long, n int")
+    same = Window.partitionBy("key")  # a row for each block that has the anchor
+    seen = anchors.select(
+        "key", "block", F.min(F.struct("least", "block")).over(same).alias("lead"), F.max("most").over(same).alias("most"), (F.sum("n").over(same) == 2).alias("lone")
+    )
+    shared = seen.where("lead.least < most").select("block", "key", F.col("lead.least").alias("lead"), F.col("lead.block").alias("lead_block"), "lone")
+    contexts = by_block.cogroup(shared.where("block = lead_block").groupBy("block")).applyInArrow(send_contexts, "key long, check long, left binary, right binary")
+    facts = shared.join(contexts, "key").select("block", "key", "lead", "lead_block", "lone", "check", "left", "right")
+    windows = by_block.cogroup(facts.groupBy("block")).applyInArrow(send_windows, "a long, b long, block int, least long")
+    alike = Window.partitionBy("a", "b")  # a row for each block that has the window
+    earlier = windows.withColumn("first", F.min("least").over(alike)).where("first < least")
+    answers = earlier.select(
+        "block", F.col("a").alias("key"), F.lit(None).cast("long").alias("lead"), F.lit(None).cast("int").alias("lead_block"), F.lit(None).cast("boolean").alias("lone"),
+        F.col("b").alias("check"), F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"), F.lit(False).alias("is_fact"),
+    )
+    told = facts.withColumn("is_fact", F.lit(True)).union(answers)
     return by_block.cogroup(told.groupBy("block")).applyInArrow(
         finish, "doc_id long, n_words long, spans array<struct<first: int, end: int>>, kept_sha256 string"
     )
