@@ -11,7 +11,7 @@ Extend. The leader's block sends the words around the leader, as far as the wind
 anchor gets them. There each occurrence is extended from the anchor to the left and to the right, word by word, as far as it agrees with
 the leader; the windows within that stretch are in an earlier document. Windows of shared anchors that don't agree with the leader
 may still agree with another occurrence (texts around the edges of a passage): they go out as rows of their 128-bit hashes, one for each block
-and window, and those that a smaller doc_id has too come back. Windows found in either way form, where they
+and window, and those that a smaller doc_id has too come back, with a bit for each window of the block that keeps what was found. Windows found in either way form, where they
 overlap, the maximal repeats; none is shorter than `length` words. Their words are removed.
 
 Matches with leaders are of words. Of other windows' hashes two differ in content with a chance of n * n / 2**129 for n windows. All rows that
@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from portolan.llm.common import WordHashes, gram_hashes, mix64, words_of
 
 LENGTH, ANCHOR = 13, 5
-BLOCK_BYTES = 4 << 20  # of text in a block, about
+BLOCK_BYTES = 16 << 20  # of text in a block, about
 LAST = np.iinfo(np.int64).max  # stands for a missing doc_id
 
 
@@ -75,11 +75,11 @@ class _Block:
         self.rank = self.ids[self.doc[first]]
 
     def check(self, occurrences: np.ndarray) -> np.ndarray:
-        """Another 64 bits of the anchors."""
+        """Another 32 bits of the anchors."""
         out = np.zeros(len(occurrences), dtype=np.uint64)
         for j in range(self.k):
             out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + self.hashes[self.place[occurrences] + j])
-        return out.view(np.int64)
+        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of windows' words."""
@@ -100,16 +100,16 @@ def _leaders(block: _Block, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.array([first.get(p, -1) for p in zip(keys.tolist(), ranks.tolist(), strict=True)], dtype=np.int64)
 
 
-def _extended(block: _Block, facts: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+def _extended(block: _Block, facts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Of the block's windows: those that agree with their anchor's leader, and those that have to be looked for elsewhere."""
     keys, lead = facts.column("key").to_numpy(), facts.column("lead").to_numpy()
-    lone = facts.column("lone").to_numpy(zero_copy_only=False).astype(bool)
+    flags = facts.column("flags").to_numpy()
+    mine, lone = flags & 1 > 0, flags & 2 > 0
     order = np.argsort(keys, kind="stable")
     spot = np.searchsorted(keys[order], block.key)
     spot[spot == len(keys)] = 0
     known = keys[order][spot] == block.key if len(keys) else np.zeros(len(block.key), dtype=bool)
     row = order[spot] if len(keys) else spot
-    mine = facts.column("lead_block").to_numpy() == number
     leaders = _leaders(block, keys[mine], lead[mine])
     is_leader = np.zeros(len(block.key), dtype=bool)
     is_leader[leaders[leaders >= 0]] = True
@@ -191,8 +191,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block_b
         np.minimum.at(least, to, block.rank)
         np.maximum.at(most, to, block.rank)
         return pa.table({
-            "key": distinct, "block": np.full(len(distinct), key[0].as_py(), dtype=np.int32), "least": least, "most": most,
-            "n": np.bincount(to, minlength=len(distinct)).astype(np.int32),
+            "key": distinct, "least": least,
+            "tag": (key[0].as_py() << 21) | np.minimum(np.bincount(to, minlength=len(distinct)), 0xFFFFF) << 1 | (least < most),
         })
 
     def send_contexts(key: tuple, rows: pa.Table, led: pa.Table) -> pa.Table:
@@ -210,19 +210,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block_b
     def send_windows(key: tuple, rows: pa.Table, facts: pa.Table) -> pa.Table:
         number = key[0].as_py()
         block = _Block(rows, length, anchor)
-        _, asked = _extended(block, facts, number)
+        agrees, asked = _extended(block, facts)
         a, b = block.windows(asked)
         one, _, least = _distinct(a, b, block.ids[block.doc[asked]])
-        return pa.table({"a": a[one], "b": b[one], "block": np.full(len(one), number, dtype=np.int32), "least": least})
+        # and one row for the block itself: a bit for each window that agrees, a bit for each that is asked for
+        mask = np.zeros(len(block.at), dtype=bool)
+        mask[asked] = True
+        name = np.array([number], dtype=np.int64)
+        return pa.table({
+            "a": np.append(a[one], mix64(name.view(np.uint64)).view(np.int64)), "b": np.append(b[one], name), "block": np.full(len(one) + 1, number, dtype=np.int32),
+            "least": pa.array([*least.tolist(), None], pa.int64()),
+            "agrees": pa.array([*[None] * len(one), np.packbits(agrees).tobytes()], pa.binary()), "asked": pa.array([*[None] * len(one), np.packbits(mask).tobytes()], pa.binary()),
+        })
 
     def finish(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         block = _Block(rows, length, anchor)
-        is_fact = told.column("is_fact").to_numpy(zero_copy_only=False).astype(bool)
-        gone, asked = _extended(block, told.filter(pa.array(is_fact)), key[0].as_py())
+        own = [(x, y) for x, y in zip(told.column("agrees").to_pylist(), told.column("asked").to_pylist(), strict=True) if x is not None]
+        bits = lambda x: np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(block.at)).astype(bool)
+        gone, asked = (bits(own[0][0]), np.flatnonzero(bits(own[0][1]))) if own else (np.zeros(len(block.at), dtype=bool), np.empty(0, dtype=np.int64))
         a, b = block.windows(asked)
         one, number, least = _distinct(a, b, block.ids[block.doc[asked]])
-        found = told.filter(pa.array(~is_fact))
-        ta, tb = found.column("key").to_numpy(), found.column("check").to_numpy()
+        found = told.filter(told.column("agrees").is_null())
+        ta, tb = found.column("a").to_numpy(), found.column("b").to_numpy()
         order = np.argsort(ta, kind="stable")
         spot = np.searchsorted(ta[order], a[one])
         spot[spot == len(ta)] = 0
@@ -244,22 +253,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block_b
         })
 
     by_block = dealt.groupBy("block")
-    anchors = by_block.applyInArrow(send_anchors, "key long, block int, least long, most long, n int")
+    # tag: the block, how often the anchor is there, and whether in several documents
+    anchors = by_block.applyInArrow(send_anchors, "key long, least long, tag long").where("key is not null")  # none is; so both uses share an exchange
     same = Window.partitionBy("key")  # a row for each block that has the anchor
+    times, several = F.shiftright("tag", 1).bitwiseAND(F.lit(0xFFFFF)), F.col("tag").bitwiseAND(F.lit(1))
     seen = anchors.select(
-        "key", "block", F.min(F.struct("least", "block")).over(same).alias("lead"), F.max("most").over(same).alias("most"), (F.sum("n").over(same) == 2).alias("lone")
+        "key", "tag", F.min(F.struct("least", "tag")).over(same).alias("lead"), F.max("least").over(same).alias("last"), F.max(several).over(same).alias("several"),
+        F.sum(times).over(same).alias("times"),
+    ).where("times >= 2 and (lead.least < last or several = 1)")
+    shared = seen.select(
+        F.shiftright("tag", 21).cast("int").alias("block"), "key", F.col("lead.least").alias("lead"), several.alias("several"),
+        F.when(F.col("tag") == F.col("lead.tag"), 1).otherwise(0).alias("mine"), F.when(F.col("times") == 2, 2).otherwise(0).alias("lone"),
     )
-    shared = seen.where("lead.least < most").select("block", "key", F.col("lead.least").alias("lead"), F.col("lead.block").alias("lead_block"), "lone")
-    contexts = by_block.cogroup(shared.where("block = lead_block").groupBy("block")).applyInArrow(send_contexts, "key long, check long, left binary, right binary")
-    facts = shared.join(contexts, "key").select("block", "key", "lead", "lead_block", "lone", "check", "left", "right")
-    windows = by_block.cogroup(facts.groupBy("block")).applyInArrow(send_windows, "a long, b long, block int, least long")
-    alike = Window.partitionBy("a", "b")  # a row for each block that has the window
-    earlier = windows.withColumn("first", F.min("least").over(alike)).where("first < least")
-    answers = earlier.select(
-        "block", F.col("a").alias("key"), F.lit(None).cast("long").alias("lead"), F.lit(None).cast("int").alias("lead_block"), F.lit(None).cast("boolean").alias("lone"),
-        F.col("b").alias("check"), F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"), F.lit(False).alias("is_fact"),
+    contexts = by_block.cogroup(shared.where("mine = 1").groupBy("block")).applyInArrow(send_contexts, "key long, check int, left binary, right binary")
+    # a leader's block needs the words only for its other documents
+    needed = (F.col("mine") == 0) | (F.col("several") == 1)
+    facts = shared.join(contexts, "key").select(
+        "block", "key", "lead", (F.col("mine") + F.col("lone")).alias("flags"), "check", F.when(needed, F.col("left")).alias("left"), F.when(needed, F.col("right")).alias("right")
     )
-    told = facts.withColumn("is_fact", F.lit(True)).union(answers)
+    windows = by_block.cogroup(facts.groupBy("block")).applyInArrow(send_windows, "a long, b long, block int, least long, agrees binary, asked binary")
+    alike = Window.partitionBy("a", "b")  # a row for each block that has the window
+    told = windows.withColumn("first", F.min("least").over(alike)).where("agrees is not null or first < least").select("block", "a", "b", "agrees", "asked")
     return by_block.cogroup(told.groupBy("block")).applyInArrow(
         finish, "doc_id long, n_words long, spans array<struct<first: int, end: int>>, kept_sha256 string"
     )
