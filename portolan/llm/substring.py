@@ -190,10 +190,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block_b
         least, most = np.full(len(distinct), LAST), np.full(len(distinct), np.iinfo(np.int64).min)
         np.minimum.at(least, to, block.rank)
         np.maximum.at(most, to, block.rank)
-        return pa.table({
-            "key": distinct, "least": least,
-            "tag": (key[0].as_py() << 21) | np.minimum(np.bincount(to, minlength=len(distinct)), 0xFFFFF) << 1 | (least < most),
-        })
+        tag = (key[0].as_py() << 21) | np.minimum(np.bincount(to, minlength=len(distinct)), 0xFFFFF) << 1 | (least < most)
+        order = np.lexsort((tag, least))  # rows that differ only in their keys follow one another, which the shuffle's compression makes use of
+        return pa.table({"key": distinct[order], "least": least[order], "tag": tag[order]})
 
     def send_contexts(key: tuple, rows: pa.Table, led: pa.Table) -> pa.Table:
         block = _Block(rows, length, anchor)
