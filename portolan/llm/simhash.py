@@ -424,7 +424,7 @@ def near_text_roots(docs: DataFrame, family: int = FAMILY, leaders: int = LEADER
     large = cut(families.groupBy("family").count().where(F.col("count") > family).select("family"))
     links = _small_links(members.join(F.broadcast(large), "family", "left_anti"))
     if large.take(1):
-        more = _large_links(cut(members.join(F.broadcast(large), "family", "left_semi")), leaders)
+        more = _large_links(members.join(F.broadcast(large), "family", "left_semi"), leaders)  # read from members, not stored twice
         links = links if more is None else links.union(more)
     linked = components(links)
     return nodes.select("node").join(linked.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
