@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # White space that parts words in every contract of this package: space and U+0009..U+000D.
@@ -141,3 +144,76 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], weight:
     return joined.withColumn("__before", F.col("__lead") + F.col("__in")).drop(
         "__h", "__w", "__in", "__lead", "__p", *[f"__g{i}" for i in range(len(group))]
     )
+
+
+def laid_out(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """df in the order of `key` and then `order` (missing values first) over its partitions, stored, with __part, a partition's number. The
+    rows of a key may lie in several partitions, one after another, so a key with most of the rows has no task of its own."""
+    places = [F.col(c).asc_nulls_first() for c in (key, *order)]
+    return cut(df.repartitionByRange(*places).sortWithinPartitions(*places)).withColumn("__part", F.spark_partition_id())
+
+
+def prefix_sums(laid: DataFrame, key: str, values: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str], modulus: int | None = None) -> DataFrame:
+    """A table from `laid_out` (whose key is a long without nulls) with running sums, this row's value included, over the rows of each key.
+
+    `values` gives whole numbers for a batch, below the modulus where there is one (2**31 at most); without one sums wrap at 64 bits. One
+    pass sums up the last key of each partition; these sums, a row for each partition, come to the driver, which works out what each partition
+    begins with. A second pass scans.
+    """
+
+    def reduced(x: np.ndarray) -> np.ndarray:
+        return x if modulus is None else x % modulus
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = at = part = None
+        sums = np.zeros(len(names), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy()
+            part = batch.column("__part")[0].as_py()
+            first = int(keys[0]) if first is None else first
+            start = int(np.searchsorted(keys, keys[-1]))
+            if start or keys[0] != at:
+                sums[:] = 0
+            at = int(keys[-1])
+            sums = reduced(sums + np.array([v[start:].sum() for v in values(batch)], np.int64))
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([at]), pa.array([sums.tolist()], pa.list_(pa.int64()))], ["part", "first", "last", "sums"])
+
+    begins: dict[int, tuple[int, np.ndarray]] = {}
+    at, carry = None, np.zeros(len(names), np.int64)
+    for part, first, end, sums in sorted(map(tuple, laid.mapInArrow(last, "part int, first long, last long, sums array<long>").collect())):
+        if first == at:
+            begins[part] = (first, carry)
+        carry = reduced(np.array(sums, np.int64) + (carry if first == end == at else 0))
+        at = end
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        carry: np.ndarray | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy()
+            if carry is None:
+                at, carry = begins.get(batch.column("__part")[0].as_py(), (None, np.zeros(len(names), np.int64)))
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            lengths = np.diff(np.append(starts, len(keys)))
+            out = []
+            for k, v in enumerate(values(batch)):
+                sums = np.cumsum(v, dtype=np.int64)
+                before = sums[starts] - v[starts]  # all that the batch holds before a key
+                if at is not None and keys[0] == at:
+                    before[0] -= carry[k]
+                out.append(reduced(sums - np.repeat(before, lengths)))
+            at, carry = int(keys[-1]), np.array([x[-1] for x in out], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in out]], [*batch.schema.names, *names])
+
+    schema = T.StructType([*laid.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
+    return laid.mapInArrow(scan, schema)
+
+
+def ones(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The values that number rows."""
+    return [np.ones(batch.num_rows, np.int64)]

@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters over their whole tables, and their SQL."""
+"""The queries of the training-data operators, with production parameters over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.llm import decontaminate, html, mixing, quality, sharding, simhash, substring, tokens, toxicity, urlfilter
+from portolan.llm import decontaminate, html, lines, merkle, mixing, prefixes, quality, sharding, simhash, substring, tokens, toxicity, urlfilter
 from portolan.llm.common import fresh_path, table
 
 
@@ -62,6 +62,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.of_rebuilt(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -73,6 +85,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 # Beyond SQL: a trained score (1), XXH64 and components (2), a tokenizer's ids (6), inferred wrappers (7), a keyed permutation (8).
 SQL = {
@@ -81,4 +96,7 @@ SQL = {
     "op5_substring_dedup": substring.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_url_filters": urlfilter.SQL,
+    "op11_line_dedup": lines.SQL,
+    "op12_prefix_trie": prefixes.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
