@@ -16,29 +16,25 @@ empty manifest. Columns other than doc_id, source, lang, n_chars and text aren't
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portolan.llm import supersteps
 from portolan.llm.common import cut, laid_out, ones, prefix_sums
 from portolan.llm.prefixes import duck_crc32
+from portolan.llm.supersteps import FAN
 
-FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-Path = list[tuple[str, str]]  # what stands left and right of a node among its siblings, level by level
 _MEMBER = "struct<slot:int,doc_id:long,leaf:string,seen:string>"
+# what stands left and right of a node among its siblings, level by level
 _PATH = "array<struct<a:string,b:string>>"
 
 
-def _h(x: str) -> str:
-    return hashlib.sha256(x.encode()).hexdigest()
-
-
 def _field(x: Column) -> Column:
     shown = x.cast("string")
     return F.coalesce(F.concat(F.octet_length(shown).cast("string"), F.lit(":"), shown), F.lit("-"))
@@ -59,7 +55,8 @@ def placed(rows: DataFrame) -> tuple[DataFrame, int, int]:
     sources, most = trees.agg(F.count("*"), F.max("n")).first()
     known = rows.join(trees, F.col("source").eqNullSafe(F.col("__source"))).select("tree", "n", "doc_id", "leaf", "seen")
     ranked = prefix_sums(laid_out(known, "tree", ["doc_id", "leaf"]), "tree", ones, ["i"])
-    return ranked.select("tree", (F.col("i") - 1).alias("i"), "n", "doc_id", "leaf", "seen"), sources, most or 0
+    # stored, so that supersteps have no second Python worker beside their own
+    return cut(ranked.select("tree", (F.col("i") - 1).alias("i"), "n", "doc_id", "leaf", "seen")), sources, most or 0
 
 
 def _combined(messages: RDD, parts: int) -> RDD:
@@ -67,23 +64,12 @@ def _combined(messages: RDD, parts: int) -> RDD:
     return messages.combineByKey(lambda m: (m[0], [m[1]]), lambda c, m: (c[0], [*c[1], m[1]]), lambda a, b: (a[0], a[1] + b[1]), parts)
 
 
-def _up(n: int) -> int:
-    return -(-n // FAN)
-
-
-def _vertex(item: tuple) -> tuple:
-    """tree, place, vertices of this level, digest, the children's digests."""
-    (tree, place), (n, children) = item
-    digests = [d for _, d in sorted(children)]
-    return tree, place, _up(n), _h("".join(digests)), digests
-
-
 def _climbed(vertices: DataFrame, parts: int, rounds: int) -> list[DataFrame]:
     """The levels above `vertices` (tree, place, n, digest): tree, place, n, digest, children; as long as a tree has more than one vertex."""
     levels = []
     for _ in range(rounds):
         sent = vertices.where("n > 1").select("tree", "place", "n", "digest").rdd.map(lambda v: ((v.tree, v.place // FAN), (v.n, (v.place % FAN, v.digest))))
-        vertices = _stored(_combined(sent, parts).map(_vertex), vertices, "tree long, place long, n long, digest string, children array<string>")
+        vertices = _stored(_combined(sent, parts).map(supersteps.vertex), vertices, "tree long, place long, n long, digest string, children array<string>")
         levels.append(vertices)
     return levels
 
@@ -92,25 +78,6 @@ def _stored(rdd: RDD, like: DataFrame, schema: str) -> DataFrame:
     return cut(like.sparkSession.createDataFrame(rdd, schema, verifySchema=False))
 
 
-def _rounds(n: int) -> int:
-    """How many levels stand above n vertices."""
-    rounds = 0
-    while n > 1:
-        n, rounds = _up(n), rounds + 1
-    return rounds
-
-
-def _step(children: list[str], slot: int) -> tuple[str, str]:
-    return "".join(children[:slot]), "".join(children[slot + 1 :])
-
-
-def _told(item: tuple) -> Iterator[tuple]:
-    """A parent with its path tells each child the child's path."""
-    (tree, place), (children, (subroot, root, path)) = item
-    for slot, _ in enumerate(children):
-        yield (tree, place * FAN + slot), (subroot, root, [_step(children, slot), *path])
-
-
 def _descended(levels: list[DataFrame], told: Callable[[int], RDD | None], parts: int) -> RDD:
     """(tree, place) -> (subroot, root, path) for the vertices below the levels. told(k): what the tops of level k (from 0) hear from outside."""
     heard: RDD | None = None
@@ -118,36 +85,13 @@ def _descended(levels: list[DataFrame], told: Callable[[int], RDD | None], parts
         outside = told(k)
         all_heard = heard if outside is None else outside if heard is None else heard.union(outside)
         vertices = levels[k].select("tree", "place", "children").rdd.map(lambda v: ((v.tree, v.place), v.children))
-        heard = vertices.join(all_heard, parts).flatMap(_told)
+        heard = vertices.join(all_heard, parts).flatMap(supersteps.told)
         if k:
             kept = _stored(heard.map(lambda x: (*x[0], *x[1])), levels[k], f"tree long, place long, subroot string, root string, path {_PATH}")
-            heard = kept.rdd.map(_hearing)
+            heard = kept.rdd.map(supersteps.hearing)
     return heard
 
 
-def _hearing(r: Row) -> tuple:
-    return (r.tree, r.place), (r.subroot, r.root, [tuple(x) for x in r.path])
-
-
-def _run(item: tuple) -> tuple:
-    """A run of leaves: tree, place, n, digest, members."""
-    (tree, place), (n, members) = item
-    members = sorted(members)
-    return tree, place, _up(n), members[0][2] if n == 1 else _h("".join(m[2] for m in members)), n == 1, members
-
-
-def _checked(item: tuple) -> Iterator[tuple]:
-    """Each leaf of a run: what it is, its proof, and the root that it folds up to."""
-    _, ((lone, members), (subroot, root, path)) = item
-    digests = [m[2] for m in members]
-    for slot, (_, doc_id, leaf, seen) in enumerate(members):
-        steps = path if lone else [_step(digests, slot), *path]
-        at = leaf if seen is None else seen
-        for left, right in steps:
-            at = _h(left + at + right)
-        yield doc_id, leaf, subroot, root, _h("".join(a + b for a, b in steps)), at, at == root
-
-
 def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
     spark, out = docs.sparkSession, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -157,8 +101,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
         return spark.createDataFrame([], out)
     # leaves to their runs; a source's levels above them
     sent = rows.rdd.map(lambda r: ((r.tree, r.i // FAN), (r.n, (r.i % FAN, r.doc_id, r.leaf, r.seen))))
-    runs = _stored(_combined(sent, parts).map(_run), rows, f"tree long, place long, n long, digest string, lone boolean, members array<{_MEMBER}>")
-    levels = _climbed(runs, parts, _rounds(_up(most)))
+    runs = _stored(_combined(sent, parts).map(supersteps.run), rows, f"tree long, place long, n long, digest string, lone boolean, members array<{_MEMBER}>")
+    levels = _climbed(runs, parts, supersteps.rounds(supersteps.up(most)))
     tops = [level.where("n = 1").select("tree", "digest", F.lit(k).alias("level")) for k, level in enumerate([runs, *levels])]
     subroots = tops[0]
     for t in tops[1:]:
@@ -166,19 +110,19 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     subroots = cut(subroots)
     # the tree of the sources: one tree, whose leaves are subroots
     top = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(sources).cast("long").alias("n"), "digest")
-    upper = _climbed(top, parts, _rounds(sources))
+    upper = _climbed(top, parts, supersteps.rounds(sources))
     root = (upper[-1] if upper else top).first()["digest"]
     whole = spark.sparkContext.parallelize([((0, 0), ("", root, []))], 1)
     heard = _descended(upper, lambda k: whole if k == len(upper) - 1 else None, parts) if upper else whole
     # what each subroot hears, by the level at which it stands
     placing = subroots.rdd.map(lambda r: ((0, r.tree), (r.digest, r.level)))
     told = _stored(placing.join(heard, parts).map(lambda x: (x[0][1], x[1][0][1], x[1][0][0], x[1][1][1], x[1][1][2])), subroots, f"tree long, level int, subroot string, root string, path {_PATH}")
-    at_level = lambda k: told.where(F.col("level") == k).withColumn("place", F.lit(0).cast("long")).rdd.map(_hearing)
+    at_level = lambda k: told.where(F.col("level") == k).withColumn("place", F.lit(0).cast("long")).rdd.map(supersteps.hearing)
     heard = at_level(0)
     if levels:
         heard = heard.union(_descended(levels, lambda k: at_level(k + 1), parts))
     members = runs.select("tree", "place", "lone", "members").rdd.map(lambda r: ((r.tree, r.place), (r.lone, [tuple(m) for m in r.members])))
-    return spark.createDataFrame(members.join(heard, parts).flatMap(_checked), out, verifySchema=False)
+    return spark.createDataFrame(members.join(heard, parts).flatMap(supersteps.checked), out, verifySchema=False)
 
 
 def tampered() -> Column:
