@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from portolan.functions import expr
 
@@ -24,13 +23,23 @@ def _text(df: DataFrame, name: str) -> Column:
 
 def duplicates(df: DataFrame, order: list[str]) -> DataFrame:
     """df with is_duplicate: another row with the same identity comes before it. Needs three of the four identity columns; missing
-    values are equal to one another."""
+    values are equal to one another. `order` tells rows apart: of rows alike in it and in identity none is a duplicate of the other.
+
+    The first place of each identity is aggregated before it is shuffled, and only identities that are there twice are joined back. That join has a
+    plain exchange on either side, so an identity with most of the rows is split over tasks.
+    """
     keys = [c for c in IDENTITY if c in df.columns]
     if len(keys) < 3:
         return df.withColumn("is_duplicate", F.lit(False))
-    # the hash comes first in the sort, where it decides nearly all comparisons
-    first = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)
-    return df.withColumn("is_duplicate", F.row_number().over(first) > 1)
+    place = F.struct(*[F.col(c) for c in order])
+    # the hash comes first among the keys, where it decides nearly all comparisons
+    named = df.select(F.xxhash64(*keys).alias("__h"), *[F.col(k).alias(f"__k_{k}") for k in keys], place.alias("__place"))
+    found = named.groupBy("__h", *[f"__k_{k}" for k in keys]).agg(F.min("__place").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    same = F.xxhash64(*keys) == F.col("__h")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    flagged = df.join(found, same, "left").withColumn("is_duplicate", F.coalesce(place > F.col("__first"), F.lit(False)))
+    return flagged.drop("__h", "__first", *[f"__k_{k}" for k in keys])
 
 
 def row_reason(df: DataFrame, is_duplicate: Column, intended_missense: bool = False) -> Column:

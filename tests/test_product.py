@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from portolan.operators import contracts, evidence, gate, score
-from portolan.plans import product
+from portolan.plans import datasets, product
 from portolan.sources import tables
 
 # Values worked out by hand from the formulas: a patient with ten candidates.
@@ -173,3 +174,25 @@ def test_active_sheet(spark, tmp_path):
         for n in (1, 2):
             z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="inlineStr"><is><t>x</t></is></c></row><row><c r="A2"><v>{n}</v></c></row></sheetData></worksheet>')
     assert [r.x for r in tables.read_table(spark, str(tmp_path / "w.xlsx")).collect()] == ["2"]
+
+
+def test_first_wins_with_a_hot_identity(spark):
+    """A third of the rows share one identity, missing values in it; no window over the identity, and the join can be split."""
+    rows = [(i, "p", None, "ACDEFGHIK", "A") if i % 3 == 0 else (i, f"p{i % 50}", f"m{i % 7}", "ACDEFGHIK", "A") for i in range(900)]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "_ord long, patient_id string, mutation_id string, mutant_peptide string, hla_allele string").repartition(6)
+    flagged = gate.duplicates(df, ["_ord"])
+    assert flagged.columns == [*df.columns, "is_duplicate"]
+    seen, want = set(), {}
+    for i, *key in rows:
+        want[i] = tuple(key) in seen
+        seen.add(tuple(key))
+    assert {r["_ord"]: r.is_duplicate for r in flagged.collect()} == want
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min" in plan
+
+    first = datasets.keep_first(df, ["patient_id", "mutation_id"], ["_ord"], "n")
+    assert first.columns == [*df.columns, "n"] and "Window" not in first._jdf.queryExecution().executedPlan().toString()
+    groups = {}
+    for i, p, m, *_ in rows:
+        groups.setdefault((p, m), []).append(i)
+    assert {(r.patient_id, r.mutation_id): (r["_ord"], r.n) for r in first.collect()} == {k: (v[0], len(v)) for k, v in groups.items()}
