@@ -61,11 +61,11 @@ DERIVED = (
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str], count: str) -> DataFrame:
-    """The first row of each key, in this order, and how many there are. Missing keys equal one another; of rows alike in key and order any may
-    stand for the others. One aggregation that sends a row for each key and task, so a key with most of the rows is no heavier than others."""
+    """The first row of each key, in this order, and how many there are. Missing keys equal one another; of rows alike in key and order the
+    smallest stands for the others. One aggregation that sends a row for each key and task, so a key with most of the rows is no heavier than others."""
     row, place = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[F.col(f"`{c}`") for c in order])
-    first = df.groupBy(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, place).alias("__row"), F.count("*").alias("__n"))
-    return first.select(*[F.col(f"__row.`{c}`") for c in df.columns], F.col("__n").alias(count))
+    first = df.groupBy(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(place.alias("place"), row.alias("row"))).alias("__f"), F.count("*").alias("__n"))
+    return first.select(*[F.col(f"__f.row.`{c}`") for c in df.columns], F.col("__n").alias(count))
 
 
 def conflicts(df: DataFrame, keys: list[str], label: str) -> DataFrame:

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from portolan.sources import delimited
+from portolan.sources.delimited import separator
+
 ORDER = "_ord"
 # Cells that mean a missing value in a delimited file.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -33,24 +36,6 @@ def _named(header: list[str]) -> list[str]:
     return out
 
 
-def numbered(df: DataFrame, to: str = ORDER) -> DataFrame:
-    """df with the place of each row in its scan, from 0 without gaps. Spark's own row ids start anew in each partition, so each
-    partition's count (one small row) gives its offset."""
-    ids = df.withColumn("__id", F.monotonically_increasing_id())
-    part, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in ids.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    offsets, at = [], 0
-    for p in range(max(counts, default=0) + 1):
-        offsets.append(at)
-        at += counts.get(p, 0)
-    if len(offsets) == 1:
-        return ids.withColumnRenamed("__id", to)
-    starts = df.sparkSession.createDataFrame(list(enumerate(offsets)), "__p long, __start long")
-    # a row for each partition of the scan
-    found = ids.withColumn("__p", part).join(F.broadcast(starts), "__p")
-    return found.withColumn(to, F.col("__start") + inside).drop("__p", "__start", "__id")
-
-
 def _unpacked(spark: SparkSession, path: str, rows: Callable[[bytes], Iterator[list[str | None]]]) -> DataFrame:
     """The table in an archive or workbook, which is opened in a task; only its header comes to the driver."""
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -83,23 +68,14 @@ def _unpacked(spark: SparkSession, path: str, rows: Callable[[bytes], Iterator[l
     return files.mapInArrow(body, T.StructType([T.StructField(ORDER, T.LongType()), *[T.StructField(n, T.StringType()) for n in names]]))
 
 
-def _separator(head: str, suffix: str) -> str:
-    """Tab for .tsv and .txt, unless the header has none but commas."""
-    return "," if suffix == ".csv" or ("\t" not in head and "," in head) else "\t"
-
-
 def _delimited(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    first = spark.read.text(path).limit(1).first()
-    head = first[0] if first else ""
-    sep = _separator(head, suffix)
-    # a file with a line break inside quotes has a line with an odd number of quotes; only such a file can't be split
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    broken = bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, quote='"', escape='"', multiLine=broken)
-    # the header's own names: Spark renames blank and repeated ones
-    names = next(csv.reader([head.lstrip("\ufeff")], delimiter=sep), [])
-    df = numbered(df.toDF(*_named(names if len(names) == len(df.columns) else df.columns)))
-    return df.select(ORDER, *[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns if c != ORDER])
+    rows, sep = delimited.records(spark, path, suffix)
+    names = _named(delimited.header(rows, sep))
+    if not names:
+        raise ValueError(f"the table has no header: {path}")
+    body = delimited.cells(rows.where("no > 0"), sep, len(names))
+    cell = lambda i: F.when(~F.col(f"c{i}").isin(*MISSING), F.col(f"c{i}"))
+    return body.select((F.col("no") - 1).alias(ORDER), *[cell(i).alias(n) for i, n in enumerate(names)])
 
 
 def _zipped(data: bytes, member: str | None) -> Iterator[list[str | None]]:
@@ -111,7 +87,7 @@ def _zipped(data: bytes, member: str | None) -> Iterator[list[str | None]]:
         with io.TextIOWrapper(archive.open(member), "utf-8-sig", newline="") as lines:
             head = lines.readline()
         with io.TextIOWrapper(archive.open(member), "utf-8-sig", newline="") as lines:
-            yield from csv.reader(lines, delimiter=_separator(head, PurePosixPath(member).suffix.lower()))
+            yield from csv.reader(lines, delimiter=separator(head, PurePosixPath(member).suffix.lower()))
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -169,7 +145,7 @@ def read_table(spark: SparkSession, path: str, member: str | None = None) -> Dat
     if suffix == ".parquet":
         df = spark.read.parquet(path)
         text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c != ORDER else F.col(c) for c in df.columns])
-        return text if ORDER in df.columns else numbered(text)
+        return text if ORDER in df.columns else delimited.numbered(text, ORDER)
     raise ValueError(f"unsupported table format: {suffix or path}")
 
 
