@@ -125,7 +125,7 @@ def _records(lines: DataFrame, sep: str) -> DataFrame:
                 size += len(line)
                 if is_open or '"' in line:
                     is_open = ends_open(line, sep, is_open)
-            if size > BATCH_BYTES or len(out) > 10_000:
+            if out and (size > BATCH_BYTES or len(out) > 10_000):
                 yield _batch(out)
                 out, size = [], 0
         if held:

@@ -3,74 +3,20 @@
 from __future__ import annotations
 
 import csv
-import io
-import re
-import zipfile
-from collections.abc import Callable, Iterator
-from functools import partial
-from itertools import islice
 from pathlib import Path, PurePosixPath
-from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from portolan.sources import delimited
-from portolan.sources.delimited import separator
+from portolan.sources import archives, delimited
+from portolan.sources.archives import MISSING, named
 
 ORDER = "_ord"
-# Cells that mean a missing value in a delimited file.
-MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-
-
-def _named(header: list[str]) -> list[str]:
-    """Unique column names: blanks get a number, repetitions a suffix."""
-    out: list[str] = []
-    for i, name in enumerate(header):
-        name, n = name or f"unnamed_{i}", 0
-        while (f"{name}.{n}" if n else name) in out:
-            n += 1
-        out.append(f"{name}.{n}" if n else name)
-    return out
-
-
-def _unpacked(spark: SparkSession, path: str, rows: Callable[[bytes], Iterator[list[str | None]]]) -> DataFrame:
-    """The table in an archive or workbook, which is opened in a task; only its header comes to the driver."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content").to_pylist():
-                try:
-                    head, problem = next(rows(data), None), "the table has no header"
-                except ValueError as wrong:
-                    head, problem = None, str(wrong)
-                head = None if head is None else [x or "" for x in head]
-                yield pa.RecordBatch.from_arrays([pa.array([head], pa.list_(pa.string())), pa.array([problem])], ["head", "problem"])
-
-    head = files.mapInArrow(first, "head array<string>, problem string").first()
-    if head is None or head["head"] is None:
-        raise ValueError(head["problem"] if head else f"no such file: {path}")
-    names = _named(head["head"])
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(ORDER, pa.int64()), *[(n, pa.string()) for n in names]])
-        cell = lambda x: None if x is None or x in MISSING else x
-        for batch in batches:
-            for data in batch.column("content").to_pylist():
-                lines = enumerate(r for r in islice(rows(data), 1, None) if any(x not in (None, "") for x in r))
-                while part := list(islice(lines, 10_000)):
-                    columns = zip(*[[cell(x) for x in r[: len(names)]] + [None] * (len(names) - len(r)) for _, r in part], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), *[pa.array(c, pa.string()) for c in columns]], schema=schema)
-
-    return files.mapInArrow(body, T.StructType([T.StructField(ORDER, T.LongType()), *[T.StructField(n, T.StringType()) for n in names]]))
 
 
 def _delimited(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     rows, sep = delimited.records(spark, path, suffix)
-    names = _named(delimited.header(rows, sep))
+    names = named(delimited.header(rows, sep))
     if not names:
         raise ValueError(f"the table has no header: {path}")
     body = delimited.cells(rows.where("no > 0"), sep, len(names))
@@ -78,70 +24,14 @@ def _delimited(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return body.select((F.col("no") - 1).alias(ORDER), *[cell(i).alias(n) for i, n in enumerate(names)])
 
 
-def _zipped(data: bytes, member: str | None) -> Iterator[list[str | None]]:
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        names = [n for n in archive.namelist() if not n.endswith("/") and not n.startswith("__MACOSX/")]
-        if member is None and len(names) != 1:
-            raise ValueError(f"the archive has {len(names)} files; name one of them")
-        member = member or names[0]
-        with io.TextIOWrapper(archive.open(member), "utf-8-sig", newline="") as lines:
-            head = lines.readline()
-        with io.TextIOWrapper(archive.open(member), "utf-8-sig", newline="") as lines:
-            yield from csv.reader(lines, delimiter=separator(head, PurePosixPath(member).suffix.lower()))
-
-
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-_LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-
-
-def _active_sheet(archive: zipfile.ZipFile) -> str:
-    """The file of the sheet that was open when the workbook was saved; the lowest number where the workbook doesn't say."""
-    files = archive.namelist()
-    if "xl/workbook.xml" in files and "xl/_rels/workbook.xml.rels" in files:
-        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
-        view, sheets = book.find(f".//{_SHEET}workbookView"), book.findall(f".//{_SHEET}sheet")
-        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
-        at = int(view.get("activeTab", "0")) if view is not None else 0
-        target = targets.get(sheets[at].get(f"{_LINKS}id"), "") if at < len(sheets) else ""
-        name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        if name in files:
-            return name
-    return min((n for n in files if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-
-
-def _workbook(data: bytes) -> Iterator[list[str | None]]:
-    """The active sheet of an .xlsx file. Cells are placed by their own references, whatever the sheet's stated dimensions say."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        strings = []
-        if "xl/sharedStrings.xml" in archive.namelist():
-            for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
-                strings.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
-        for row in ElementTree.fromstring(archive.read(_active_sheet(archive))).iter(f"{_SHEET}row"):
-            cells: list[str | None] = []
-            for cell in row.iter(f"{_SHEET}c"):
-                at = 0
-                for letter in re.match(r"[A-Z]*", cell.get("r", ""))[0]:
-                    at = at * 26 + ord(letter) - 64
-                at = at - 1 if at else len(cells)
-                cells += [None] * (at + 1 - len(cells))
-                value, kind = cell.find(f"{_SHEET}v"), cell.get("t")
-                if kind == "inlineStr":
-                    cells[at] = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
-                elif value is not None and value.text is not None:
-                    cells[at] = strings[int(value.text)] if kind == "s" else {"0": "False", "1": "True"}.get(value.text, value.text) if kind == "b" else value.text
-            yield cells
-
-
 def read_table(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
-    """All columns as text, missing cells NULL, and _ord, which puts the rows in input order. A Parquet table needs its own order column
-    _ord, or gets one from its scan."""
+    """All columns as text, missing cells NULL, and _ord, which puts the rows in input order. Of a workbook the active sheet, of an archive the
+    member of that name or pattern. A Parquet table needs its own order column _ord, or gets one from its scan."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix in (".csv", ".tsv", ".txt"):
         return _delimited(spark, path, suffix)
     if suffix in (".zip", ".xlsx"):
-        return _unpacked(spark, path, partial(_zipped, member=member) if suffix == ".zip" else _workbook)
+        return archives.read(spark, path, member)
     if suffix == ".parquet":
         df = spark.read.parquet(path)
         text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c != ORDER else F.col(c) for c in df.columns])
