@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions import expr
@@ -39,32 +39,55 @@ class Report:
         return not (self.missing_columns or self.empty_required_values or self.duplicate_candidate_ids or self.invalid_peptides or self.invalid_labels)
 
 
-def counts(df: DataFrame) -> DataFrame:
-    """One row: row_count, blank_<column> for each required column that is there, duplicate_candidate_ids, invalid_peptides."""
+def _blanks_and_peptides(df: DataFrame) -> list[Column]:
     has = [c for c in REQUIRED if c in df.columns]
     blank = [F.count_if(F.col(c).isNull() | (expr.strip(F.col(c).cast("string")) == "")).alias(f"blank_{c}") for c in has]
-    ids = F.count("candidate_id") - F.count_distinct("candidate_id") + F.greatest(F.count_if(F.col("candidate_id").isNull()) - 1, F.lit(0)) if "candidate_id" in has else F.lit(0)
     bad = F.count_if(~expr.peptide(F.col("mutant_peptide")).rlike("^[ACDEFGHIKLMNPQRSTVWY]+$")) if "mutant_peptide" in has else F.lit(0)
-    return df.agg(F.count("*").alias("row_count"), *blank, ids.cast("long").alias("duplicate_candidate_ids"), bad.cast("long").alias("invalid_peptides"))
+    return [*blank, bad.cast("long").alias("invalid_peptides")]
+
+
+def observed(df: DataFrame) -> list[Column]:
+    """What `counts` has but the duplicate ids, as metrics of an Observation: they are counted in the pass that writes df."""
+    return [F.count(F.lit(1)).alias("row_count"), *_blanks_and_peptides(df)]
+
+
+def duplicate_ids(df: DataFrame) -> Column:
+    """How many ids are there again; missing ids are one id."""
+    if "candidate_id" not in df.columns:
+        return F.lit(0).cast("long")
+    return (F.count("candidate_id") - F.count_distinct("candidate_id") + F.greatest(F.count_if(F.col("candidate_id").isNull()) - 1, F.lit(0))).cast("long")
+
+
+def counts(df: DataFrame) -> DataFrame:
+    """One row: row_count, blank_<column> for each required column that is there, duplicate_candidate_ids, invalid_peptides."""
+    *blank, bad = _blanks_and_peptides(df)
+    return df.agg(F.count("*").alias("row_count"), *blank, duplicate_ids(df).alias("duplicate_candidate_ids"), bad)
 
 
 def report(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> Report:
     """Of a candidate table; with RANKED as `required` of a ranked one."""
-    row = counts(df).first()
+    return reported(df.columns, counts(df).first().asDict(), required)
+
+
+def reported(columns: list[str], found: dict, required: tuple[str, ...] = REQUIRED) -> Report:
+    """Of a table with these columns, for which `counts` or `observed` found this."""
     return Report(
-        RANKED_VERSION if required is RANKED else CANDIDATE_VERSION, row["row_count"], tuple(sorted(set(required) - set(df.columns))),
-        tuple(sorted(c for c in REQUIRED if c in df.columns and row[f"blank_{c}"])), row["duplicate_candidate_ids"], row["invalid_peptides"],
+        RANKED_VERSION if required is RANKED else CANDIDATE_VERSION, found["row_count"], tuple(sorted(set(required) - set(columns))),
+        tuple(sorted(c for c in REQUIRED if c in columns and found[f"blank_{c}"])), found.get("duplicate_candidate_ids", 0), found["invalid_peptides"],
     )
 
 
-def check(df: DataFrame, what: str, required: tuple[str, ...] = REQUIRED) -> Report:
+def enforced(found: Report, what: str) -> Report:
     """The report of a table that keeps its contract; an error for one that doesn't."""
-    found = report(df, required)
     if not found.ok:
         raise ContractError(what, found)
     return found
 
 
+def check(df: DataFrame, what: str, required: tuple[str, ...] = REQUIRED) -> Report:
+    return enforced(report(df, required), what)
+
+
 def research_report(df: DataFrame) -> Report:
     """Columns, labels and duplicate ids of a normalised data set."""
     missing = tuple(sorted(set(RESEARCH) - set(df.columns)))

@@ -14,6 +14,7 @@ CLASS_I = ("I", "CLASS_I", "CLASS I")
 LOST = ("Y", "YES", "TRUE", "1", "LOST")
 SILENT = ("N", "NO", "FALSE", "0", "NOT_EXPRESSED")
 SUBSTITUTIONS = ("SNV", "SNP", "MISSENSE")
+REASONS = ("MALFORMED_AA", "BAD_CLASS_I_LENGTH", "DUP_CANDIDATE", "MUT_NOT_IN_PEPTIDE", "HLA_LOH_LOST_ALLELE", "GENE_NOT_EXPRESSED")
 IDENTITY = ("patient_id", "mutation_id", "mutant_peptide", "hla_allele")
 
 
@@ -71,6 +72,13 @@ def disabled(df: DataFrame) -> DataFrame:
     })
 
 
+def observed() -> list[Column]:
+    """`summary` and the counts of REASONS as metrics of an Observation."""
+    of = F.col("deterministic_gate_reason")
+    return [F.count_if("deterministic_gate_pass").alias("survivor_count"), *[F.count_if(of == r).alias(f"reason_{r}") for r in REASONS],
+            F.count_if((of != "") & ~of.isin(*REASONS)).alias("other_reasons")]
+
+
 def summary(df: DataFrame) -> DataFrame:
     """input_count, survivor_count, removed_count, removed_fraction (0 for no rows); one row."""
     n, kept = F.count("*"), F.count_if("deterministic_gate_pass")

@@ -122,7 +122,7 @@ def rna_overlay(spark: SparkSession, d: str) -> DataFrame:
     rna = old.groupBy(F.expr("concat('P', o_custkey % 200)").alias("patient_id"), F.expr("concat('M', l_partkey % 97)").alias("mutation_id")).agg(
         F.max("l_quantity").alias("expression_tpm"), F.max(F.when(F.col("l_linenumber") > 2, F.col("l_discount"))).alias("rna_vaf")
     )
-    return evidence.merged(c.candidates(spark, d), rna).select("candidate_id", "expression_tpm", "rna_vaf")
+    return evidence.overlaid(c.candidates(spark, d), rna).select("candidate_id", "expression_tpm", "rna_vaf")
 
 
 @query(f"""{SCORED} select candidate_id, round(coalesce(tr, 0.5), 9) as translated, round(coalesce(pres, 0.5), 9) as presented, round(coalesce(rec, 0.5), 9) as recognized,
@@ -301,7 +301,7 @@ def evidence_overlay(spark: SparkSession, d: str) -> DataFrame:
     own = [v for v in evidence.VALUES if v in rows.columns]
     found = rows.where("candidate_id like '%-1-%'").groupBy("patient_id", "transcript_id").agg(
         *[F.max(v).alias(v) for v in own], (F.max("dna_vaf") / 2).alias("presentation_score"), (F.max("rna_vaf") / 4).alias("recognition_score"))
-    return evidence.merged(rows, found).select("candidate_id", *evidence.VALUES)
+    return evidence.overlaid(rows, found).select("candidate_id", *evidence.VALUES)
 
 
 @query(f"""{CAND} select key, count(*) as n, count(*) filter (copies > 1) as repeated from (select 'patient_id+mutation_id' as key, count(*) as copies from cand group by patient_id, mutation_id

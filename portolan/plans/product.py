@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +17,7 @@ from portolan.sources import tables
 POLICY_NAME = "deterministic_evidence_policy_v1_not_a_validated_response_probability"  # fixed value
 ONE_FILE = 1_000_000  # ranked rows of one patient that may be a single CSV file
 MOST_PATIENTS = 10_000  # whose summaries and selected rows may be in the JSON and Markdown files
+SHOWN = ("rank", "evidence_tier", "gene_symbol", "mutation_id", "mutant_peptide", "hla_allele", "evidence_score", "lower_evidence_score", "selection_reason")  # of selected rows
 
 # Each canonical field and the names under which inputs carry it, best first.
 ALIASES = {
@@ -60,9 +62,9 @@ def with_dup_suffix(df: DataFrame, base: str, order: list[str], to: str) -> Data
     return df.withColumn(to, F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit(":dup"), n.cast("string"))))
 
 
-def normalized(df: DataFrame, patient_id: str | None = None, source: str = "product_input", order: str = tables.ORDER) -> DataFrame:
+def normalized(df: DataFrame, patient_id: str | None = None, source: str = "product_input", order: str = tables.ORDER, checked: bool = True) -> DataFrame:
     """The canonical candidate table of an input: known fields under their names, text canonical, numbers parsed, ids filled. Other columns
-    are dropped. Raises where the table breaks the candidate contract."""
+    are dropped. Raises where the table breaks the candidate contract; with checked=False that is left to whoever reads the rows."""
     found = {field: first_of(df.columns, names) for field, names in ALIASES.items()}
     raw = lambda name: F.col(f"`{name}`").cast("string")
     columns: dict[str, Column] = {
@@ -92,7 +94,8 @@ def normalized(df: DataFrame, patient_id: str | None = None, source: str = "prod
         blank = F.col("__given").isNull() | (expr.strip(F.col("__given")) == "")
         rows = rows.withColumn("candidate_id", F.when(blank, own).otherwise(F.col("__given"))).drop("__given")
     out = rows.withColumns({"source_name": F.lit(source), "candidate_schema_version": F.lit(contracts.CANDIDATE_VERSION)})
-    contracts.check(out, "candidate input")
+    if checked:
+        contracts.check(out, "candidate input")
     return out
 
 
@@ -105,10 +108,9 @@ def ranked(df: DataFrame, policy: score.Policy = score.Policy(), order: str = ta
     return select.portfolio(score.scored(gated, policy), policy).withColumn("ranked_schema_version", F.lit(contracts.RANKED_VERSION))
 
 
-def load(spark: SparkSession, path: str, patient_id: str | None = None, rna_path: str | None = None) -> DataFrame:
-    """The canonical table of a file, with the RNA evidence of another. Its rows are kept, as they are parsed once for the contract's check
-    and once for each use."""
-    rows = normalized(tables.read_table(spark, path).persist(), patient_id)
+def load(spark: SparkSession, path: str, patient_id: str | None = None, rna_path: str | None = None, checked: bool = True) -> DataFrame:
+    """The canonical table of a file, with the RNA evidence of another. Evidence that repeats a key is an error of the job that reads these rows."""
+    rows = normalized(tables.read_table(spark, path), patient_id, checked=checked)
     if rna_path is None:
         return rows
     rna = tables.read_table(spark, rna_path)
@@ -117,45 +119,67 @@ def load(spark: SparkSession, path: str, patient_id: str | None = None, rna_path
     rna = rna.select(*chosen)
     if patient_id is not None and "patient_id" not in rna.columns:
         rna = rna.withColumn("patient_id", F.lit(patient_id))
-    return evidence.merged(rows, rna)
+    return evidence.overlaid(rows, rna)
 
 
-def write_report(ranking: DataFrame, folder: str) -> dict[str, str]:
+def _by_patient(ranking: DataFrame) -> DataFrame:
+    """One table for all that a report needs besides counts: first a row with the duplicate ids, then a row for each patient, in their order,
+    with its summary and its selected rows (k at most)."""
+    shown = F.struct(*[F.col(c) for c in SHOWN])
+    chosen = ranking.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.when(F.col("selected"), shown))).alias("chosen"))
+    summaries = select.patient_summary(ranking)
+    patients = summaries.join(chosen.withColumnRenamed("patient_id", "__p"), F.col("patient_id").eqNullSafe(F.col("__p"))).drop("__p")
+    rows = patients.select(F.lit(1).alias("kind"), F.lit(None).cast("long").alias("duplicates"), F.struct(*summaries.columns).alias("summary"), "chosen")
+    ids = ranking.agg(contracts.duplicate_ids(ranking).alias("duplicates"))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("summary", "chosen")]
+    return ids.select(F.lit(0).alias("kind"), "duplicates", *none).union(rows).orderBy("kind", "summary.patient_id")
+
+
+def write_report(ranking: DataFrame, folder: str, what: str = "ranked output") -> dict[str, str]:
     """The ranked table as CSV, and its summaries as JSON and Markdown.
 
     Raises where the table breaks the ranked contract. One patient's table is a single CSV file; several patients' is a folder of parts that
     the executors write. Summaries and selected rows (k a patient) come to the driver for up to MOST_PATIENTS; beyond, they are folders
     too, which report.json names.
+
+    Three jobs: the ranking is written once as it is made, which counts rows, blanks, bad peptides and gate reasons on the way; one query over what was
+    written has the duplicate ids, the summaries and the selected rows; and the CSV. Nothing is kept in executors, and the copy is deleted.
     """
-    ranking = ranking.persist()
+    spark, staged = ranking.sparkSession, f"{folder}/staged-{uuid.uuid4().hex}"
+    counted = Observation()
     try:
-        contracts.check(ranking, "ranked output", contracts.RANKED)
-        csv, summaries = f"{folder}/ranked_candidates.csv", select.patient_summary(ranking)
-        n_patients = summaries.count()
-        rows = ranking.drop(tables.ORDER)
-        if n_patients <= 1 and rows.count() <= ONE_FILE:
-            tables.write_csv(select.final_order(rows), csv)
+        ranking.observe(counted, *contracts.observed(ranking), *gate.observed()).write.parquet(staged)
+        found = counted.get
+        contracts.enforced(contracts.reported(ranking.columns, found, contracts.RANKED), what)
+        rows = spark.read.schema(ranking.schema).parquet(staged)
+        (first, *patients) = _by_patient(rows).limit(MOST_PATIENTS + 2).collect()
+        contracts.enforced(contracts.reported(ranking.columns, found | {"duplicate_candidate_ids": first["duplicates"]}, contracts.RANKED), what)
+        table, csv = select.final_order(rows.drop(tables.ORDER)), f"{folder}/ranked_candidates.csv"
+        if len(patients) <= 1 and found["row_count"] <= ONE_FILE:
+            tables.write_csv(table, csv)
+        else:
+            tables.write_csv_parts(table, csv)
+        n, kept = found["row_count"], found["survivor_count"]
+        checked = {"input_count": n, "survivor_count": kept, "removed_count": n - kept, "removed_fraction": (n - kept) / n if n else 0.0}
+        if found["other_reasons"]:  # a table that was gated elsewhere
+            reasons = [(r["reason"], r["n"]) for r in gate.reasons(rows).collect()]
         else:
-            tables.write_csv_parts(select.final_order(rows), csv)
-        checked = gate.summary(ranking).first().asDict()
-        checked["reason_counts"] = {r["reason"]: r["n"] for r in gate.reasons(ranking).orderBy(F.col("n").desc(), "reason").collect()}
-        report = {"schema_version": contracts.RANKED_VERSION, "policy": POLICY_NAME, "deterministic_gate": checked}
-        patients: list[dict] = []
+            reasons = [(r, found[f"reason_{r}"]) for r in gate.REASONS if found[f"reason_{r}"]]
+        checked["reason_counts"] = dict(sorted(reasons, key=lambda x: (-x[1], x[0])))
+        report: dict = {"schema_version": contracts.RANKED_VERSION, "policy": POLICY_NAME, "deterministic_gate": checked}
         chosen: dict[str, list] = {}
-        if n_patients <= MOST_PATIENTS:
-            patients = [r.asDict() for r in summaries.orderBy("patient_id").collect()]
-            for r in ranking.where("selected").orderBy("patient_id", "rank").collect():
-                chosen.setdefault(r["patient_id"], []).append(r)
-            report["patients"] = patients
+        if len(patients) <= MOST_PATIENTS:
+            report["patients"] = [p["summary"].asDict() for p in patients]
+            chosen = {p["summary"]["patient_id"]: p["chosen"] for p in patients}
         else:
             report |= {"patients_folder": f"{folder}/patients", "selected_folder": f"{folder}/selected"}
-            summaries.write.mode("overwrite").json(report["patients_folder"])
-            ranking.where("selected").drop(tables.ORDER).write.mode("overwrite").json(report["selected_folder"])
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        Path(f"{folder}/report.json").write_text(json.dumps(report, indent=2) + "\n")
-        Path(f"{folder}/report.md").write_text(_markdown(checked, patients, chosen))
+            select.patient_summary(rows).write.mode("overwrite").json(report["patients_folder"])
+            rows.where("selected").drop(tables.ORDER).write.mode("overwrite").json(report["selected_folder"])
     finally:
-        ranking.unpersist()
+        tables.delete(spark, staged)
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    Path(f"{folder}/report.json").write_text(json.dumps(report, indent=2) + "\n")
+    Path(f"{folder}/report.md").write_text(_markdown(checked, report.get("patients", []), chosen))
     return {"csv": csv, "json": f"{folder}/report.json", "markdown": f"{folder}/report.md"}
 
 
@@ -175,4 +199,6 @@ def _markdown(checked: dict, patients: list[dict], chosen: dict[str, list]) -> s
 
 
 def run_patient(spark: SparkSession, path: str, folder: str, patient_id: str | None = None, rna_path: str | None = None, policy: score.Policy = score.Policy()) -> dict[str, str]:
-    return write_report(ranked(load(spark, path, patient_id, rna_path), policy, checked=rna_path is None), folder)
+    """From a file to its reports. The candidate contract is a part of the ranked one, so it is checked where the ranking is written."""
+    rows = load(spark, path, patient_id, rna_path, checked=False)
+    return write_report(ranked(rows, policy, checked=True), folder, "candidate input")

@@ -55,3 +55,9 @@ def write_csv_parts(df: DataFrame, path: str) -> str:
     """A folder of CSV files, each with a header, written where the rows are; in the order of their names they have df's order."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there, by Spark's file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -2,9 +2,10 @@ import json
 import random
 
 import pytest
+from pyspark.errors import SparkRuntimeException, StreamingQueryException
 from pyspark.sql import functions as F
 
-from portolan.operators import contracts, evidence, gate, score
+from portolan.operators import contracts, evidence, gate, score, select
 from portolan.plans import datasets, product
 from portolan.sources import tables
 
@@ -196,3 +197,100 @@ def test_first_wins_with_a_hot_identity(spark):
     for i, p, m, *_ in rows:
         groups.setdefault((p, m), []).append(i)
     assert {(r.patient_id, r.mutation_id): (r["_ord"], r.n) for r in first.collect()} == {k: (v[0], len(v)) for k, v in groups.items()}
+
+
+@pytest.mark.parametrize("key", [k for k in evidence.KEYS])
+def test_repeated_evidence_fails_in_the_one_job(spark, key):
+    """Each key: the error arises in the job that reads the joined rows, also where no candidate has the repeated key and no value is asked for."""
+    cand = spark.createDataFrame([("p", "c1", "m1", "t1", "g1", 1.0), ("p", None, None, None, None, 2.0)], "patient_id string, candidate_id string, mutation_id string, transcript_id string, gene_symbol string, expression_tpm double")
+    rows = spark.createDataFrame([("p", "1", 5.0), ("q", "9", 6.0), (None, None, 7.0)], "patient_id string, k string, rna_vaf double")
+    rna = rows.select("patient_id", *[F.concat(F.lit(c[0]), "k").alias(c) for c in key], "rna_vaf")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    good = evidence.overlaid(cand, rna)
+    bad = [evidence.overlaid(cand, rna.union(rna.where(which))) for which in ("patient_id = 'q'", "patient_id is null")]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before  # building runs nothing
+    assert {r.expression_tpm: r.rna_vaf for r in good.collect()} == {1.0: 5.0, 2.0: None}
+    for table in bad:
+        for read in (table, table.select("expression_tpm")):
+            with pytest.raises(SparkRuntimeException, match="repeats a key"):
+                read.collect()
+
+
+def test_evidence_on_a_stream(spark, tmp_path):
+    cand = spark.createDataFrame([("p", "m1"), ("p", "m2")], "patient_id string, mutation_id string")
+    cand.write.parquet(str(tmp_path / "in"))
+    rna = spark.createDataFrame([("p", "m1", 3.0)], "patient_id string, mutation_id string, expression_tpm double")
+    for n, table in enumerate((rna, rna.union(rna))):
+        stream = evidence.overlaid(spark.readStream.schema(cand.schema).parquet(str(tmp_path / "in")), table)
+        query = stream.writeStream.format("memory").queryName(f"overlaid{n}").option("checkpointLocation", str(tmp_path / f"ck{n}")).start()
+        if n:
+            with pytest.raises(StreamingQueryException, match="repeats a key"):
+                query.processAllAvailable()
+        else:
+            query.processAllAvailable()
+            query.stop()
+            assert sorted(map(tuple, spark.table("overlaid0").collect())) == [("p", "m1", 3.0), ("p", "m2", None)]
+
+
+def jobs_of(spark, run):
+    """How many queries `run` executes."""
+    seen = []
+
+    class Listener:
+        def onSuccess(self, name, execution, took):
+            seen.append(name)
+
+        def onFailure(self, name, execution, error):
+            seen.append(name)
+
+        class Java:
+            implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
+
+    from pyspark.java_gateway import ensure_callback_server_started
+
+    ensure_callback_server_started(spark.sparkContext._gateway)
+    listener = Listener()
+    manager = spark._jsparkSession.listenerManager()
+    manager.register(listener)
+    try:
+        run()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        manager.unregister(listener)
+    return seen
+
+
+def test_report_in_three_queries(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"P{i % 3}", f"m{i % 5}", "ACDEFGHI" + "KLMNPQRSTV"[i % 10], "A0201", 50.0, "lost" if i % 7 == 0 else "") for i in range(40)],
+                               "_ord long, patient_id string, mutation_id string, mutant_peptide string, hla_allele string, binding_affinity_nm double, hla_loh_call string")
+    ranking = product.ranked(product.normalized(df), score.Policy(k=3))
+    seen = jobs_of(spark, lambda: product.write_report(ranking, str(tmp_path / "a")))
+    assert len(seen) == 3, seen
+    report = json.loads((tmp_path / "a/report.json").read_text())
+    # the same by queries of their own
+    assert report["deterministic_gate"] == gate.summary(ranking).first().asDict() | {"reason_counts": {r.reason: r.n for r in gate.reasons(ranking).collect()}}
+    assert report["deterministic_gate"]["removed_count"] > 0
+    assert report["patients"] == [r.asDict() for r in select.patient_summary(ranking).orderBy("patient_id").collect()]
+    for r in ranking.where("selected").collect():
+        assert f"| {r['rank']} | {r.evidence_tier} | {r.gene_symbol} | {r.mutation_id} | {r.mutant_peptide} |" in (tmp_path / "a/report.md").read_text()
+    assert not list((tmp_path / "a").glob("staged*"))
+    # a table of no rows
+    paths = product.write_report(ranking.where("false"), str(tmp_path / "b"))
+    empty = json.loads(open(paths["json"]).read())
+    assert empty["patients"] == [] and empty["deterministic_gate"]["input_count"] == 0
+    # reasons of another gate
+    other = ranking.withColumns({"deterministic_gate_reason": F.lit("ELSEWHERE"), "deterministic_gate_pass": F.lit(False)})
+    assert json.loads(open(product.write_report(other, str(tmp_path / "c"))["json"]).read())["deterministic_gate"]["reason_counts"] == {"ELSEWHERE": 40}
+
+
+def test_run_checks_where_it_writes(spark, mini, tmp_path):
+    from portolan import cli
+
+    bad = tmp_path / "bad.tsv"
+    bad.write_text(open(mini).read().replace("KLVVVGADGV", "NOT-A-PEPTIDE"))
+    with pytest.raises(contracts.ContractError, match="candidate input violates the product contract"):
+        product.run_patient(spark, str(bad), str(tmp_path / "o"), "P1")
+    assert not list((tmp_path / "o").glob("*"))
+    rna = tmp_path / "rna.csv"
+    rna.write_text("mutation_id,expression_tpm\nG12D,5\nG12D,6\n")
+    assert cli.main(["run-patient", mini, "--patient-id", "P1", "--rna-evidence", str(rna), "--output-dir", str(tmp_path / "o")], spark) == 1
