@@ -101,16 +101,22 @@ def _without(state: DataFrame, more: DataFrame, group: list[str]) -> DataFrame:
     return state.join(renamed, same, "left_anti")
 
 
+def capped_values(columns: list[str], policy: Policy) -> dict[str, tuple[Column, int]]:
+    """Column -> its value under a cap, and the cap. '' is exempt (NULL); a missing value is the word 'nan'."""
+    limits = {"mutation_id": policy.max_per_mutation, "gene_symbol": policy.max_per_gene, "hla_allele": policy.max_per_hla}
+    shown = lambda c: F.coalesce(F.col(c), F.lit("nan"))
+    return {c: (F.when(shown(c) != "", shown(c)), n) for c, n in limits.items() if n is not None and c in columns}
+
+
 def portfolio(scored: DataFrame, policy: Policy = Policy(), ident: str = "candidate_id") -> DataFrame:
     """Scored candidates with selected and rank, per patient: by tier, lower score and tie key. '' is exempt from a cap; a missing value is
     the word 'nan' and shares a cap. `ident` must name a row within its patient."""
     scored = scored.persist()
     tiers = F.array_position(F.array(*map(F.lit, TIERS)), F.col("evidence_tier"))
-    limits = {"mutation_id": policy.max_per_mutation, "gene_symbol": policy.max_per_gene, "hla_allele": policy.max_per_hla}
-    caps = {c: n for c, n in limits.items() if n is not None and c in scored.columns}
-    value = lambda c: F.when(F.coalesce(F.col(c), F.lit("nan")) != "", F.coalesce(F.col(c), F.lit("nan")))
+    capped = capped_values(scored.columns, policy)
+    caps = {c: n for c, (_, n) in capped.items()}
     rows = scored.where("eligible").select(
-        "patient_id", ident, "lower_evidence_score", "deterministic_tie_key", tiers.alias("__tier"), *[value(c).alias(c) for c in caps]
+        "patient_id", ident, "lower_evidence_score", "deterministic_tie_key", tiers.alias("__tier"), *[value.alias(c) for c, (value, _) in capped.items()]
     )
     order = [F.col("__tier"), -F.col("lower_evidence_score"), F.col("deterministic_tie_key")]
     taken = greedy(rows, ["patient_id"], order, caps, policy.k, ident)
