@@ -413,3 +413,69 @@ def patient_ids(spark: SparkSession, d: str) -> DataFrame:
     padded = F.expr("case right(candidate_id, 1) when '1' then concat(patient_id, ' ') when '2' then concat('\t', patient_id) else patient_id end")
     rows = c.candidates(spark, d).select("candidate_id", padded.alias("Patient"), F.col("mutant_peptide").alias("Peptide"))
     return product.normalized(rows, order="candidate_id").groupBy("patient_id").agg(F.count("*").alias("n"))
+
+
+def _placed(rows: DataFrame, to: str) -> DataFrame:
+    """rows with their place in the order of candidate_id, from 0. Places are counted within ids of one beginning, whose counts (some thousand rows)
+    are summed up, so no task has all rows."""
+    piece = F.substring("candidate_id", 1, 4)
+    lead = F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    leads = rows.groupBy(piece.alias("piece")).agg(F.count("*").alias("n")).select("piece", F.coalesce(lead, F.lit(0)).alias("lead"))
+    within = rows.withColumn("__r", F.row_number().over(Window.partitionBy(piece).orderBy("candidate_id")))
+    return within.join(leads, piece == F.col("piece")).withColumn(to, F.col("lead") + F.col("__r") - 1).drop("piece", "lead", "__r")
+
+
+def _six_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates, in the order of their ids, under the names of each of the six data sets, normalised and stacked."""
+    from portolan.plans import datasets
+
+    rows = _placed(c.candidates(spark, d), datasets.ORDER)
+    last, text = F.right("candidate_id", F.lit(1)), lambda n: F.col(n).cast("string")
+    one = F.when(last == "1", "1").otherwise("0")
+    col = lambda n, to: F.col(n).alias(to)
+    pair = lambda p, w, h: [col("mutant_peptide", p), col("wildtype_peptide", w), col("hla_allele", h)]
+    response = F.expr("case when expression_call = 'no' then 'Negative' when hla_loh_call = 'lost' then 'not_tested' else ' CD8 ' end")
+    status = F.expr("case right(candidate_id, 1) when '1' then 'CD8' when '2' then '1' when '3' then ' 0' when '4' then '-' else 'unscreened' end")
+    under = lambda *columns: rows.select(datasets.ORDER, *columns)
+    return datasets.stacked([
+        datasets.neoranking_of(under(col("patient_id", "patient"), *pair("mutant_seq", "wt_seq", "HLA"), text("expression_tpm").alias("rnaseq_TPM"), response.alias("response_type"))),
+        datasets.gartner_of(under(col("patient_id", "ID"), *pair("Mut Epitope", "Wt Epitope", "HLA"), status.alias("Screening Status"), text("rna_vaf").alias("Rank NetMHC"))),
+        datasets.tesla_of(under(col("hla_allele", "allele"), col("mutant_peptide", "peptide"), one.alias("target_value"))),
+        datasets.bigmhc_of(under(col("hla_allele", "mhc"), col("mutant_peptide", "pep"), one.alias("tgt"), text("clonality_ccf").alias("BigMHC_EL")), "part"),
+        datasets.cd8_multimer_of(under(col("patient_id", "Patient ID"), *pair("MUT epitope", "WT epitope", "HLA"), F.lit("positive").alias("Response"), F.lit(" TIL").alias("Dataset"), F.lit("mel").alias("Tumor type"))),
+        datasets.improve_of(under(col("patient_id", "Patient"), *pair("Mut_peptide", "Norm_peptide", "HLA_allele"), one.alias("response"), F.lit("mel").alias("cohort"), col("candidate_id", "Partition"), text("expression_tpm").alias("Expression"))),
+    ])
+
+
+def _six_sql() -> str:
+    one = "case when candidate_id like '%1' then 'positive' else 'negative' end"
+    status = "case candidate_id[-1] when '1' then 'positive' when '2' then 'positive' when '3' then 'negative' when '4' then 'negative' else 'unknown' end"
+    response = "case when expression_call = 'no' then 'negative' when hla_loh_call = 'lost' then 'unknown' else 'positive' end"
+    # data set, id, study, patient, label, assay, expression, where
+    sets = (
+        ("neoranking", "'neoranking:' || o", "'neoranking'", "patient_id", response, "unknown", "expression_tpm", "true"),
+        ("gartner_nci", "'gartner_nci:' || o", "'gartner_nci'", "patient_id", status, "unknown", "null", "true"),
+        ("tesla", "'tesla:' || o", "'tesla_wells_2020'", "'tesla_unknown'", one, "tesla_target_value", "null", "true"),
+        ("bigmhc", "'bigmhc:part:' || o", "'bigmhc_part'", "'bigmhc_' || hla_allele", one, "bigmhc_immunogenicity", "null", "true"),
+        ("cd8_multimer_2025", "'cd8_multimer_2025:' || (o + 2)", "'cd8_multimer_2025'", "'cd8_multimer_2025:' || patient_id", "'positive'", "phla_multimer_til", "null", "r = 1"),
+        ("improve", "'improve:' || o", "'improve_mel'", "'improve:' || patient_id", one, "validated_tcell_response", "expression_tpm", "true"),
+    )
+    rows = " union all ".join(
+        f"select '{name}' as source_dataset, {ident} as candidate_id, {study} as study_id, {patient} as patient_id, {label} as label, '{assay}' as assay_type, {tpm}::double as expression_tpm, mutant_peptide || '|' || hla_allele as mutant_hla_key from placed where {keep}"
+        for name, ident, study, patient, label, assay, tpm, keep in sets)
+    return f"""{CAND}, placed as (select *, row_number() over (order by candidate_id) - 1 as o, row_number() over (partition by patient_id, mutant_peptide, hla_allele order by candidate_id) as r from cand), six as ({rows})"""
+
+
+@query(f"{_six_sql()} select *, case label when 'unknown' then 0.0::double else 1.0::double end as label_weight from six")
+def stacked_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Six normalised sets in one table, with the ids that rows get from their places."""
+    return _six_sets(spark, d).select("source_dataset", "candidate_id", "study_id", "patient_id", "label", "label_weight", "assay_type", "expression_tpm", "mutant_hla_key")
+
+
+@query(f"""{_six_sql()} select mutant_hla_key, count(distinct source_dataset)::int as n_sets, count_if(label = 'positive') as n_positive, count_if(label = 'negative') as n_negative from six
+    where label <> 'unknown' group by mutant_hla_key having n_positive > 0 and n_negative > 0""")
+def conflicts_between_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of peptide and allele that the stacked sets label both ways."""
+    from portolan.plans import datasets
+
+    return datasets.conflicts_between(_six_sets(spark, d))

@@ -239,3 +239,21 @@ def improve_of(df: DataFrame) -> DataFrame:
         "wildtype_peptide": _text(df, "Norm_peptide"), "label": expr.label(_c("response")), "label_weight": F.lit(1.0), "assay_type": F.lit("validated_tcell_response"),
         "official_partition": _text(df, "Partition"), "tumor_type": _text(df, "cohort"), "gene_symbol": _text(df, "Gene_Symbol"),
     }, IMPROVE)
+
+
+def stacked(sets: list[DataFrame]) -> DataFrame:
+    """Normalised sets in one table: columns that a set lacks are missing there. Rows keep their ids; _ord counts within source_dataset."""
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+def conflicts_between(rows: DataFrame) -> DataFrame:
+    """Of stacked sets: pairs of peptide and allele that are positive somewhere and negative somewhere, how many sets tell of them, and how many
+    labels they have of either kind. Pairs without peptide or allele aren't compared. One aggregation; a pair's sets are few."""
+    known = contracts.supervised(rows).where((F.col("mutant_peptide_norm") != "") & (F.col("hla_allele_norm") != ""))
+    by_pair = known.groupBy("mutant_hla_key").agg(
+        F.size(F.collect_set("source_dataset")).alias("n_sets"), F.count_if(F.col("label") == "positive").alias("n_positive"), F.count_if(F.col("label") == "negative").alias("n_negative"),
+    )
+    return by_pair.where("n_positive > 0 and n_negative > 0")

@@ -109,3 +109,12 @@ def test_features_need_their_columns(spark):
     assert "seq_len" in rows.columns and "mutation_count" not in rows.columns and rows.first().baseline_binding_score == -1.0
     bare = df.drop("mutant_peptide")
     assert peptides.with_sequence_features(bare).columns == bare.columns and baseline.with_baselines(bare).first().baseline_pvac_style_score == 0.0
+
+
+def test_stacked_sets(spark, tmp_path):
+    tesla = datasets.tesla(spark, write(tmp_path, "t.csv", "peptide,target_value,allele\nACDEFGHIK,1,A0201\nACDEFGHIL,0,A0201\n,1,A0201\n"))
+    bigmhc = datasets.bigmhc(spark, write(tmp_path, "im.csv", "mhc,pep,tgt,BigMHC_EL\nHLA-A*02:01,acdefghik,0,0.75\nHLA-A*02:01,ACDEFGHIL,0,0.5\n,,0,0.5\n"))
+    rows = datasets.stacked([tesla, bigmhc])
+    assert rows.count() == 6 and {r.bigmhc_el_score for r in rows.where("source_dataset = 'tesla'").collect()} == {None}
+    assert [tuple(r) for r in datasets.conflicts_between(rows).collect()] == [("ACDEFGHIK|HLA-A*02:01", 2, 1, 1)]
+    assert datasets.conflicts_between(tesla).collect() == []
