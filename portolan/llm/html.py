@@ -8,9 +8,9 @@ another one, so that every page fits one of its host's wrappers.
 
 Extraction matches each page with its host's wrappers; every tag and slot of the page then has a place in the first that fits. Over
 all pages of the host it is counted which places hold the same text everywhere (the template) and how much text the <article> and
-<main> elements of each place hold. A page's text is in the article elements of the place that holds most on the host: those of a
-repeated group share a place, a teaser beside the story has another one. Without an article it is in <main>, else
-in the body. What the template says is left out; so are menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and
+<main> elements of each place hold. A page's text is in <main>, with all that stands around its articles; but of the articles only those of the place that holds
+most on the host are kept: those of a repeated group share a place, a teaser beside the story has another one. Without <main> it is in
+these articles, if they hold at least as much as the text outside of articles does on the host, else in the body. What the template says is left out; so are menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and
 reader comments, by tag, class or id, as they vary too. A template needs LEAST_CONTENTS different pages, and never takes
 all of a page's text.
 
@@ -66,27 +66,33 @@ BOILER_LEAVES = frozenset(
     "consent gdpr newsletter subscribe share sharing pagination pager".split()
 )
 WIDGET_WORDS = frozenset("box bar block list area unit slot links buttons item items site main top bottom left right section".split())
+# Words that mark reader comments and adverts in whatever name, but for names that tell a state.
+ALWAYS = frozenset("comment comments advert adverts advertisement advertising".split())
+STATES = frozenset("has no with without open closed on off enabled disabled".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|</?[a-z!][^>]*\Z",
+    # a quote counts directly after '=' only; without its end the tag ends at the next '>'
+    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=(?!\s*[\"']))*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|</?[a-z!][^>]*\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 SLOT = "#"
 
 
 def _named(tag: str, kind: str, value: str) -> bool:
-    """Whether a class or id names boilerplate: a whole token is a word, or made of words and WIDGET_WORDS only. State classes
-    (has-sidebar) aren't, nor those of html, body and main; an article is only by a word alone; ids of sections and leaves are anchors."""
+    """Whether a class or id names boilerplate: a whole token is a word, made of words and WIDGET_WORDS only, or has a word of ALWAYS. State classes
+    (has-sidebar) aren't, nor those of html, body and main; an article is only by a word alone or last; ids of sections and leaves are anchors."""
     if tag in ("html", "body", "main") or (kind == "id" and (tag in LEAVES or tag in ("article", "section"))):
         return False
     known = BOILER_LEAVES if tag in LEAVES else BOILER_WORDS
     for token in value.split():
         parts = re.findall(r"[a-z]+", token)
         hits = [w in known for w in parts]
+        if not ALWAYS.isdisjoint(parts[-1:] if tag == "article" else parts) and STATES.isdisjoint(parts):
+            return True
         if any(hits) and (len(parts) == 1 or (tag != "article" and all(h or w in WIDGET_WORDS for h, w in zip(hits, parts, strict=True)))):
             return True
     return False
@@ -96,6 +102,8 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """The token of a block tag (with its classes and id, without digits), and whether it holds no article text."""
     names, boiler = [], tag in BOILER_TAGS
     for m in _ATTR.finditer(attrs) if "=" in attrs else ():
+        if m[1].lower() not in ("class", "id", "role"):
+            continue
         value = (m[2] or m[3] or m[4] or "").lower()
         words = re.findall(r"[a-z]+", value)
         boiler = boiler or (not BOILER_ROLES.isdisjoint(words) if m[1].lower() == "role" else _named(tag, m[1].lower(), value))
@@ -416,15 +424,31 @@ def _regions(found: list, region: str) -> dict[int, list[int]]:
     return out
 
 
+OUTSIDE = -2  # the place under which the text outside of articles is counted
+
+
 def main_slots(found: list, places: list[int], weight: dict[int, int], template: frozenset[int]) -> list[int]:
-    """The slots of a page's main text, as token numbers. weight: text of the <article> and <main> elements of each place."""
+    """The slots of a page's main text, as token numbers. weight: text of the <article> and <main> elements of each place, and of what is OUTSIDE,
+    on the host; where the wrapper doesn't tell, that of the page itself counts."""
     slots = [i for i, b in enumerate(found) if b[0] == SLOT and not b[2]]
-    for region in ("article", "main"):
-        elements = _regions(found, region)
-        if elements:
-            best = max((places[at] for at in elements), key=lambda p: (weight.get(p, 0), -p))
-            slots = [i for at, inside in elements.items() if places[at] == best for i in inside]
-            break
+    mains, articles = _regions(found, "main"), _regions(found, "article")
+    heaviest = lambda elements: max((places[at] for at in elements), key=lambda p: (weight.get(p, 0), -p))
+    if mains:
+        best = heaviest(mains)
+        slots = sorted(i for at, inside in mains.items() if places[at] == best for i in inside)
+        # a story and what stands around it, without the teasers beside it
+        article = {i: at for at, inside in articles.items() for i in inside}
+        within = {article[i] for i in slots if i in article}
+        if within:
+            best = heaviest(within)
+            slots = [i for i in slots if i not in article or places[article[i]] == best]
+    elif articles:
+        best = heaviest(articles)
+        story = sorted(i for at, inside in articles.items() if places[at] == best for i in inside)
+        length = lambda chosen: sum(len(found[i][3]) for i in chosen)
+        around = set(slots).difference(*articles.values())
+        if (weight[best] >= weight.get(OUTSIDE, 0)) if best in weight else length(story) >= length(around):
+            slots = story
     return [i for i in slots if places[i] not in template] or slots
 
 
@@ -488,7 +512,7 @@ def _hash(text: str) -> int:
 
 def _counted(rows: DataFrame) -> DataFrame:
     """host, no, place, mark, chars: for each page and each place of its slots the texts there; for each <article> and <main> the characters
-    in it; with place -1 the page, whose mark stands for all its text. Rows come with `patterns`."""
+    in it, and what is OUTSIDE of articles; with place -1 the page, whose mark stands for all its text. Rows come with `patterns`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Wrappers()
@@ -505,8 +529,11 @@ def _counted(rows: DataFrame) -> DataFrame:
                     continue
                 out += [(host, no, place, _hash("\n".join(t)), 0) for place, t in texts.items()]
                 out.append((host, no, -1, _hash("\n".join(t for ts in texts.values() for t in ts)), 0))
-                for region in ("article", "main"):
-                    out += [(host, no, places[at], -1, sum(len(found[i][3]) for i in inside)) for at, inside in _regions(found, region).items()]
+                mains, articles = _regions(found, "main"), _regions(found, "article")
+                out += [(host, no, places[at], -1, sum(len(found[i][3]) for i in inside)) for at, inside in (*articles.items(), *mains.items())]
+                if articles and not mains:
+                    told = {i for inside in articles.values() for i in inside}
+                    out.append((host, no, OUTSIDE, -1, sum(len(b[3]) for i, b in enumerate(found) if b[0] == SLOT and not b[2] and i not in told)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "no", "place", "mark", "chars"])
@@ -521,15 +548,17 @@ def extracted(pages: DataFrame, most_hosts: int = MOST_HOSTS) -> DataFrame:
     hosts, size = lists.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json("patterns"))), F.lit(0))).first()
     small = hosts <= most_hosts and size <= MOST_BYTES
     found = _counted(_dealt(rows, lists, small))
-    by_place = cut(found.groupBy("host", "no", "place", F.when(F.col("place") < 0, F.col("mark")).alias("page")).agg(
+    by_place = cut(found.groupBy("host", "no", "place", F.when(F.col("place") == -1, F.col("mark")).alias("page")).agg(
         F.count("*").alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most"), F.sum("chars").alias("chars")
     ))
-    totals = by_place.where("place < 0").groupBy("host").agg(F.sum("n").alias("n_pages"), F.count("*").alias("contents"))
-    kept = by_place.where("place >= 0").join(totals, "host").select(
+    totals = by_place.where("place = -1").groupBy("host").agg(F.sum("n").alias("n_pages"), F.count("*").alias("contents"))
+    kept = by_place.where("place <> -1").join(totals, "host").select(
         "host", F.struct("no", "place", "chars", ((F.col("least") >= 0) & (F.col("least") == F.col("most")) & (F.col("n") == F.col("n_pages"))
                                                    & (F.col("contents") >= LEAST_CONTENTS)).alias("fixed")).alias("p")
     ).where("p.fixed or p.chars > 0")
     profiles = cut(lists.join(kept.groupBy("host").agg(F.collect_list("p").alias("places")), "host", "left"))
+    size = profiles.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("patterns", "places")))), F.lit(0))).first()[0]
+    small = hosts <= most_hosts and size <= MOST_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Wrappers()

@@ -144,3 +144,32 @@ def test_many_streams_of_a_host(spark):
     assert {r.host: r["count"] for r in found} == {"": 1, "s.example": 1}
     got = {r.page_id: r.text for r in html.extracted(pages).collect()}
     assert all(got[i].split("\n\n") == re.findall(r"t\d+x\d+", page) for i, _, page, _ in rows)
+
+
+def test_text_around_an_article_stays(spark):
+    main = "<main><h1>Title {0}</h1><p>Lead {0}</p><article>Story {0} text</article><p>Closing {0}</p></main>"
+    rows = [(i, "http://x.example/", main.format(i), None) for i in range(5)]
+    assert [r[2] for r in extract(spark, rows)] == [f"Title {i}\n\nLead {i}\n\nStory {i} text\n\nClosing {i}" for i in range(5)]
+    # a teaser in a body full of text
+    body = "<body><p>A long story {0} that goes on and on</p><p>and ends {0}</p><article>Teaser {0}</article></body>"
+    rows = [(i, "http://y.example/", body.format(i), None) for i in range(5)]
+    assert [r[2] for r in extract(spark, rows)] == [f"A long story {i} that goes on and on\n\nand ends {i}\n\nTeaser {i}" for i in range(5)]
+    # without a host's other pages the page itself tells
+    assert extract(spark, [(1, "http://z.example/", body.format(1), None)])[0][2].startswith("A long story 1")
+    beside = "<main><article><p>Story {0} that goes on</p></article><article class=teaser><p>Other {0}</p></article></main>"
+    rows = [(i, "http://w.example/", beside.format(i), None) for i in range(5)]
+    assert [r[2] for r in extract(spark, rows)] == [f"Story {i} that goes on" for i in range(5)]
+
+
+def test_quotes_of_attributes(spark):
+    pages = {"<p title=it's>First</p><p title=that's>Second</p>": "First\n\nSecond", '<p title="a > b" data-x=\'c > d\'>One</p>': "One", '<p title="no end>Two</p><p>Three</p>': "Two\n\nThree",
+             "<p title = \"class=ad\" data-class='advert'>Four</p>": "Four", "<div class=advert><p>no</p></div><p a=b/c='d'>Five": "Five", "<p \"quoted>Six</p>": "Six"}
+    got = extract(spark, [(i, f"http://q{i}.example/", p, None) for i, p in enumerate(pages)])
+    assert [r[2] for r in got] == list(pages.values())
+
+
+def test_comments_and_adverts_by_any_name(spark):
+    names = ["reader-comments", "user-comments", "post-comments", "comments-area", "comment_list", "advert-wrapper", "page-advert", "top-advertisement-slot"]
+    rows = [(i, f"http://c{i}.example/", f"<div><p>story</p><div class='{n}'><p>no</p></div><ul id='{n}'><li>no</li></ul></div>", None) for i, n in enumerate(names)]
+    rows += [(20, "http://d.example/", "<article class='reader-comment'>no</article><p>story", None), (21, "http://e.example/", "<div class='comments-open has-advert'><p>story</p></div>", None)]
+    assert [r[2] for r in sorted(extract(spark, rows))] == ["story"] * 10
