@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portolan.llm.common import cut
+
 WINDOW = 10
 MOST_WORDS = 400_000  # an automaton of so many takes about 220 MB in a worker
 COVERAGE = 0.5
@@ -217,50 +219,105 @@ def counted(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_wo
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _without(text: str, automaton: Automaton, coverage: float) -> str | None:
-    """The text without the spans that some item has too; None if they cover more than that share of its words.
+def _cut_out(text: str, spans: list[tuple[int, int]], coverage: float) -> str | None:
+    """The text without the spans (of word numbers, in order, apart); None if they cover more than that share of its words. What is cut is
+    replaced by a line break."""
+    data = text.encode("utf-8", "surrogatepass")
+    tokens = [m.span() for m in _TOKEN.finditer(data.translate(_CLEAN))]
+    if sum(b - a for a, b in spans) > coverage * len(tokens):
+        return None
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(data[at : tokens[a][0]])
+        at = tokens[b - 1][1]
+    parts.append(data[at:])
+    return b"\n".join(parts).decode("utf-8", "surrogatepass")
 
-    What is cut is replaced by a line break; the rest is looked at again, as cutting may bring the parts of a window together.
-    """
-    while True:
-        data = text.encode("utf-8", "surrogatepass")
-        tokens = [m.span() for m in _TOKEN.finditer(data.translate(_CLEAN))]
+
+def _without(text: str, automaton: Automaton, coverage: float) -> str | None:
+    """The text without what some item has too; None if that is more than `coverage`. The rest is looked at again, as cutting may bring the
+    parts of a window together."""
+    while text is not None:
         spans, _ = automaton.hits(normal(text))
         if not spans:
             return text
-        if sum(b - a for a, b in spans) > coverage * len(tokens):
-            return None
-        parts, at = [], 0
-        for a, b in spans:
-            parts.append(data[at : tokens[a][0]])
-            at = tokens[b - 1][1]
-        parts.append(data[at:])
-        text = b"\n".join(parts).decode("utf-8", "surrogatepass")
+        text = _cut_out(text, spans, coverage)
+    return None
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, most_words: int = MOST_WORDS) -> DataFrame:
-    """docs without their contaminated spans, and without the documents that these cover by more than `coverage`; n_chars, where
-    there is such a column, is counted again for changed texts. All other columns stay."""
-    spark, schema = docs.sparkSession, docs.schema
-    for block in blocks(benchmark, most_words):
-        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+def _united(spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans of several blocks in order, merged where they touch, as one automaton merges them."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s["first"], s["end"]) for s in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
-            automaton = built(name, shared, window)
+
+def _by_blocks(texts: DataFrame, benchmark: DataFrame, window: int, coverage: float, most_words: int) -> DataFrame:
+    """key, text -> key, new: the text without what the items have, NULL for one that goes; only texts that change are listed.
+
+    Each round takes the spans of all blocks together before it judges a text or cuts it, and looks again at those that it cut, so the result doesn't depend on
+    how items are dealt to blocks. Rounds are stored; there are as many as cuts bring windows together in turn.
+    """
+    now, done = texts, None
+    while True:
+        found = matches(now, "key", benchmark, window, most_words).where("size(spans) > 0").groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index("text")
-                texts = batch.column(at).to_pylist()
-                new = [_without(t, automaton, coverage) if t else t for t in texts]
-                keep = pa.array([n is not None or t is None for t, n in zip(texts, new, strict=True)])
-                columns = list(batch.columns)
-                columns[at] = pa.array(new, batch.schema.field(at).type)
-                if (k := batch.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(batch.schema.field(k).type):
-                    chars = [c if t == n or n is None else len(n) for c, t, n in zip(columns[k].to_pylist(), texts, new, strict=True)]
-                    columns[k] = pa.array(chars, batch.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+                new = [_cut_out(t, _united(s), coverage) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(new, pa.string())], ["key", "text"])
+
+        changed = cut(now.join(found, "key").select("key", "text", "spans").mapInArrow(run, "key string, text string"))
+        # a text's last round counts
+        done = changed if done is None else cut(done.join(changed.select("key"), "key", "left_anti").union(changed))
+        now = changed.where("text is not null")
+        if not now.take(1):
+            return done.withColumnRenamed("text", "new")
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, most_words: int = MOST_WORDS) -> DataFrame:
+    """docs without their contaminated spans, and without the documents that these cover by more than `coverage`; n_chars, where
+    there is such a column, is counted again for changed texts. All other columns stay. The result is the same for any most_words."""
+    n = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    if n > most_words:  # words are no more than characters, so one block holds the rest
+        return _joined(docs, _by_blocks, benchmark, window, coverage, most_words)
+    (block,) = blocks(benchmark, most_words)
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = built(name, shared, window)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            new = [_without(t, automaton, coverage) if t else t for t in texts]
+            keep = pa.array([n is not None or t is None for t, n in zip(texts, new, strict=True)])
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if (k := batch.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(batch.schema.field(k).type):
+                chars = [c if t == n or n is None else len(n) for c, t, n in zip(columns[k].to_pylist(), texts, new, strict=True)]
+                columns[k] = pa.array(chars, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _joined(docs: DataFrame, clean: Callable[..., DataFrame], *more) -> DataFrame:
+    """docs with each text as `clean` leaves it; equal texts are cleaned once."""
+    key = F.sha2("text", 256)
+    texts = docs.where("text <> ''").groupBy(key.alias("key")).agg(F.first("text").alias("text"))
+    new = clean(texts, *more)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("own"))
+    rows = packed.join(new, F.col("own") == F.col("key"), "left").where("key is null or new is not null")
+    kinds = dict(docs.dtypes)
+    of = lambda c: (
+        F.coalesce("new", F.col("row.text")) if c == "text"
+        else F.when(F.col("key").isNotNull(), F.length("new").cast(kinds[c])).otherwise(F.col("row.n_chars")) if c == "n_chars" and kinds[c] in ("bigint", "int", "smallint", "tinyint")
+        else F.col(f"row.`{c}`"))
+    return rows.select(*[of(c).alias(c) for c in docs.columns])
 
 
 SQL = f"""

@@ -74,3 +74,44 @@ def test_empty(spark):
     assert [tuple(r)[:4] for r in de.counted(docs, bench).collect()] == [(1, 3, 0, 0)]
     assert de.cleaned(docs, bench).count() == 1
     assert de.counted(docs.limit(0), bench).count() == 0
+
+
+def brute_clean(text, items):
+    """What stays of a text, as its words; None if it goes."""
+    if not text:
+        return text
+    w = words(text)
+    while True:
+        hit = set()
+        for _, t in items:
+            v = words(t)
+            for i in range(max(1, len(v) - 9)) if v else ():
+                win = v[i : i + 10]
+                for j in range(len(w) - len(win) + 1):
+                    if w[j : j + len(win)] == win:
+                        hit.update(range(j, j + len(win)))
+        if not hit:
+            return w
+        if len(hit) > 0.5 * len(w):
+            return None
+        w = [x for i, x in enumerate(w) if i not in hit]
+
+
+def test_cleaned_doesnt_depend_on_blocks(spark):
+    items, texts = sample()
+    rng = random.Random(4)
+    one, two = (" ".join(f"{c}{i}" for i in range(12)) for c in "mn")
+    filler = [f"f{i}" for i in range(400)]
+    texts = texts + [" ".join(rng.choices(filler, k=8)) + f" {one} {two} " + " ".join(rng.choices(filler, k=8))]  # 24 of 40 words, 12 in each block
+    texts += [" ".join([*rng.choices(filler, k=60), *one.split()[:6], *two.split(), *one.split()[6:], *rng.choices(filler, k=60)])]  # a window that a cut of another item makes
+    texts += [" ".join([*rng.choices(filler, k=rng.randint(20, 80)), rng.choice(items)[1] or "", *rng.choices(filler, k=30)]) for _ in range(40)]
+    items = [*items, (200, one), (201, two)]
+    rows = [(i, t, len(t) if t is not None else None, "r", "k") for i, t in enumerate(texts)] + [(3, texts[3], 0, "r", "k"), (None, texts[-1], 5, "r", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, row string, key string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seen = [sorted(map(tuple, de.cleaned(docs, bench, most_words=most).collect()), key=str) for most in (10**6, 60, 12)]
+    assert seen[0] == seen[1] == seen[2]
+    want = sorted(((i, brute_clean(t, items)) for i, t, *_ in rows), key=str)
+    got = [(r[0], r[1] if not r[1] else words(r[1])) for r in seen[0]]
+    assert sorted(got, key=str) == [x for x in want if x[1] is not None or texts[x[0] or 0] is None]
+    assert any(x[1] is None and texts[x[0] or 0] for x in want)
