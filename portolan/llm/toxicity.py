@@ -5,7 +5,7 @@ each term, a vector for each term whose products are the weights of pairs) is fi
 may be learned from: those with the smallest hashes of doc_id, which a threshold selects before any text is read. Terms enter the machine
 for one of two reasons: they tell of the label by themselves (chi-square of LEAST_CHI or more), or together with
 another term although not by themselves (the four shares of toxic rows with both, either and none of two FREQUENT terms are not
-additive). There is no limit to their number. Then every whole text is scored.
+additive). Pairs are looked for among FREQUENT terms only; terms that tell by themselves have no limit. Then every whole text is scored.
 
 The model has numbers for the terms of at most MOST_ROWS rows, so it is bounded and broadcast. Nothing but the text enters a score.
 
@@ -180,7 +180,8 @@ def train(docs: DataFrame, known: DataFrame, most_rows: int = MOST_ROWS) -> Mach
     share = (most_rows + 8 * math.sqrt(most_rows) + 64) / (n0 + n1)
     if share < 1:
         known = known.where(key <= F.lit(int(share * (1 << 60))))
-    sample = with_terms(docs.join(known, "doc_id").select("doc_id", key.alias("place"), "toxic", "text")).toArrow()
+    # however often an id or a row is repeated, no more than most_rows come to the driver
+    sample = with_terms(docs.join(known, "doc_id").select("doc_id", key.alias("place"), "toxic", "text")).orderBy("place", "doc_id", "toxic", "terms").limit(most_rows).toArrow()
     order = sorted(zip(sample["place"].to_pylist(), sample["doc_id"].to_pylist(), sample["toxic"].to_pylist(), range(len(sample)), strict=True))[:most_rows]
     sample = sample.take([o[3] for o in order]).combine_chunks()
     lists = sample["terms"].combine_chunks()

@@ -130,3 +130,16 @@ def test_sample_is_bounded(spark):
     docs, labels, truth = corpus(spark)
     few = toxicity.train(docs.select(F.col("doc_id"), "text"), labels.where("toxic in (0, 1) and doc_id is not null"), most_rows=300)
     assert 0 < len(few.at) < 250 and few.score(np.array(toxicity.terms("w1 w2 foul rotten"))) > 0.5
+
+
+def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    """One id has most of the rows: no more than the bound come to the driver."""
+    docs, labels, truth = corpus(spark)
+    known = labels.where("toxic in (0, 1) and doc_id is not null")
+    first = docs.join(known, "doc_id").orderBy(toxicity.order_hash(F.col("doc_id"))).select("doc_id", "text").limit(1)  # below any threshold
+    hot = first.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("copy")
+    seen = []
+    make = toxicity.Rows.__init__
+    monkeypatch.setattr(toxicity.Rows, "__init__", lambda self, flat, n, y: (seen.append(len(y)), make(self, flat, n, y))[1])
+    machine = toxicity.train(docs.select("doc_id", "text").union(hot), known, most_rows=300)
+    assert max(seen) == 300 and 0 <= machine.score(np.array(toxicity.terms("w1 foul"))) <= 1
