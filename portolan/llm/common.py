@@ -70,6 +70,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes what `cut` wrote for these tables, which nothing may read any more."""
+    for df in tables:
+        at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if at.isDefined():
+            remove(df.sparkSession, at.get())
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all once it is full, so a worker's memory stays bounded."""
 

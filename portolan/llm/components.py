@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import cut
+from portolan.llm.common import cut, forget
 
 
 def _stars(links: DataFrame) -> bool:
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     round joins stars with stars and the number of rounds grows with the logarithm of the longest chain. Rounds are cut by a
     checkpoint. Minima are aggregated before they are shuffled, and cut too: the joins that hand them out then have a plain exchange on
     either side, which adaptive execution can split, so a star with very many leaves doesn't meet in one task. Rounds end once all links
-    form stars; links that do so from the start need no round.
+    form stars; links that do so from the start need no round. What a round wrote is deleted once the next one has its links.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _stars(links):
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         # smaller neighbours move under the smallest of them
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = cut(small.where("u <> v").distinct())
+        before, links = links, cut(small.where("u <> v").distinct())
+        forget(before, least, large, low)
     roots = links.select("v").distinct()
     return links.union(roots.select("v", "v")).toDF("node", "root")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import WordHashes, cut, gram_hashes, mix64, own_name
+from portolan.llm.common import WordHashes, cut, forget, gram_hashes, mix64
 from portolan.llm.components import components
 
 MOST = 4096  # fingerprints below a start node
@@ -259,8 +259,8 @@ def near_components(fps: DataFrame, budget: int = 2) -> DataFrame:
 # Two texts share the key of some band with probability 1 - (1 - s ** DEEP) ** BANDS, where s is the Jaccard similarity of their
 # shingles, however they differ: 0.99999 at 0.8. Keys only gather families; near() decides.
 BANDS, DEEP, SHINGLE, NEAR_BUDGET = 64, 8, 5, 3
-FAMILY = 256  # nodes compared in one task; larger families are compared with LEADERS nodes at a time
-LEADERS = 512
+FAMILY, FAMILY_BYTES = 256, 32 << 20  # nodes compared in one task, and their sets; larger families are compared with LEADERS nodes at a time
+LEADERS, LEADER_BYTES = 8192, 16 << 20  # at most, and with no more sets than that, or one node
 
 
 def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
@@ -357,27 +357,39 @@ def _small_links(members: DataFrame) -> DataFrame:
     return members.repartition("family").sortWithinPartitions("family").mapInArrow(run, "a long, b long")
 
 
-def _large_links(members: DataFrame, most: int) -> DataFrame | None:
-    """The same for families of any size: rounds compare up to `most` nodes with all of their families, until all nodes outside each
-    family's largest class have been compared. Of two nodes of different classes one has been, so no link is missing."""
-    nodes = cut(members.select("family", "node").distinct())
-    labels, asked, found = nodes.withColumn("label", F.col("node")), None, None
+def _leaders(left: DataFrame, most: int, most_bytes: int) -> DataFrame | None:
+    """Some of the nodes (node, bytes), in the order of their hashes: up to `most`, whose sets have most_bytes together, or one of them."""
+    first = left.orderBy(F.xxhash64("node"), "node").limit(most).collect()
+    ends = list(accumulate(r["bytes"] for r in first))
+    n = max(1, sum(e <= most_bytes for e in ends))
+    return left.sparkSession.createDataFrame([(r["node"],) for r in first[:n]], "node long") if first else None
+
+
+def _large_links(members: DataFrame, most: int, most_bytes: int = LEADER_BYTES) -> DataFrame | None:
+    """The same for families of any size: rounds compare some nodes with all of their families, until all nodes outside each
+    family's largest class have been compared. Of two nodes of different classes one has been, so no link is missing. The sets of a round's
+    nodes, bounded in number and bytes, are broadcast."""
+    spark = members.sparkSession
+    nodes = cut(members.select("family", "node", F.octet_length("grams").alias("bytes")).distinct())
+    labels, asked, found = cut(nodes.withColumn("label", F.col("node"))), None, None
     while True:
         classes = labels.groupBy("family", "label").agg(F.count("*").alias("n"))
         largest = classes.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top"))
-        left = labels.join(F.broadcast(largest), "family").where("label <> top.label").select("node")
+        left = labels.join(largest, "family").where("label <> top.label").select("node", "bytes")
         if asked is not None:
             left = left.join(asked, "node", "left_anti")
-        chosen = cut(left.orderBy(F.xxhash64("node"), "node").limit(most))
+        chosen = _leaders(left, most, most_bytes)
+        if chosen is None:
+            return found
         by: dict[int, tuple[list[int], list[np.ndarray]]] = {}
         for family, node, grams in members.join(F.broadcast(chosen), "node", "left_semi").select("family", "node", "grams").collect():
             at = by.setdefault(family, ([], []))
             at[0].append(node)
             at[1].append(np.frombuffer(bytes(grams), dtype=np.uint64))
-        if not by:
-            return found
+        shared = spark.sparkContext.broadcast(by)
 
-        def run(batches: Iterator[pa.RecordBatch], by=by) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            by = shared.value
             index, forest = {f: _Sets(sets) for f, (_, sets) in by.items()}, _Forest()
             for family, node, s in _rows(batches):
                 if family in index:
@@ -386,10 +398,13 @@ def _large_links(members: DataFrame, most: int) -> DataFrame | None:
             yield forest.links()
 
         links = members.select("family", "node", "grams").mapInArrow(run, "a long, b long")
-        found = cut(links if found is None else found.union(links))
-        asked = chosen if asked is None else cut(asked.union(chosen))
+        old = [x for x in (labels, asked, found) if x is not None]
+        found = cut((links if found is None else found.union(links)).distinct())
+        asked = cut(chosen if asked is None else asked.union(chosen))
         linked = components(found)
-        labels = cut(nodes.join(linked, "node", "left").select("family", "node", F.coalesce("root", "node").alias("label")))
+        labels = cut(nodes.join(linked, "node", "left").select("family", "node", "bytes", F.coalesce("root", "node").alias("label")))
+        forget(*old)
+        shared.destroy()
 
 
 def near_text_roots(docs: DataFrame, family: int = FAMILY, leaders: int = LEADERS) -> DataFrame:
@@ -410,6 +425,8 @@ def near_text_roots(docs: DataFrame, family: int = FAMILY, leaders: int = LEADER
     near = trie_links(leaves.select(F.col("leaf").alias("node"), F.array("fp").alias("fps"), F.lit(None).cast("binary").alias("sig")), NEAR_BUDGET)
     families = components(banded_links.union(alike).union(near))
     families = cut(nodes.select("node", "mark").join(families, "node").select("node", "mark", F.col("root").alias("family")))
+    names = cut(nodes.select("node"))
+    forget(shared, nodes)  # with the keys of all bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -421,18 +438,23 @@ def near_text_roots(docs: DataFrame, family: int = FAMILY, leaders: int = LEADER
 
     texts = docs.join(families, F.col("doc_id") == F.col("node")).select("family", "node", "mark", "text")
     members = cut(texts.mapInArrow(run, "family long, node long, grams binary"))
-    large = cut(families.groupBy("family").count().where(F.col("count") > family).select("family"))
-    links = _small_links(members.join(F.broadcast(large), "family", "left_anti"))
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams")).alias("bytes"))
+    large = cut(sizes.where((F.col("n") > family) | (F.col("bytes") > FAMILY_BYTES)).select("family"))
+    links = _small_links(members.join(large, "family", "left_anti"))
     if large.take(1):
-        more = _large_links(members.join(F.broadcast(large), "family", "left_semi"), leaders)  # read from members, not stored twice
+        more = _large_links(members.join(large, "family", "left_semi"), leaders)  # read from members, not stored twice
         links = links if more is None else links.union(more)
     linked = components(links)
-    return nodes.select("node").join(linked.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
+    forget(members, families, large)
+    return names.join(linked.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near copies; equal rows are copies too. Rows without doc_id stay as they are."""
-    mark = own_name(docs.columns, "__text")
+    """docs without near copies; equal rows are copies too. Of rows alike in doc_id and text that with the smallest hash of all columns (but
+    maps) stays, in every run. Rows without doc_id stay as they are."""
     roots = near_text_roots(docs).withColumnRenamed("doc_id", "root")
-    kept = docs.join(roots, F.col("doc_id").cast("long") == F.col("root"), "left_semi").withColumn(mark, F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", mark]).drop(mark).union(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(roots, F.col("doc_id").cast("long") == F.col("root"), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    one = kept.groupBy(F.col("doc_id").alias("d"), F.xxhash64("text").alias("mark")).agg(F.min_by(row, order).alias("row")).select("row.*")
+    return one.union(docs.where("doc_id is null"))
