@@ -115,20 +115,23 @@ def passed(book: DataFrame, policy: str, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col("text") if c == "text" else F.col(f"document.`{c}`") for c in columns])
 
 
+def ablations(book: DataFrame, policies: tuple[str, ...]) -> DataFrame:
+    """For each rule of each policy: documents that fail it, and documents that only it rejects. One aggregation over the bits for all
+    policies."""
+    names, sums = list(RULES), {}
+    for policy in policies:
+        failed = F.col("fail_bits").bitwiseAND(F.lit(policy_mask(policy)))
+        for rule in POLICIES[policy]:
+            one = F.lit(1 << names.index(rule))
+            sums[f"{policy}.{rule}"] = F.struct(
+                F.lit(policy).alias("policy"), F.lit(rule).alias("rule"), F.count_if(failed.bitwiseAND(one) != 0).alias("n_fail"), F.count_if(failed == one).alias("n_only"))
+    found = book.agg(*[s.alias(n) for n, s in sums.items()])
+    return found.select(F.inline(F.array(*[F.col(f"`{n}`") for n in sums])))
+
+
 def ablation(book: DataFrame, policy: str) -> DataFrame:
-    """For each rule of a policy: documents that fail it, and documents that only it rejects. One aggregation over the bits."""
-    mask, names = policy_mask(policy), list(RULES)
-    failed = F.col("fail_bits").bitwiseAND(F.lit(mask))
-    one = lambda name: F.lit(1 << names.index(name))
-    sums = book.agg(*[
-        F.struct(
-            F.lit(name).alias("rule"),
-            F.count_if(failed.bitwiseAND(one(name)) != 0).alias("n_fail"),
-            F.count_if(failed == one(name)).alias("n_only"),
-        ).alias(name)
-        for name in POLICIES[policy]
-    ])
-    return sums.select(F.inline(F.array(*POLICIES[policy])))
+    """`ablations` of one policy, without its name."""
+    return ablations(book, (policy,)).drop("policy")
 
 
 def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
@@ -136,11 +139,9 @@ def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
     return ledger(docs).withColumns({"base_failed": ~passes("base"), "kept": passes("base") & passes(policy)})
 
 
-def sql(policy: str = "v1") -> str:
-    """The same in DuckDB's SQL."""
-    tests = " or ".join(f"({RULES[r]})" for r in POLICIES["base"])
-    every = " or ".join(f"({RULES[r]})" for r in (*POLICIES["base"], *POLICIES[policy]))
-    return f"""
+def _measures_sql() -> str:
+    """The measures of all documents in DuckDB's SQL: CTEs up to f."""
+    return """
     with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
     w as (select rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from d),
     win as (select rid, unnest(range(1, len(w) - 1)) as i, w from w where len(w) > 2),
@@ -154,6 +155,20 @@ def sql(policy: str = "v1") -> str:
         len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) as n_unlike,
         coalesce(rep.n, 0)::bigint as n_repeat_words
         from w left join rep using (rid)),
-    f as (select *, (n_lines - n_unlike)::bigint as n_dup_lines from m)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-        ({tests}) as base_failed, not ({every}) as kept from f"""
+    f as (select *, (n_lines - n_unlike)::bigint as n_dup_lines from m)"""
+
+
+_SQL_BITS = "(" + " + ".join(f"({test})::bigint * {1 << k}" for k, test in enumerate(RULES.values())) + ")"
+
+
+def sql(policy: str = "v1") -> str:
+    """`judged` in DuckDB's SQL."""
+    tests = " or ".join(f"({RULES[r]})" for r in POLICIES["base"])
+    every = " or ".join(f"({RULES[r]})" for r in (*POLICIES["base"], *POLICIES[policy]))
+    return f"""{_measures_sql()} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({tests}) as base_failed, not ({every}) as kept, {_SQL_BITS} as fail_bits from f"""
+
+
+def ablation_sql(policies: tuple[str, ...]) -> str:
+    """`ablations` in DuckDB's SQL."""
+    one = [f"select '{p}' as policy, '{r}' as rule, count_if(bits & {1 << list(RULES).index(r)} <> 0) as n_fail, count_if(bits & {policy_mask(p)} = {1 << list(RULES).index(r)}) as n_only from b" for p in policies for r in POLICIES[p]]
+    return f"{_measures_sql()}, b as (select {_SQL_BITS} as bits from f) " + " union all ".join(one)

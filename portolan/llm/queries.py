@@ -25,10 +25,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits"
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and what it alone rejects."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents").select("text")), tuple(quality.POLICIES))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.repeats(table(spark, sf_dir, "documents"), length=13))
 
@@ -88,11 +93,13 @@ QUERIES = {
     "op11_line_dedup": op11_line_dedup,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
+    "quality_ablation": quality_ablation,
 }
 # Beyond SQL: a trained score (1), XXH64 and components (2), a tokenizer's ids (6), inferred wrappers (7), a keyed permutation (8).
 SQL = {
     "op3_mixing": mixing.SQL,
     "op4_quality_rules": quality.sql(),
+    "quality_ablation": quality.ablation_sql(tuple(quality.POLICIES)),
     "op5_substring_dedup": substring.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_url_filters": urlfilter.SQL,
