@@ -317,23 +317,42 @@ def evidence_keys(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(f"""{CAND} select 'neo:' || candidate_id as candidate_id, 'neo' as source_dataset, 'neo' as study_id, patient_id, coalesce(hla_allele, '') as hla_allele, mutant_peptide, wildtype_peptide,
+_NEO = f"""{CAND} select 'neo:' || candidate_id as candidate_id, 'neo' as source_dataset, 'neo' as study_id, patient_id, coalesce(hla_allele, '') as hla_allele, mutant_peptide, wildtype_peptide,
     case when expression_call = 'no' then 'negative' when hla_loh_call = 'lost' then 'unknown' else 'positive' end as label, case when expression_call <> 'no' and hla_loh_call = 'lost' then 0.0::double else 1.0::double end as label_weight,
-    'unknown' as assay_type, gene_symbol, expression_tpm as "rnaseq_TPM", expression_tpm, mutant_peptide || '|' || hla_allele as mutant_hla_key from cand""")
-def normalize_generic(spark: SparkSession, d: str) -> DataFrame:
-    """The candidates under a data set's names, as text, brought to the shared research schema."""
+    'unknown' as assay_type, gene_symbol, expression_tpm as "rnaseq_TPM", expression_tpm, mutant_peptide || '|' || hla_allele as mutant_hla_key from cand"""
+
+
+def _neo(spark: SparkSession, d: str) -> DataFrame:
     from portolan.plans import datasets
 
-    rows = c.candidates(spark, d).select(
+    return c.candidates(spark, d).select(
         F.concat(F.lit("neo:"), "candidate_id").alias("candidate_id"), F.xxhash64("candidate_id").alias(datasets.ORDER), F.col("patient_id").alias("patient"), F.col("hla_allele").alias("HLA"),
         F.col("mutant_peptide").alias("mutant_seq"), F.col("wildtype_peptide").alias("wt_seq"), F.col("gene_symbol").alias("gene"), F.col("expression_tpm").cast("string").alias("rnaseq_TPM"),
         F.expr("case when expression_call = 'no' then 'Negative' when hla_loh_call = 'lost' then 'not_tested' else ' CD8 ' end").alias("response_type"),
     )
-    out = datasets.neoranking_of(rows, "neo")
+
+
+@query(_NEO)
+def normalize_generic(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates under a data set's names, as text, brought to the shared research schema."""
+    from portolan.plans import datasets
+
+    out = datasets.neoranking_of(_neo(spark, d), "neo")
     return out.select("candidate_id", "source_dataset", "study_id", "patient_id", "hla_allele", "mutant_peptide", "wildtype_peptide", "label", "label_weight", "assay_type", "gene_symbol",
                       "rnaseq_TPM", "expression_tpm", "mutant_hla_key")
 
 
+@query(_NEO)
+def normalize_narrow(spark: SparkSession, d: str) -> DataFrame:
+    """The same without any job before the rows are asked for: numeric cells in one VARIANT column, widened by name."""
+    from portolan.plans import datasets
+
+    rows = datasets.widened(datasets.narrow(_neo(spark, d), "neo"), {"rnaseq_TPM": "rnaseq_TPM"})
+    return datasets.widened(rows, datasets.NEORANKING).select(
+        "candidate_id", "source_dataset", "study_id", "patient_id", "hla_allele", "mutant_peptide", "wildtype_peptide", "label", "label_weight", "assay_type", "gene_symbol",
+        "rnaseq_TPM", "expression_tpm", "mutant_hla_key")
+
+
 _KNOWN = """cand2 as (select *, case when candidate_id like '%1' then 'positive' else 'negative' end as label from cand)"""
 
 

@@ -22,6 +22,7 @@ FIELDS = {
     "gene_symbol": ("gene", "Gene Name", "Gene", "gene_symbol"),
     "assay_type": ("assay_type", "Assay", "Assay Type"),
 }
+NUMBERS = "numbers"  # the VARIANT column of `narrow`
 IMPROVE_MEMBER = "data/03_data_for_CV/IMPROVE/03_3_final_peptide_features_Partition_for_CV.txt"
 NEORANKING = {
     "rnaseq_TPM": "expression_tpm", "CCF": "clonality_ccf", "mutant_rank_netMHCpan": "netmhcpan_mutant_rank", "mutant_rank_PRIME": "prime_mutant_rank",
@@ -117,20 +118,54 @@ def _finished(df: DataFrame, features: bool = True, checked: bool = True) -> Dat
     return rows
 
 
-def generic(df: DataFrame, dataset: str, study: str | None = None, features: bool = True) -> DataFrame:
-    """The shared form: names resolved, label parsed, all numeric columns kept."""
+def _core(df: DataFrame, dataset: str, study: str | None) -> dict[str, Column]:
+    """The shared fields: names resolved, label parsed."""
     label = expr.label(_c(next(n for n in RESPONSES if n in df.columns))) if any(n in df.columns for n in RESPONSES) else F.lit("unknown")
-    core = {
+    return {
         "candidate_id": _c("candidate_id").cast("string") if "candidate_id" in df.columns else F.concat(F.lit(f"{dataset}:"), F.col(ORDER)),
         "source_dataset": F.lit(dataset),
         **{field: _text(df, *FIELDS[field], default=default) for field, default in (
             ("study_id", study or dataset), ("patient_id", ""), ("hla_allele", ""), ("mutant_peptide", ""), ("wildtype_peptide", ""), ("assay_type", "unknown"))},
         "label": label,
     } | ({"gene_symbol": _text(df, *FIELDS["gene_symbol"])} if any(n in df.columns for n in FIELDS["gene_symbol"]) else {})
+
+
+def _weighed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("label_weight", F.when(F.col("label") == "unknown", 0.0).otherwise(1.0))
+
+
+def generic(df: DataFrame, dataset: str, study: str | None = None, features: bool = True) -> DataFrame:
+    """The shared form: names resolved, label parsed, all numeric columns kept."""
+    core = _core(df, dataset, study)
     numeric = _numeric(df, set(core))
-    rows = df.select(ORDER, *[x.alias(n) for n, x in core.items()], *[x.alias(n) for n, x in numeric.items()])
-    rows = rows.withColumn("label_weight", F.when(F.col("label") == "unknown", 0.0).otherwise(1.0))
-    return _finished(rows, features)
+    return _finished(_weighed(df.select(ORDER, *[x.alias(n) for n, x in core.items()], *[x.alias(n) for n, x in numeric.items()])), features)
+
+
+def _key(name: str) -> str:
+    """A column's name as a key of the numbers; paths can't have quotes."""
+    return name.replace("'", "\u2019").replace('"', "\u201d")
+
+
+def narrow(df: DataFrame, dataset: str, study: str | None = None, features: bool = True) -> DataFrame:
+    """The shared form without a job: which columns are numeric depends on their cells, so the cells that are numbers are in one VARIANT column,
+    an object by column name; `number` and `widened` take columns out of it where they are asked for. Labels are of the schema by how they are made; whether given
+    ids repeat is left to whoever writes the rows."""
+    core = _core(df, dataset, study)
+    used = {t.lower() for t in (*core, ORDER)}
+    names = [n for n in df.columns if n.lower() not in used]
+    cells = F.map_from_arrays(F.array(*[F.lit(_key(n)) for n in names]), F.array(*[expr.number(_c(n)) for n in names])) if names else F.create_map().cast("map<string,double>")
+    numbers = F.to_variant_object(F.map_filter(cells, lambda _, x: x.isNotNull()))
+    return _finished(_weighed(df.select(ORDER, *[x.alias(n) for n, x in core.items()], numbers.alias(NUMBERS))), features, checked=False)
+
+
+def number(name: str) -> Column:
+    """A column out of the numbers of `narrow`; NULL where a row has none."""
+    return F.try_variant_get(F.col(NUMBERS), f"$['{_key(name)}']", "double")
+
+
+def widened(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows of `narrow` with these numbers (source column -> name) as columns of their own, where the names are free."""
+    return rows.withColumns({new: number(old) for old, new in names.items() if new not in rows.columns})
 
 
 def neoranking_of(df: DataFrame, dataset: str = "neoranking") -> DataFrame:

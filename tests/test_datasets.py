@@ -118,3 +118,23 @@ def test_stacked_sets(spark, tmp_path):
     assert rows.count() == 6 and {r.bigmhc_el_score for r in rows.where("source_dataset = 'tesla'").collect()} == {None}
     assert [tuple(r) for r in datasets.conflicts_between(rows).collect()] == [("ACDEFGHIK|HLA-A*02:01", 2, 1, 1)]
     assert datasets.conflicts_between(tesla).collect() == []
+
+
+def test_narrow_equals_the_wide_form_without_a_job(spark):
+    from test_product import jobs_of
+
+    rows = [(0, "P", "ACDEFGHIK", "CD8", "1.5", "x", "7", None), (1, "P", "ACDEFGHIL", "negative", None, "y", "nan", "2"), (2, "Q", "ACDEFGHIM", "?", " 3 ", "z", "w", "")]
+    df = spark.createDataFrame(rows, "_ord long, patient string, mutant_seq string, response_type string, rnaseq_TPM string, note string, `odd 'name.1` string, `CCF` string")
+    wide = datasets.neoranking_of(df, "neo")
+    made = []
+    names = {n: n for n in ("rnaseq_TPM", "odd 'name.1", "CCF", "note")}
+    assert jobs_of(spark, lambda: made.append(datasets.widened(datasets.widened(datasets.narrow(df, "neo"), names), datasets.NEORANKING))) == []
+    narrow = made[0]
+    assert {"note", "binding_score"} & set(wide.columns) == set()  # columns without numbers, or that aren't there
+    shared = [c for c in wide.columns]
+    assert set(shared) <= set(narrow.columns)
+    pick = lambda t: sorted(map(tuple, t.select(*[f"`{c}`" for c in shared]).collect()), key=str)
+    assert pick(narrow) == pick(wide)
+    assert {r.note for r in narrow.collect()} == {r.binding_score for r in narrow.collect()} == {None}
+    bare = datasets.narrow(df.select("_ord", "patient", "mutant_seq"), "neo")
+    assert bare.select(datasets.number("CCF").alias("x")).distinct().collect() == [(None,)]
