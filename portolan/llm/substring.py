@@ -39,12 +39,15 @@ BLOCK_BYTES = 4 << 20  # of text in a block, about
 LAST = np.iinfo(np.int64).max  # stands for a missing doc_id
 
 
+_HASHES = WordHashes()  # a worker keeps them from block to block
+
+
 class _Block:
     """The texts of a block as one run of words, with their windows and anchors. Documents are in the order of doc_id and text, whatever the
     order of the rows, so that each pass over a block numbers them alike."""
 
     def __init__(self, rows: pa.Table, length: int, k: int):
-        self.length, self.k, known = length, k, WordHashes()
+        self.length, self.k = length, k
         ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (LAST if ids[i] is None else ids[i], texts[i] or ""))
         self.doc_ids = [ids[i] for i in order]
@@ -54,20 +57,26 @@ class _Block:
         sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.hashes = known.of(self.flat)
+        self.hashes = _HASHES.of(self.flat)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         # where windows start, and the document of each
         m = max(0, len(doc) - length + 1)
         self.at = np.flatnonzero(doc[:m] == doc[length - 1 :]) if m else np.empty(0, dtype=np.int64)
         self.doc = doc[self.at]
         runs = gram_hashes(self.hashes, k)
-        least, place = runs[self.at], self.at.copy()
+        least, off = runs[:m].copy(), np.zeros(m, dtype=np.int64)
         for j in range(1, length - k + 1):
-            other = runs[self.at + j]
+            other = runs[j : j + m]
             less = other < least
-            least, place = np.where(less, other, least), np.where(less, self.at + j, place)
-        # occurrences: the places that some window chose, with the words that these windows reach
-        self.place, first, self.of = np.unique(place, return_index=True, return_inverse=True)
+            np.copyto(least, other, where=less)
+            off[less] = j
+        place = self.at + off[self.at]
+        # occurrences: the places that some window chose, with the words that these windows reach. The first of the least never moves back, so
+        # the places are in order
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = place[1:] != place[:-1]
+        first = np.flatnonzero(new)
+        self.place, self.of = place[first], np.cumsum(new) - 1
         last = (np.append(first[1:], len(place)) - 1)[: len(first)]
         self.low, self.high = self.at[first], self.at[last] + length
         # least hashes are small ones; keys should spread evenly
