@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import SparkRuntimeException, StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ def test_repeated_evidence_fails_in_the_one_job(spark, key):
     assert {r.expression_tpm: r.rna_vaf for r in good.collect()} == {1.0: 5.0, 2.0: None}
     for table in bad:
         for read in (table, table.select("expression_tpm")):
-            with pytest.raises(SparkRuntimeException, match="repeats a key"):
+            with pytest.raises((SparkRuntimeException, Py4JJavaError), match="repeats a key"):
                 read.collect()
 
 
@@ -283,7 +284,7 @@ def test_report_in_three_queries(spark, tmp_path):
     assert json.loads(open(product.write_report(other, str(tmp_path / "c"))["json"]).read())["deterministic_gate"]["reason_counts"] == {"ELSEWHERE": 40}
 
 
-def test_run_checks_where_it_writes(spark, mini, tmp_path):
+def test_run_checks_where_it_writes(spark, mini, tmp_path, capsys):
     from portolan import cli
 
     bad = tmp_path / "bad.tsv"
@@ -294,3 +295,4 @@ def test_run_checks_where_it_writes(spark, mini, tmp_path):
     rna = tmp_path / "rna.csv"
     rna.write_text("mutation_id,expression_tpm\nG12D,5\nG12D,6\n")
     assert cli.main(["run-patient", mini, "--patient-id", "P1", "--rna-evidence", str(rna), "--output-dir", str(tmp_path / "o")], spark) == 1
+    assert "repeats a key" in json.loads(capsys.readouterr().out)["problem"]
