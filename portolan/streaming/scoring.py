@@ -1,7 +1,7 @@
 """Scores for a stream of canonical candidates.
 
 Scores, exclusion and tiers depend on a row alone, so they run on a stream as they stand. Duplicates need the rows before: a stream keeps
-their identities within a watermark. Selection needs a whole patient and stays a batch step.
+their identities within a watermark. Selections of a stream are kept up to date by `portfolio.maintained`.
 """
 
 from __future__ import annotations
