@@ -4,8 +4,9 @@ A text's lower-cased words, without the marks at their ends, are hashed into BUC
 each term, a vector for each term whose products are the weights of pairs) is fitted on at most MOST_ROWS of the labelled rows that
 may be learned from: those with the smallest hashes of doc_id, which a threshold selects before any text is read. Terms enter the machine
 for one of two reasons: they tell of the label by themselves (chi-square of LEAST_CHI or more), or together with
-another term although not by themselves (the four shares of toxic rows with both, either and none of two FREQUENT terms are not
-additive). Pairs are looked for among FREQUENT terms only; terms that tell by themselves have no limit. Then every whole text is scored.
+another term although not by themselves (the four shares of toxic rows with both, either and none of two terms are not additive, by more than
+chance makes of that many pairs). Every pair of the sample's terms with LEAST_CELL rows in each of its four cells is looked at, in as many tasks as
+there are PAIRS_A_TASK; neither terms nor pairs have a limit. Then every whole text is scored.
 
 The model has numbers for the terms of at most MOST_ROWS rows, so it is bounded and broadcast. Nothing but the text enters a score.
 
@@ -23,14 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.llm.common import order_hash
 
 BUCKETS = 1 << 20
 LEAST_CHI, LEAST_DOCS = 6.6, 3  # of a term
-FREQUENT, LEAST_PAIR, LEAST_CELL = 1024, 30.0, 5  # terms whose pairs are looked at; squared deviation of a pair; rows in each of its four cells
+LEAST_PAIR, LEAST_CELL = 30.0, 5  # squared deviation of a pair; rows in each of its four cells
+CHANCE = 0.05  # of any pair that chance brings in
+PAIRS_A_TASK, PAIRS_AT_ONCE = 200_000_000, 1 << 22  # pairs of terms in a row, of all rows: in a task, in memory
 FACTORS = 4
 MOST_ROWS = 20_000
 MOST_LABELS = 1_000_000  # as many may be broadcast (16 MB); more are joined by a shuffle
@@ -97,41 +100,99 @@ class Rows:
         return Rows(place[known], np.bincount(row[known], minlength=len(self.n)), self.y)
 
 
-def chosen_terms(rows: Rows) -> np.ndarray:
-    """The terms that tell of the label, by themselves or in a pair."""
+def counted(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms, the place of each occurrence among them, and each term's rows and toxic rows."""
+    term, inverse = np.unique(rows.flat, return_inverse=True)
+    return term, inverse, np.bincount(inverse).astype(float), np.bincount(inverse, np.repeat(rows.y, rows.n))
+
+
+def _evidence(toxic: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How far pairs are from additive, from their cells (both, first, second, none): twice the log-likelihood ratio of the smallest cell
+    against what the three others let expect; 0 if the whole deviation is below LEAST_PAIR."""
+    sign = np.array([1.0, -1.0, -1.0, 1.0])[:, None]
+    share = (toxic + 0.5) / (size + 1)
+    gap = (sign * share).sum(axis=0)
+    least, each = size.argmin(axis=0), np.arange(size.shape[1])
+    n, got = size[least, each], toxic[least, each] / size[least, each]
+    edge = 0.5 / (n + 1)
+    expected = np.clip(share[least, each] - sign[least, 0] * gap, edge, 1 - edge)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(got > 0, got * np.log(got / expected), 0) + np.where(got < 1, (1 - got) * np.log((1 - got) / (1 - expected)), 0)
+    return np.where(gap**2 >= LEAST_PAIR * (share * (1 - share) / (size + 1)).sum(axis=0), 2 * n * ratio, 0)
+
+
+def pair_evidence(rows: Rows, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
+    """Terms, the evidence of each one's best pair, and the number of pairs looked at. A part is every parts-th term, in the order of their frequency,
+    with all that are rarer. A term's rows name its partners, so only pairs that occur are counted."""
+    n, n1 = float(len(rows.y)), rows.y.sum()
+    term, inverse, m, a = counted(rows)
+    able = np.flatnonzero((m >= 2 * LEAST_CELL) & (n - m >= 2 * LEAST_CELL))
+    able = able[np.argsort(-m[able], kind="stable")]
+    rank = np.full(len(term), -1)
+    rank[able] = np.arange(len(able))
+    entry, row = rank[inverse], np.repeat(np.arange(len(rows.n)), rows.n)
+    entry, row = entry[entry >= 0], row[entry >= 0]
+    order = np.lexsort((entry, row))
+    entry, row = entry[order], row[order]
+    stop, toxic = np.cumsum(np.bincount(row, minlength=len(rows.n)))[row], rows.y[row] > 0
+    by, starts = np.argsort(entry, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(entry, minlength=len(able)))))
+    m, a, best, examined = m[able], a[able], np.zeros(len(able)), 0
+    for i in range(part, len(able) - 1, parts):
+        at, met = by[starts[i] : starts[i + 1]], []
+        for some in (at[~toxic[at]], at[toxic[at]]):  # the partners in plain rows, in toxic rows
+            times = np.zeros(len(able) - i - 1, dtype=np.int64)
+            for few in np.array_split(some, 1 + int((stop[some] - some).sum()) // PAIRS_AT_ONCE):
+                lengths = stop[few] - few - 1
+                ends = np.cumsum(lengths)
+                if len(few) and ends[-1]:
+                    times += np.bincount(entry[np.repeat(few + 1 - ends + lengths, lengths) + np.arange(ends[-1])] - i - 1, minlength=len(times))
+            met.append(times)
+        near = np.flatnonzero(met[0] + met[1] >= LEAST_CELL)
+        j, both, both1 = near + i + 1, (met[0] + met[1])[near], met[1][near]
+        size = np.stack([both, m[i] - both, m[j] - both, n - m[i] - m[j] + both]).astype(float)
+        cells = np.stack([both1, a[i] - both1, a[j] - both1, n1 - a[i] - a[j] + both1]).astype(float)
+        full = size.min(axis=0) >= LEAST_CELL
+        if full.any():
+            found, j = _evidence(cells[:, full], size[:, full]), j[full]
+            examined += len(j)
+            best[i] = max(best[i], found.max())
+            best[j] = np.maximum(best[j], found)
+    return term[able[best > 0]], best[best > 0], examined
+
+
+def told_in_pairs(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """The terms whose best pair, in any part, is beyond chance for that many pairs (by Chernoff's bound)."""
+    term, best = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    return np.unique(term[best >= 2 * math.log(max(1, sum(p[2] for p in parts)) / CHANCE)])
+
+
+def chosen_terms(rows: Rows, paired: np.ndarray | None = None) -> np.ndarray:
+    """The terms that tell of the label, by themselves or in a pair (`paired`, which is worked out here if it isn't given)."""
     n, n1 = float(len(rows.y)), rows.y.sum()
     n0 = n - n1
-    term, inverse = np.unique(rows.flat, return_inverse=True)
-    m, a = np.bincount(inverse).astype(float), np.bincount(inverse, np.repeat(rows.y, rows.n))
+    term, _, m, a = counted(rows)
     some = (m >= LEAST_DOCS) & (m < n)
     chi = np.where(some, n * (a * (n0 - (m - a)) - (m - a) * (n1 - a)) ** 2 / np.maximum(m * (n - m) * n0 * n1, 1e-9), 0)
-    chosen = chi >= LEAST_CHI
-    top = np.argsort(np.where(some, -m, 0), kind="stable")[:FREQUENT]
-    top = top[some[top]]
-    if len(top):
-        place = np.full(len(term), -1)
-        place[top] = np.arange(len(top))
-        both, both1 = np.zeros((len(top), len(top))), np.zeros((len(top), len(top)))
-        where = place[inverse]
-        for lo in range(0, len(rows.y), 1024):
-            hi = min(lo + 1024, len(rows.y))
-            part = where[rows.start[lo] : rows.start[hi - 1] + rows.n[hi - 1]]
-            row = np.repeat(np.arange(hi - lo), rows.n[lo:hi])
-            x = np.zeros((hi - lo, len(top)), dtype=np.float32)
-            x[row[part >= 0], part[part >= 0]] = 1
-            both += x.T @ x
-            both1 += (x * rows.y[lo:hi, None].astype(np.float32)).T @ x
-        one, one1 = m[top], a[top]
-        cells = ((both1, both, 1), (one1[:, None] - both1, one[:, None] - both, -1), (one1[None] - both1, one[None] - both, -1),
-                 (n1 - one1[:, None] - one1[None] + both1, n - one[:, None] - one[None] + both, 1))
-        gap, spread, least = 0.0, 0.0, np.inf
-        for toxic, size, sign in cells:
-            share = (toxic + 0.5) / (size + 1)
-            gap, spread, least = gap + sign * share, spread + share * (1 - share) / (size + 1), np.minimum(least, size)
-        deviation = np.where(least >= LEAST_CELL, gap**2 / spread, 0)
-        np.fill_diagonal(deviation, 0)
-        chosen[top[deviation.max(axis=1) >= LEAST_PAIR]] = True
-    return term[chosen]
+    return np.union1d(term[chi >= LEAST_CHI], told_in_pairs([pair_evidence(rows)]) if paired is None else paired)
+
+
+def paired_terms(spark: SparkSession, rows: Rows) -> np.ndarray:
+    """The terms that tell of the label in a pair, looked for in tasks of about PAIRS_A_TASK pairs; the bounded sample is broadcast. What comes back
+    is a number for each of its terms that has a pair beyond LEAST_PAIR."""
+    parts = 1 + int((rows.n.astype(float) ** 2).sum() / 2 / PAIRS_A_TASK)
+    sample = spark.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                term, best, examined = pair_evidence(sample.value, part, parts)
+                yield pa.RecordBatch.from_arrays([pa.array([*term.tolist(), None], pa.int64()), pa.array([*best.tolist(), float(examined)], pa.float64())], ["term", "best"])
+
+    found = spark.range(0, parts, 1, parts).mapInArrow(run, "term long, best double").toArrow()
+    sample.unpersist()
+    count = found.filter(found["term"].is_null())["best"].to_pylist()
+    found = found.filter(found["term"].is_valid())
+    return told_in_pairs([(found["term"].to_numpy(), found["best"].to_numpy(), int(sum(count)))])
 
 
 def fit(rows: Rows | list[tuple[list[int], int]], at: np.ndarray, factors: int = FACTORS, passes: int = 30, rate: float = 0.2, decay: float = 1e-3, weigh: float = 5.0, seed: int = 1) -> Machine:
@@ -188,7 +249,8 @@ def train(docs: DataFrame, known: DataFrame, most_rows: int = MOST_ROWS) -> Mach
     rows = Rows(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), sample["toxic"].to_numpy())
     if rows.y.min() == rows.y.max():  # the sample has one label only
         rows = Rows(rows.flat[:0], np.zeros(len(rows.y)), rows.y)
-    return fit(rows, chosen_terms(rows))
+        return fit(rows, chosen_terms(rows, rows.flat))
+    return fit(rows, chosen_terms(rows, paired_terms(docs.sparkSession, rows)))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -143,3 +143,74 @@ def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
     monkeypatch.setattr(toxicity.Rows, "__init__", lambda self, flat, n, y: (seen.append(len(y)), make(self, flat, n, y))[1])
     machine = toxicity.train(docs.select("doc_id", "text").union(hot), known, most_rows=300)
     assert max(seen) == 300 and 0 <= machine.score(np.array(toxicity.terms("w1 foul"))) <= 1
+
+
+def hidden_pair(fillers, seed=9):
+    """8,000 rows, 800 toxic: terms 1 and 2 tell nothing by themselves, but meet in 161 rows that are all toxic; `fillers` terms are more frequent."""
+    rng = np.random.default_rng(seed)
+    y = np.arange(8000) % 10 == 0
+    plain, toxic = rng.permutation(np.flatnonzero(~y)), rng.permutation(np.flatnonzero(y))
+    both, spare = toxic[:161], 1449  # each term is in 161 toxic rows of 1,610, as chance has it
+    one, two = np.concatenate([both, plain[:spare]]), np.concatenate([both, plain[spare : 2 * spare]])
+    has = rng.random((8000, fillers)) < 0.25
+    one, two = set(one.tolist()), set(two.tolist())
+    return [([*[1] * (i in one), *[2] * (i in two), *(np.flatnonzero(has[i]) + 10).tolist()], int(y[i])) for i in range(8000)]
+
+
+def test_pair_among_many_more_frequent_terms():
+    for fillers in (300, 2100):
+        known = toxicity.Rows.listed(hidden_pair(fillers))
+        assert toxicity.told_in_pairs([toxicity.pair_evidence(known)]).tolist() == [1, 2]
+
+
+def test_pairs_equal_brute_force_in_any_parts(spark, monkeypatch):
+    """Against a count of each pair's cells, row by row."""
+    rng, rows = random.Random(3), []
+    for _ in range(400):
+        found = {t for t in range(25) if rng.random() < 0.1 + 0.02 * t}
+        rows.append((sorted(found), int({20, 24} <= found or rng.random() < 0.15)))
+    known, best, examined = toxicity.Rows.listed(rows), {}, 0
+    for i in range(25):
+        for j in range(i):
+            size, toxic = [0] * 4, [0] * 4
+            for found, y in rows:
+                cell = 2 * (i not in found) + (j not in found)
+                size[cell] += 1
+                toxic[cell] += y
+            if min(size) < 5:
+                continue
+            examined += 1
+            p = [(t + 0.5) / (s + 1) for t, s in zip(toxic, size, strict=True)]
+            gap, spread = p[0] - p[1] - p[2] + p[3], sum(x * (1 - x) / (s + 1) for x, s in zip(p, size, strict=True))
+            k = size.index(min(size))
+            edge = 0.5 / (size[k] + 1)
+            want = min(max(p[k] - (gap if k in (0, 3) else -gap), edge), 1 - edge)
+            got = toxic[k] / size[k]
+            ratio = (got * np.log(got / want) if got else 0) + ((1 - got) * np.log((1 - got) / (1 - want)) if got < 1 else 0)
+            for t in (i, j) if gap**2 >= 30 * spread else ():
+                best[t] = max(best.get(t, 0), 2 * size[k] * ratio)
+    for parts in (1, 4, 40):
+        found = [toxicity.pair_evidence(known, part, parts) for part in range(parts)]
+        assert sum(f[2] for f in found) == examined
+        merged = {}
+        for term, values, _ in found:
+            for t, v in zip(term.tolist(), values.tolist(), strict=True):
+                merged[t] = max(merged.get(t, 0), v)
+        assert merged.keys() == best.keys() and all(abs(merged[t] - best[t]) < 1e-9 for t in best)
+    whole = toxicity.told_in_pairs([toxicity.pair_evidence(known)]).tolist()
+    assert whole == [20, 24]
+    monkeypatch.setattr(toxicity, "PAIRS_A_TASK", 3000)
+    assert toxicity.paired_terms(spark, known).tolist() == whole
+
+
+def test_chance_brings_no_pairs():
+    rng = np.random.default_rng(5)
+    has = rng.random((3000, 400)) < rng.random(400) * 0.1
+    rows = [(np.flatnonzero(x).tolist(), int(y)) for x, y in zip(has, rng.random(3000) < 0.1, strict=True)]
+    assert not len(toxicity.told_in_pairs([toxicity.pair_evidence(toxicity.Rows.listed(rows))]))
+
+
+def test_no_terms_no_pairs():
+    for rows in ([], [([], 1), ([], 0)]):
+        found = toxicity.pair_evidence(toxicity.Rows.listed(rows))
+        assert not len(found[0]) and found[2] == 0 and not len(toxicity.told_in_pairs([found]))
