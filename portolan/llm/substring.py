@@ -27,24 +27,32 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from portolan.llm.common import WordHashes, gram_hashes, mix64, words_of
+from portolan.llm.common import gram_hashes, mix64, words_of
 
 LENGTH, ANCHOR = 13, 5
 BLOCK_BYTES = 4 << 20  # of text in a block, about
 LAST = np.iinfo(np.int64).max  # stands for a missing doc_id
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words (SipHash, in one call for all)."""
+    cells = np.empty(len(words), dtype=object)
+    cells[:] = words
+    return pd.util.hash_array(cells, categorize=False)
+
+
 class _Block:
     """The texts of a block as one run of words, with their windows and anchors. Documents are in the order of doc_id and text, whatever the
     order of the rows, so that each pass over a block numbers them alike."""
 
     def __init__(self, rows: pa.Table, length: int, k: int):
-        self.length, self.k, known = length, k, WordHashes()
+        self.length, self.k = length, k
         ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (LAST if ids[i] is None else ids[i], texts[i] or ""))
         self.doc_ids = [ids[i] for i in order]
@@ -54,7 +62,7 @@ class _Block:
         sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.hashes = known.of(self.flat)
+        self.hashes = _hashed(self.flat)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         # where windows start, and the document of each
         m = max(0, len(doc) - length + 1)
