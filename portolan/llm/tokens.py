@@ -9,7 +9,8 @@ by their least and greatest key, which Parquet keeps as statistics.
 
 Encoding. The tokenizer parts words before a single space or line break between other characters, and between a letter or digit and
 a point or comma. So the ids of " word" are the same in any text, and a worker keeps those it has met (up to a bound). Texts
-with two white spaces in a row or with a special token's string go to the tokenizer as a whole.
+with two white spaces in a row or with a special token's string go to the tokenizer as a whole, and so do all texts where the tokenizer's file
+names another rule (PARTS).
 
 Null and empty texts are just the end id. Repeated rows are documents of their own, in the order of their texts; a lookup returns all
 documents of a key. Rows without doc_id come first; they are in the payload, but not in the index. An empty table gives an
@@ -18,6 +19,7 @@ empty one. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -37,6 +39,9 @@ SHARD_IDS = 2 << 20
 PART_DOCS = 4096  # in a partition, about
 KEPT = 1_300_000  # pieces a worker remembers (about 250 MB)
 
+# Fixed value: how a tokenizer's file says that words are parted as above.
+PARTS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
 _MARKS = frozenset(".,")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,6 +56,9 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.width == 2 else "I"
+        rules = json.loads(self.tokenizer.to_str())
+        rule = rules["pre_tokenizer"] or {}
+        self.parted = rules["normalizer"] is None and all(rule.get(k) == v for k, v in PARTS.items()) and all(t["special"] for t in rules["added_tokens"])
         self.known: dict[str, bytes] = {}
         self.marks = {m: self.ids(m) for m in _MARKS}
         # which ids begin with a space or a line break (these two stand for them in byte-level vocabularies)
@@ -83,6 +91,8 @@ class Encoder:
                 known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.parted:
+            return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " \n").split(" ") for t in texts]
         known, new = self.known, set()
         for pieces in split:

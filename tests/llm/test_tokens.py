@@ -22,9 +22,34 @@ def sample():
     return texts
 
 
+def other_rules(folder):
+    """The tokenizer with other rules for parting words, and one that comes with others."""
+    from tokenizers import normalizers, pre_tokenizers
+
+    made = [(None, pre_tokenizers.ByteLevel(add_prefix_space=True)), (None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)),
+            (normalizers.Lowercase(), pre_tokenizers.ByteLevel(add_prefix_space=False))]
+    for i, (normalizer, rule) in enumerate(made):
+        t = Tokenizer.from_file(PATH)
+        t.pre_tokenizer = rule
+        if normalizer is not None:
+            t.normalizer = normalizer
+        t.save(f"{folder}/{i}.json")
+        yield f"{folder}/{i}.json"
+    yield public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_tokenizers_with_other_rules(tmp_path):
+    for path in other_rules(tmp_path):
+        t, code = Tokenizer.from_file(path), tokens.Encoder(path)
+        assert not code.parted
+        for text, got in zip(sample(), code.encode(sample()), strict=True):
+            assert np.frombuffer(got, dtype=code.kind).tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 def test_encoder_equals_whole_texts():
     t = Tokenizer.from_file(PATH)
     code = tokens.Encoder(PATH)
+    assert code.parted
     for texts in (sample(), sample()[::-1]):
         for text, got in zip(texts, code.encode(texts), strict=True):
             assert np.frombuffer(got, dtype=code.kind).tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
