@@ -1,6 +1,6 @@
 """Members of ZIP archives and sheets of workbooks as a Spark data source, `spark.read.format("archive")`.
 
-A partition is a member of one archive, or of each of the archives that a folder or pattern names. A task opens its archive as a random-access file and inflates
+A partition is a member of one archive (or a sheet of one binary workbook, `xls`), or of each of the archives that a folder or pattern names. A task opens its archive as a random-access file and inflates
 the member as a stream: text is parsed line by line, a sheet by the events of its XML, and rows leave in batches of BATCH_BYTES or
 BATCH_ROWS. So a task holds a batch, and for a workbook its shared strings as packed UTF-8, but never a member. Archives may lie where pyarrow's file systems reach
 (local and mounted folders, HDFS, object stores); the driver resolves the path, mount tables too, by Spark's own file system.
@@ -19,7 +19,6 @@ import json
 import re
 import sys
 import zipfile
-from array import array
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
 from pathlib import PurePosixPath
@@ -31,7 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from portolan.sources import xls
 from portolan.sources.delimited import separator
+from portolan.sources.strings import Strings
 
 NAME = "archive"
 ORDER = "_ord"
@@ -55,12 +56,19 @@ def named(header: list[str]) -> list[str]:
     return out
 
 
-def opened(uri: str) -> zipfile.ZipFile:
+Archive = zipfile.ZipFile | xls.Workbook
+
+
+def opened(uri: str) -> Archive:
+    """By its contents: a workbook of either format may have either name."""
     where, path = fs.FileSystem.from_uri(uri)
-    return zipfile.ZipFile(io.BufferedReader(where.open_input_file(path), 1 << 16))
+    file = io.BufferedReader(where.open_input_file(path), 1 << 16)
+    binary = file.read(len(xls.SIGNATURE)) == xls.SIGNATURE
+    file.seek(0)
+    return xls.Workbook(file) if binary else zipfile.ZipFile(file)
 
 
-def members(archive: zipfile.ZipFile, wanted: str | None) -> list[str]:
+def members(archive: Archive, wanted: str | None) -> list[str]:
     """The members that are read: all that fit a pattern, the one of that name, the only one, or a workbook's active sheet."""
     names = [n for n in archive.namelist() if not n.endswith("/") and not n.startswith("__MACOSX/")]
     if wanted is not None:
@@ -68,6 +76,8 @@ def members(archive: zipfile.ZipFile, wanted: str | None) -> list[str]:
         if not found:
             raise ValueError(f"the archive has no member {wanted}")
         return found
+    if isinstance(archive, xls.Workbook):
+        return [archive.active]
     if any(n.startswith("xl/worksheets/") for n in names):
         return [active_sheet(archive)]
     if len(names) != 1:
@@ -90,22 +100,12 @@ def active_sheet(archive: zipfile.ZipFile) -> str:
     return min((n for n in files if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
 
 
-class Strings:
-    """A workbook's shared strings: their UTF-8 in one buffer, and where each ends."""
-
-    def __init__(self, archive: zipfile.ZipFile):
-        self.data, self.ends = bytearray(), array("Q", [0])
-        if "xl/sharedStrings.xml" in archive.namelist():
-            with archive.open("xl/sharedStrings.xml") as file:
-                for item in _elements(file, f"{_SHEET}si"):
-                    # phonetic runs aren't text
-                    self.data += "".join(t.text or "" for part in item for t in ([part] if part.tag == f"{_SHEET}t" else part.findall(f"{_SHEET}t") if part.tag == f"{_SHEET}r" else ())).encode("utf-8", "surrogatepass")
-                    self.ends.append(len(self.data))
-
-    def __getitem__(self, i: int) -> str:
-        if not 0 <= i < len(self.ends) - 1:
-            raise ValueError(f"the workbook has no shared string {i}")
-        return self.data[self.ends[i] : self.ends[i + 1]].decode("utf-8", "surrogatepass")
+def shared_strings(archive: zipfile.ZipFile) -> Iterator[str]:
+    if "xl/sharedStrings.xml" in archive.namelist():
+        with archive.open("xl/sharedStrings.xml") as file:
+            for item in _elements(file, f"{_SHEET}si"):
+                # phonetic runs aren't text
+                yield "".join(t.text or "" for part in item for t in ([part] if part.tag == f"{_SHEET}t" else part.findall(f"{_SHEET}t") if part.tag == f"{_SHEET}r" else ()))
 
 
 def _elements(file: io.BufferedIOBase, tag: str) -> Iterator[ElementTree.Element]:
@@ -124,7 +124,7 @@ def _elements(file: io.BufferedIOBase, tag: str) -> Iterator[ElementTree.Element
 
 def sheet_rows(archive: zipfile.ZipFile, name: str) -> Iterator[list[str | None]]:
     """Rows of a sheet. Cells are placed by their own references, whatever the sheet's stated dimensions say."""
-    strings = Strings(archive)
+    strings = Strings(shared_strings(archive))
     with archive.open(name) as file:
         for row in _elements(file, f"{_SHEET}row"):
             cells: list[str | None] = []
@@ -150,8 +150,10 @@ def text_rows(archive: zipfile.ZipFile, name: str) -> Iterator[list[str | None]]
         yield from csv.reader(lines, delimiter=separator(head, PurePosixPath(name).suffix.lower()))
 
 
-def rows_of(archive: zipfile.ZipFile, name: str) -> Iterator[list[str | None]]:
+def rows_of(archive: Archive, name: str) -> Iterator[list[str | None]]:
     """All rows of a member, the header first."""
+    if isinstance(archive, xls.Workbook):
+        return archive.rows(name)
     return (sheet_rows if name.startswith("xl/worksheets/") else text_rows)(archive, name)
 
 
@@ -244,7 +246,7 @@ def resolved(spark: SparkSession, path: str) -> list[str]:
     for status in system.globStatus(where) or []:
         for file in system.listStatus(status.getPath()):
             name = file.getPath().getName()
-            if file.isFile() and name.lower().endswith((".zip", ".xlsx")):
+            if file.isFile() and name.lower().endswith((".zip", ".xlsx", ".xls")):
                 found.append(system.resolvePath(file.getPath()).toUri().toString())
     # Hadoop writes file:/x for local files
     return sorted(re.sub(r"^file:/(?!/)", "file:///", uri) for uri in found)

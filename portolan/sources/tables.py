@@ -30,7 +30,7 @@ def read_table(spark: SparkSession, path: str, member: str | None = None) -> Dat
     suffix = PurePosixPath(path).suffix.lower()
     if suffix in (".csv", ".tsv", ".txt"):
         return _delimited(spark, path, suffix)
-    if suffix in (".zip", ".xlsx"):
+    if suffix in (".zip", ".xlsx", ".xls"):
         return archives.read(spark, path, member)
     if suffix == ".parquet":
         df = spark.read.parquet(path)
