@@ -3,7 +3,8 @@
 A rule is a regular expression over host and path. Each rule is filed under one of its literal tokens, the one that is rarest
 in the URLs at hand; a URL's tokens fetch the candidates, and only these run. Up to MOST_IN_ROW rules are an index within the row:
 there is no shuffle but the small count of rule tokens, so a host with a third of all rows costs what its rows cost. More rules are a
-table, which the distinct URLs' tokens are joined with; the verdicts of distinct URLs are then joined with the rows.
+table, which the distinct URLs' tokens are joined with; the verdicts of distinct URLs are then joined with the rows. A list of any size
+that is a table already (`rule_table`, `judged_by`) stays one, and never comes to the driver.
 
 A null URL or one without '://' has an empty host and path, fits no rule and is allowed. Repeated rows are judged one by one.
 Of several fitting rules the longest wins, the last in code point order on a tie. An empty table gives an empty result.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_IN_ROW = 2000  # rules in a row's literal index; more are a table that is joined by token
@@ -89,9 +90,38 @@ def rarest_tokens(places: DataFrame, rules: tuple[Rule, ...]) -> dict[str, str]:
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + PATTERNS, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (of a listed one that fits), verdict."""
+    rows = _places(pages)
+    return _reported(_in_row(rows, rules) if len(rules) <= MOST_IN_ROW else _by_join(rows, _table(rows.sparkSession, rules)), default)
+
+
+def judged_by(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+    """The same by a table of rules, as `rule_table` makes it; several tables may be united."""
+    return _reported(_by_join(_places(pages), rules), default)
+
+
+def rule_table(lists: DataFrame) -> DataFrame:
+    """Rules from a table of rule (`host/path`, or words that a label of the host holds) and verdict. Rules without '/' are words, hyphenated
+    or one, which are reported as the verdict alone. Null rules are none; a repeated rule with two verdicts has the last in code point order. A rule without
+    a letter or digit, or a word that isn't made of these and hyphens, is an error of the job that reads it."""
+    name = F.col("rule")
+    listed, quoted = F.contains(name, F.lit("/")), F.regexp_replace(name, "([^0-9A-Za-z/])", r"\\$1")
+    pattern = F.when(listed, F.concat(F.lit(r"^([^/]*\.)?"), quoted)).otherwise(F.concat(F.lit(r"^[^/]*(^|[.\-])"), quoted, F.lit(r"([.\-]|/|$)")))
+    whole = F.when(listed, F.regexp_replace(F.lower(name), "[0-9a-z]+$", "")).otherwise(F.lower(name))
+    tokens = _tokens(whole)
+    fine = (F.size(tokens) > 0) & (listed | F.regexp_like(name, F.lit("^[0-9a-z-]+$")))
+    # Spark may look at tokens before it drops null rules
+    checked = F.when(name.isNull() | fine, tokens).otherwise(F.raise_error(F.concat(F.lit("no rule: "), name)).cast("array<string>"))
+    return lists.where(name.isNotNull()).select(
+        F.xxhash64(name, "verdict").alias("no"), listed.alias("explicit"), F.length(name).alias("length"), name.alias("name"), "verdict", pattern.alias("pattern"), checked.alias("tokens")
+    )
+
+
+def _places(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")}).withColumn("place", F.concat("host", "path"))
-    rows = _in_row(rows, rules) if len(rules) <= MOST_IN_ROW else _by_join(rows, rules)
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")}).withColumn("place", F.concat("host", "path"))
+
+
+def _reported(rows: DataFrame, default: str) -> DataFrame:
     return rows.select(
         "page_id", "host", "path",
         F.when(F.col("__best.explicit"), F.col("__best.name")).alias("rule"),
@@ -99,14 +129,16 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + PATTERNS, defaul
     )
 
 
-def _by_join(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """rows with __best, the largest of the rules that fit, by joins: rules with their tokens, tokens with how many rows have them, distinct URLs
-    with the rules filed under one of their tokens."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame(
+def _table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    return spark.createDataFrame(
         [(i, r.explicit, len(r.name), r.name, r.verdict, r.pattern, r.tokens()) for i, r in enumerate(rules)],
         "no long, explicit boolean, length int, name string, verdict string, pattern string, tokens array<string>",
     )
+
+
+def _by_join(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with __best, the largest of the rules that fit, by joins: rules with their tokens, tokens with how many rows have them, distinct URLs
+    with the rules filed under one of their tokens."""
     places = rows.groupBy("place").agg(F.count("*").alias("n"))
     tokens = places.select("place", "n", F.explode(_tokens(F.col("place"))).alias("t"))
     counts = tokens.groupBy("t").agg(F.sum("n").alias("n"))

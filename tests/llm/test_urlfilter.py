@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 
 from portolan.llm import urlfilter as uf
 
@@ -80,3 +81,34 @@ def test_ten_thousand_rules(spark):
         fits = [n for k in range(len(labels)) for n in (f"{'.'.join(labels[k:])}/", f"{'.'.join(labels[k:])}/p/") if n in by and r.path.startswith("/" + n.split("/", 1)[1])]
         best = max(fits, key=lambda n: (len(n), n), default=None)
         assert (r.rule, r.verdict) == (best, by[best] if best else "allow")
+
+
+def test_rules_from_a_table_equal_those_in_the_row(spark):
+    pages = spark.createDataFrame([(i % 150, u) for i, u in enumerate(urls())], "page_id long, url string")
+    lists = spark.createDataFrame([*RULES, *[(w, "block") for w in uf.WORDS], (None, "block"), ("net/", "block")], "rule string, verdict string")
+    assert sorted(map(str, uf.judged_by(pages, uf.rule_table(lists)).collect())) == sorted(map(str, uf.judged(pages).collect()))
+
+
+def test_a_long_list_of_hosts_and_words(spark):
+    """Ten thousand listed hosts and two thousand words, against a look at each label."""
+    rng = random.Random(7)
+    hosts = {f"h{i}.d{i % 300}.example/{'p/' if i % 3 == 0 else ''}": "block" if i % 2 else "allow" for i in range(10_000)}
+    words = {f"w{i}-{'abc'[i % 3]}" for i in range(2_000)}
+    lists = spark.createDataFrame([*hosts.items(), *[(w, "block") for w in words]], "rule string, verdict string")
+    names = [n.split("/")[0] for n in hosts]
+    seen = [f"http://{rng.choice(['', 'www.', 'w7-b.', 'x-w9-a-y.', 'w9-aa.'])}{rng.choice([*rng.choices(names, k=3), 'other.example'])}/{rng.choice(['', 'p/', 'q'])}" for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(seen)), "page_id long, url string")
+    for r in uf.judged_by(pages, uf.rule_table(lists)).collect():
+        labels = r.host.split(".")
+        fits = [n for k in range(len(labels)) for n in (f"{'.'.join(labels[k:])}/", f"{'.'.join(labels[k:])}/p/") if n in hosts and r.path.startswith("/" + n.split("/", 1)[1])]
+        best = max(fits, key=len, default=None)
+        parts = [label.split("-") for label in labels]
+        bad = any("-".join(p[i:j]) in words for p in parts for i in range(len(p)) for j in range(i + 1, len(p) + 1))
+        assert (r.rule, r.verdict) == (best, hosts[best] if best else "block" if bad else "allow")
+
+
+@pytest.mark.parametrize("rule", ["/", "--", "two words", ""])
+def test_what_is_no_rule(spark, rule):
+    lists = spark.createDataFrame([(rule, "block")], "rule string, verdict string")
+    with pytest.raises(Exception, match="no rule"):
+        uf.judged_by(spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string"), uf.rule_table(lists)).collect()
