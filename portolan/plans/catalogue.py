@@ -73,7 +73,7 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
         "candidate_id", expr.stable_id(*map(F.col, ("patient_id", "mutation_id", "transcript_id", "mutant_peptide", "hla_allele"))).alias("base_id"),
         expr.tie_key(F.col("mutant_peptide"), F.col("hla_allele")).alias("tie_key"),
     )
-    return with_dup_suffix(rows, "base_id", ["candidate_id"], "stable_id")
+    return with_dup_suffix(rows, "base_id", "candidate_id", "stable_id")
 
 
 @query("""select event_type, case when lower(trim(event_type)) in ('cd8', 'positive', 'pos', 'reactive', 'immunogenic', '1', 'true', 'yes') then 'positive'

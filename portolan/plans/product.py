@@ -56,10 +56,28 @@ def first_of(columns: list[str], names: tuple[str, ...]) -> str | None:
     return next((n for n in names if n in columns), None)
 
 
-def with_dup_suffix(df: DataFrame, base: str, order: list[str], to: str) -> DataFrame:
-    """`to`: the base id, with :dup1, :dup2, ... for its repetitions in this order."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order)) - 1
-    return df.withColumn(to, F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit(":dup"), n.cast("string"))))
+PIECE_BITS = 16  # of a row's number, below its piece's
+
+
+def with_dup_suffix(df: DataFrame, base: str, order: str, to: str) -> DataFrame:
+    """`to`: the base id, with :dup1, :dup2, ... for its repetitions in the order of a column that names a row within its base id.
+
+    Only base ids that are there twice are numbered; a hash of the others is counted and no more. Where the order is a whole number, a base id's rows are
+    numbered in pieces of consecutive numbers, each after those of the pieces before it, so that a base id with most of the rows has no task of its own.
+    """
+    h, place = F.xxhash64(base), F.col(order)
+    again = df.groupBy(h.alias("__h")).agg(F.count("*").alias("__n")).where("__n > 1").select("__h")
+    piece = F.shiftright(place, PIECE_BITS) if df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long") else F.lit(0)
+    rows = df.select(F.col(base).alias("__b"), place.alias("__o"), piece.alias("__p"), h.alias("__h")).join(again, "__h", "left_semi").drop("__h")
+    sizes = rows.groupBy("__b", "__p").agg(F.count("*").alias("__m"))
+    before = (F.sum("__m").over(Window.partitionBy("__b").orderBy("__p")) - F.col("__m")).alias("__before")
+    lead = sizes.select(F.col("__b").alias("__lb"), F.col("__p").alias("__lp"), before)
+    inside = F.row_number().over(Window.partitionBy("__b", "__p").orderBy("__o")) - 1
+    numbers = rows.withColumn("__n", inside).join(lead, (F.col("__b") == F.col("__lb")) & (F.col("__p") == F.col("__lp")))
+    numbers = numbers.select("__b", "__o", (F.col("__n") + F.col("__before")).alias("__n")).where("__n > 0")
+    # on the order first, which tells rows apart
+    found = df.join(numbers, (place == F.col("__o")) & (F.col(base) == F.col("__b")), "left")
+    return found.withColumn(to, F.when(F.col("__n").isNull(), F.col(base)).otherwise(F.concat(F.col(base), F.lit(":dup"), F.col("__n").cast("string")))).drop("__b", "__o", "__n")
 
 
 def normalized(df: DataFrame, patient_id: str | None = None, source: str = "product_input", order: str = tables.ORDER, checked: bool = True) -> DataFrame:
@@ -89,7 +107,7 @@ def normalized(df: DataFrame, patient_id: str | None = None, source: str = "prod
     rows = df.select(F.col(order).alias(tables.ORDER), *([given.alias("__given")] if given is not None else []), *[x.alias(n) for n, x in columns.items()])
     own = expr.stable_id(*map(F.col, ("patient_id", "mutation_id", "transcript_id", "mutant_peptide", "hla_allele")))
     if given is None:
-        rows = with_dup_suffix(rows.withColumn("__base", own), "__base", [tables.ORDER], "candidate_id").drop("__base")
+        rows = with_dup_suffix(rows.withColumn("__base", own), "__base", tables.ORDER, "candidate_id").drop("__base")
     else:
         blank = F.col("__given").isNull() | (expr.strip(F.col("__given")) == "")
         rows = rows.withColumn("candidate_id", F.when(blank, own).otherwise(F.col("__given"))).drop("__given")
