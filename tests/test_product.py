@@ -296,23 +296,3 @@ def test_run_checks_where_it_writes(spark, mini, tmp_path, capsys):
     rna.write_text("mutation_id,expression_tpm\nG12D,5\nG12D,6\n")
     assert cli.main(["run-patient", mini, "--patient-id", "P1", "--rna-evidence", str(rna), "--output-dir", str(tmp_path / "o")], spark) == 1
     assert "repeats a key" in json.loads(capsys.readouterr().out)["problem"]
-
-
-def test_numbering_of_a_hot_id(spark, monkeypatch):
-    """A third of the rows share a base id; numbers are those of a plain count in any pieces, and no window has the id as its only key over rows."""
-    import random
-
-    rng = random.Random(8)
-    rows = [(rng.choice(["hot", f"b{rng.randrange(40)}", f"c{i}"]), i * 3) for i in range(900)]
-    want, seen = {}, {}
-    for base, o in rows:
-        n = seen[base] = seen.get(base, -1) + 1
-        want[o] = f"{base}:dup{n}" if n else base
-    rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "base string, _ord long")
-    for bits in (16, 3, 0):
-        monkeypatch.setattr(product, "PIECE_BITS", bits)
-        got = product.with_dup_suffix(df, "base", "_ord", "id")
-        assert got.columns == ["base", "_ord", "id"] and {r["_ord"]: r.id for r in got.collect()} == want
-    text = product.with_dup_suffix(df.withColumn("o", F.lpad(F.col("_ord").cast("string"), 6, "0")), "base", "o", "id")
-    assert {r["_ord"]: r.id for r in text.collect()} == want
