@@ -24,10 +24,9 @@ def text(x: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    """A double, NULL if it isn't a number; NaN is missing too. '1d' and '1f' are not numbers here."""
+    """A double, NULL if it isn't a number; NaN is missing too (its word doesn't fit the pattern). '1d' and '1f' are not numbers here."""
     s = strip(x.cast("string"))
-    found = F.when(s.rlike(r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"), s.try_cast("double"))
-    return F.when(~F.isnan(found), found)
+    return F.when(s.rlike(r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"), s.try_cast("double"))
 
 
 def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:
@@ -49,17 +48,15 @@ def peptide(x: Column) -> Column:
 
 
 def hla(x: Column) -> Column:
-    """HLA-A*02:01 for A0201, A*0201, HLA-A0201, ...; NULL is '', a blank is 'HLA-'."""
+    """HLA-A*02:01 for A0201, A*0201, HLA-A0201, ...; NULL is '', a blank is 'HLA-'.
+
+    Each step reads the one before it once: filters take the whole expression in, and one that reads its steps several times grows with
+    each of them, until its code is too long to be compiled.
+    """
     bare = F.replace(text(x), F.lit("HLA-"), F.lit(""))
-    starred = F.when(
-        ~bare.contains("*") & (F.length(bare) >= 5) & F.substring(bare, 2, 1).rlike(r"^\d$"),
-        F.concat(F.substring(bare, 1, 1), F.lit("*"), F.substring(bare, 2, 1 << 30)),
-    ).otherwise(bare)
-    parts = F.split(starred, r"\*", 2)
-    digits = F.get(parts, F.lit(1))
-    full = F.when(
-        digits.rlike(r"^\d{4}$"), F.concat(F.get(parts, F.lit(0)), F.lit("*"), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2))
-    ).otherwise(starred)
+    starred = F.regexp_replace(bare, r"\A([^*])([0-9][^*]{3,})\z", "$1*$2")
+    # line ends other than those of `strip` don't count
+    full = F.regexp_replace(starred, r"\A([^*]*)\*([0-9]{2})([0-9]{2})(\r\n|[\n\r\u0085\u2028\u2029])?\z", "$1*$2:$3")
     return F.when(x.isNull(), F.lit("")).otherwise(F.concat(F.lit("HLA-"), full))
 
 

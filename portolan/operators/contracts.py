@@ -89,12 +89,16 @@ def check(df: DataFrame, what: str, required: tuple[str, ...] = REQUIRED) -> Rep
 
 
 def research_report(df: DataFrame) -> Report:
-    """Columns, labels and duplicate ids of a normalised data set."""
+    """Columns, labels and duplicate ids of a normalised data set. A pass counts hashes of ids; ids are compared, and strange labels listed, only where it
+    finds that there are any."""
     missing = tuple(sorted(set(RESEARCH) - set(df.columns)))
-    strange = F.collect_set(F.when(~F.col("label").isin(*LABELS), F.col("label"))) if "label" in df.columns else F.array().cast("array<string>")
-    ids = F.count("*") - F.count_distinct(F.coalesce(F.col("candidate_id"), F.lit(""))) if "candidate_id" in df.columns else F.lit(0)
-    row = df.agg(F.count("*").alias("n"), strange.alias("labels"), ids.alias("dups")).first()
-    return Report(RESEARCH_VERSION, row["n"], missing, (), int(row["dups"]), 0, tuple(sorted(row["labels"])))
+    odd = ~F.col("label").isin(*LABELS) if "label" in df.columns else F.lit(False)
+    ident = F.coalesce(F.col("candidate_id"), F.lit("")) if "candidate_id" in df.columns else None
+    hashed = df.groupBy(*([] if ident is None else [F.xxhash64(ident)])).agg(F.count("*").alias("n"), F.count_if(odd).alias("odd"))
+    row = hashed.agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.sum(F.col("n") - 1).alias("again")).first()
+    labels = df.where(odd).agg(F.collect_set("label")).first()[0] if row["odd"] else []
+    again = df.agg(F.count("*") - F.count_distinct(ident)).first()[0] if ident is not None and row["again"] else 0
+    return Report(RESEARCH_VERSION, row["n"] or 0, missing, (), int(again), 0, tuple(sorted(labels)))
 
 
 def supervised(df: DataFrame) -> DataFrame:

@@ -134,11 +134,11 @@ def _weighed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label_weight", F.when(F.col("label") == "unknown", 0.0).otherwise(1.0))
 
 
-def generic(df: DataFrame, dataset: str, study: str | None = None, features: bool = True) -> DataFrame:
-    """The shared form: names resolved, label parsed, all numeric columns kept."""
-    core = _core(df, dataset, study)
+def generic(df: DataFrame, dataset: str, study: str | None = None, features: bool = True, label: Column | None = None, checked: bool = True) -> DataFrame:
+    """The shared form: names resolved, label parsed (or `label`, one of LABELS), all numeric columns kept. `checked=False`: ids can't repeat, so no pass looks for it."""
+    core = _core(df, dataset, study) | ({} if label is None else {"label": label})
     numeric = _numeric(df, set(core))
-    return _finished(_weighed(df.select(ORDER, *[x.alias(n) for n, x in core.items()], *[x.alias(n) for n, x in numeric.items()])), features)
+    return _finished(_weighed(df.select(ORDER, *[x.alias(n) for n, x in core.items()], *[x.alias(n) for n, x in numeric.items()])), features, checked)
 
 
 def _key(name: str) -> str:
@@ -168,8 +168,8 @@ def widened(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.withColumns({new: number(old) for old, new in names.items() if new not in rows.columns})
 
 
-def neoranking_of(df: DataFrame, dataset: str = "neoranking") -> DataFrame:
-    return _renamed(generic(df, dataset), NEORANKING)
+def neoranking_of(df: DataFrame, dataset: str = "neoranking", checked: bool = True) -> DataFrame:
+    return _renamed(generic(df, dataset, checked=checked), NEORANKING)
 
 
 def neoranking(spark: SparkSession, path: str) -> DataFrame:
@@ -180,15 +180,15 @@ def gartner(spark: SparkSession, path: str) -> DataFrame:
     return gartner_of(read_table(spark, path))
 
 
-def gartner_of(df: DataFrame) -> DataFrame:
-    out = generic(df, "gartner_nci")
+def gartner_of(df: DataFrame, checked: bool = True) -> DataFrame:
+    own = None
     if "Screening Status" in df.columns:
-        status = F.lower(expr.strip(_c("Screening Status")))
-        own = F.lit("unknown")
+        status, own = F.lower(expr.strip(_c("Screening Status"))), F.lit("unknown")
         for word, label in GARTNER_STATUS.items():
             own = F.when(status == word, label).otherwise(own)
-        labels = df.select(F.col(ORDER), own.alias("label"))
-        out = out.drop("label", "label_weight").join(labels, ORDER).withColumn("label_weight", F.when(F.col("label") == "unknown", 0.0).otherwise(1.0))
+    out = generic(df, "gartner_nci", label=own, checked=checked)
+    if own is not None:  # these come last here
+        out = out.select(*[_c(n) for n in out.columns if n not in ("label", "label_weight")], "label", "label_weight")
     return _renamed(out, GARTNER)
 
 
@@ -205,20 +205,20 @@ def tesla(spark: SparkSession, path: str) -> DataFrame:
     return tesla_of(read_table(spark, path))
 
 
-def tesla_of(df: DataFrame) -> DataFrame:
+def tesla_of(df: DataFrame, checked: bool = True) -> DataFrame:
     _require(df, "TESLA", "peptide", "target_value", "allele")
     return _finished(df.select(
         ORDER, F.concat(F.lit("tesla:"), F.col(ORDER)).alias("candidate_id"), F.lit("tesla").alias("source_dataset"), F.lit("tesla_wells_2020").alias("study_id"),
         F.lit("tesla_unknown").alias("patient_id"), _text(df, "allele").alias("hla_allele"), _text(df, "peptide").alias("mutant_peptide"), F.lit("").alias("wildtype_peptide"),
         _binary(df, "TESLA", "target_value").alias("label"), F.lit(1.0).alias("label_weight"), F.lit("tesla_target_value").alias("assay_type"),
-    ), features=False)
+    ), features=False, checked=checked)
 
 
 def bigmhc(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
     return bigmhc_of(read_table(spark, path, member), PurePosixPath(member or path).stem)
 
 
-def bigmhc_of(df: DataFrame, part: str) -> DataFrame:
+def bigmhc_of(df: DataFrame, part: str, checked: bool = True) -> DataFrame:
     _require(df, "BigMHC", "mhc", "pep", "tgt")
     core = {
         "candidate_id": F.concat(F.lit(f"bigmhc:{part}:"), F.col(ORDER)), "source_dataset": F.lit("bigmhc"), "study_id": F.lit(f"bigmhc_{part}"),
@@ -226,7 +226,7 @@ def bigmhc_of(df: DataFrame, part: str) -> DataFrame:
         "wildtype_peptide": _text(df, "wtp"), "label": _binary(df, "BigMHC", "tgt"), "label_weight": F.lit(1.0), "assay_type": F.lit("bigmhc_immunogenicity"),
     } | ({"gene_symbol": _text(df, "gene")} if "gene" in df.columns else {})
     numeric = _numeric(df, set(core))
-    return _finished(_renamed(df.select(ORDER, *[x.alias(n) for n, x in (core | numeric).items()]), BIGMHC))
+    return _finished(_renamed(df.select(ORDER, *[x.alias(n) for n, x in (core | numeric).items()]), BIGMHC), checked=checked)
 
 
 def _known(df: DataFrame, core: dict[str, Column], names: dict[str, str], checked: bool = True) -> DataFrame:
@@ -242,7 +242,9 @@ def cd8_multimer(spark: SparkSession, path: str) -> DataFrame:
 def cd8_multimer_of(df: DataFrame, checked: bool = True) -> DataFrame:
     _require(df, "CD8 multimer", "Patient ID", "WT epitope", "MUT epitope", "HLA", "Response", "Dataset", "Tumor type")
     keys = ["Patient ID", "MUT epitope", "HLA"]
-    n = conflicts(df, keys, "Response").count()
+    # no candidate has two labels unless a hash of one has
+    hashed = df.select(F.xxhash64(*map(_c, keys)).alias("h"), _c("Response").alias("label"))
+    n = conflicts(df, keys, "Response").count() if conflicts(hashed, ["h"], "label").take(1) else 0
     if n:
         raise ValueError(f"CD8 multimer table: {n} candidates are repeated with other labels")
     df = keep_first(df, keys, [ORDER], "__copies")
@@ -264,7 +266,7 @@ def improve_cv(spark: SparkSession, path: str, member: str | None = None) -> Dat
     return improve_of(read_table(spark, path, member))
 
 
-def improve_of(df: DataFrame) -> DataFrame:
+def improve_of(df: DataFrame, checked: bool = True) -> DataFrame:
     _require(df, "IMPROVE", "Patient", "HLA_allele", "Norm_peptide", "Mut_peptide", "response", "cohort", "Partition")
     if df.where(expr.label(_c("response")) == "unknown").take(1):
         raise ValueError("IMPROVE table has labels that are neither positive nor negative")
@@ -273,7 +275,7 @@ def improve_of(df: DataFrame) -> DataFrame:
         "patient_id": F.concat(F.lit("improve:"), _text(df, "Patient")), "hla_allele": _text(df, "HLA_allele"), "mutant_peptide": _text(df, "Mut_peptide"),
         "wildtype_peptide": _text(df, "Norm_peptide"), "label": expr.label(_c("response")), "label_weight": F.lit(1.0), "assay_type": F.lit("validated_tcell_response"),
         "official_partition": _text(df, "Partition"), "tumor_type": _text(df, "cohort"), "gene_symbol": _text(df, "Gene_Symbol"),
-    }, IMPROVE)
+    }, IMPROVE, checked)
 
 
 def stacked(sets: list[DataFrame]) -> DataFrame:

@@ -1,0 +1,103 @@
+"""What keeps the queries in proportion to their input: the size of generated methods, joins, jobs, and what is persisted."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from portolan.functions import expr
+from portolan.operators import contracts, gate, select
+from portolan.plans import catalogue, datasets
+
+SF = "/root/testdata/sf0.001"
+INTERPRETED = 8000  # bytes, from which on the JVM doesn't compile a method
+
+
+def largest_method(spark, df):
+    """Bytes of the largest method generated for df; -1 if some code can't be compiled."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    code = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    return min(sizes) if min(sizes) < 0 else max(sizes)
+
+
+@pytest.fixture
+def plain(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["gate_tag", "gate_reasons", "gate_rules", "score_components", "select_single_cap", "normalize_gartner", "normalize_bigmhc"])
+def test_methods_are_compiled(plain, name):
+    assert 0 < largest_method(plain, catalogue.QUERIES[name](plain, SF.replace("0.001", "0.01"))) < INTERPRETED
+
+
+def test_scores_and_alleles_are_compiled(plain):
+    reads = ("patient_id", "candidate_id", "mutation_id", "gene_symbol", "eligible", "evidence_tier", "lower_evidence_score", "deterministic_tie_key")
+    assert 0 < largest_method(plain, catalogue._scored(plain, SF).select(*reads)) < INTERPRETED
+    # an allele that is brought to its form twice, as in a filter on a normalised set
+    text = plain.range(1).select(F.col("id").cast("string").alias("x"))
+    assert 0 < largest_method(plain, text.where(expr.hla(expr.hla(F.col("x"))) != "")) < INTERPRETED
+
+
+def test_alleles_before_line_ends(spark):
+    cases = {"A0201": "HLA-A*02:01", "HLA-A*0201": "HLA-A*02:01", "A*02:01": "HLA-A*02:01", "A0201\nHLA-": "HLA-A*02:01", "A02011": "HLA-A*02011", "A020": "HLA-A020", "AB0201": "HLA-AB0201",
+             "A**0201": "HLA-A**0201", "C*07 1": "HLA-C*07 1", "A0201 ": "HLA-A*02:01", "": "HLA-", None: ""}
+    rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", expr.hla(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in rows} == cases
+
+
+def test_gate_rules_look_for_duplicates_once(plain):
+    plan = catalogue.gate_rules(plain, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+
+
+def test_gartner_needs_no_join(plain):
+    df = plain.createDataFrame([(0, "P", "CD8", "1"), (1, "Q", " 0", "x"), (2, "Q", None, None)], "_ord long, ID string, `Screening Status` string, `Rank NetMHC` string")
+    out = datasets.gartner_of(df)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.label, r.label_weight, r.baseline_netmhc_rank) for r in out.orderBy("_ord").collect()] == [("positive", 1.0, 1.0), ("negative", 1.0, None), ("unknown", 0.0, None)]
+
+
+def test_selection_persists_what_it_reads(plain):
+    plain.catalog.clearCache()
+    found = catalogue.patient_summary(plain, SF)
+    plan = found._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and "wildtype" not in plan.split("InMemoryRelation", 1)[1].split("]", 1)[0]
+
+
+def test_single_cap_leaves_out_rows_that_are_not_eligible(spark):
+    rows = [("P", "a", "m", 0.9, False, "CORE"), ("P", "b", "m", 0.8, None, "CORE"), ("P", "c", "m", 0.2, True, "FILLER"), ("P", "d", "n", 0.7, True, "SUPPORTING"), ("P", "e", "m", 0.1, True, "FILLER")]
+    df = spark.createDataFrame(rows, "patient_id string, candidate_id string, mutation_id string, lower_evidence_score double, eligible boolean, evidence_tier string").withColumn("deterministic_tie_key", F.lit("t"))
+    assert sorted(map(tuple, select.single_cap(df, "mutation_id", 1, 5).collect())) == [("P", "c", 2), ("P", "d", 1)]
+
+
+def test_research_report(spark):
+    full = dict.fromkeys(contracts.RESEARCH, "x")
+    df = lambda *rows: spark.createDataFrame([full | {"candidate_id": i, "label": l} for i, l in rows], ", ".join(f"{c} string" for c in contracts.RESEARCH))
+    good = contracts.research_report(df(("a", "positive"), ("b", None), (None, "unknown")))
+    assert good.ok and good.row_count == 3
+    bad = contracts.research_report(df(("a", "odd"), ("a", "odd"), ("a", "even"), (None, "negative"), ("", "positive")))
+    assert (bad.duplicate_candidate_ids, bad.invalid_labels) == (3, ("even", "odd"))
+    none = contracts.research_report(df().drop("candidate_id"))
+    assert none.row_count == 0 and none.missing_columns == ("candidate_id",) and none.duplicate_candidate_ids == 0
+
+
+def test_stacked_sets_work_the_candidates_out_once(plain):
+    plain.catalog.clearCache()
+    plan = catalogue.stacked_sets(plain, SF)._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") == 6 and "Relation [l_orderkey" not in plan.split("InMemoryRelation", 1)[0]
+
+
+def test_reasons_are_counted(spark):
+    df = spark.createDataFrame([("A",), ("",), ("A",), ("B",), (None,)], "deterministic_gate_reason string")
+    assert sorted(map(tuple, gate.reasons(df).collect())) == [("A", 2), ("B", 1)]
+    assert gate.reasons(df.where("deterministic_gate_reason = ''")).collect() == []
+
+
+def test_cd8_labels(spark):
+    rows = [(0, "P", "W", "M", "A0201", "positive", "TIL", "mel"), (1, "P", "W", "M", "A0201", None, "TIL", "mel"), (2, "Q", "W", "M", "A0201", "negative", "TIL", "mel")]
+    names = "_ord long, `Patient ID` string, `WT epitope` string, `MUT epitope` string, HLA string, Response string, Dataset string, `Tumor type` string"
+    assert [r.source_duplicate_count for r in datasets.cd8_multimer_of(spark.createDataFrame(rows, names)).orderBy("_ord").collect()] == ["2", "1"]
+    with pytest.raises(ValueError, match="1 candidates are repeated"):
+        datasets.cd8_multimer_of(spark.createDataFrame([*rows, (3, "P", "W", "M", "A0201", "negative", "TIL", "mel")], names))
