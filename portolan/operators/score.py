@@ -32,21 +32,25 @@ class Policy:
     apply_gate: bool = True
 
 
-def components(df: DataFrame) -> dict[str, Column]:
-    """Each component's score, NULL without evidence. Columns that df lacks count as missing."""
+def translation(df: DataFrame) -> list[Column]:
+    """What the first component is the mean of."""
+    c = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("double")
+    return [expr.saturating(c("expression_tpm"), 10.0), F.sqrt(expr.bounded(c("rna_vaf"))), expr.saturating(c("rna_mutant_reads"), 5.0)]
+
+
+def components(df: DataFrame, translated: list[Column] | None = None) -> dict[str, Column]:
+    """Each component's score, NULL without evidence. Columns that df lacks count as missing. `translated`: columns that hold `translation`."""
     c = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("double")
     mutant, wildtype = c("binding_affinity_nm"), c("wildtype_binding_affinity_nm")
     return {
-        "translated": expr.mean_of_available(
-            expr.saturating(c("expression_tpm"), 10.0), F.sqrt(expr.bounded(c("rna_vaf"))), expr.saturating(c("rna_mutant_reads"), 5.0)
-        ),
+        "translated": expr.mean_of_available(*(translation(df) if translated is None else translated)),
         "presented": F.coalesce(
             expr.bounded(c("presentation_score")), expr.bounded(F.lit(1.0) - c("binding_percentile_rank") / 100.0),
             F.lit(1.0) / (F.lit(1.0) + expr.clip(mutant, 0.0) / 500.0),
         ),
         # the logistic of ln(wildtype / mutant)
         "recognized": F.coalesce(expr.bounded(c("recognition_score")), F.when((mutant > 0) & (wildtype > 0), wildtype / (wildtype + mutant))),
-        "coverage": F.coalesce(expr.bounded(c("clonality_ccf")), expr.bounded(expr.bounded(c("dna_vaf")) / 0.5)),
+        "coverage": F.coalesce(expr.bounded(c("clonality_ccf")), expr.bounded(c("dna_vaf") / 0.5)),
     }
 
 
@@ -79,9 +83,14 @@ def tier(policy: Policy) -> Column:
 
 
 def scored(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Gated candidates with component scores, evidence score, its lower bound, exclusion, tier and selection reason."""
-    parts = components(df)
-    rows = df.withColumns({f"__{n}": c for n, c in parts.items()})
+    """Gated candidates with component scores, evidence score, its lower bound, exclusion, tier and selection reason.
+
+    Steps that are read several times are columns of their own: written out in one another they make a generated method of over 8,000 bytes, which the
+    JVM only interprets.
+    """
+    means = {f"__mean_of_{i}": c for i, c in enumerate(translation(df))}
+    parts = components(df, [F.col(m) for m in means])
+    rows = df.withColumns(means).withColumns({f"__{n}": c for n, c in parts.items()}).drop(*means)
     rows = rows.withColumns({
         **{f"{n}_evidence_score": F.coalesce(F.col(f"__{n}"), F.lit(UNKNOWN)) for n in parts},
         **{f"{n}_evidence_available": F.col(f"__{n}").isNotNull() for n in parts},
