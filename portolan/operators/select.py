@@ -126,11 +126,11 @@ def portfolio(scored: DataFrame, policy: Policy = Policy(), ident: str = "candid
 
 
 def single_cap(scored: DataFrame, cap_column: str, cap: int, k: int, ident: str = "candidate_id") -> DataFrame:
-    """patient_id, ident, rank under one cap: two windows, equal to the fold."""
+    """patient_id, ident, rank under one cap: two windows, equal to the fold. Rows that aren't eligible come last and are dropped after the first window: a filter
+    before it would take the whole score in again."""
     order = [F.array_position(F.array(*map(F.lit, TIERS)), F.col("evidence_tier")), F.col("lower_evidence_score").desc(), "deterministic_tie_key", ident]
-    rows = scored.where("eligible")
-    within = F.row_number().over(Window.partitionBy("patient_id", cap_column).orderBy(*order))
-    capped = rows.withColumn("__n", within).where(F.col("__n") <= cap)
+    within = F.row_number().over(Window.partitionBy("patient_id", cap_column).orderBy(F.when(F.col("eligible"), 0).otherwise(1), *order))
+    capped = scored.withColumn("__n", within).where((F.col("__n") <= cap) & F.col("eligible"))
     ranked = capped.withColumn("rank", F.row_number().over(Window.partitionBy("patient_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("patient_id", ident, "rank")
 
