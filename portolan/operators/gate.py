@@ -43,9 +43,9 @@ def duplicates(df: DataFrame, order: list[str]) -> DataFrame:
     return flagged.drop("__h", "__first", *[f"__k_{k}" for k in keys])
 
 
-def row_reason(df: DataFrame, is_duplicate: Column, intended_missense: bool = False) -> Column:
-    """The first broken rule, '' for none."""
-    seq = _text(df, "mutant_peptide")
+def row_reason(df: DataFrame, is_duplicate: Column, intended_missense: bool = False, peptide: Column | None = None) -> Column:
+    """The first broken rule, '' for none. `peptide`: a column that holds the canonical peptide, which is read four times."""
+    seq = _text(df, "mutant_peptide") if peptide is None else peptide
     change = expr.missense(F.col("protein_variant") if "protein_variant" in df.columns else F.lit(None), not intended_missense)
     return (
         F.when(~seq.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), "MALFORMED_AA")
@@ -60,8 +60,9 @@ def row_reason(df: DataFrame, is_duplicate: Column, intended_missense: bool = Fa
 
 def tagged(df: DataFrame, order: list[str], intended_missense: bool = False) -> DataFrame:
     """df with deterministic_gate_reason ('' passes), _pass and _policy. `order`: columns that put the rows in input order."""
-    rows = duplicates(df, order)
-    return rows.withColumn("deterministic_gate_reason", row_reason(df, F.col("is_duplicate"), intended_missense)).drop("is_duplicate").withColumns({
+    rows = duplicates(df, order).withColumn("__seq", _text(df, "mutant_peptide"))
+    reason = row_reason(df, F.col("is_duplicate"), intended_missense, F.col("__seq"))
+    return rows.withColumn("deterministic_gate_reason", reason).drop("is_duplicate", "__seq").withColumns({
         "deterministic_gate_pass": F.col("deterministic_gate_reason") == "", "deterministic_gate_policy": F.lit(POLICY),
     })
 
@@ -89,5 +90,6 @@ def summary(df: DataFrame) -> DataFrame:
 
 
 def reasons(df: DataFrame) -> DataFrame:
-    """reason, n of the removed rows."""
-    return df.where("deterministic_gate_reason <> ''").groupBy(F.col("deterministic_gate_reason").alias("reason")).agg(F.count("*").alias("n"))
+    """reason, n of the removed rows. Passed rows are counted as none, as a filter before the aggregation would work the reason out twice."""
+    of = F.col("deterministic_gate_reason")
+    return df.groupBy(of.alias("reason")).agg(F.count_if(of != "").alias("n")).where("n > 0")
