@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from portolan.functions import expr
@@ -14,6 +15,7 @@ RANKED = (*REQUIRED, "evidence_score", "lower_evidence_score", "evidence_tier",
 CANDIDATE_VERSION, RANKED_VERSION, RESEARCH_VERSION = "candidate-1.0.0", "ranked-1.0.0", "research-1.0.0"
 RESEARCH = ("candidate_id", "source_dataset", "study_id", "patient_id", "hla_allele", "mutant_peptide", "wildtype_peptide", "label", "label_weight", "assay_type")
 LABELS = ("positive", "negative", "unknown")
+BITS = 60  # flags in one number
 
 
 class ContractError(ValueError):
@@ -89,16 +91,38 @@ def check(df: DataFrame, what: str, required: tuple[str, ...] = REQUIRED) -> Rep
 
 
 def research_report(df: DataFrame) -> Report:
-    """Columns, labels and duplicate ids of a normalised data set. A pass counts hashes of ids; ids are compared, and strange labels listed, only where it
-    finds that there are any."""
-    missing = tuple(sorted(set(RESEARCH) - set(df.columns)))
+    """Columns, labels and duplicate ids of a normalised data set."""
+    return research_survey(df, df.columns)[0]
+
+
+def research_survey(df: DataFrame, columns: list[str], flags: list[str] | None = None) -> tuple[Report, list[bool]]:
+    """The report of a data set with these columns, of which df has its ids and labels, and for each of the flags, boolean columns of df, whether some row
+    has it. One pass counts hashes of ids; ids are compared, and strange labels listed, only where it finds that there are any."""
+    flags = flags or []
+    missing = tuple(sorted(set(RESEARCH) - set(columns)))
     odd = ~F.col("label").isin(*LABELS) if "label" in df.columns else F.lit(False)
     ident = F.coalesce(F.col("candidate_id"), F.lit("")) if "candidate_id" in df.columns else None
-    hashed = df.groupBy(*([] if ident is None else [F.xxhash64(ident)])).agg(F.count("*").alias("n"), F.count_if(odd).alias("odd"))
-    row = hashed.agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.sum(F.col("n") - 1).alias("again")).first()
+    masks = _masks(flags)
+    hashed = df.groupBy(*([] if ident is None else [F.xxhash64(ident)])).agg(F.count("*").alias("n"), F.count_if(odd).alias("odd"), *masks)
+    row = hashed.agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.sum(F.col("n") - 1).alias("again"), *[F.bit_or(f"__mask{i}").alias(f"__mask{i}") for i in range(len(masks))]).first()
     labels = df.where(odd).agg(F.collect_set("label")).first()[0] if row["odd"] else []
     again = df.agg(F.count("*") - F.count_distinct(ident)).first()[0] if ident is not None and row["again"] else 0
-    return Report(RESEARCH_VERSION, row["n"] or 0, missing, (), int(again), 0, tuple(sorted(labels)))
+    return Report(RESEARCH_VERSION, row["n"] or 0, missing, (), int(again), 0, tuple(sorted(labels))), _unmasked(row, flags)
+
+
+def some_have(df: DataFrame, flags: list[str]) -> list[bool]:
+    """For each of the flags, boolean columns of df, whether some row has it."""
+    return _unmasked(df.agg(*_masks(flags)).first(), flags) if flags else []
+
+
+def _masks(flags: list[str]) -> list[Column]:
+    """Flags as bits, so that a row of many flags stays small."""
+    bits = lambda part: reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, f in enumerate(part)])
+    return [F.bit_or(bits(flags[i : i + BITS])).alias(f"__mask{i // BITS}") for i in range(0, len(flags), BITS)]
+
+
+def _unmasked(row: Row, flags: list[str]) -> list[bool]:
+    return [bool((row[f"__mask{i // BITS}"] or 0) >> i % BITS & 1) for i in range(len(flags))]
 
 
 def supervised(df: DataFrame) -> DataFrame:

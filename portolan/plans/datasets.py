@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,14 +91,23 @@ def _require(df: DataFrame, what: str, *names: str) -> None:
         raise ValueError(f"{what} table lacks columns: {missing}")
 
 
-def _numeric(df: DataFrame, taken: set[str]) -> dict[str, Column]:
-    """Columns with some number in them; one aggregation tells which."""
-    used = {t.lower() for t in (*taken, ORDER)}  # Spark's names ignore case
-    names = [n for n in df.columns if n.lower() not in used]
-    if not names:
-        return {}
-    row = df.agg(*[F.max(expr.number(_c(n)).isNotNull()).alias(str(i)) for i, n in enumerate(names)]).first()
-    return {n: expr.number(_c(n)) for i, n in enumerate(names) if row[str(i)]}
+def _unnamed(df: DataFrame, taken: set[str]) -> list[str]:
+    """Columns that aren't taken; Spark's names ignore case."""
+    used = {t.lower() for t in (*taken, ORDER)}
+    return [n for n in df.columns if n.lower() not in used]
+
+
+def _surveyed(df: DataFrame, core: dict[str, Column], names: list[str], checked: bool, wrong: Column | None = None, what: Callable[[], str] | None = None) -> dict[str, Column]:
+    """The columns of `names` with some number in them. The same pass looks whether rows are `wrong`, an error that `what` tells of, and if `checked` whether the
+    ids and labels of `core` keep the schema."""
+    found = {f"__is{i}": expr.number(_c(n)).isNotNull() for i, n in enumerate(names)} | ({} if wrong is None else {"__wrong": wrong})
+    flags = df.select(*[core[n].alias(n) for n in ("candidate_id", "label") if checked], *[x.alias(n) for n, x in found.items()])
+    report, there = contracts.research_survey(flags, [*core, "label_weight"], list(found)) if checked else (None, contracts.some_have(flags, list(found)))
+    if wrong is not None and there[-1]:
+        raise ValueError(what())
+    if report and not report.ok:
+        raise ValueError(f"the normalised table violates the schema: {report}")
+    return {n: expr.number(_c(n)) for n, has in zip(names, there, strict=False) if has}
 
 
 def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -105,17 +115,13 @@ def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumns({new: _c(old) for old, new in names.items() if old in df.columns and new not in df.columns})
 
 
-def _finished(df: DataFrame, features: bool = True, checked: bool = True) -> DataFrame:
+def _finished(df: DataFrame, features: bool = True) -> DataFrame:
     rows = peptides.with_deltas(df) if features else df
     pep, wt, allele = expr.peptide(F.col("mutant_peptide")), expr.peptide(F.col("wildtype_peptide")), expr.hla(F.col("hla_allele"))
-    rows = rows.withColumns({
+    return rows.withColumns({
         "mutant_peptide_norm": pep, "wildtype_peptide_norm": wt, "hla_allele_norm": allele,
         "mutant_hla_key": expr.pair_key(pep, allele), "wildtype_hla_key": expr.pair_key(wt, allele),
     })
-    report = contracts.research_report(rows) if checked else None
-    if report and not report.ok:
-        raise ValueError(f"the normalised table violates the schema: {report}")
-    return rows
 
 
 def _core(df: DataFrame, dataset: str, study: str | None) -> dict[str, Column]:
@@ -137,8 +143,8 @@ def _weighed(rows: DataFrame) -> DataFrame:
 def generic(df: DataFrame, dataset: str, study: str | None = None, features: bool = True, label: Column | None = None, checked: bool = True) -> DataFrame:
     """The shared form: names resolved, label parsed (or `label`, one of LABELS), all numeric columns kept. `checked=False`: ids can't repeat, so no pass looks for it."""
     core = _core(df, dataset, study) | ({} if label is None else {"label": label})
-    numeric = _numeric(df, set(core))
-    return _finished(_weighed(df.select(ORDER, *[x.alias(n) for n, x in core.items()], *[x.alias(n) for n, x in numeric.items()])), features, checked)
+    numeric = _surveyed(df, core, _unnamed(df, set(core)), checked)
+    return _finished(_weighed(df.select(ORDER, *[x.alias(n) for n, x in core.items()], *[x.alias(n) for n, x in numeric.items()])), features)
 
 
 def _key(name: str) -> str:
@@ -151,11 +157,10 @@ def narrow(df: DataFrame, dataset: str, study: str | None = None, features: bool
     an object by column name; `number` and `widened` take columns out of it where they are asked for. Labels are of the schema by how they are made; whether given
     ids repeat is left to whoever writes the rows."""
     core = _core(df, dataset, study)
-    used = {t.lower() for t in (*core, ORDER)}
-    names = [n for n in df.columns if n.lower() not in used]
+    names = _unnamed(df, set(core))
     cells = F.map_from_arrays(F.array(*[F.lit(_key(n)) for n in names]), F.array(*[expr.number(_c(n)) for n in names])) if names else F.create_map().cast("map<string,double>")
     numbers = F.to_variant_object(F.map_filter(cells, lambda _, x: x.isNotNull()))
-    return _finished(_weighed(df.select(ORDER, *[x.alias(n) for n, x in core.items()], numbers.alias(NUMBERS))), features, checked=False)
+    return _finished(_weighed(df.select(ORDER, *[x.alias(n) for n, x in core.items()], numbers.alias(NUMBERS))), features)
 
 
 def number(name: str) -> Column:
@@ -192,13 +197,12 @@ def gartner_of(df: DataFrame, checked: bool = True) -> DataFrame:
     return _renamed(out, GARTNER)
 
 
-def _binary(df: DataFrame, what: str, name: str) -> Column:
-    """positive for 1, negative for any other number (its fraction is cut off). A cell that is missing or no number is no label: an error."""
+def _binary(df: DataFrame, what: str, name: str) -> tuple[Column, Column, Callable[[], str]]:
+    """positive for 1, negative for any other number (its fraction is cut off). A cell that is missing or no number is no label: an error, whose rows and text
+    come with it."""
     value = expr.number(_c(name))
-    wrong = df.where(value.isNull() | (F.abs(value) == float("inf"))).select(_c(name)).take(1)
-    if wrong:
-        raise ValueError(f"{what} table: {name} is not a number: {wrong[0][0]!r}")
-    return F.when((value >= 1) & (value < 2), "positive").otherwise("negative")
+    wrong = value.isNull() | (F.abs(value) == float("inf"))
+    return F.when((value >= 1) & (value < 2), "positive").otherwise("negative"), wrong, lambda: f"{what} table: {name} is not a number: {df.where(wrong).select(_c(name)).first()[0]!r}"
 
 
 def tesla(spark: SparkSession, path: str) -> DataFrame:
@@ -207,11 +211,14 @@ def tesla(spark: SparkSession, path: str) -> DataFrame:
 
 def tesla_of(df: DataFrame, checked: bool = True) -> DataFrame:
     _require(df, "TESLA", "peptide", "target_value", "allele")
-    return _finished(df.select(
-        ORDER, F.concat(F.lit("tesla:"), F.col(ORDER)).alias("candidate_id"), F.lit("tesla").alias("source_dataset"), F.lit("tesla_wells_2020").alias("study_id"),
-        F.lit("tesla_unknown").alias("patient_id"), _text(df, "allele").alias("hla_allele"), _text(df, "peptide").alias("mutant_peptide"), F.lit("").alias("wildtype_peptide"),
-        _binary(df, "TESLA", "target_value").alias("label"), F.lit(1.0).alias("label_weight"), F.lit("tesla_target_value").alias("assay_type"),
-    ), features=False, checked=checked)
+    label, wrong, error = _binary(df, "TESLA", "target_value")
+    core = {
+        "candidate_id": F.concat(F.lit("tesla:"), F.col(ORDER)), "source_dataset": F.lit("tesla"), "study_id": F.lit("tesla_wells_2020"),
+        "patient_id": F.lit("tesla_unknown"), "hla_allele": _text(df, "allele"), "mutant_peptide": _text(df, "peptide"), "wildtype_peptide": F.lit(""),
+        "label": label, "label_weight": F.lit(1.0), "assay_type": F.lit("tesla_target_value"),
+    }
+    _surveyed(df, core, [], checked, wrong, error)
+    return _finished(df.select(ORDER, *[x.alias(n) for n, x in core.items()]), features=False)
 
 
 def bigmhc(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
@@ -220,19 +227,22 @@ def bigmhc(spark: SparkSession, path: str, member: str | None = None) -> DataFra
 
 def bigmhc_of(df: DataFrame, part: str, checked: bool = True) -> DataFrame:
     _require(df, "BigMHC", "mhc", "pep", "tgt")
+    label, wrong, error = _binary(df, "BigMHC", "tgt")
     core = {
         "candidate_id": F.concat(F.lit(f"bigmhc:{part}:"), F.col(ORDER)), "source_dataset": F.lit("bigmhc"), "study_id": F.lit(f"bigmhc_{part}"),
         "patient_id": F.concat(F.lit("bigmhc_"), _text(df, "mhc")), "hla_allele": _text(df, "mhc"), "mutant_peptide": _text(df, "pep"),
-        "wildtype_peptide": _text(df, "wtp"), "label": _binary(df, "BigMHC", "tgt"), "label_weight": F.lit(1.0), "assay_type": F.lit("bigmhc_immunogenicity"),
+        "wildtype_peptide": _text(df, "wtp"), "label": label, "label_weight": F.lit(1.0), "assay_type": F.lit("bigmhc_immunogenicity"),
     } | ({"gene_symbol": _text(df, "gene")} if "gene" in df.columns else {})
-    numeric = _numeric(df, set(core))
-    return _finished(_renamed(df.select(ORDER, *[x.alias(n) for n, x in (core | numeric).items()]), BIGMHC), checked=checked)
+    numeric = _surveyed(df, core, _unnamed(df, set(core)), checked, wrong, error)
+    return _finished(_renamed(df.select(ORDER, *[x.alias(n) for n, x in (core | numeric).items()]), BIGMHC))
 
 
-def _known(df: DataFrame, core: dict[str, Column], names: dict[str, str], checked: bool = True) -> DataFrame:
+def _known(df: DataFrame, core: dict[str, Column], names: dict[str, str], checked: bool = True, wrong: Column | None = None, what: Callable[[], str] | None = None) -> DataFrame:
+    if checked or wrong is not None:
+        _surveyed(df, core, [], checked, wrong, what)
     numbers = {new: expr.number(_c(old)) for old, new in names.items() if old in df.columns}
     rows = df.select(ORDER, *[x.alias(n) for n, x in (core | numbers).items()])
-    return _finished(rows.withColumns({new: f(F.col(old)) for old, new, f in DERIVED if old in numbers}), checked=checked)
+    return _finished(rows.withColumns({new: f(F.col(old)) for old, new, f in DERIVED if old in numbers}))
 
 
 def cd8_multimer(spark: SparkSession, path: str) -> DataFrame:
@@ -242,9 +252,10 @@ def cd8_multimer(spark: SparkSession, path: str) -> DataFrame:
 def cd8_multimer_of(df: DataFrame, checked: bool = True) -> DataFrame:
     _require(df, "CD8 multimer", "Patient ID", "WT epitope", "MUT epitope", "HLA", "Response", "Dataset", "Tumor type")
     keys = ["Patient ID", "MUT epitope", "HLA"]
-    # no candidate has two labels unless a hash of one has
+    # no candidate has two labels unless the table has, and a hash of one has
+    least, most = df.agg(F.min(_c("Response")), F.max(_c("Response"))).first()
     hashed = df.select(F.xxhash64(*map(_c, keys)).alias("h"), _c("Response").alias("label"))
-    n = conflicts(df, keys, "Response").count() if conflicts(hashed, ["h"], "label").take(1) else 0
+    n = conflicts(df, keys, "Response").count() if least != most and conflicts(hashed, ["h"], "label").take(1) else 0
     if n:
         raise ValueError(f"CD8 multimer table: {n} candidates are repeated with other labels")
     df = keep_first(df, keys, [ORDER], "__copies")
@@ -268,14 +279,13 @@ def improve_cv(spark: SparkSession, path: str, member: str | None = None) -> Dat
 
 def improve_of(df: DataFrame, checked: bool = True) -> DataFrame:
     _require(df, "IMPROVE", "Patient", "HLA_allele", "Norm_peptide", "Mut_peptide", "response", "cohort", "Partition")
-    if df.where(expr.label(_c("response")) == "unknown").take(1):
-        raise ValueError("IMPROVE table has labels that are neither positive nor negative")
+    label = expr.label(_c("response"))
     return _known(df, {
         "candidate_id": F.concat(F.lit("improve:"), F.col(ORDER)), "source_dataset": F.lit("improve"), "study_id": F.concat(F.lit("improve_"), _text(df, "cohort")),
         "patient_id": F.concat(F.lit("improve:"), _text(df, "Patient")), "hla_allele": _text(df, "HLA_allele"), "mutant_peptide": _text(df, "Mut_peptide"),
-        "wildtype_peptide": _text(df, "Norm_peptide"), "label": expr.label(_c("response")), "label_weight": F.lit(1.0), "assay_type": F.lit("validated_tcell_response"),
+        "wildtype_peptide": _text(df, "Norm_peptide"), "label": label, "label_weight": F.lit(1.0), "assay_type": F.lit("validated_tcell_response"),
         "official_partition": _text(df, "Partition"), "tumor_type": _text(df, "cohort"), "gene_symbol": _text(df, "Gene_Symbol"),
-    }, IMPROVE, checked)
+    }, IMPROVE, checked, label == "unknown", lambda: "IMPROVE table has labels that are neither positive nor negative")
 
 
 def stacked(sets: list[DataFrame]) -> DataFrame:
