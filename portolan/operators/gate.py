@@ -43,26 +43,38 @@ def duplicates(df: DataFrame, order: list[str]) -> DataFrame:
     return flagged.drop("__h", "__first", *[f"__k_{k}" for k in keys])
 
 
-def row_reason(df: DataFrame, is_duplicate: Column, intended_missense: bool = False, peptide: Column | None = None) -> Column:
-    """The first broken rule, '' for none. `peptide`: a column that holds the canonical peptide, which is read four times."""
-    seq = _text(df, "mutant_peptide") if peptide is None else peptide
-    change = expr.missense(F.col("protein_variant") if "protein_variant" in df.columns else F.lit(None), not intended_missense)
+def _before(df: DataFrame, seq: Column) -> Column:
+    """The rules before duplicates, as a CASE without an end."""
     return (
         F.when(~seq.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), "MALFORMED_AA")
         .when(_text(df, "mhc_class").isin(*CLASS_I) & ~F.length(seq).between(SHORTEST, LONGEST), "BAD_CLASS_I_LENGTH")
-        .when(is_duplicate, "DUP_CANDIDATE")
-        .when(_text(df, "source_variant_type").isin(*SUBSTITUTIONS) & ~seq.contains(change["new"]), "MUT_NOT_IN_PEPTIDE")
+    )
+
+
+def _after(df: DataFrame, seq: Column, intended_missense: bool, before: Column | None = None) -> Column:
+    """Those after them, '' for none broken."""
+    change = expr.missense(F.col("protein_variant") if "protein_variant" in df.columns else F.lit(None), not intended_missense)
+    return (
+        (F if before is None else before).when(_text(df, "source_variant_type").isin(*SUBSTITUTIONS) & ~seq.contains(change["new"]), "MUT_NOT_IN_PEPTIDE")
         .when(_text(df, "hla_loh_call").isin(*LOST), "HLA_LOH_LOST_ALLELE")
         .when(_text(df, "expression_call").isin(*SILENT), "GENE_NOT_EXPRESSED")
         .otherwise("")
     )
 
 
+def row_reason(df: DataFrame, is_duplicate: Column, intended_missense: bool = False) -> Column:
+    """The first broken rule, '' for none."""
+    seq = _text(df, "mutant_peptide")
+    return _after(df, seq, intended_missense, _before(df, seq).when(is_duplicate, "DUP_CANDIDATE"))
+
+
 def tagged(df: DataFrame, order: list[str], intended_missense: bool = False) -> DataFrame:
     """df with deterministic_gate_reason ('' passes), _pass and _policy. `order`: columns that put the rows in input order."""
-    rows = duplicates(df, order).withColumn("__seq", _text(df, "mutant_peptide"))
-    reason = row_reason(df, F.col("is_duplicate"), intended_missense, F.col("__seq"))
-    return rows.withColumn("deterministic_gate_reason", reason).drop("is_duplicate", "__seq").withColumns({
+    # what comes before and after a duplicate among the rules is told first, so that the rows needn't take the columns for it through the join
+    rows = df.withColumn("__seq", _text(df, "mutant_peptide"))
+    rows = rows.withColumns({"__before": _before(rows, F.col("__seq")).otherwise(""), "__after": _after(rows, F.col("__seq"), intended_missense)}).drop("__seq")
+    reason = F.when(F.col("__before") != "", F.col("__before")).when(F.col("is_duplicate"), "DUP_CANDIDATE").otherwise(F.col("__after"))
+    return duplicates(rows, order).withColumn("deterministic_gate_reason", reason).drop("is_duplicate", "__before", "__after").withColumns({
         "deterministic_gate_pass": F.col("deterministic_gate_reason") == "", "deterministic_gate_policy": F.lit(POLICY),
     })
 

@@ -1,11 +1,13 @@
 """What keeps the queries in proportion to their input: the size of generated methods, joins, jobs, and what is persisted."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from portolan.functions import expr
 from portolan.operators import contracts, gate, select
-from portolan.plans import catalogue, datasets
+from portolan.plans import candidates, catalogue, datasets
 
 SF = "/root/testdata/sf0.001"
 INTERPRETED = 8000  # bytes, from which on the JVM doesn't compile a method
@@ -101,3 +103,52 @@ def test_cd8_labels(spark):
     assert [r.source_duplicate_count for r in datasets.cd8_multimer_of(spark.createDataFrame(rows, names)).orderBy("_ord").collect()] == ["2", "1"]
     with pytest.raises(ValueError, match="1 candidates are repeated"):
         datasets.cd8_multimer_of(spark.createDataFrame([*rows, (3, "P", "W", "M", "A0201", "negative", "TIL", "mel")], names))
+
+
+def jobs(spark, f):
+    """How many jobs f starts."""
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        f()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_normalised_sets_are_checked_in_one_pass(plain):
+    big = plain.createDataFrame([(0, "A0201", "AC", "1", "0.5", "x"), (1, "A0201", "AD", "0", None, "2")], "_ord long, mhc string, pep string, tgt string, BigMHC_EL string, other string")
+    improve = plain.createDataFrame([(0, "P", "A0201", "AC", "AD", "1", "mel", "1")], "_ord long, Patient string, HLA_allele string, Norm_peptide string, Mut_peptide string, response string, cohort string, Partition string")
+    for f in (lambda: datasets.bigmhc_of(big, "part"), lambda: datasets.generic(big, "set"), lambda: datasets.improve_of(improve), lambda: datasets.tesla_of(big.selectExpr("_ord", "mhc as allele", "pep as peptide", "tgt as target_value"))):
+        assert jobs(plain, f) == 1
+    out = datasets.bigmhc_of(big, "part")
+    assert {"bigmhc_el_score", "other"} < set(out.columns)
+    with pytest.raises(ValueError, match="tgt is not a number: None"):
+        datasets.bigmhc_of(big.withColumn("tgt", F.when(F.col("_ord") == 1, "1")), "part")
+    with pytest.raises(ValueError, match="violates the schema"):
+        datasets.bigmhc_of(big.withColumn("_ord", F.lit(7).cast("long")), "part")
+
+
+def test_many_numeric_columns_are_told_apart(spark):
+    names = [f"n{i}" for i in range(130)]
+    df = spark.range(4).select(F.col("id").alias("_ord"), *[F.when(F.col("id") == i % 4, "1.5" if i % 3 == 0 else "x").alias(n) for i, n in enumerate(names)])
+    for checked in (True, False):
+        assert [c for c in datasets.generic(df, "set", checked=checked).columns if c in names] == names[::3]
+
+
+def test_cd8_keys_are_sorted_once(plain):
+    plan = catalogue.normalize_cd8(plain, SF)._jdf.queryExecution().executedPlan().toString()
+    after = plan.split("Window", 1)[0]
+    assert "Exchange" not in after and "Sort [" not in after
+
+
+def test_peptides_equal_their_sql(spark):
+    line = spark.range(1000).selectExpr("id as l_partkey", "cast(id % 7 + 1 as int) as l_linenumber")
+    assert line.where(F.expr(candidates.PEPTIDE) != F.expr(candidates.CANDIDATE["mutant_peptide"])).count() == 0
+    assert candidates.PEPTIDE.startswith("translate(substr(")
+
+
+def test_reasons_pass_the_join_for_duplicates(plain):
+    plan = catalogue.gate_tag(plain, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join LeftOuter", 1)
+    assert "__before" in below and "hla_loh_call" not in above and "source_variant_type" not in above
