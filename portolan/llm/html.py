@@ -29,6 +29,8 @@ import html as entities
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from operator import eq
 
 import pandas as pd
 import pyarrow as pa
@@ -45,6 +47,7 @@ FAN = 64  # streams of a host merged in one task
 MOST_ITEMS = 1500  # tokens in a wrapper, but for those that one stream has
 LEAST_CONTENTS = 4  # different pages of a host that tell its template
 LONGEST = 12  # tokens in a repeated group
+KNOWN = 1 << 14  # tags that a worker remembers
 
 # HTML's block elements, those that others end, and those that hold no article text.
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd td th tr pre blockquote figcaption summary hr address caption option legend label title".split())
@@ -98,6 +101,7 @@ def _named(tag: str, kind: str, value: str) -> bool:
     return False
 
 
+@lru_cache(KNOWN)
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """The token of a block tag (with its classes and id, without digits), and whether it holds no article text."""
     names, boiler = [], tag in BOILER_TAGS
@@ -168,31 +172,35 @@ def blocks(page: str | None) -> Iterator[tuple[str, tuple, bool, str]]:
 def fold(items: tuple) -> tuple:
     """Runs of equal groups become repeated groups, until there are none."""
     items = list(items)
+    grouped = any(isinstance(x, tuple) and x[0] == "+" for x in items)
     changed = True
     while changed:
         changed = False
         for size in range(1, LONGEST + 1):
-            i = 0
+            # where an item equals the one that comes `size` later; that many in a row are a group and its copy
+            same, run = bytes(map(eq, items, items[size:])), b"\1" * size
+            at, i = same.find(run), 0
             out: list = []
-            while i < len(items):
-                group = tuple(items[i : i + size])
-                j = i + size
-                while len(group) == size and tuple(items[j : j + size]) == group:
-                    j += size
-                if j > i + size and not (size == 1 and isinstance(group[0], tuple) and group[0][0] == "?"):
-                    item = group[0] if size == 1 and isinstance(group[0], tuple) else ("+", group)
-                    out.append(item)
-                    i, changed = j, True
+            while at >= 0:
+                out += items[i:at]
+                group, i = tuple(items[at : at + size]), at + size
+                if size == 1 and isinstance(group[0], tuple) and group[0][0] == "?":
+                    out.append(group[0])
                 else:
-                    out.append(items[i])
-                    i += 1
-            items = _absorb(out)
+                    while same[i - size : i] == run:
+                        i += size
+                    out.append(group[0] if size == 1 and isinstance(group[0], tuple) else ("+", group))
+                    grouped = changed = True
+                at = same.find(run, i)
+            out += items[i:]
+            items = _absorb(out) if grouped else out
     return tuple(items)
 
 
 def _absorb(items: list) -> list:
     """X+ takes in copies of X on either side of it."""
     out: list = []
+    last = -1  # where the last repeated group is
     for item in items:
         out.append(item)
         if isinstance(item, tuple) and item[0] == "+":
@@ -201,12 +209,9 @@ def _absorb(items: list) -> list:
                 del out[-1 - n : -1]
             if len(out) > 1 and out[-2] == item:
                 out.pop()
-        elif len(out) > 1:
-            for k in range(len(out) - 2, max(-1, len(out) - 2 - LONGEST), -1):
-                if isinstance(out[k], tuple) and out[k][0] == "+":
-                    if tuple(out[k + 1 :]) == out[k][1]:
-                        del out[k + 1 :]
-                    break
+            last = len(out) - 1
+        elif last >= 0 and len(out) - 1 - last == len(out[last][1]) <= LONGEST and tuple(out[last + 1 :]) == out[last][1]:
+            del out[last + 1 :]
     return out
 
 
@@ -314,6 +319,7 @@ def parsed(text: str) -> tuple:
     return tuple(out[0])
 
 
+@lru_cache(KNOWN)
 def _token(token: str) -> str:
     return re.sub(r"[\s()]", "_", token)
 

@@ -173,3 +173,22 @@ def test_comments_and_adverts_by_any_name(spark):
     rows = [(i, f"http://c{i}.example/", f"<div><p>story</p><div class='{n}'><p>no</p></div><ul id='{n}'><li>no</li></ul></div>", None) for i, n in enumerate(names)]
     rows += [(20, "http://d.example/", "<article class='reader-comment'>no</article><p>story", None), (21, "http://e.example/", "<div class='comments-open has-advert'><p>story</p></div>", None)]
     assert [r[2] for r in sorted(extract(spark, rows))] == ["story"] * 10
+
+
+def test_fold_looks_at_runs_only():
+    """A stream without repeated groups is compared a few times for each size, not item by item; nested and optional groups fold as before."""
+    assert html.fold(tuple("abcabcx")) == (("+", tuple("abc")), "x")
+    assert html.fold((("?", ("a",)), ("?", ("a",)))) == (("?", ("a",)), ("?", ("a",)))
+    assert html.fold((("+", ("a",)), "a", "b")) == (("+", ("a",)), "b") and html.fold(("a", ("+", ("a",)))) == (("+", ("a",)),)
+
+    class Token(str):
+        compared = 0
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            Token.compared += 1
+            return str.__eq__(self, other)
+
+    items = tuple(Token(f"<t{i}>") for i in range(1000))
+    assert html.fold(items) == items
+    assert Token.compared <= 1000 * (html.LONGEST + 2)
