@@ -15,6 +15,7 @@ WEIGHTS = {"translated": 0.25, "presented": 0.35, "recognized": 0.25, "coverage"
 UNKNOWN = 0.5  # the score of a component without evidence
 DISCOUNT = 0.35  # of the score, for full uncertainty
 LEAST = 1e-6
+JUDGES = (*[f"{n}_evidence_available" for n in WEIGHTS], "__unsupported")  # what `judged` reads beside the lower score
 PLACES = 9  # scores are rounded, so that engines agree on ties
 
 
@@ -54,13 +55,14 @@ def components(df: DataFrame, translated: list[Column] | None = None) -> dict[st
     }
 
 
-def exclusion(df: DataFrame) -> Column:
+def _unsupported(df: DataFrame) -> Column:
+    """Why evidence excludes a candidate that the gate lets pass, or ''."""
     c = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("double")
-    gate = F.coalesce(F.col("deterministic_gate_reason"), F.lit(""))
-    return (
-        F.when(gate != "", gate).when(c("expression_tpm") <= 0, "NO_RNA_EXPRESSION")
-        .when((c("rna_depth") >= 10) & (c("rna_mutant_reads") <= 0), "NO_MUTANT_RNA_SUPPORT").otherwise("")
-    )
+    return F.when(c("expression_tpm") <= 0, "NO_RNA_EXPRESSION").when((c("rna_depth") >= 10) & (c("rna_mutant_reads") <= 0), "NO_MUTANT_RNA_SUPPORT").otherwise("")
+
+
+def _completeness() -> Column:
+    return reduce(lambda a, b: a + b, [F.col(f"{n}_evidence_available").cast("int") for n in WEIGHTS]) / F.lit(4.0)
 
 
 def reason_text() -> Column:
@@ -82,8 +84,8 @@ def tier(policy: Policy) -> Column:
     )
 
 
-def scored(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Gated candidates with component scores, evidence score, its lower bound, exclusion, tier and selection reason.
+def evidence(df: DataFrame) -> DataFrame:
+    """df with what its evidence says of a row, whatever the gate does: component scores, evidence score, its lower bound, and __unsupported.
 
     Steps that are read several times are columns of their own: written out in one another they make a generated method of over 8,000 bytes, which the
     JVM only interprets.
@@ -96,15 +98,28 @@ def scored(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
         **{f"{n}_evidence_available": F.col(f"__{n}").isNotNull() for n in parts},
     }).drop(*[f"__{n}" for n in parts])
     logs = reduce(lambda a, b: a + b, [F.lit(w) * F.log(expr.clip(F.col(f"{n}_evidence_score"), LEAST)) for n, w in WEIGHTS.items()])
-    known = reduce(lambda a, b: a + b, [F.col(f"{n}_evidence_available").cast("int") for n in WEIGHTS]) / F.lit(4.0)
-    rows = rows.withColumns({"__score": F.exp(logs), "evidence_completeness": known, "exclusion_reason": exclusion(df)})
-    rows = rows.withColumns({
-        "evidence_score": F.round("__score", PLACES), "evidence_uncertainty": F.lit(1.0) - F.col("evidence_completeness"),
-        "eligible": F.col("exclusion_reason") == "",
-    })
-    rows = rows.withColumn("lower_evidence_score", F.round(F.col("__score") * (F.lit(1.0) - F.lit(DISCOUNT) * F.col("evidence_uncertainty")), PLACES))
-    return rows.drop("__score").withColumn("evidence_tier", tier(policy)).withColumns({
+    rows = rows.withColumns({"__score": F.exp(logs), "evidence_completeness": _completeness(), "__unsupported": _unsupported(df)})
+    rows = rows.withColumns({"evidence_score": F.round("__score", PLACES), "evidence_uncertainty": F.lit(1.0) - F.col("evidence_completeness")})
+    return rows.withColumn("lower_evidence_score", F.round(F.col("__score") * (F.lit(1.0) - F.lit(DISCOUNT) * F.col("evidence_uncertainty")), PLACES)).drop("__score")
+
+
+def judged(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Gated rows of `evidence` (of its columns, lower_evidence_score and JUDGES are enough) with exclusion, tier, selection reason and tie key."""
+    gate = F.coalesce(F.col("deterministic_gate_reason"), F.lit(""))
+    rows = df if "evidence_uncertainty" in df.columns else df.withColumn("evidence_uncertainty", F.lit(1.0) - _completeness())
+    rows = rows.withColumn("exclusion_reason", F.when(gate != "", gate).otherwise(F.col("__unsupported"))).drop("__unsupported")
+    rows = rows.withColumn("eligible", F.col("exclusion_reason") == "").withColumn("evidence_tier", tier(policy))
+    return rows.withColumns({
         "selection_reason": reason_text(), "deterministic_tie_key": expr.tie_key(
             F.col("mutant_peptide"), F.col("hla_allele") if "hla_allele" in df.columns else F.lit("")
         ),
     })
+
+
+def scored(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Gated candidates with component scores, evidence score, its lower bound, exclusion, tier and selection reason."""
+    of = [f"{n}_evidence_{what}" for what in ("score", "available") for n in WEIGHTS]
+    return judged(evidence(df), policy).select(
+        *[F.col(f"`{c}`") for c in df.columns], *of, "evidence_completeness", "exclusion_reason", "evidence_score", "evidence_uncertainty", "eligible", "lower_evidence_score",
+        "evidence_tier", "selection_reason", "deterministic_tie_key",
+    )

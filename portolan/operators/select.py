@@ -10,7 +10,7 @@ The fold goes in rounds over the best BATCH (or 8 k) rows of each group. A group
 on with those that come after and whose values aren't full yet; of these the first is always taken, so there are at most k rounds, mostly
 one. No task holds more than a batch of one group at once.
 
-Scores and folds are persisted, so that they are worked out once; they can be dropped by spark.catalog.clearCache().
+Scores (but where their source is) and folds are persisted, so that they are worked out once; they can be dropped by spark.catalog.clearCache().
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ TIERS = ("CORE", "SUPPORTING", "FILLER", "EXCLUDED")
 
 
 BATCH = 256
+BROADCAST = 500_000  # selected rows
 _WIDEN = 8  # a batch is at least so many times k
 
 
@@ -108,10 +109,11 @@ def capped_values(columns: list[str], policy: Policy) -> dict[str, tuple[Column,
     return {c: (F.when(shown(c) != "", shown(c)), n) for c, n in limits.items() if n is not None and c in columns}
 
 
-def portfolio(scored: DataFrame, policy: Policy = Policy(), ident: str = "candidate_id") -> DataFrame:
+def portfolio(scored: DataFrame, policy: Policy = Policy(), ident: str = "candidate_id", kept: bool = False) -> DataFrame:
     """Scored candidates with selected and rank, per patient: by tier, lower score and tie key. '' is exempt from a cap; a missing value is
-    the word 'nan' and shares a cap. `ident` must name a row within its patient."""
-    scored = scored.persist()
+    the word 'nan' and shares a cap. `ident` must name a row within its patient. `kept`: what the scores are made from is persisted and scores come from it
+    without a shuffle, so they are worked out twice and not persisted themselves."""
+    scored = scored if kept else scored.persist()
     tiers = F.array_position(F.array(*map(F.lit, TIERS)), F.col("evidence_tier"))
     capped = capped_values(scored.columns, policy)
     caps = {c: n for c, (_, n) in capped.items()}
@@ -120,8 +122,9 @@ def portfolio(scored: DataFrame, policy: Policy = Policy(), ident: str = "candid
     )
     order = [F.col("__tier"), -F.col("lower_evidence_score"), F.col("deterministic_tie_key")]
     taken = greedy(rows, ["patient_id"], order, caps, policy.k, ident)
-    found = scored.join(taken.select(F.col("patient_id").alias("__p"), F.col(ident).alias("__i"), "rank"),
-                        (F.col("patient_id") == F.col("__p")) & (F.col(ident) == F.col("__i")), "left")
+    taken = taken.select(F.col("patient_id").alias("__p"), F.col(ident).alias("__i"), "rank")
+    # the folds are persisted, so this counts few rows; else all scored rows are shuffled before their number is known
+    found = scored.join(F.broadcast(taken) if taken.count() <= BROADCAST else taken, (F.col("patient_id") == F.col("__p")) & (F.col(ident) == F.col("__i")), "left")
     return found.drop("__p", "__i").withColumn("selected", F.col("rank").isNotNull())
 
 

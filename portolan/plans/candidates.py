@@ -29,25 +29,46 @@ CANDIDATE = {
     "dna_vaf": "l_tax * 10",
     "clonality_ccf": "case when l_suppkey % 8 = 0 then l_discount * 10 end",
 }
+# Columns that the others' rows are known by; candidates' texts that differ from row to row and are made from these, texts of few values, and numbers. Queries that
+# read candidates several times persist keys and short columns (texts of few values are held by number), and make the long texts anew.
+KEYS, LONG, FEW = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ("candidate_id", "mutant_peptide"), ("patient_id", "mutation_id", "gene_symbol", "hla_raw")
+GATE = ("mutant_peptide", "protein_variant", "source_variant_type", "mhc_class", "hla_loh_call", "expression_call")
+NUMBERS = ("expression_tpm", "rna_vaf", "rna_depth", "rna_mutant_reads", "binding_affinity_nm", "wildtype_binding_affinity_nm", "binding_percentile_rank", "dna_vaf", "clonality_ccf")
 # The same in Spark: a peptide's part is cut out before its letters are translated one by one, as translating all 32 took a quarter of most queries.
 PEPTIDE = ("translate(substr(md5(cast(l_partkey as string)), 1, cast(case when l_partkey % 50 = 0 then 7 when l_partkey % 50 = 1 then 15 else 7 + l_linenumber end as int)), "
            "'0123456789abcdef', 'ACDEFGHIKLMNPQRS')")
+_SPARK = CANDIDATE | {"mutant_peptide": PEPTIDE}
 WILDTYPE = "case when suppkey % 3 = 0 then concat(substr(mutant_peptide, 1, 1), 'W', substr(mutant_peptide, 3)) when suppkey % 3 = 1 then concat(substr(mutant_peptide, 1, 3), 'Y', substr(mutant_peptide, 5)) else substr(mutant_peptide, 2) end"
 HLA_SQL = """case when u is null then '' else 'HLA-' || case when regexp_full_match(split_part(s, '*', 2), '[0-9]{4}') and strpos(s, '*') > 0
     then split_part(s, '*', 1) || '*' || substr(split_part(s, '*', 2), 1, 2) || ':' || substr(split_part(s, '*', 2), 3, 2) else s end end"""
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made(rows: DataFrame, names: tuple[str, ...], *keep: str) -> DataFrame:
+    """Candidates' columns of rows that have the order tables' columns for them, and of these the columns to `keep`."""
+    return rows.select(*[F.expr(_SPARK[n]).alias(n) for n in names], *keep)
+
+
+def joined(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """The order tables. `lines`: lineitem with other columns, which meets orders in an exchange, so that what its columns are worked out from is compiled apart."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = joined.select(*[F.expr(e).alias(n) for n, e in (CANDIDATE | {"mutant_peptide": PEPTIDE}).items()], F.col("l_suppkey").alias("suppkey"))
+    orders = t("orders") if lines is None else t("orders").hint("merge")
+    rows = t("lineitem") if lines is None else lines
+    return rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made(joined(spark, sf_dir), tuple(CANDIDATE), "l_suppkey").withColumnRenamed("l_suppkey", "suppkey")
     return rows.withColumn("wildtype_peptide", F.expr(WILDTYPE)).drop("suppkey")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_allele(rows: DataFrame) -> DataFrame:
     from portolan.functions import expr
 
-    return raw(spark, sf_dir).withColumn("hla_allele", expr.hla(F.col("hla_raw"))).drop("hla_raw")
+    return rows.withColumn("hla_allele", expr.hla(F.col("hla_raw"))).drop("hla_raw")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_allele(raw(spark, sf_dir))
 
 
 def _duck(e: str) -> str:

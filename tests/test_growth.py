@@ -1,12 +1,13 @@
 """What keeps the queries in proportion to their input: the size of generated methods, joins, jobs, and what is persisted."""
 
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from portolan.functions import expr
-from portolan.operators import contracts, gate, select
+from portolan.operators import contracts, gate, score, select
 from portolan.plans import candidates, catalogue, datasets
 
 SF = "/root/testdata/sf0.001"
@@ -152,3 +153,35 @@ def test_reasons_pass_the_join_for_duplicates(plain):
     plan = catalogue.gate_tag(plain, SF)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join LeftOuter", 1)
     assert "__before" in below and "hla_loh_call" not in above and "source_variant_type" not in above
+
+
+@pytest.mark.parametrize("most", [0, gate.BROADCAST])
+def test_marks_are_the_duplicates(spark, most):
+    """Missing values in any column, places that repeat, and an identity with a third of the rows; joined by a shuffle and broadcast."""
+    rng = random.Random(7)
+    pick = lambda i, *of: "x" if i % 3 == 0 else rng.choice(of)
+    rows = [(rng.choice([i, i // 2, None]), pick(i, "x", "y", None), pick(i, "x", None, ""), pick(i, "AC", "CA", None), pick(i, "h", None)) for i in range(600)]
+    df = spark.createDataFrame(rows, "_ord long, patient_id string, mutation_id string, mutant_peptide string, hla_allele string").persist()
+    want = sorted(map(str, gate.duplicates(df, ["_ord"]).collect()))
+    assert sorted(map(str, gate.duplicates(df, ["_ord"], gate.marks(df, ["_ord"], most)).collect())) == want
+    assert "is_duplicate=True" in "".join(want) and gate.marks(df.select("patient_id", "_ord"), ["_ord"]) is None
+    spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("name", ["flagship", "patient_summary", "portfolio_extract", "select_greedy"])
+def test_selection_holds_keys_and_short_columns(plain, name):
+    """What it persists has no text that differs from row to row, whole rows aren't shuffled after that, and the code is compiled."""
+    plain.catalog.clearCache()
+    df = catalogue.QUERIES[name](plain, SF)
+    above, held = df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation", 1)
+    columns = held.split("]", 1)[0]
+    assert "l_orderkey" in columns and not any(n in columns for n in ("candidate_id", "mutant_peptide", "tie_key", "l_quantity"))
+    assert "SortMergeJoin" not in above and 0 < largest_method(plain, df) < INTERPRETED
+
+
+def test_scores_are_the_same_before_the_gate(spark):
+    """`evidence` on narrow lines and `judged` on what is left of them equal `scored` on whole candidates."""
+    rows = gate.tagged(candidates.candidates(spark, SF), ["candidate_id"])
+    short = score.evidence(rows).select("candidate_id", "mutant_peptide", "hla_allele", "deterministic_gate_reason", "lower_evidence_score", *score.JUDGES)
+    pick = ("candidate_id", "exclusion_reason", "eligible", "evidence_tier", "lower_evidence_score", "selection_reason", "deterministic_tie_key")
+    assert sorted(map(tuple, score.judged(short).select(*pick).collect())) == sorted(map(tuple, score.scored(rows).select(*pick).collect()))
