@@ -23,6 +23,11 @@ def text(x: Column) -> Column:
     return F.upper(strip(F.coalesce(x, F.lit(""))))
 
 
+def among(x: Column, words: tuple[str, ...]) -> Column:
+    """Like isin, for words without commas, in a quarter of its generated code."""
+    return F.find_in_set(x, F.lit(",".join(words))) > 0
+
+
 def number(x: Column) -> Column:
     """A double, NULL if it isn't a number; NaN is missing too (its word doesn't fit the pattern). '1d' and '1f' are not numbers here."""
     s = strip(x.cast("string"))
@@ -64,10 +69,10 @@ def pair_key(pep: Column, allele: Column) -> Column:
     return F.concat(pep, F.lit("|"), allele)
 
 
-def label(x: Column) -> Column:
-    """positive, negative or unknown."""
+def label(x: Column, other: Column | None = None) -> Column:
+    """positive, negative or unknown (or `other`)."""
     word = F.lower(strip(F.coalesce(x.cast("string"), F.lit(""))))
-    return F.when(word.isin(*POSITIVE), "positive").when(word.isin(*NEGATIVE), "negative").otherwise("unknown")
+    return F.when(among(word, POSITIVE), "positive").when(among(word, NEGATIVE), "negative").otherwise("unknown" if other is None else other)
 
 
 def shown(x: Column) -> Column:

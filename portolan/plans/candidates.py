@@ -57,8 +57,11 @@ def joined(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) ->
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = made(joined(spark, sf_dir), tuple(CANDIDATE), "l_suppkey").withColumnRenamed("l_suppkey", "suppkey")
-    return rows.withColumn("wildtype_peptide", F.expr(WILDTYPE)).drop("suppkey")
+    return with_wildtype(made(joined(spark, sf_dir), tuple(CANDIDATE), "l_suppkey")).drop("l_suppkey")
+
+
+def with_wildtype(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("wildtype_peptide", F.expr(WILDTYPE.replace("suppkey", "l_suppkey")))
 
 
 def with_allele(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,9 +66,12 @@ DERIVED = (
 def keep_first(df: DataFrame, keys: list[str], order: list[str], count: str) -> DataFrame:
     """The first row of each key, in this order, and how many there are. Missing keys equal one another; of rows alike in key and order the
     smallest stands for the others. One aggregation that sends a row for each key and task, so a key with most of the rows is no heavier than others."""
-    row, place = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[F.col(f"`{c}`") for c in order])
-    first = df.groupBy(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(place.alias("place"), row.alias("row"))).alias("__f"), F.count("*").alias("__n"))
-    return first.select(*[F.col(f"__f.row.`{c}`") for c in df.columns], F.col("__n").alias(count))
+    named = {c: f"__k{i}" for i, c in enumerate(keys)}
+    # no column is sent twice
+    of = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*order, *df.columns])) if c not in keys}
+    row = F.struct(*[_c(c).alias(n) for c, n in of.items()] or [F.lit(0).alias("none")])
+    first = df.groupBy(*[_c(k).alias(n) for k, n in named.items()]).agg(F.min(row).alias("__f"), F.count("*").alias("__n"))
+    return first.select(*[F.col(named[c] if c in named else f"__f.{of[c]}").alias(c) for c in df.columns], F.col("__n").alias(count))
 
 
 def conflicts(df: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -185,18 +189,35 @@ def gartner(spark: SparkSession, path: str) -> DataFrame:
     return gartner_of(read_table(spark, path))
 
 
+def gartner_label(status: Column) -> Column:
+    status, own = F.lower(expr.strip(status)), F.lit("unknown")
+    for label in dict.fromkeys(GARTNER_STATUS.values()):
+        own = F.when(expr.among(status, tuple(w for w, of in GARTNER_STATUS.items() if of == label)), label).otherwise(own)
+    return own
+
+
 def gartner_of(df: DataFrame, checked: bool = True) -> DataFrame:
     own = None
     if "Screening Status" in df.columns:
-        status, own = F.lower(expr.strip(_c("Screening Status"))), F.lit("unknown")
-        for word, label in GARTNER_STATUS.items():
-            own = F.when(status == word, label).otherwise(own)
+        own = gartner_label(_c("Screening Status"))
     out = generic(df, "gartner_nci", label=own, checked=checked)
     if own is not None:  # these come last here
         out = out.select(*[_c(n) for n in out.columns if n not in ("label", "label_weight")], "label", "label_weight")
     return _renamed(out, GARTNER)
 
 
+def binary_label(x: Column) -> Column:
+    """A label of `_binary`; the job fails at a cell that is none."""
+    value = expr.number(x)
+    wrong = F.raise_error(F.concat(F.lit("a label is not a number: "), expr.shown(x)))
+    return F.when((value >= 1) & (value < 2), "positive").when(F.abs(value) < float("inf"), "negative").otherwise(wrong)
+
+
+def improve_label(x: Column) -> Column:
+    """A label of `improve_of`; the job fails at a word that is none."""
+    return expr.label(x, F.raise_error(F.lit("IMPROVE table has labels that are neither positive nor negative")))
+
+
 def _binary(df: DataFrame, what: str, name: str) -> tuple[Column, Column, Callable[[], str]]:
     """positive for 1, negative for any other number (its fraction is cut off). A cell that is missing or no number is no label: an error, whose rows and text
     come with it."""
@@ -304,3 +325,26 @@ def conflicts_between(rows: DataFrame) -> DataFrame:
         F.size(F.collect_set("source_dataset")).alias("n_sets"), F.count_if(F.col("label") == "positive").alias("n_positive"), F.count_if(F.col("label") == "negative").alias("n_negative"),
     )
     return by_pair.where("n_positive > 0 and n_negative > 0")
+
+
+def conflicts_side_by_side(df: DataFrame, patient: str, peptide: str, allele: str, labels: dict[str, Column], once: dict[str, Column]) -> DataFrame:
+    """`conflicts_between` of sets that are made from the same rows, without stacking them. `labels`: data set -> its label of a row; `once`: the same for sets that keep a
+    row for each patient, peptide and allele, whose rows have one label. A row's labels are counted where it is, so the shuffle has a row for a pair and patient and
+    not one for each set; no text but the pair and the patient is in it."""
+    said = {n: f"__l{i}" for i, n in enumerate((*labels, *once))}
+    rows = df.select(F.col(patient).alias("__p"), F.col(peptide).alias("__pep"), F.col(allele).alias("__hla"), *[x.alias(said[n]) for n, x in (labels | once).items()])
+    of = lambda n, word: (F.col(said[n]) == word).cast("int")
+    total = lambda parts: reduce(lambda a, b: a + b, parts) if parts else F.lit(0)
+    long = lambda n: F.lit(n).cast("long")
+    bits = lambda names: total([F.when(F.col(said[n]) != "unknown", long(1 << i)).otherwise(long(0)) for i, n in enumerate(names)])
+    counts = {"__pos": total([of(n, "positive") for n in labels]), "__neg": total([of(n, "negative") for n in labels]), "__pos1": total([of(n, "positive") for n in once]),
+              "__neg1": total([of(n, "negative") for n in once]), "__bits": bits(said)}
+    rows = rows.select("__p", "__pep", "__hla", *[x.alias(n) for n, x in counts.items()])
+    # a set's candidates are told apart by their fields as they stand, pairs by their normal form
+    each = rows.groupBy("__p", "__pep", "__hla").agg(
+        F.sum("__pos").alias("pos"), F.sum("__neg").alias("neg"), F.max("__pos1").alias("pos1"), F.max("__neg1").alias("neg1"), F.bit_or("__bits").alias("bits"))
+    text = lambda n: F.coalesce(F.col(n), F.lit(""))
+    each = each.select(expr.peptide(text("__pep")).alias("__pep"), expr.hla(text("__hla")).alias("__hla"), "pos", "neg", "pos1", "neg1", "bits").where((F.col("__pep") != "") & (F.col("__hla") != ""))
+    pairs = each.groupBy(expr.pair_key(F.col("__pep"), F.col("__hla")).alias("mutant_hla_key")).agg(
+        F.bit_count(F.bit_or("bits")).alias("n_sets"), F.sum(F.col("pos") + F.col("pos1")).alias("n_positive"), F.sum(F.col("neg") + F.col("neg1")).alias("n_negative"))
+    return pairs.where("n_positive > 0 and n_negative > 0")

@@ -185,3 +185,49 @@ def test_scores_are_the_same_before_the_gate(spark):
     short = score.evidence(rows).select("candidate_id", "mutant_peptide", "hla_allele", "deterministic_gate_reason", "lower_evidence_score", *score.JUDGES)
     pick = ("candidate_id", "exclusion_reason", "eligible", "evidence_tier", "lower_evidence_score", "selection_reason", "deterministic_tie_key")
     assert sorted(map(tuple, score.judged(short).select(*pick).collect())) == sorted(map(tuple, score.scored(rows).select(*pick).collect()))
+
+
+def test_words_are_told_from_lists(spark):
+    words = ["a", "b c", "", "a,b c", ",", "A", None, "c"]
+    df = spark.createDataFrame([(w,) for w in words], "x string")
+    assert df.where(~F.col("x").eqNullSafe("") & expr.among(F.col("x"), ("a", "b c")).eqNullSafe(F.col("x").isin("a", "b c"))).count() == 7
+    assert not df.where("x = ''").select(expr.among(F.col("x"), ("a", "b c"))).first()[0]
+
+
+def test_conflicts_need_no_stack(plain):
+    """One pass over candidates of which nothing is persisted, whose code is compiled."""
+    plain.catalog.clearCache()
+    df = catalogue.conflicts_between_sets(plain, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "InMemoryRelation" not in plan and 0 < largest_method(plain, df) < INTERPRETED
+
+
+def test_conflicts_side_by_side_are_those_of_the_stack(spark):
+    """Fields that are missing, blank or differ in case, repeated rows and labels of all kinds."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["P", "Q", "", None]), rng.choice(["AC", "ac ", "AD", "", None]), rng.choice(["A0201", "HLA-A*02:01", "", None]), rng.choice(["CD8", "no", "odd", None]), rng.choice(["1", "0", "2"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "_ord long, patient string, pep string, hla string, response string, target string")
+    cd8 = df.select("_ord", F.col("patient").alias("Patient ID"), F.col("pep").alias("MUT epitope"), F.lit("x").alias("WT epitope"), F.col("hla").alias("HLA"), F.lit("no").alias("Response"), F.lit("T").alias("Dataset"), F.lit("m").alias("Tumor type"))
+    sets = [datasets.neoranking_of(df.select("_ord", "patient", F.col("pep").alias("mutant_seq"), F.lit("").alias("wt_seq"), F.col("hla").alias("HLA"), F.col("response").alias("response_type"))),
+            datasets.tesla_of(df.select("_ord", F.col("pep").alias("peptide"), F.col("hla").alias("allele"), F.col("target").alias("target_value"))), datasets.cd8_multimer_of(cd8)]
+    want = sorted(map(tuple, datasets.conflicts_between(datasets.stacked(sets)).collect()))
+    labels = {"neoranking": expr.label(F.col("response")), "tesla": datasets.binary_label(F.col("target"))}
+    got = datasets.conflicts_side_by_side(df, "patient", "pep", "hla", labels, {"cd8": expr.label(F.lit("no"))})
+    assert want and sorted(map(tuple, got.collect())) == want
+    with pytest.raises(Exception, match="a label is not a number: x"):
+        datasets.conflicts_side_by_side(df, "patient", "pep", "hla", {"tesla": datasets.binary_label(F.lit("x"))}, {}).collect()
+
+
+def test_stacked_sets_hold_keys_and_short_columns(plain):
+    plain.catalog.clearCache()
+    columns = catalogue.stacked_sets(plain, SF)._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation", 1)[1].split("]", 1)[0]
+    assert "l_orderkey" in columns and not any(n in columns for n in ("candidate_id", "peptide"))
+
+
+def test_first_rows_are_sent_once(spark):
+    df = spark.createDataFrame([(2, "a", "x"), (1, "a", "y"), (1, "a", "w"), (5, None, "z")], "_ord long, k string, v string")
+    out = datasets.keep_first(df, ["k"], ["_ord"], "n")
+    assert out.columns == ["_ord", "k", "v", "n"]
+    assert {tuple(r) for r in out.collect()} == {(1, "a", "w", 3), (5, None, "z", 1)}
+    assert "k" not in out._jdf.queryExecution().optimizedPlan().toString().split("min(struct(", 1)[1].split(")", 1)[0].replace("#", ", ").split(", ")
+    assert datasets.keep_first(df.select("k"), ["k"], ["k"], "n").where("n = 3").count() == 1
